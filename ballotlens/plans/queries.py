@@ -38,3 +38,146 @@ FROM p LEFT JOIN r ON p.key_type = r.key_type AND p.key_value = r.key_value
 @register("proposal_account_join", FLAGSHIP_SQL, ["proposals", "accounts"])
 def q_proposal_account_join(spark, sf):
     return acc.proposal_share_totals(fx.proposals(spark, sf), fx.accounts(spark, sf))
+
+
+# ================================================================ quality
+from ballotlens.operators import quality as qm  # noqa: E402
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# shared SQL: coalesced shares per proposal (NULL counts as 0)
+_NUM_SQL = """n AS (
+  SELECT id, issuer_name, proposal_type, category, subcategory, approved, prediction_correct, total_for_shares,
+    coalesce(CAST(predicted_for_shares AS DOUBLE), 0) AS pf, coalesce(CAST(predicted_against_shares AS DOUBLE), 0) AS pa,
+    coalesce(CAST(predicted_abstain_shares AS DOUBLE), 0) AS pb, coalesce(CAST(total_for_shares AS DOUBLE), 0) AS tf,
+    coalesce(CAST(total_against_shares AS DOUBLE), 0) AS ta, coalesce(CAST(total_abstain_shares AS DOUBLE), 0) AS tb
+  FROM proposals)"""
+
+_DELTA_TABLE_SQL = """
+  abs(pf - tf) / CASE WHEN tf = 0 THEN 1.0 ELSE abs(tf) END AS delta1,
+  abs(pf / CASE WHEN pf + pa + pb = 0 THEN 1.0 ELSE pf + pa + pb END - tf / CASE WHEN tf + ta + tb = 0 THEN 1.0 ELSE tf + ta + tb END) AS delta2"""
+
+_DELTA_QUALITY_SQL = """
+  CASE WHEN tf <> 0 THEN abs(pf - tf) / abs(tf) END AS delta1,
+  CASE WHEN pf + pa + pb <> 0 AND tf + ta + tb <> 0 THEN abs(pf / (pf + pa + pb) - tf / (tf + ta + tb)) END AS delta2"""
+
+_DELTA_LONG_SQL = _NUM_SQL + """,
+dq AS (SELECT id, """ + _DELTA_QUALITY_SQL + """ FROM n WHERE total_for_shares IS NULL OR total_for_shares <> 0),
+dl AS (SELECT id, 'delta1' AS metric, delta1 AS value FROM dq WHERE delta1 IS NOT NULL
+       UNION ALL SELECT id, 'delta2' AS metric, delta2 AS value FROM dq WHERE delta2 IS NOT NULL)"""
+
+
+@register("delta_table", "WITH " + _NUM_SQL + """
+SELECT id, round(delta1, 6) AS delta1, round(delta2, 6) AS delta2 FROM (SELECT id, """ + _DELTA_TABLE_SQL + " FROM n) t",
+          ["proposals"])
+def q_delta_table(spark, sf):
+    d = qm.with_deltas(fx.proposals(spark, sf), "table")
+    return d.select("id", r6(F.col("delta1")).alias("delta1"), r6(F.col("delta2")).alias("delta2"))
+
+
+@register("delta_quality", "WITH " + _NUM_SQL + """
+SELECT id, round(delta1, 6) AS delta1, round(delta2, 6) AS delta2 FROM (SELECT id, """ + _DELTA_QUALITY_SQL + """ FROM n
+WHERE total_for_shares IS NULL OR total_for_shares <> 0) t""", ["proposals"])
+def q_delta_quality(spark, sf):
+    d = qm.with_deltas(qm.quality_set(fx.proposals(spark, sf)), "quality")
+    return d.select("id", r6(F.col("delta1")).alias("delta1"), r6(F.col("delta2")).alias("delta2"))
+
+
+@register("delta_filter", "WITH " + _NUM_SQL + """
+SELECT id, round(delta1, 6) AS delta1, round(delta2, 6) AS delta2 FROM (SELECT id, """ + _DELTA_TABLE_SQL + """ FROM n) t
+WHERE delta1 IS NOT NULL AND delta1 <= 0.5 AND delta2 IS NOT NULL AND delta2 <= 0.3""", ["proposals"])
+def q_delta_filter(spark, sf):
+    d = qm.delta_filter(fx.proposals(spark, sf), max_delta1=0.5, max_delta2=0.3)
+    return d.select("id", r6(F.col("delta1")).alias("delta1"), r6(F.col("delta2")).alias("delta2"))
+
+
+_CM_BODY = """
+  CAST(coalesce(count_if(approved IS NOT NULL AND pred AND approved), 0) AS BIGINT) AS tp,
+  CAST(coalesce(count_if(approved IS NOT NULL AND pred AND NOT approved), 0) AS BIGINT) AS fp,
+  CAST(coalesce(count_if(approved IS NOT NULL AND NOT pred AND approved), 0) AS BIGINT) AS fn,
+  CAST(coalesce(count_if(approved IS NOT NULL AND NOT pred AND NOT approved), 0) AS BIGINT) AS tn,
+  CAST(count(*) AS BIGINT) AS total, CAST(coalesce(count_if(approved IS NOT NULL), 0) AS BIGINT) AS valid"""
+
+_CM_FRAME = _NUM_SQL + """,
+c AS (SELECT *, CASE WHEN prediction_correct IS NOT NULL THEN
+        CASE WHEN prediction_correct THEN coalesce(approved, FALSE) ELSE NOT coalesce(approved, FALSE) END
+      ELSE pf > pa END AS pred FROM n)"""
+
+
+@register("confusion_matrix", "WITH " + _CM_FRAME + " SELECT " + _CM_BODY + " FROM c", ["proposals"])
+def q_confusion_matrix(spark, sf):
+    return qm.confusion_matrix(fx.proposals(spark, sf))
+
+
+@register("confusion_by_type", "WITH " + _CM_FRAME + " SELECT proposal_type, " + _CM_BODY
+          + " FROM c GROUP BY proposal_type", ["proposals"])
+def q_confusion_by_type(spark, sf):
+    return qm.confusion_matrix(fx.proposals(spark, sf), group_by=["proposal_type"])
+
+
+_METRICS_SQL = """
+SELECT tp, fp, fn, tn, total, valid,
+  round(CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn) * 1.0 / (tp + fp + fn + tn) ELSE 0.0 END, 6) AS accuracy,
+  round(prec, 6) AS precision, round(rec, 6) AS recall,
+  round(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END, 6) AS f1_score
+FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp * 1.0 / (tp + fp) ELSE 0.0 END AS prec,
+        CASE WHEN tp + fn > 0 THEN tp * 1.0 / (tp + fn) ELSE 0.0 END AS rec FROM m) x"""
+
+
+@register("quality_metrics", "WITH " + _CM_FRAME + ", m AS (SELECT " + _CM_BODY + " FROM c)" + _METRICS_SQL,
+          ["proposals"])
+def q_quality_metrics(spark, sf):
+    m = qm.classification_metrics(qm.confusion_matrix(fx.proposals(spark, sf)))
+    return m.select("tp", "fp", "fn", "tn", "total", "valid",
+                    *[r6(F.col(c)).alias(c) for c in ("accuracy", "precision", "recall", "f1_score")])
+
+
+@register("quality_filter", """
+SELECT id, issuer_name, proposal_type, category, subcategory, approved FROM proposals
+WHERE approved = TRUE AND proposal_type = 'M' AND subcategory = 'S1'""", ["proposals"])
+def q_quality_filter(spark, sf):
+    f = qm.quality_filter(fx.proposals(spark, sf), proposal_type="M", outcome="Approved", subcategory="S1")
+    return f.select("id", "issuer_name", "proposal_type", "category", "subcategory", "approved")
+
+
+@register("quality_filtered_matrix", "WITH " + _CM_FRAME + " SELECT " + _CM_BODY
+          + " FROM c WHERE issuer_name = 'Brand#13' AND proposal_type = 'S'", ["proposals"])
+def q_quality_filtered_matrix(spark, sf):
+    p = fx.proposals(spark, sf)
+    return qm.confusion_matrix(qm.quality_filter(p, issuer="Brand#13", proposal_type="S"))
+
+
+@register("delta_thresholds", "WITH " + _DELTA_LONG_SQL + """,
+per AS (SELECT metric, count(*) AS n,
+  count_if(value <= 0.15) AS c0, count_if(value <= 0.30) AS c1, count_if(value <= 0.50) AS c2, count_if(value <= 0.75) AS c3
+  FROM dl GROUP BY metric),
+l AS (SELECT metric, n, 0.15 AS threshold, c0 AS cnt FROM per UNION ALL SELECT metric, n, 0.30, c1 FROM per
+      UNION ALL SELECT metric, n, 0.50, c2 FROM per UNION ALL SELECT metric, n, 0.75, c3 FROM per)
+SELECT metric, CAST(threshold AS DOUBLE) AS threshold, CAST(cnt AS BIGINT) AS count, CAST(n AS BIGINT) AS total,
+  CASE WHEN n > 0 THEN round(cnt * 100.0 / n, 1) ELSE 0.0 END AS percent FROM l""", ["proposals"])
+def q_delta_thresholds(spark, sf):
+    return qm.threshold_table(fx.proposals(spark, sf))
+
+
+def _hist_sql(metric: str) -> str:
+    return f"""SELECT '{metric}' AS metric, r.bin, printf('%.2f', mn + r.bin * CASE WHEN mx = mn THEN 0.0 ELSE (mx - mn) / 10.0 END) AS label,
+  round(mn + r.bin * CASE WHEN mx = mn THEN 0.0 ELSE (mx - mn) / 10.0 END, 6) AS bin_start,
+  CAST(coalesce(cb.cnt, 0) AS BIGINT) AS count
+FROM (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9)) r(bin)
+CROSS JOIN (SELECT min(value) AS mn, max(value) AS mx FROM dl WHERE metric = '{metric}') mm
+LEFT JOIN (SELECT CASE WHEN mx = mn THEN 0 ELSE least(CAST(floor((value - mn) / ((mx - mn) / 10.0)) AS INT), 9) END AS bin,
+             count(*) AS cnt
+           FROM dl, (SELECT min(value) AS mn, max(value) AS mx FROM dl WHERE metric = '{metric}') m2
+           WHERE metric = '{metric}' GROUP BY 1) cb ON cb.bin = r.bin
+WHERE mn IS NOT NULL AND r.bin < CASE WHEN mx = mn THEN 1 ELSE 10 END"""
+
+
+@register("delta_histogram", "WITH " + _DELTA_LONG_SQL + "\n" + _hist_sql("delta1") + "\nUNION ALL\n"
+          + _hist_sql("delta2"), ["proposals"])
+def q_delta_histogram(spark, sf):
+    p = fx.proposals(spark, sf)
+    h = qm.delta_histogram(p, "delta1").unionByName(qm.delta_histogram(p, "delta2"))
+    return h.select("metric", "bin", "label", r6(F.col("bin_start")).alias("bin_start"), "count")
