@@ -181,3 +181,197 @@ def q_delta_histogram(spark, sf):
     p = fx.proposals(spark, sf)
     h = qm.delta_histogram(p, "delta1").unionByName(qm.delta_histogram(p, "delta2"))
     return h.select("metric", "bin", "label", r6(F.col("bin_start")).alias("bin_start"), "count")
+
+
+# ================================================================ proposals browsing
+from ballotlens.functions import text as T  # noqa: E402
+from ballotlens.operators import proposals as pr  # noqa: E402
+
+# fixed values: oracle-test parameters
+ISSUERS = ["Brand#1", "Brand#13"]
+SEARCH_TERM = "anvil"
+PAGE_NO, PAGE_LIMIT = 2, 50
+
+_ISSUER_SQL = "lower(rtrim(issuer_name)) IN ('brand#1', 'brand#13')"
+
+
+@register("proposals_filter", f"""
+SELECT id, issuer_name, category, prediction_correct, approved FROM proposals
+WHERE prediction_correct = TRUE AND approved = FALSE AND {_ISSUER_SQL}""", ["proposals"])
+def q_proposals_filter(spark, sf):
+    f = pr.filter_proposals(fx.proposals(spark, sf), prediction_correct="true", approved="no", issuers=ISSUERS)
+    return f.select("id", "issuer_name", "category", "prediction_correct", "approved")
+
+
+@register("proposals_filter_category", """
+SELECT id, issuer_name, category FROM proposals
+WHERE lower(rtrim(category)) = 'promo' AND prediction_correct = FALSE""", ["proposals"])
+def q_proposals_filter_category(spark, sf):
+    f = pr.filter_proposals(fx.proposals(spark, sf), prediction_correct="false", category="Promo  ")
+    return f.select("id", "issuer_name", "category")
+
+
+@register("proposals_search", f"""
+SELECT id, issuer_name, proposal, final_key FROM proposals
+WHERE issuer_name ILIKE '%{SEARCH_TERM}%' OR proposal ILIKE '%{SEARCH_TERM}%' OR final_key ILIKE '%{SEARCH_TERM}%'""",
+          ["proposals"])
+def q_proposals_search(spark, sf):
+    f = pr.filter_proposals(fx.proposals(spark, sf), search=SEARCH_TERM)
+    return f.select("id", "issuer_name", "proposal", "final_key")
+
+
+@register("proposals_search_wildcard", """
+SELECT id, final_key FROM proposals
+WHERE issuer_name ILIKE '%fk1_3%' OR proposal ILIKE '%fk1_3%' OR final_key ILIKE '%fk1_3%'""", ["proposals"])
+def q_proposals_search_wildcard(spark, sf):
+    return pr.filter_proposals(fx.proposals(spark, sf), search="fk1_3").select("id", "final_key")
+
+
+@register("issuer_filter", f"SELECT id, issuer_name FROM proposals WHERE {_ISSUER_SQL}", ["proposals"])
+def q_issuer_filter(spark, sf):
+    return pr.issuer_in(fx.proposals(spark, sf), ISSUERS).select("id", "issuer_name")
+
+
+@register("proposals_page", f"""
+SELECT id, issuer_name, proposal FROM proposals ORDER BY id DESC LIMIT {PAGE_LIMIT} OFFSET {(PAGE_NO - 1) * PAGE_LIMIT}""",
+          ["proposals"])
+def q_proposals_page(spark, sf):
+    return pr.page(fx.proposals(spark, sf), PAGE_NO, PAGE_LIMIT).select("id", "issuer_name", "proposal")
+
+
+@register("proposals_page_info", f"""
+SELECT CAST({PAGE_NO} AS BIGINT) AS current_page, CAST({PAGE_LIMIT} AS BIGINT) AS per_page, CAST(count(*) AS BIGINT) AS total,
+  CAST(ceil(count(*) / {float(PAGE_LIMIT)}) AS BIGINT) AS total_pages
+FROM proposals WHERE {_ISSUER_SQL}""", ["proposals"])
+def q_proposals_page_info(spark, sf):
+    return pr.page_info(pr.issuer_in(fx.proposals(spark, sf), ISSUERS), PAGE_NO, PAGE_LIMIT)
+
+
+@register("proposals_sorted", """
+SELECT id, issuer_name FROM proposals ORDER BY lower(coalesce(issuer_name, '')) DESC, id ASC LIMIT 50 OFFSET 100""",
+          ["proposals"])
+def q_proposals_sorted(spark, sf):
+    s = pr.sort_proposals(fx.proposals(spark, sf), "issuer_name", ascending=False)
+    return s.offset(100).limit(50).select("id", "issuer_name")
+
+
+@register("dashboard", """
+SELECT CAST(count(*) AS BIGINT) AS total_proposals,
+  CAST(coalesce(count_if(prediction_correct = TRUE), 0) AS BIGINT) AS correct_predictions,
+  CAST(coalesce(count_if(approved = TRUE), 0) AS BIGINT) AS approved_proposals,
+  (SELECT CAST(count(*) AS BIGINT) FROM accounts WHERE is_voted = 1) AS voted_accounts,
+  (SELECT CAST(count(*) AS BIGINT) FROM accounts WHERE is_voted <> 1) AS unvoted_accounts
+FROM proposals""", ["proposals", "accounts"])
+def q_dashboard(spark, sf):
+    return pr.dashboard(fx.proposals(spark, sf), fx.accounts(spark, sf))
+
+
+@register("accuracy_rate", """
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(coalesce(count_if(prediction_correct = TRUE), 0) AS BIGINT) AS correct,
+  CASE WHEN count(*) > 0 THEN round(coalesce(count_if(prediction_correct = TRUE), 0) * 100.0 / count(*), 1) ELSE 0.0 END AS accuracy_rate
+FROM proposals""", ["proposals"])
+def q_accuracy_rate(spark, sf):
+    return pr.accuracy_rate(fx.proposals(spark, sf))
+
+
+@register("categories", """
+SELECT min(category) AS category FROM proposals WHERE category IS NOT NULL GROUP BY lower(rtrim(category))""",
+          ["proposals"])
+def q_categories(spark, sf):
+    return pr.distinct_categories(fx.proposals(spark, sf))
+
+
+@register("categories_of_issuers", f"""
+SELECT min(category) AS category FROM proposals WHERE category IS NOT NULL AND {_ISSUER_SQL}
+GROUP BY lower(rtrim(category))""", ["proposals"])
+def q_categories_of_issuers(spark, sf):
+    return pr.distinct_categories(fx.proposals(spark, sf), ISSUERS)
+
+
+@register("filter_options", """
+SELECT DISTINCT field, value FROM (
+  SELECT 'issuer' AS field, issuer_name AS value FROM proposals
+  UNION ALL SELECT 'type', proposal_type FROM proposals
+  UNION ALL SELECT 'category', category FROM proposals
+  UNION ALL SELECT 'subcategory', subcategory FROM proposals) t
+WHERE value IS NOT NULL AND value <> ''""", ["proposals"])
+def q_filter_options(spark, sf):
+    return pr.filter_options(fx.proposals(spark, sf))
+
+
+@register("issuer_list", """
+SELECT min(issuer_name) AS name, CAST(count(DISTINCT proposal_master_skey) AS BIGINT) AS proposal_count,
+  CAST(count(DISTINCT director_master_skey) AS BIGINT) AS director_count, 'active' AS status,
+  min(issuer_name) IN ('Brand#13') AS selected
+FROM proposals WHERE issuer_name IS NOT NULL AND rtrim(issuer_name) <> ''
+GROUP BY lower(rtrim(issuer_name))""", ["proposals"])
+def q_issuer_list(spark, sf):
+    return pr.issuer_list(fx.proposals(spark, sf), selected=["Brand#13"])
+
+
+@register("top_issuers", """
+SELECT issuer_name, proposal_count FROM (
+  SELECT lower(rtrim(issuer_name)) AS key, min(issuer_name) AS issuer_name, CAST(count(*) AS BIGINT) AS proposal_count
+  FROM proposals GROUP BY lower(rtrim(issuer_name))) g
+ORDER BY proposal_count DESC, key ASC NULLS FIRST LIMIT 10""", ["proposals"])
+def q_top_issuers(spark, sf):
+    return pr.top_issuers(fx.proposals(spark, sf), 10)
+
+
+def _pct_sql(x: str, null_text: str = "-") -> str:
+    return (f"CASE WHEN {x} IS NULL THEN '{null_text}' ELSE "
+            f"CAST(CAST(round(CAST({x} * 100 AS DECIMAL(38,10)), 2) AS DECIMAL(38,2)) AS VARCHAR) || '%' END")
+
+
+def _plain_sql(x: str) -> str:
+    return f"CASE WHEN CAST({x} AS VARCHAR) IS NULL OR CAST({x} AS VARCHAR) = '' THEN '-' ELSE CAST({x} AS VARCHAR) END"
+
+
+_WS = T.WS
+
+
+def _truncate_sql(x: str, n: int = 10) -> str:
+    words = f"string_split_regex(regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}+')"
+    return (f"CASE WHEN {x} IS NULL OR {x} = '' THEN '-' WHEN len({words}) <= {n} THEN {x} "
+            f"ELSE array_to_string({words}[1:{n}], ' ') || '...' END")
+
+
+_SHARE_COLS = ["predicted_for_shares", "predicted_against_shares", "predicted_abstain_shares",
+               "predicted_unvoted_shares", "total_for_shares", "total_against_shares",
+               "total_abstain_shares", "total_unvoted_shares"]
+
+
+@register("proposal_report", "WITH " + _NUM_SQL + """,
+d AS (SELECT p.*, """ + _DELTA_TABLE_SQL + """ FROM proposals p JOIN n USING (id))
+SELECT id, """ + _plain_sql("proposal_master_skey") + " AS proposal_master_key, "
+          + _plain_sql("director_master_skey") + " AS director_master_key, "
+          + _plain_sql("issuer_name") + " AS issuer, " + _plain_sql("category") + " AS category, "
+          + _truncate_sql("CASE WHEN trim(proposal) <> '' THEN proposal END") + """ AS proposal_content,
+  CASE WHEN prediction_correct THEN 'Correct' ELSE 'Incorrect' END AS prediction_accuracy,
+  CASE WHEN approved THEN 'Yes' ELSE 'No' END AS approved_status,
+  '-' AS for_percentage, '-' AS true_for_percentage, """
+          + ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE format('{{:,}}', {c}) END AS {c}" for c in _SHARE_COLS)
+          + ", " + _pct_sql("delta1") + " AS delta1, " + _pct_sql("delta2") + " AS delta2 FROM d",
+          ["proposals"])
+def q_proposal_report(spark, sf):
+    return pr.proposal_report(fx.proposals(spark, sf))
+
+
+_PROPOSAL_COLS = ["id", "proposal_master_skey", "director_master_skey", "final_key", "issuer_name", "proposal",
+                  "category", "subcategory", "proposal_type"] + _SHARE_COLS + ["approved", "prediction_correct"]
+
+
+def _detail_sql() -> str:
+    parts = []
+    for c in _PROPOSAL_COLS:
+        if c in ("approved", "prediction_correct"):
+            v = f"CASE WHEN {c} IS NULL THEN 'N/A' WHEN {c} THEN 'Yes' ELSE 'No' END"
+        else:
+            v = f"CASE WHEN CAST({c} AS VARCHAR) IS NULL OR CAST({c} AS VARCHAR) = '' THEN 'N/A' ELSE CAST({c} AS VARCHAR) END"
+        parts.append(f"SELECT id, '{c}' AS field, {v} AS value FROM proposals")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("proposal_detail", _detail_sql(), ["proposals"])
+def q_proposal_detail(spark, sf):
+    return pr.proposal_detail(fx.proposals(spark, sf).select(*_PROPOSAL_COLS))
