@@ -375,3 +375,199 @@ def _detail_sql() -> str:
 @register("proposal_detail", _detail_sql(), ["proposals"])
 def q_proposal_detail(spark, sf):
     return pr.proposal_detail(fx.proposals(spark, sf).select(*_PROPOSAL_COLS))
+
+
+# ================================================================ outreach
+from ballotlens.operators import outreach as ot  # noqa: E402
+
+_U_COLS = ["id", "account_hash_key", "proposal_master_skey", "director_master_skey", "account_type",
+           "shares_summable", "rank_of_shareholding", "score_model1", "prediction_model1", "Target_encoded"]
+_ORDER_ALL = ", ".join(f"{c} ASC NULLS FIRST" for c in _U_COLS)
+_KEYS_NN = "account_hash_key IS NOT NULL AND proposal_master_skey IS NOT NULL AND director_master_skey IS NOT NULL"
+
+
+def _selection(spark, sf):
+    """All keys at once: each unvoted row of rank <= 3 selects its hash under each valid key."""
+    u = fx.account_unvoted(spark, sf).filter(F.col("rank_of_shareholding") <= 3)
+    return acc.account_keys(u).select("account_hash_key", "key_type", "key_value")
+
+
+def _selected_all(spark, sf):
+    return ot.selected_accounts_all(fx.account_unvoted(spark, sf), _selection(spark, sf))
+
+
+_SEL_SQL = f"""sel AS (
+  SELECT DISTINCT account_hash_key, 'P' AS key_type, proposal_master_skey AS key_value FROM account_unvoted
+  WHERE rank_of_shareholding <= 3 AND proposal_master_skey <> -1
+  UNION SELECT DISTINCT account_hash_key, 'D' AS key_type, director_master_skey AS key_value FROM account_unvoted
+  WHERE rank_of_shareholding <= 3 AND director_master_skey <> -1),
+s AS (
+  SELECT u.* FROM account_unvoted u WHERE EXISTS (SELECT 1 FROM sel WHERE sel.account_hash_key = u.account_hash_key
+    AND sel.key_type = 'P' AND sel.key_value = u.proposal_master_skey)
+  UNION ALL
+  SELECT u.* FROM account_unvoted u WHERE EXISTS (SELECT 1 FROM sel WHERE sel.account_hash_key = u.account_hash_key
+    AND sel.key_type = 'D' AND sel.key_value = u.director_master_skey)),
+ok AS (SELECT DISTINCT account_hash_key, proposal_master_skey, director_master_skey FROM outreach WHERE {_KEYS_NN}),
+fl AS (SELECT s.*, CASE WHEN ok.account_hash_key IS NOT NULL THEN 1 ELSE 0 END AS already_exists
+  FROM s LEFT JOIN ok ON s.account_hash_key = ok.account_hash_key AND s.proposal_master_skey = ok.proposal_master_skey
+    AND s.director_master_skey = ok.director_master_skey),
+ne AS (SELECT * EXCLUDE (already_exists) FROM fl WHERE already_exists = 0),
+nw AS (
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY account_hash_key, proposal_master_skey,
+    director_master_skey ORDER BY {_ORDER_ALL}) AS rn FROM ne WHERE {_KEYS_NN}) t WHERE rn = 1
+  UNION ALL SELECT * FROM ne WHERE NOT ({_KEYS_NN}))"""
+
+_OUTREACH_COMMON = ["account_hash_key", "proposal_master_skey", "director_master_skey", "account_type",
+                    "shares_summable", "rank_of_shareholding"]
+
+
+@register("selected_accounts", """
+SELECT id, account_hash_key, proposal_master_skey, shares_summable FROM account_unvoted
+WHERE proposal_master_skey = 1 AND account_hash_key IN (
+  SELECT account_hash_key FROM account_unvoted WHERE proposal_master_skey = 1 AND rank_of_shareholding <= 3)""",
+          ["account_unvoted"])
+def q_selected_accounts(spark, sf):
+    u = fx.account_unvoted(spark, sf)
+    hashes = u.filter((F.col("proposal_master_skey") == 1) & (F.col("rank_of_shareholding") <= 3))
+    s = ot.selected_accounts(u, hashes, "proposal_master_skey", 1)
+    return s.select("id", "account_hash_key", "proposal_master_skey", "shares_summable")
+
+
+@register("selected_accounts_all", "WITH " + _SEL_SQL + """
+SELECT id, account_hash_key, proposal_master_skey, director_master_skey, shares_summable FROM s""",
+          ["account_unvoted", "outreach"])
+def q_selected_accounts_all(spark, sf):
+    return _selected_all(spark, sf).select("id", "account_hash_key", "proposal_master_skey",
+                                           "director_master_skey", "shares_summable")
+
+
+@register("already_exists", f"""
+WITH ok AS (SELECT DISTINCT account_hash_key, proposal_master_skey, director_master_skey FROM outreach WHERE {_KEYS_NN})
+SELECT u.id, u.account_hash_key, u.proposal_master_skey, u.director_master_skey,
+  CASE WHEN ok.account_hash_key IS NOT NULL THEN 1 ELSE 0 END AS already_exists
+FROM account_unvoted u LEFT JOIN ok ON u.account_hash_key = ok.account_hash_key
+  AND u.proposal_master_skey = ok.proposal_master_skey AND u.director_master_skey = ok.director_master_skey""",
+          ["account_unvoted", "outreach"])
+def q_already_exists(spark, sf):
+    f = ot.flag_existing(fx.account_unvoted(spark, sf), fx.outreach(spark, sf))
+    return f.select("id", "account_hash_key", "proposal_master_skey", "director_master_skey", "already_exists")
+
+
+@register("outreach_new", "WITH " + _SEL_SQL + "\nSELECT " + ", ".join(_OUTREACH_COMMON) + " FROM nw",
+          ["account_unvoted", "outreach"])
+def q_outreach_new(spark, sf):
+    return ot.add_to_outreach(_selected_all(spark, sf), fx.outreach(spark, sf))["new"]
+
+
+@register("outreach_duplicates", "WITH " + _SEL_SQL + """
+SELECT account_hash_key, proposal_master_skey, director_master_skey,
+  'account_hash_key(' || coalesce(CAST(account_hash_key AS VARCHAR), 'null') || ')+proposal_master_skey('
+  || coalesce(CAST(proposal_master_skey AS VARCHAR), 'null') || ')+director_master_skey('
+  || coalesce(CAST(director_master_skey AS VARCHAR), 'null') || ') is not inserted because it is already in outreach table' AS message
+FROM fl WHERE already_exists = 1""", ["account_unvoted", "outreach"])
+def q_outreach_duplicates(spark, sf):
+    return ot.add_to_outreach(_selected_all(spark, sf), fx.outreach(spark, sf))["duplicates"]
+
+
+@register("outreach_report", "WITH " + _SEL_SQL + """
+SELECT CAST((SELECT count(*) FROM nw) AS BIGINT) AS inserted,
+  CAST((SELECT count(*) FROM fl WHERE already_exists = 1) AS BIGINT) AS skipped,
+  round(coalesce((SELECT sum(coalesce(CAST(shares_summable AS DOUBLE), 0)) FROM ne), 0.0), 6) AS total_shares,
+  round(coalesce((SELECT sum(coalesce(CAST(shares_summable AS DOUBLE), 0)) FROM nw), 0.0), 6) AS inserted_shares""",
+          ["account_unvoted", "outreach"])
+def q_outreach_report(spark, sf):
+    r = ot.add_to_outreach(_selected_all(spark, sf), fx.outreach(spark, sf))["report"]
+    return r.select("inserted", "skipped", r6(F.col("total_shares")).alias("total_shares"),
+                    r6(F.col("inserted_shares")).alias("inserted_shares"))
+
+
+@register("insert_ignore", f"""
+WITH ok AS (SELECT DISTINCT account_hash_key, proposal_master_skey, director_master_skey FROM outreach WHERE {_KEYS_NN}),
+fr AS (SELECT u.* FROM account_unvoted u WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.account_hash_key = u.account_hash_key
+  AND ok.proposal_master_skey = u.proposal_master_skey AND ok.director_master_skey = u.director_master_skey))
+SELECT id, account_hash_key, proposal_master_skey, director_master_skey, shares_summable FROM (
+  SELECT *, row_number() OVER (PARTITION BY account_hash_key, proposal_master_skey, director_master_skey
+    ORDER BY {_ORDER_ALL}) AS rn FROM fr WHERE {_KEYS_NN}) t WHERE rn = 1
+UNION ALL SELECT id, account_hash_key, proposal_master_skey, director_master_skey, shares_summable FROM fr
+WHERE NOT ({_KEYS_NN})""", ["account_unvoted", "outreach"])
+def q_insert_ignore(spark, sf):
+    n = ot.insert_ignore(fx.outreach(spark, sf), fx.account_unvoted(spark, sf))
+    return n.select("id", "account_hash_key", "proposal_master_skey", "director_master_skey", "shares_summable")
+
+
+@register("in_outreach", """
+WITH ok AS (SELECT DISTINCT account_hash_key, proposal_master_skey, director_master_skey FROM outreach
+            WHERE account_hash_key IS NOT NULL)
+SELECT u.id, u.account_hash_key, u.proposal_master_skey, u.director_master_skey,
+  ok.account_hash_key IS NOT NULL AS in_outreach
+FROM account_unvoted u LEFT JOIN ok ON u.account_hash_key = ok.account_hash_key
+  AND u.proposal_master_skey IS NOT DISTINCT FROM ok.proposal_master_skey
+  AND u.director_master_skey IS NOT DISTINCT FROM ok.director_master_skey""", ["account_unvoted", "outreach"])
+def q_in_outreach(spark, sf):
+    f = ot.in_outreach(fx.account_unvoted(spark, sf), fx.outreach(spark, sf))
+    return f.select("id", "account_hash_key", "proposal_master_skey", "director_master_skey", "in_outreach")
+
+
+@register("issuer_semi_join", f"""
+SELECT id, account_hash_key, proposal_master_skey, director_master_skey FROM accounts
+WHERE proposal_master_skey IN (SELECT proposal_master_skey FROM proposals WHERE {_ISSUER_SQL} AND proposal_master_skey <> -1)
+   OR director_master_skey IN (SELECT director_master_skey FROM proposals WHERE {_ISSUER_SQL} AND director_master_skey <> -1)""",
+          ["accounts", "proposals"])
+def q_issuer_semi_join(spark, sf):
+    a = ot.issuer_semi_join(fx.accounts(spark, sf), fx.proposals(spark, sf), ISSUERS)
+    return a.select("id", "account_hash_key", "proposal_master_skey", "director_master_skey")
+
+
+@register("distinct_hashes", """
+SELECT DISTINCT key_text AS account_hash_key FROM raw_values WHERE key_text IS NOT NULL AND trim(key_text) <> ''""",
+          ["raw_values"])
+def q_distinct_hashes(spark, sf):
+    return ot.distinct_hashes(fx.raw_values(spark, sf), "key_text")
+
+
+@register("outreach_list", "SELECT id, account_hash_key, proposal_master_skey, director_master_skey FROM outreach",
+          ["outreach"])
+def q_outreach_list(spark, sf):
+    return ot.outreach_list(fx.outreach(spark, sf)).select("id", "account_hash_key", "proposal_master_skey",
+                                                           "director_master_skey")
+
+
+@register("outreach_count", "SELECT CAST(count(*) AS BIGINT) AS outreach_count FROM outreach", ["outreach"])
+def q_outreach_count(spark, sf):
+    return ot.outreach_count(fx.outreach(spark, sf))
+
+
+@register("delete_where", """
+SELECT id, account_hash_key FROM accounts WHERE NOT coalesce(account_hash_key LIKE 'H000001_%', FALSE)""",
+          ["accounts"])
+def q_delete_where(spark, sf):
+    return ot.delete_where_like(fx.accounts(spark, sf), "account_hash_key", "H000001_%") \
+        .select("id", "account_hash_key")
+
+
+@register("migrate_outreach", """
+SELECT id, NULL::VARCHAR AS row_index, NULL::VARCHAR AS unnamed_col, account_hash_key, proposal_master_skey,
+  director_master_skey, account_type, shares_summable, rank_of_shareholding, NULL::VARCHAR AS score_model1,
+  NULL::VARCHAR AS prediction_model1, NULL::VARCHAR AS Target_encoded FROM outreach""", ["outreach"])
+def q_migrate_outreach(spark, sf):
+    old = fx.outreach(spark, sf).withColumnRenamed("account_hash_key", "account_id")
+    m = ot.migrate_outreach(old)
+    return m.select(*[F.col(c).cast("string").alias(c) if c in ("row_index", "unnamed_col", "score_model1",
+                                                                  "prediction_model1", "Target_encoded")
+                      else F.col(c) for c in m.columns])
+
+
+@register("copy_outreach", f"""
+WITH src AS (SELECT * FROM account_unvoted WHERE rank_of_shareholding <= 3),
+ok AS (SELECT DISTINCT account_hash_key, proposal_master_skey, director_master_skey FROM outreach WHERE {_KEYS_NN}),
+fr AS (SELECT u.* FROM src u WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.account_hash_key = u.account_hash_key
+  AND ok.proposal_master_skey = u.proposal_master_skey AND ok.director_master_skey = u.director_master_skey)),
+nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_hash_key, proposal_master_skey, director_master_skey
+    ORDER BY {_ORDER_ALL}) AS rn FROM fr WHERE {_KEYS_NN}) t WHERE rn = 1
+  UNION ALL SELECT *, 1 AS rn FROM fr WHERE NOT ({_KEYS_NN}))
+SELECT CAST((SELECT count(*) FROM src) AS BIGINT) AS source_rows, CAST((SELECT count(*) FROM nw) AS BIGINT) AS copied,
+  CAST((SELECT count(*) FROM src) - (SELECT count(*) FROM nw) AS BIGINT) AS skipped""",
+          ["account_unvoted", "outreach"])
+def q_copy_outreach(spark, sf):
+    src = fx.account_unvoted(spark, sf).filter(F.col("rank_of_shareholding") <= 3)
+    return ot.copy_rows(src, fx.outreach(spark, sf))["report"]
