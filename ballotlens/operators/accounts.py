@@ -112,3 +112,185 @@ def proposal_share_totals(proposals: DataFrame, accounts: DataFrame, **kw) -> Da
 def shares_needed(for_shares: Column, against_shares: Column) -> Column:
     """Against minus For when Against leads, else NULL."""
     return F.when(against_shares > for_shares, against_shares - for_shares).cast("decimal(38,2)")
+
+
+# ============================================================ account analytics
+def _first_with_prefix(df: DataFrame, prefix: str) -> str | None:
+    return next((c for c in df.columns if c.startswith(prefix)), None)
+
+
+# --------------------------------------------------------------------- F6
+def filter_accounts(df: DataFrame, account_type: str | None = None, shares_min: float | None = None,
+                    rank_max: float | None = None, score_min: float | None = None,
+                    target: int | str | None = None, prediction: float | None = None) -> DataFrame:
+    """Browser-side account filters (exact, case-sensitive).  A NULL measure
+    fails any bound that is set.  The score / prediction column is the first
+    ``score_model*`` / ``prediction_model*`` column of the table.  The
+    prediction filter is numeric equality."""
+    cond = F.lit(True)
+    if account_type is not None:
+        cond = cond & (F.col("account_type").cast("string") == account_type)
+    if shares_min is not None:
+        cond = cond & (F.col(SHARES).cast("double") >= shares_min)
+    if rank_max is not None:
+        cond = cond & (F.col("rank_of_shareholding").cast("double") <= rank_max)
+    if score_min is not None:
+        sc = _first_with_prefix(df, "score_model")
+        if sc is not None:
+            cond = cond & (F.col(sc).cast("double") >= score_min)
+    if target is not None and str(target) != "":
+        cond = cond & (F.col("Target_encoded").cast("string") == str(target))
+    if prediction is not None:
+        pc = _first_with_prefix(df, "prediction_model")
+        if pc is not None:
+            cond = cond & (F.col(pc).cast("double") == float(prediction))
+    return df.filter(F.coalesce(cond, F.lit(False)))
+
+
+# --------------------------------------------------------------- F8 / F9 / F13
+def high_confidence(df: DataFrame, min_prediction: float = 0.8, k: int = 100,
+                    prediction_col: str = "prediction_model2", tie_break: list[str] | None = None) -> DataFrame:
+    """Top ``k`` accounts with prediction above ``min_prediction``, by
+    prediction, then shares (both descending), then hash key and ``tie_break``.
+    A top-k: each task keeps k rows, the driver merges them."""
+    p = F.col(prediction_col)
+    extra = [F.col(c).asc_nulls_first() for c in (tie_break or [])]
+    return df.filter(p > min_prediction).orderBy(
+        p.desc(), F.col(SHARES).desc_nulls_last(), F.col("account_hash_key").asc(), *extra).limit(k)
+
+
+def prediction_band(df: DataFrame, lo: float, hi: float, prediction_col: str = "prediction_model2") -> DataFrame:
+    return df.filter(F.col(prediction_col).between(lo, hi))
+
+
+def lookup_account(df: DataFrame, hash_key: str) -> DataFrame:
+    """Point lookup by hash; Parquet min/max statistics skip row groups when
+    the table is written sorted by hash."""
+    return df.filter(F.col("account_hash_key") == hash_key)
+
+
+# --------------------------------------------------------------- A10 / A12 / A13
+def measure_stats(df: DataFrame, measures: dict[str, str], group_by: list[str] | None = None) -> DataFrame:
+    """AVG / MIN / MAX / population STD / COUNT of each measure over its
+    non-NULL values, per group, from one scan (measures are stacked)."""
+    group_by = list(group_by or [])
+    args = ", ".join(f"'{name}', CAST({col} AS DOUBLE)" for name, col in measures.items())
+    long = df.select(*group_by, F.expr(f"stack({len(measures)}, {args}) AS (measure, v)")) \
+        .filter(F.col("v").isNotNull())
+    return long.groupBy(*group_by, "measure").agg(
+        F.avg("v").alias("avg"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.stddev_pop("v").alias("std"), F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+def score_stats(accounts: DataFrame, score_col: str = "score", prediction_col: str = "prediction",
+                voted_col: str = "is_voted") -> DataFrame:
+    """Score and prediction statistics for the voted and the unvoted table."""
+    df = accounts.withColumn("status", F.when(F.col(voted_col) == 1, "voted").otherwise("unvoted"))
+    return measure_stats(df, {"score": score_col, "prediction": prediction_col}, ["status"])
+
+
+def prediction_by_status(accounts: DataFrame, prediction_col: str = "prediction_model2",
+                         voted_col: str = "is_voted") -> DataFrame:
+    """AVG / STD / COUNT of the prediction for voted vs unvoted rows (one groupBy
+    instead of a UNION ALL of two scans)."""
+    df = accounts.filter(F.col(prediction_col).isNotNull())
+    status = F.when(F.col(voted_col) == 1, "voted").otherwise("unvoted").alias("account_status")
+    v = F.col(prediction_col).cast("double")
+    return df.groupBy(status).agg(F.avg(v).alias("avg_prediction"), F.stddev_pop(v).alias("std_prediction"),
+                                  F.count(F.lit(1)).cast("bigint").alias("total_accounts"))
+
+
+def compare_models(accounts: DataFrame, dataset_col: str = "dataset",
+                   prediction_col: str = "prediction_model2") -> DataFrame:
+    """Per dataset (model variant): AVG and population STD of the prediction."""
+    v = F.col(prediction_col).cast("double")
+    return accounts.groupBy(F.col(dataset_col).alias("model_type")).agg(
+        F.avg(v).alias("avg_pred"), F.stddev_pop(v).alias("std_pred"))
+
+
+# --------------------------------------------------------------------- A11
+def type_distribution(accounts: DataFrame) -> DataFrame:
+    """Rows per account type (NULL is a group) and their percent of all rows
+    (2 decimals).  The total is a scalar subquery: one more aggregate, no join."""
+    total = accounts.agg(F.count(F.lit(1)).alias("t")).scalar()
+    g = accounts.groupBy("account_type").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    return g.select("account_type", "count",
+                    F.round(F.col("count") * 100.0 / total, 2).alias("percentage"))
+
+
+# --------------------------------------------------------------------- A14
+def coverage(accounts: DataFrame, score_col: str = "score", prediction_col: str = "prediction") -> DataFrame:
+    n = F.count(F.lit(1))
+    ns, np_ = F.count(score_col), F.count(prediction_col)
+    return accounts.agg(
+        n.cast("bigint").alias("total_records"), ns.cast("bigint").alias("records_with_score"),
+        np_.cast("bigint").alias("records_with_prediction"),
+        F.when(n > 0, F.round(ns * 100.0 / n, 2)).alias("score_coverage_pct"),
+        F.when(n > 0, F.round(np_ * 100.0 / n, 2)).alias("prediction_coverage_pct"))
+
+
+# --------------------------------------------------------------------- A15
+def admin_stats(accounts: DataFrame, proposals: DataFrame, voted_col: str = "is_voted") -> DataFrame:
+    a = accounts.agg(F.count_if(F.col(voted_col) == 1).cast("bigint").alias("voted_count"),
+                     F.count_if(F.col(voted_col) != 1).cast("bigint").alias("unvoted_count"))
+    nprop = proposals.agg(F.count_distinct(PM)).scalar()
+    return a.select("voted_count", "unvoted_count",
+                    (F.col("voted_count") + F.col("unvoted_count")).alias("total_accounts"),
+                    nprop.cast("bigint").alias("proposals"))
+
+
+# --------------------------------------------------------------- A23 / A24
+def selected_shares(unvoted: DataFrame, selection: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Sum of the finite shares of the selected accounts (semi join on ``keys``)."""
+    keys = keys or ["account_hash_key", PM, DM]
+    s = unvoted.join(selection.select(*keys).distinct(), keys, "left_semi")
+    v = F.col(SHARES).cast("double")
+    fin = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    return s.agg(F.count(F.lit(1)).cast("bigint").alias("selected_rows"),
+                 F.coalesce(F.sum(fin), F.lit(0.0)).alias("selected_shares"))
+
+
+def filtered_share_sums(accounts: DataFrame, voted_col: str = "is_voted", prediction_col: str = "prediction",
+                        **filters) -> DataFrame:
+    """For / Against / Unvoted share sums per key over the filtered account
+    view (all rows, not one page)."""
+    f = filter_accounts(accounts, **filters)
+    r = rollup_by_key(f, voted_col=voted_col, prediction_col=prediction_col)
+    return r.select("key_type", "key_value",
+                    _dec0("f").alias("for_shares"), _dec0("g").alias("against_shares"),
+                    _dec0("us").alias("unvoted_shares"))
+
+
+# --------------------------------------------------------------------- O6
+def sort_accounts(df: DataFrame, field: str, ascending: bool = True, tie_break: list[str] | None = None) -> DataFrame:
+    """Typed sort; NULL first ascending, last descending (as '' sorts in text)."""
+    c = F.col(field)
+    o = c.asc_nulls_first() if ascending else c.desc_nulls_last()
+    return df.orderBy(o, *[F.col(t).asc() for t in (tie_break or [])])
+
+
+def account_page(df: DataFrame, page_no: int = 1, limit: int = 1000, order: list[str] | None = None) -> DataFrame:
+    """Accounts page by id ascending (ties broken by ``order``)."""
+    if page_no < 1 or limit < 1:
+        raise ValueError("page and limit must be >= 1")
+    order = order or ["id"]
+    return df.orderBy(*[F.col(c).asc_nulls_first() for c in order]).offset((page_no - 1) * limit).limit(limit)
+
+
+# --------------------------------------------------------------------- H9
+_COMMON_HIDDEN = ("row_index", "unnamed_col", "created_at", "id")
+
+
+def voted_view(df: DataFrame) -> DataFrame:
+    """Columns shown for voted accounts: no model-1 columns, no outreach flag."""
+    hide = set(_COMMON_HIDDEN) | {"score_model1", "prediction_model1", "in_outreach"}
+    return df.select(*[c for c in df.columns if c not in hide])
+
+
+def unvoted_view(df: DataFrame) -> DataFrame:
+    """Columns shown for unvoted accounts: no model-2 columns, Target_encoded last."""
+    hide = set(_COMMON_HIDDEN) | {"score_model2", "prediction_model2"}
+    cols = [c for c in df.columns if c not in hide and c != "Target_encoded"]
+    if "Target_encoded" in df.columns:
+        cols.append("Target_encoded")
+    return df.select(*cols)

@@ -571,3 +571,231 @@ SELECT CAST((SELECT count(*) FROM src) AS BIGINT) AS source_rows, CAST((SELECT c
 def q_copy_outreach(spark, sf):
     src = fx.account_unvoted(spark, sf).filter(F.col("rank_of_shareholding") <= 3)
     return ot.copy_rows(src, fx.outreach(spark, sf))["report"]
+
+
+# ================================================================ account analytics
+_CAL_SQL = """cal AS (SELECT id, account_hash_key, proposal_master_skey, director_master_skey, account_type, shares_summable,
+  rank_of_shareholding, score AS score_model2,
+  CASE WHEN prediction IS NULL THEN NULL ELSE CAST(score * 0.8 + 0.1 AS DECIMAL(10,6)) END AS prediction_model2,
+  Target_encoded, is_voted FROM accounts)"""
+
+
+def _calibrated(spark, sf):
+    a = fx.accounts(spark, sf)
+    pred = F.when(F.col("prediction").isNull(), F.lit(None)).otherwise(
+        (F.col("score") * F.lit(0.8).cast("decimal(2,1)") + F.lit(0.1).cast("decimal(2,1)")).cast("decimal(10,6)"))
+    return a.select("id", "account_hash_key", "proposal_master_skey", "director_master_skey", "account_type",
+                    "shares_summable", "rank_of_shareholding", F.col("score").alias("score_model2"),
+                    pred.alias("prediction_model2"), "Target_encoded", "is_voted")
+
+
+@register("accounts_filter", """
+SELECT id, account_hash_key, account_type, shares_summable, rank_of_shareholding FROM account_voted
+WHERE account_type = 'Institution' AND CAST(shares_summable AS DOUBLE) >= 20 AND rank_of_shareholding <= 4
+  AND CAST(score_model2 AS DOUBLE) >= 0.3 AND CAST(Target_encoded AS VARCHAR) = '1' AND prediction_model2 = 1""",
+          ["account_voted"])
+def q_accounts_filter(spark, sf):
+    f = acc.filter_accounts(fx.account_voted(spark, sf), account_type="Institution", shares_min=20, rank_max=4,
+                            score_min=0.3, target=1, prediction=1)
+    return f.select("id", "account_hash_key", "account_type", "shares_summable", "rank_of_shareholding")
+
+
+@register("high_confidence", "WITH " + _CAL_SQL + """
+SELECT account_hash_key, account_type, shares_summable, score_model2, prediction_model2, id FROM cal
+WHERE is_voted = 0 AND prediction_model2 > 0.8
+ORDER BY prediction_model2 DESC, shares_summable DESC NULLS LAST, account_hash_key ASC, id ASC NULLS FIRST,
+  account_type ASC NULLS FIRST, score_model2 ASC NULLS FIRST LIMIT 100""", ["accounts"])
+def q_high_confidence(spark, sf):
+    u = _calibrated(spark, sf).filter(F.col("is_voted") == 0)
+    h = acc.high_confidence(u, 0.8, 100, tie_break=["id", "account_type", "score_model2"])
+    return h.select("account_hash_key", "account_type", "shares_summable", "score_model2", "prediction_model2", "id")
+
+
+@register("prediction_band", "WITH " + _CAL_SQL + """
+SELECT id, account_hash_key, prediction_model2 FROM cal WHERE prediction_model2 BETWEEN 0.6 AND 0.9""",
+          ["accounts"])
+def q_prediction_band(spark, sf):
+    return acc.prediction_band(_calibrated(spark, sf), 0.6, 0.9).select("id", "account_hash_key", "prediction_model2")
+
+
+@register("lookup_account", "SELECT * FROM account_voted WHERE account_hash_key = 'H00000007'", ["account_voted"])
+def q_lookup_account(spark, sf):
+    return acc.lookup_account(fx.account_voted(spark, sf), "H00000007")
+
+
+_STATS_SQL = """
+SELECT status, measure, round(avg(v), 6) AS avg, round(min(v), 6) AS min, round(max(v), 6) AS max,
+  round(stddev_pop(v), 6) AS std, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN is_voted = 1 THEN 'voted' ELSE 'unvoted' END AS status, 'score' AS measure, CAST(score AS DOUBLE) AS v FROM accounts
+  UNION ALL
+  SELECT CASE WHEN is_voted = 1 THEN 'voted' ELSE 'unvoted' END, 'prediction', CAST(prediction AS DOUBLE) FROM accounts) t
+WHERE v IS NOT NULL GROUP BY status, measure"""
+
+
+def _round_all(df, cols):
+    return df.select(*[r6(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@register("score_stats", _STATS_SQL, ["accounts"])
+def q_score_stats(spark, sf):
+    return _round_all(acc.score_stats(fx.accounts(spark, sf)), {"avg", "min", "max", "std"})
+
+
+@register("type_distribution", """
+SELECT account_type, CAST(count(*) AS BIGINT) AS count,
+  round(count(*) * 100.0 / (SELECT count(*) FROM account_unvoted), 2) AS percentage
+FROM account_unvoted GROUP BY account_type""", ["account_unvoted"])
+def q_type_distribution(spark, sf):
+    return acc.type_distribution(fx.account_unvoted(spark, sf))
+
+
+@register("prediction_by_status", """
+SELECT CASE WHEN is_voted = 1 THEN 'voted' ELSE 'unvoted' END AS account_status,
+  round(avg(CAST(prediction_model2 AS DOUBLE)), 6) AS avg_prediction,
+  round(stddev_pop(CAST(prediction_model2 AS DOUBLE)), 6) AS std_prediction, CAST(count(*) AS BIGINT) AS total_accounts
+FROM accounts_by_model WHERE dataset = 'calibrated' AND prediction_model2 IS NOT NULL GROUP BY 1""",
+          ["accounts_by_model"])
+def q_prediction_by_status(spark, sf):
+    a = fx.accounts_by_model(spark, sf).filter(F.col("dataset") == "calibrated")
+    return _round_all(acc.prediction_by_status(a), {"avg_prediction", "std_prediction"})
+
+
+@register("compare_models", """
+SELECT dataset AS model_type, round(avg(CAST(prediction_model2 AS DOUBLE)), 6) AS avg_pred,
+  round(stddev_pop(CAST(prediction_model2 AS DOUBLE)), 6) AS std_pred
+FROM accounts_by_model WHERE is_voted = 1 GROUP BY dataset""", ["accounts_by_model"])
+def q_compare_models(spark, sf):
+    a = fx.accounts_by_model(spark, sf).filter(F.col("is_voted") == 1)
+    return _round_all(acc.compare_models(a), {"avg_pred", "std_pred"})
+
+
+@register("coverage", """
+SELECT CAST(count(*) AS BIGINT) AS total_records, CAST(count(score_model1) AS BIGINT) AS records_with_score,
+  CAST(count(prediction_model1) AS BIGINT) AS records_with_prediction,
+  CASE WHEN count(*) > 0 THEN round(count(score_model1) * 100.0 / count(*), 2) END AS score_coverage_pct,
+  CASE WHEN count(*) > 0 THEN round(count(prediction_model1) * 100.0 / count(*), 2) END AS prediction_coverage_pct
+FROM account_unvoted""", ["account_unvoted"])
+def q_coverage(spark, sf):
+    return acc.coverage(fx.account_unvoted(spark, sf), "score_model1", "prediction_model1")
+
+
+@register("admin_stats", """
+SELECT CAST(count_if(is_voted = 1) AS BIGINT) AS voted_count, CAST(count_if(is_voted <> 1) AS BIGINT) AS unvoted_count,
+  CAST(count(*) AS BIGINT) AS total_accounts,
+  (SELECT CAST(count(DISTINCT proposal_master_skey) AS BIGINT) FROM proposals) AS proposals
+FROM accounts""", ["accounts", "proposals"])
+def q_admin_stats(spark, sf):
+    return acc.admin_stats(fx.accounts(spark, sf), fx.proposals(spark, sf))
+
+
+@register("selected_shares", """
+SELECT CAST(count(*) AS BIGINT) AS selected_rows, coalesce(sum(CAST(shares_summable AS DOUBLE)), 0.0) AS selected_shares
+FROM account_unvoted u WHERE EXISTS (SELECT 1 FROM outreach o WHERE o.account_hash_key = u.account_hash_key
+  AND o.proposal_master_skey = u.proposal_master_skey AND o.director_master_skey = u.director_master_skey)""",
+          ["account_unvoted", "outreach"])
+def q_selected_shares(spark, sf):
+    return acc.selected_shares(fx.account_unvoted(spark, sf), fx.outreach(spark, sf))
+
+
+@register("filtered_shares", """
+WITH a AS (SELECT * FROM accounts WHERE account_type = 'Individual' AND CAST(shares_summable AS DOUBLE) >= 10),
+k AS (SELECT 'P' AS key_type, proposal_master_skey AS key_value, * FROM a WHERE proposal_master_skey <> -1
+      UNION ALL SELECT 'D', director_master_skey, * FROM a WHERE director_master_skey <> -1)
+SELECT key_type, CAST(key_value AS BIGINT) AS key_value,
+  CAST(coalesce(sum(CASE WHEN is_voted = 1 AND prediction = 0 THEN shares_summable END), 0) AS DECIMAL(38,2)) AS for_shares,
+  CAST(coalesce(sum(CASE WHEN is_voted = 1 AND prediction = 1 THEN shares_summable END), 0) AS DECIMAL(38,2)) AS against_shares,
+  CAST(coalesce(sum(CASE WHEN is_voted <> 1 THEN shares_summable END), 0) AS DECIMAL(38,2)) AS unvoted_shares
+FROM k GROUP BY key_type, key_value""", ["accounts"])
+def q_filtered_shares(spark, sf):
+    return acc.filtered_share_sums(fx.accounts(spark, sf), account_type="Individual", shares_min=10)
+
+
+@register("accounts_sorted", """
+SELECT id, shares_summable, score_model1 FROM account_unvoted
+ORDER BY shares_summable DESC NULLS LAST, id ASC, proposal_master_skey ASC NULLS FIRST,
+  director_master_skey ASC NULLS FIRST, score_model1 ASC NULLS FIRST LIMIT 50 OFFSET 50""", ["account_unvoted"])
+def q_accounts_sorted(spark, sf):
+    s = acc.sort_accounts(fx.account_unvoted(spark, sf), "shares_summable", ascending=False,
+                          tie_break=["id", "proposal_master_skey", "director_master_skey", "score_model1"])
+    return s.offset(50).limit(50).select("id", "shares_summable", "score_model1")
+
+
+_VPAGE = ["id", "proposal_master_skey", "director_master_skey", "shares_summable"]
+
+
+@register("voted_page", """
+SELECT account_hash_key, proposal_master_skey, director_master_skey, account_type, shares_summable,
+  rank_of_shareholding, score_model2, prediction_model2, Target_encoded FROM account_voted
+ORDER BY id ASC NULLS FIRST, proposal_master_skey ASC NULLS FIRST, director_master_skey ASC NULLS FIRST,
+  shares_summable ASC NULLS FIRST, score_model2 ASC NULLS FIRST LIMIT 50 OFFSET 50""", ["account_voted"])
+def q_voted_page(spark, sf):
+    p = acc.account_page(fx.account_voted(spark, sf), 2, 50, _VPAGE + ["score_model2"])
+    return acc.voted_view(p)
+
+
+@register("unvoted_page", """
+SELECT account_hash_key, proposal_master_skey, director_master_skey, account_type, shares_summable,
+  rank_of_shareholding, score_model1, prediction_model1, Target_encoded FROM account_unvoted
+ORDER BY id ASC NULLS FIRST, proposal_master_skey ASC NULLS FIRST, director_master_skey ASC NULLS FIRST,
+  shares_summable ASC NULLS FIRST, score_model1 ASC NULLS FIRST LIMIT 50 OFFSET 50""", ["account_unvoted"])
+def q_unvoted_page(spark, sf):
+    p = acc.account_page(fx.account_unvoted(spark, sf), 2, 50, _VPAGE + ["score_model1"])
+    return acc.unvoted_view(p)
+
+
+@register("voted_view", """
+SELECT account_hash_key, proposal_master_skey, director_master_skey, account_type, shares_summable,
+  rank_of_shareholding, score_model2, prediction_model2, Target_encoded FROM account_voted""", ["account_voted"])
+def q_voted_view(spark, sf):
+    return acc.voted_view(fx.account_voted(spark, sf))
+
+
+@register("unvoted_view", """
+SELECT account_hash_key, proposal_master_skey, director_master_skey, account_type, shares_summable,
+  rank_of_shareholding, score_model1, prediction_model1, in_outreach, Target_encoded FROM (
+  SELECT u.*, ok.account_hash_key IS NOT NULL AS in_outreach FROM account_unvoted u
+  LEFT JOIN (SELECT DISTINCT account_hash_key, proposal_master_skey, director_master_skey FROM outreach
+             WHERE account_hash_key IS NOT NULL) ok
+  ON u.account_hash_key = ok.account_hash_key AND u.proposal_master_skey IS NOT DISTINCT FROM ok.proposal_master_skey
+  AND u.director_master_skey IS NOT DISTINCT FROM ok.director_master_skey) t""", ["account_unvoted", "outreach"])
+def q_unvoted_view(spark, sf):
+    return acc.unvoted_view(ot.in_outreach(fx.account_unvoted(spark, sf), fx.outreach(spark, sf)))
+
+
+@register("effective_key", """
+SELECT id, CASE WHEN proposal_master_skey <> -1 THEN 'P' WHEN director_master_skey <> -1 THEN 'D' END AS key_type,
+  CAST(CASE WHEN proposal_master_skey <> -1 THEN proposal_master_skey WHEN director_master_skey <> -1 THEN director_master_skey END AS BIGINT) AS key_value
+FROM proposals""", ["proposals"])
+def q_effective_key(spark, sf):
+    return acc.effective_key(fx.proposals(spark, sf)).select("id", "key_type", "key_value")
+
+
+@register("share_totals", FLAGSHIP_SQL.replace("p.id, p.key_type", "p.key_type").replace(
+    "FROM p LEFT JOIN r", "FROM (SELECT DISTINCT key_type, key_value FROM p WHERE key_type IS NOT NULL) p LEFT JOIN r"),
+    ["proposals", "accounts"])
+def q_share_totals(spark, sf):
+    """A4 + A5 per distinct proposal key (no proposal id)."""
+    p = acc.effective_key(fx.proposals(spark, sf)).select("key_type", "key_value") \
+        .filter(F.col("key_type").isNotNull()).distinct()
+    r = acc.rollup_by_key(fx.accounts(spark, sf))
+    j = p.join(r, ["key_type", "key_value"], "left")
+    f, g = acc._dec0("f"), acc._dec0("g")
+    return j.select("key_type", "key_value",
+                    F.coalesce(F.col("nv"), F.lit(0)).cast("bigint").alias("voted_accounts"),
+                    F.coalesce(F.col("nu"), F.lit(0)).cast("bigint").alias("unvoted_accounts"),
+                    acc._dec0("vs").alias("voted_shares"), acc._dec0("us").alias("unvoted_shares"),
+                    f.alias("voted_for_shares"), g.alias("voted_against_shares"),
+                    acc.shares_needed(f, g).alias("shares_needed"))
+
+
+@register("for_against_threshold", "WITH " + _CAL_SQL + """,
+k AS (SELECT 'P' AS key_type, proposal_master_skey AS key_value, * FROM cal WHERE proposal_master_skey <> -1
+      UNION ALL SELECT 'D', director_master_skey, * FROM cal WHERE director_master_skey <> -1)
+SELECT key_type, CAST(key_value AS BIGINT) AS key_value,
+  CAST(coalesce(sum(CASE WHEN is_voted = 1 AND prediction_model2 <= 0.5 THEN shares_summable END), 0) AS DECIMAL(38,2)) AS for_shares,
+  CAST(coalesce(sum(CASE WHEN is_voted = 1 AND prediction_model2 > 0.5 THEN shares_summable END), 0) AS DECIMAL(38,2)) AS against_shares
+FROM k GROUP BY key_type, key_value""", ["accounts"])
+def q_for_against_threshold(spark, sf):
+    """A5 on a calibrated (fractional) prediction with the threshold option."""
+    r = acc.rollup_by_key(_calibrated(spark, sf), prediction_col="prediction_model2", against_threshold=0.5)
+    return r.select("key_type", "key_value", acc._dec0("f").alias("for_shares"), acc._dec0("g").alias("against_shares"))
