@@ -325,8 +325,10 @@ def with_views(sql: str, views: list[str]) -> str:
 
     A query that starts with its own ``WITH`` has its CTEs appended after ours.
     """
-    ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]}\n)" for n in _closure(views))
     body = sql.strip()
+    if not views:
+        return body
+    ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]}\n)" for n in _closure(views))
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"

@@ -799,3 +799,161 @@ def q_for_against_threshold(spark, sf):
     """A5 on a calibrated (fractional) prediction with the threshold option."""
     r = acc.rollup_by_key(_calibrated(spark, sf), prediction_col="prediction_model2", against_threshold=0.5)
     return r.select("key_type", "key_value", acc._dec0("f").alias("for_shares"), acc._dec0("g").alias("against_shares"))
+
+
+# ================================================================ cleaning
+from ballotlens.functions import clean as C  # noqa: E402
+
+_DEC_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_INT_RE = r"^[+-]?[0-9]+$"
+
+
+def _blank(x: str) -> str:
+    return f"({x} IS NULL OR trim({x}) = '')"
+
+
+def _num_ok(x: str) -> str:
+    return f"regexp_matches(trim({x}), '{_DEC_RE}')"
+
+
+def _raw(spark, sf):
+    return fx.raw_values(spark, sf)
+
+
+def _clean_query(key: str, fn, col: str, sql_expr: str):
+    def build(spark, sf):
+        r = _raw(spark, sf)
+        return r.select("row_id", F.col(col).alias("raw"), fn(F.col(col)).alias("value"))
+    register(key, f"SELECT row_id, {col} AS raw, {sql_expr} AS value FROM raw_values", ["raw_values"])(build)
+
+
+_clean_query("clean_int", C.clean_int, "num_text",
+             f"CASE WHEN {_blank('num_text')} OR trim(num_text) = '-1' THEN NULL WHEN {_num_ok('num_text')} "
+             "THEN CAST(trunc(CAST(trim(num_text) AS DOUBLE)) AS BIGINT) END")
+_clean_query("clean_int_excel", C.clean_int_excel, "num_text",
+             f"CASE WHEN {_blank('num_text')} THEN NULL WHEN {_num_ok('num_text')} "
+             "THEN CAST(trunc(CAST(trim(num_text) AS DOUBLE)) AS BIGINT) END")
+_clean_query("clean_float", C.clean_float, "num_text",
+             f"CASE WHEN {_blank('num_text')} THEN NULL WHEN {_num_ok('num_text')} THEN CAST(trim(num_text) AS DOUBLE) END")
+_clean_query("clean_numeric", C.clean_numeric, "comma_text",
+             f"CASE WHEN {_blank('comma_text')} OR lower(trim(comma_text)) = 'null' THEN NULL "
+             f"WHEN regexp_matches(trim(replace(comma_text, ',', '')), '{_DEC_RE}') THEN "
+             "CAST(round(CAST(trim(replace(comma_text, ',', '')) AS DECIMAL(38,10)), 4) AS DECIMAL(38,4)) END")
+_clean_query("clean_numeric_sci", lambda c: C.clean_numeric_sci(c, 6), "num_text",
+             f"CASE WHEN {_blank('num_text')} THEN NULL "
+             "WHEN num_text LIKE '%E+%' OR num_text LIKE '%E-%' OR num_text LIKE '%e+%' OR num_text LIKE '%e-%' "
+             f"OR num_text LIKE '%.%' THEN CASE WHEN {_num_ok('num_text')} THEN round(CAST(trim(num_text) AS DOUBLE), 6) END "
+             f"WHEN regexp_matches(trim(num_text), '{_INT_RE}') THEN CAST(CAST(trim(num_text) AS BIGINT) AS DOUBLE) END")
+_clean_query("clean_bool", C.clean_bool, "bool_text",
+             f"CASE WHEN {_blank('bool_text')} THEN NULL WHEN upper(trim(bool_text)) IN ('TRUE', '1', 'YES', 'Y') THEN TRUE "
+             "WHEN upper(trim(bool_text)) IN ('FALSE', '0', 'NO', 'N') THEN FALSE END")
+_clean_query("clean_bool_tf", C.clean_bool_tf, "bool_text",
+             f"CASE WHEN {_blank('bool_text')} THEN NULL WHEN upper(trim(bool_text)) IN ('TRUE', 'T', '1', 'YES', 'Y') THEN TRUE "
+             "WHEN upper(trim(bool_text)) IN ('FALSE', 'F', '0', 'NO', 'N') THEN FALSE END")
+_clean_query("clean_bool_excel", C.clean_bool_excel, "bool_text",
+             "CASE WHEN bool_text IS NULL THEN NULL ELSE lower(bool_text) IN ('true', '1', 'yes', 'y') END")
+_clean_query("clean_bool_default", C.clean_bool_default, "bool_text",
+             f"CASE WHEN {_blank('bool_text')} THEN FALSE WHEN regexp_matches(trim(bool_text), '{_INT_RE}') "
+             "THEN CAST(trim(bool_text) AS BIGINT) <> 0 END")
+
+_D2 = "[0-9]{1,2}"
+
+
+def _date_sql(t: str, fmts: list[tuple[str, str]]) -> str:
+    parts = [f"CASE WHEN regexp_matches({t}, '^{rx}$') THEN CAST(try_strptime({t}, '{f}') AS DATE) END"
+             for rx, f in fmts]
+    return "coalesce(" + ", ".join(parts) + ")"
+
+
+_YMD = (f"[0-9]{{4}}-{_D2}-{_D2}", "%Y-%m-%d")
+_MDY_SL = (f"{_D2}/{_D2}/[0-9]{{4}}", "%m/%d/%Y")
+_DMY_SL = (f"{_D2}/{_D2}/[0-9]{{4}}", "%d/%m/%Y")
+_YMD_SL = (f"[0-9]{{4}}/{_D2}/{_D2}", "%Y/%m/%d")
+_MDY_DA = (f"{_D2}-{_D2}-[0-9]{{4}}", "%m-%d-%Y")
+_DMY_DA = (f"{_D2}-{_D2}-[0-9]{{4}}", "%d-%m-%Y")
+
+_clean_query("clean_date6", C.clean_date6, "date_text",
+             f"CASE WHEN {_blank('date_text')} OR lower(trim(date_text)) = 'null' THEN NULL ELSE "
+             + _date_sql("trim(date_text)", [_YMD, _MDY_SL, _DMY_SL, _YMD_SL, _MDY_DA, _DMY_DA]) + " END")
+_clean_query("clean_date3", C.clean_date3, "date_text",
+             f"CASE WHEN {_blank('date_text')} THEN NULL ELSE "
+             + _date_sql("trim(date_text)", [_MDY_SL, _YMD, _MDY_DA]) + " END")
+_clean_query("clean_date_mdy", C.clean_date_mdy, "date_text",
+             f"CASE WHEN {_blank('date_text')} THEN NULL ELSE " + _date_sql("date_text", [_MDY_SL]) + " END")
+_clean_query("clean_percentage", C.clean_percentage, "pct_text",
+             "CASE WHEN regexp_replace(pct_text, '[^0-9.-]', '', 'g') <> '' AND "
+             f"regexp_matches(regexp_replace(pct_text, '[^0-9.-]', '', 'g'), '{_DEC_RE}') "
+             "THEN CAST(regexp_replace(pct_text, '[^0-9.-]', '', 'g') AS DOUBLE) END")
+_clean_query("clean_tinyint", C.clean_tinyint, "num_text",
+             f"CASE WHEN {_blank('num_text')} THEN NULL WHEN {_num_ok('num_text')} "
+             "THEN CAST(greatest(0, least(255, CAST(trunc(CAST(trim(num_text) AS DOUBLE)) AS BIGINT))) AS INTEGER) END")
+_clean_query("clean_blank", C.clean_blank, "key_text", "nullif(key_text, '')")
+_clean_query("clean_director_name", C.clean_director_name, "num_text",
+             "CASE WHEN num_text NOT IN ('', '-1') THEN num_text END")
+_clean_query("parse_number", C.parse_number, "comma_text",
+             f"CASE WHEN replace(trim(comma_text), ',', '') <> '' AND regexp_matches(replace(trim(comma_text), ',', ''), "
+             f"'{_DEC_RE}') THEN CAST(replace(trim(comma_text), ',', '') AS DOUBLE) END")
+_clean_query("coerce_int_zero", C.coerce_int_zero, "num_text",
+             f"coalesce(CASE WHEN {_num_ok('num_text')} THEN CAST(round_even(CAST(trim(num_text) AS DOUBLE), 0) AS BIGINT) END, 0)")
+
+
+@register("drop_blank_keys", """
+SELECT row_id, CASE WHEN key_text IS NULL OR key_text IN ('nan', 'None') THEN '' ELSE key_text END AS key_text
+FROM raw_values WHERE trim(CASE WHEN key_text IS NULL OR key_text IN ('nan', 'None') THEN '' ELSE key_text END) <> ''""",
+          ["raw_values"])
+def q_drop_blank_keys(spark, sf):
+    return C.drop_blank_keys(_raw(spark, sf).select("row_id", "key_text"), "key_text")
+
+
+@register("non_finite_null", """
+SELECT row_id, CASE WHEN isfinite(v) THEN v END AS v, w FROM (
+  SELECT row_id, try_cast(key_text AS DOUBLE) AS v, CAST(row_id AS DOUBLE) / 3 AS w FROM raw_values) t""",
+          ["raw_values"])
+def q_non_finite_null(spark, sf):
+    r = _raw(spark, sf).select("row_id", F.col("key_text").try_cast("double").alias("v"),
+                               (F.col("row_id").cast("double") / 3).alias("w"))
+    return C.non_finite_to_null(r)
+
+
+@register("clean_truncate", """
+SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN NULL ELSE substring(text, 1, 500) END AS value FROM documents""")
+def q_clean_truncate(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    return d.select("doc_id", C.clean_truncate("text").alias("value"))
+
+
+@register("typed_accounts", """
+SELECT id, account_hash_key, proposal_master_skey, director_master_skey, CAST(trunc(CAST(shares_summable AS DOUBLE)) AS BIGINT) AS shares_summable,
+  CAST(rank_of_shareholding AS BIGINT) AS rank_of_shareholding, CAST(score_model1 AS DOUBLE) AS score_model1,
+  CAST(prediction_model1 AS DOUBLE) AS prediction_model1, CAST(Target_encoded AS BIGINT) AS Target_encoded
+FROM account_unvoted""", ["account_unvoted"])
+def q_typed_accounts(spark, sf):
+    u = fx.account_unvoted(spark, sf).drop("account_type")
+    return C.typed_accounts(u, shares_as="int")
+
+
+# ---------------------------------------------------------------- text helpers
+@register("truncate_words", "SELECT doc_id, " + _truncate_sql("text") + " AS value FROM documents")
+def q_truncate_words(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    return d.select("doc_id", T.truncate_words("text", 10).alias("value"))
+
+
+@register("percent_text", "SELECT l_orderkey, l_linenumber, " + _pct_sql("l_tax") + " AS value FROM lineitem")
+def q_percent_text(spark, sf):
+    li = fx.table(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", T.percent_text("l_tax").alias("value"))
+
+
+@register("row_key", """
+SELECT row_id, regexp_replace(coalesce(CASE WHEN key_text IS NOT NULL AND key_text <> '' THEN 'hash_' || key_text END,
+  'idx_' || CAST(row_id AS VARCHAR)), '[^a-zA-Z0-9_.:-]', '_', 'g') AS value FROM raw_values""", ["raw_values"])
+def q_row_key(spark, sf):
+    return _raw(spark, sf).select("row_id", T.row_key(None, "key_text", "row_id").alias("value"))
+
+
+@register("first_non_blank", """
+SELECT row_id, coalesce(CASE WHEN trim(key_text) <> '' THEN key_text END, CASE WHEN trim(num_text) <> '' THEN num_text END,
+  CASE WHEN trim(comma_text) <> '' THEN comma_text END) AS value FROM raw_values""", ["raw_values"])
+def q_first_non_blank(spark, sf):
+    return _raw(spark, sf).select("row_id", T.first_non_blank(["key_text", "num_text", "comma_text"]).alias("value"))
