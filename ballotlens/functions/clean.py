@@ -279,3 +279,15 @@ def typed_accounts(df: DataFrame, shares_as: str = "float") -> DataFrame:
         else:
             out.append(F.col(c))
     return df.select(*out)
+
+
+# ------------------------------------------------------------ browser Number()
+def js_number(c: Column | str) -> Column:
+    """The browser's ``Number(text)``: trimmed decimal or 0x-hex literal,
+    +-Infinity; '' -> 0; anything else NULL (NaN)."""
+    t = F.regexp_replace(_c(c).cast("string"), f"^{WS}+|{WS}+$", "")
+    hexv = F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(t, 3, 64), 16, 10).try_cast("double"))
+    dec = F.when(t.rlike(_DEC_NUMBER), t.try_cast("double"))
+    inf = F.when(t.isin("Infinity", "+Infinity"), F.lit(float("inf"))) \
+        .when(t == "-Infinity", F.lit(float("-inf")))
+    return F.when(t == "", F.lit(0.0)).otherwise(F.coalesce(dec, hexv, inf))

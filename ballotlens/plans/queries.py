@@ -957,3 +957,276 @@ SELECT row_id, coalesce(CASE WHEN trim(key_text) <> '' THEN key_text END, CASE W
   CASE WHEN trim(comma_text) <> '' THEN comma_text END) AS value FROM raw_values""", ["raw_values"])
 def q_first_non_blank(spark, sf):
     return _raw(spark, sf).select("row_id", T.first_non_blank(["key_text", "num_text", "comma_text"]).alias("value"))
+
+
+# ================================================================ shape + validation (H1-H8, V1-V8)
+from ballotlens import schema as S  # noqa: E402
+from ballotlens.operators import shape as sh  # noqa: E402
+from ballotlens.operators import validate as va  # noqa: E402
+
+_RAW_P_SQL = """rawp AS (SELECT CAST(proposal_master_skey AS VARCHAR) AS "proposal_master_skey",
+  CAST(director_master_skey AS VARCHAR) AS "director_master_skey", final_key AS "final_key",
+  issuer_name AS "issuer_name", CAST(id % 12 + 1 AS VARCHAR) || '/' || CAST(id % 28 + 1 AS VARCHAR) || '/2024' AS "mt_date",
+  CASE WHEN id % 3 = 0 THEN '' ELSE CAST(id % 28 + 1 AS VARCHAR) || '/' || CAST(id % 12 + 1 AS VARCHAR) || '/2023' END AS "record_date",
+  proposal AS "proposal", proposal_type AS "proposal_type",
+  CASE WHEN id % 4 = 0 THEN '-1' ELSE 'Name ' || CAST(id AS VARCHAR) END AS "director_name",
+  category AS "Category", subcategory AS "Subcategory",
+  CAST(predicted_for_shares AS VARCHAR) AS "predicted_for_shares", CAST(total_for_shares AS VARCHAR) AS "total_for_shares",
+  '0.' || lpad(CAST(id % 10000 AS VARCHAR), 4, '0') AS "For %",
+  CASE WHEN id % 5 = 0 THEN 'n/a' ELSE '0.' || lpad(CAST((id * 7) % 10000 AS VARCHAR), 4, '0') END AS "VotingRatio",
+  CAST(approved AS VARCHAR) AS "approved", CAST(prediction_correct AS VARCHAR) AS "prediction_correct",
+  CAST(id % 7 AS VARCHAR) || '.5%' AS "Against (%) - From Prospectus 2026 File", 'x' AS "merge_flag"
+FROM proposals)"""
+
+
+def _raw_proposals(spark, sf):
+    p = fx.proposals(spark, sf)
+    i = F.col("id")
+    s = lambda c: F.col(c).cast("string")
+    return p.select(
+        s("proposal_master_skey").alias("proposal_master_skey"), s("director_master_skey").alias("director_master_skey"),
+        F.col("final_key"), F.col("issuer_name"),
+        F.concat((i % 12 + 1).cast("string"), F.lit("/"), (i % 28 + 1).cast("string"), F.lit("/2024")).alias("mt_date"),
+        F.when(i % 3 == 0, F.lit("")).otherwise(F.concat((i % 28 + 1).cast("string"), F.lit("/"),
+                                                         (i % 12 + 1).cast("string"), F.lit("/2023"))).alias("record_date"),
+        F.col("proposal"), F.col("proposal_type"),
+        F.when(i % 4 == 0, F.lit("-1")).otherwise(F.concat(F.lit("Name "), i.cast("string"))).alias("director_name"),
+        F.col("category").alias("Category"), F.col("subcategory").alias("Subcategory"),
+        s("predicted_for_shares").alias("predicted_for_shares"), s("total_for_shares").alias("total_for_shares"),
+        F.concat(F.lit("0."), F.lpad((i % 10000).cast("string"), 4, "0")).alias("For %"),
+        F.when(i % 5 == 0, F.lit("n/a")).otherwise(F.concat(F.lit("0."), F.lpad(((i * 7) % 10000).cast("string"), 4, "0")))
+        .alias("VotingRatio"),
+        s("approved").alias("approved"), s("prediction_correct").alias("prediction_correct"),
+        F.concat((i % 7).cast("string"), F.lit(".5%")).alias("Against (%) - From Prospectus 2026 File"),
+        F.lit("x").alias("merge_flag"),
+    )
+
+
+_RAW_P_COLS = {"proposal_master_skey", "director_master_skey", "final_key", "issuer_name", "mt_date", "record_date",
+               "proposal", "proposal_type", "director_name", "Category", "Subcategory", "predicted_for_shares",
+               "total_for_shares", "For %", "VotingRatio", "approved", "prediction_correct",
+               "Against (%) - From Prospectus 2026 File"}
+_SQL_TYPE = {"int": "BIGINT", "str": "VARCHAR", "date": "DATE", "dirname": "VARCHAR", "float": "DOUBLE",
+             "bool": "BOOLEAN"}
+
+
+def _norm_sql_expr(header: str, kind: str, float_mode: str) -> str:
+    if header not in _RAW_P_COLS:
+        return f"CAST(NULL AS {_SQL_TYPE[kind]})"
+    x = f'"{header}"'
+    if kind == "int":
+        return (f"CASE WHEN {_blank(x)} OR trim({x}) = '-1' THEN NULL WHEN {_num_ok(x)} "
+                f"THEN CAST(trunc(CAST(trim({x}) AS DOUBLE)) AS BIGINT) END")
+    if kind == "float":
+        if float_mode == "numeric":
+            return (f"CASE WHEN {_blank(x)} OR lower(trim({x})) = 'null' THEN NULL "
+                    f"WHEN regexp_matches(trim(replace({x}, ',', '')), '{_DEC_RE}') THEN "
+                    f"CAST(round(CAST(trim(replace({x}, ',', '')) AS DECIMAL(38,10)), 4) AS DOUBLE) END")
+        return f"CASE WHEN {_blank(x)} THEN NULL WHEN {_num_ok(x)} THEN CAST(trim({x}) AS DOUBLE) END"
+    if kind == "bool":
+        return (f"CASE WHEN {_blank(x)} THEN NULL WHEN upper(trim({x})) IN ('TRUE', '1', 'YES', 'Y') THEN TRUE "
+                f"WHEN upper(trim({x})) IN ('FALSE', '0', 'NO', 'N') THEN FALSE END")
+    if kind == "date":
+        return (f"CASE WHEN {_blank(x)} OR lower(trim({x})) = 'null' THEN NULL ELSE "
+                + _date_sql(f"trim({x})", [_YMD, _MDY_SL, _DMY_SL, _YMD_SL, _MDY_DA, _DMY_DA]) + " END")
+    if kind == "dirname":
+        return f"CASE WHEN {x} NOT IN ('', '-1') THEN {x} END"
+    return f"nullif({x}, '')"
+
+
+def _normalise_sql(float_mode: str) -> str:
+    cols = ", ".join(f"{_norm_sql_expr(h, k, float_mode)} AS {n}" for n, h, k in S.PROPOSAL_FIELDS)
+    return f"WITH {_RAW_P_SQL}\nSELECT {cols} FROM rawp"
+
+
+@register("normalise_proposals", _normalise_sql("float"), ["proposals"])
+def q_normalise_proposals(spark, sf):
+    return sh.normalise_proposals(_raw_proposals(spark, sf), "float")
+
+
+@register("normalise_proposals_numeric", _normalise_sql("numeric"), ["proposals"])
+def q_normalise_proposals_numeric(spark, sf):
+    return sh.normalise_proposals(_raw_proposals(spark, sf), "numeric")
+
+
+@register("alias_columns", """
+SELECT id, account_hash_key, score_model2, prediction_model2, Target_encoded FROM account_voted""", ["account_voted"])
+def q_alias_columns(spark, sf):
+    v = fx.account_voted(spark, sf).select("id", "account_hash_key", F.col("score_model2").alias("score"),
+                                           F.col("prediction_model2").alias("prediction_model"),
+                                           F.col("Target_encoded").alias("target"))
+    return sh.alias_columns(v)
+
+
+_UNV_EXPECTED = ["account_hash_key", "proposal_master_skey", "director_master_skey", "account_type",
+                 "shares_summable", "rank_of_shareholding", "score_model1", "prediction_model1", "Target_encoded"]
+
+
+@register("fuzzy_alias", "SELECT " + ", ".join(_UNV_EXPECTED) + " FROM account_unvoted", ["account_unvoted"])
+def q_fuzzy_alias(spark, sf):
+    u = fx.account_unvoted(spark, sf).select(
+        F.col("account_hash_key").alias("Account_Hash_Key_v2"), F.col("proposal_master_skey"),
+        F.col("director_master_skey"), F.col("account_type").alias("TYPE"), F.col("shares_summable").alias("shares"),
+        F.col("rank_of_shareholding"), F.col("score_model1"), F.col("prediction_model1"),
+        F.col("Target_encoded").alias("target_encoded"))
+    # 'TYPE' is contained in 'account_type'; 'shares' in 'shares_summable'
+    return sh.fuzzy_alias(u, _UNV_EXPECTED)
+
+
+@register("copy_if_missing", """
+SELECT id, score_model1, prediction_model1, score_model1 AS score_model2, prediction_model1 AS prediction_model2
+FROM account_unvoted""", ["account_unvoted"])
+def q_copy_if_missing(spark, sf):
+    u = fx.account_unvoted(spark, sf).select("id", "score_model1", "prediction_model1")
+    return sh.copy_if_missing(u)
+
+
+@register("select_available", """
+SELECT account_hash_key, proposal_master_skey, director_master_skey, account_type, shares_summable,
+  rank_of_shareholding, score_model2, prediction_model2, Target_encoded FROM account_voted""", ["account_voted"])
+def q_select_available(spark, sf):
+    req = ["account_hash_key", "proposal_master_skey", "director_master_skey", "account_type", "shares_summable",
+           "rank_of_shareholding", "score_model2", "prediction_model2", "Target_encoded", "unnamed_col"]
+    out, _missing = sh.select_available(fx.account_voted(spark, sf), req)
+    return out
+
+
+@register("align_columns", """
+SELECT account_hash_key, proposal_master_skey, director_master_skey, account_type, shares_summable, rank_of_shareholding
+FROM account_unvoted""", ["account_unvoted"])
+def q_align_columns(spark, sf):
+    return sh.align_to_target(fx.account_unvoted(spark, sf), fx.outreach(spark, sf).columns)
+
+
+@register("drop_prefixed", "WITH " + _RAW_P_SQL + """
+SELECT * EXCLUDE (merge_flag) FROM rawp""", ["proposals"])
+def q_drop_prefixed(spark, sf):
+    return sh.drop_prefixed(_raw_proposals(spark, sf))
+
+
+@register("slim_accounts", """
+SELECT id, account_hash_key, proposal_master_skey, director_master_skey, account_type, shares_summable,
+  rank_of_shareholding FROM outreach""", ["outreach"])
+def q_slim_accounts(spark, sf):
+    o = fx.outreach(spark, sf).select(F.lit(1).alias("row_index"), F.lit("u").alias("unnamed_col"), "*")
+    return sh.drop_redundant(o)
+
+
+def _js_num_sql(x: str) -> str:
+    t = f"trim(CAST({x} AS VARCHAR))"
+    return (f"CASE WHEN {t} = '' THEN 0.0 WHEN regexp_matches({t}, '{_DEC_RE}') THEN CAST({t} AS DOUBLE) "
+            f"WHEN regexp_matches({t}, '^0[xX][0-9a-fA-F]+$') THEN CAST(try_cast({t} AS BIGINT) AS DOUBLE) "
+            f"WHEN {t} IN ('Infinity', '+Infinity') THEN CAST('inf' AS DOUBLE) WHEN {t} = '-Infinity' THEN CAST('-inf' AS DOUBLE) END")
+
+
+def _type_ok_sql(x: str, kind: str) -> str:
+    n = _js_num_sql(x)
+    if kind == "int":
+        ok = f"(regexp_matches({x}, '^-?[0-9]+$') OR coalesce(isfinite({n}) AND floor({n}) = {n}, FALSE))"
+    elif kind == "float":
+        ok = f"coalesce(isfinite({n}), FALSE)"
+    elif kind == "bool":
+        ok = f"{x} IN ('0', '1', 'true', 'false')"
+    else:
+        ok = "TRUE"
+    return f"({x} IS NULL OR {x} = '' OR {ok})"
+
+
+_V2_CHECKS = {"num_text": "int", "comma_text": "float", "bool_text": "bool", "key_text": "string"}
+
+
+@register("type_violations", "\nUNION ALL\n".join(
+    f"SELECT row_id, '{c}' AS column, '{k}' AS expected, {c} AS got FROM raw_values WHERE NOT {_type_ok_sql(c, k)}"
+    for c, k in _V2_CHECKS.items()), ["raw_values"])
+def q_type_violations(spark, sf):
+    return va.type_violations(_raw(spark, sf), _V2_CHECKS, "row_id", n=None)
+
+
+@register("type_violations_sample", "WITH s AS (SELECT * FROM raw_values ORDER BY row_id LIMIT 10)\n" + "\nUNION ALL\n".join(
+    f"SELECT row_id, '{c}' AS column, '{k}' AS expected, {c} AS got FROM s WHERE NOT {_type_ok_sql(c, k)}"
+    for c, k in _V2_CHECKS.items()), ["raw_values"])
+def q_type_violations_sample(spark, sf):
+    return va.type_violations(_raw(spark, sf), _V2_CHECKS, "row_id", n=10)
+
+
+@register("type_violation_counts", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column, '{k}' AS expected, CAST(coalesce(count_if(NOT {_type_ok_sql(c, k)}), 0) AS BIGINT) AS violations FROM raw_values"
+    for c, k in _V2_CHECKS.items()), ["raw_values"])
+def q_type_violation_counts(spark, sf):
+    return va.type_violation_counts(_raw(spark, sf), _V2_CHECKS)
+
+
+def _fits_sql(x: str, kind: str) -> str:
+    d = f"CASE WHEN {_num_ok(x)} THEN CAST(trim({x}) AS DOUBLE) END"
+    if kind == "int":
+        ok = f"coalesce(floor({d}) = {d} AND {d} BETWEEN -2147483648 AND 2147483647, FALSE)"
+    elif kind == "float":
+        ok = f"coalesce(abs({d}) < 1e14, FALSE)"
+    elif kind == "bool":
+        ok = f"{x} IN ('0', '1', 'true', 'false')"
+    else:
+        ok = f"length({x}) <= 255"
+    return f"({x} IS NULL OR {x} = '' OR {ok})"
+
+
+@register("fit_violations", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column, '{k}' AS expected, CAST(coalesce(count_if(NOT {_fits_sql(c, k)}), 0) AS BIGINT) AS violations, "
+    f"min(CASE WHEN NOT {_fits_sql(c, k)} THEN {c} END) AS example FROM raw_values"
+    for c, k in _V2_CHECKS.items()), ["raw_values"])
+def q_fit_violations(spark, sf):
+    return va.fit_violations(_raw(spark, sf), _V2_CHECKS)
+
+
+@register("verify_dataset", """
+SELECT proposal_type, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT lower(rtrim(issuer_name))) AS BIGINT) AS issuers,
+  CAST(NULL AS DATE) AS first_meeting, CAST(NULL AS DATE) AS last_meeting FROM proposals GROUP BY proposal_type""",
+          ["proposals"])
+def q_verify_dataset(spark, sf):
+    return va.verify_dataset(fx.proposals(spark, sf), "proposal_type")
+
+
+@register("format_check", """
+SELECT TRUE AS columns_in_order, FALSE AS old_format, CAST(count(*) AS BIGINT) AS rows_checked,
+  CAST(coalesce(count_if(NOT coalesce(account_type IN ('Individual', 'Institution', 'Mutual Fund', 'Other'), FALSE)), 0) AS BIGINT) AS bad_account_type,
+  CAST(coalesce(count_if(NOT coalesce(CAST(prediction_model1 AS VARCHAR) IN ('0', '1', '0.0', '1.0'), FALSE)), 0) AS BIGINT) AS bad_prediction,
+  CAST(coalesce(count_if(coalesce(trim(account_hash_key) = '', TRUE)), 0) AS BIGINT) AS empty_hash
+FROM account_unvoted""", ["account_unvoted"])
+def q_format_check(spark, sf):
+    return va.format_check(fx.account_unvoted(spark, sf).select(*S.ACCOUNT_FILE_COLUMNS))
+
+
+@register("load_completeness", """
+SELECT CAST(count(*) AS BIGINT) AS total, (SELECT CAST(count(*) AS BIGINT) FROM account_voted) AS current,
+  CAST(greatest(count(*) - (SELECT count(*) FROM account_voted), 0) AS BIGINT) AS remaining,
+  (SELECT count(*) FROM account_voted) >= count(*) AS complete FROM accounts""", ["accounts", "account_voted"])
+def q_load_completeness(spark, sf):
+    return va.load_completeness(fx.accounts(spark, sf), fx.account_voted(spark, sf))
+
+
+@register("load_report", "WITH " + _RAW_P_SQL + """
+SELECT CAST(count_if(NOT bad) AS BIGINT) AS imported, CAST(count_if(bad) AS BIGINT) AS errors FROM (
+  SELECT ("VotingRatio" IS NOT NULL AND trim("VotingRatio") <> '' AND NOT """ + _num_ok('"VotingRatio"') + """) AS bad
+  FROM rawp) t""", ["proposals"])
+def q_load_report(spark, sf):
+    raw = _raw_proposals(spark, sf)
+    rows = raw.select("*", sh.proposal_errors(raw).alias("_errors"))
+    return va.load_report(rows)
+
+
+@register("table_counts", """
+SELECT dataset, CASE WHEN is_voted = 1 THEN 'account_voted' ELSE 'account_unvoted' END AS "table", CAST(count(*) AS BIGINT) AS rows
+FROM accounts_by_model GROUP BY 1, 2
+UNION ALL SELECT dataset, 'total', CAST(count(*) AS BIGINT) FROM accounts_by_model GROUP BY 1""", ["accounts_by_model"])
+def q_table_counts(spark, sf):
+    return va.table_counts(fx.accounts_by_model(spark, sf))
+
+
+@register("column_diff")
+def q_column_diff(spark, sf):
+    return va.column_diff(spark, fx.account_unvoted(spark, sf), list(S.ACCOUNT_CHECKS))
+
+
+@register("table_inventory")
+def q_table_inventory(spark, sf):
+    import os
+    return va.table_inventory(spark, {t: os.path.join(sf, f"{t}.parquet") for t in fx.TABLES})
