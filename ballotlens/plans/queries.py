@@ -1034,9 +1034,13 @@ def _norm_sql_expr(header: str, kind: str, float_mode: str) -> str:
     return f"nullif({x}, '')"
 
 
-def _normalise_sql(float_mode: str) -> str:
+def _normalise_select(float_mode: str) -> str:
     cols = ", ".join(f"{_norm_sql_expr(h, k, float_mode)} AS {n}" for n, h, k in S.PROPOSAL_FIELDS)
-    return f"WITH {_RAW_P_SQL}\nSELECT {cols} FROM rawp"
+    return f"SELECT {cols} FROM rawp"
+
+
+def _normalise_sql(float_mode: str) -> str:
+    return f"WITH {_RAW_P_SQL}\n{_normalise_select(float_mode)}"
 
 
 @register("normalise_proposals", _normalise_sql("float"), ["proposals"])
@@ -1230,3 +1234,139 @@ def q_column_diff(spark, sf):
 def q_table_inventory(spark, sf):
     import os
     return va.table_inventory(spark, {t: os.path.join(sf, f"{t}.parquet") for t in fx.TABLES})
+
+
+# ================================================================ sources / sinks / streaming
+import os  # noqa: E402
+import uuid  # noqa: E402
+
+from ballotlens.session import scratch_path  # noqa: E402
+from ballotlens.sources import dumps, generate, readers, sinks, textscan  # noqa: E402
+from ballotlens.streaming.resumable import resumable_load  # noqa: E402
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@register("insert_batches", """
+WITH l AS (SELECT line_no, CASE WHEN regexp_matches(line, '^INSERT INTO `([^`]*)` VALUES \\((.*)\\);$')
+    THEN regexp_extract(line, '^INSERT INTO `([^`]*)`', 1) END AS tbl FROM dump_lines),
+p AS (SELECT *, lag(tbl) OVER (ORDER BY line_no) AS prev, row_number() OVER (ORDER BY line_no) AS idx FROM l),
+s AS (SELECT *, tbl IS NOT NULL AND (prev IS NULL OR prev <> tbl) AS st FROM p),
+r AS (SELECT *, max(CASE WHEN st THEN idx END) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS sidx,
+        max(CASE WHEN st THEN line_no END) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS sline FROM s)
+SELECT tbl AS table_name, sline AS run_start, CAST(floor((idx - sidx) / 50) AS BIGINT) AS batch_no,
+  min(line_no) AS first_line, max(line_no) AS last_line, CAST(count(*) AS BIGINT) AS n_lines
+FROM r WHERE tbl IS NOT NULL GROUP BY 1, 2, 3""", ["dump_lines"])
+def q_insert_batches(spark, sf):
+    return dumps.insert_statement_batches(fx.dump_lines(spark, sf), batch_size=50, block_lines=4096)
+
+
+@register("repair_text", "SELECT doc_id, replace(replace(text, chr(65533), ''), chr(0), '') AS text FROM documents")
+def q_repair_text(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    return d.select("doc_id", textscan.repair_text("text").alias("text"))
+
+
+@register("repair_text_ascii", """
+SELECT doc_id, regexp_replace(replace(replace(text, chr(65533), ''), chr(0), ''), '[^\\x00-\\x7F]', '', 'g') AS text FROM documents""")
+def q_repair_text_ascii(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    return d.select("doc_id", textscan.repair_text("text", drop_non_ascii=True).alias("text"))
+
+
+_LINES_SQL = """ln AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no,
+  unnest(string_split(text, chr(10))) AS line FROM documents)"""
+
+
+@register("non_ascii_profile", "WITH " + _LINES_SQL + """
+SELECT CAST(count(*) AS BIGINT) AS lines, CAST(count_if(regexp_matches(line, '[^\\x00-\\x7F]')) AS BIGINT) AS non_ascii_lines,
+  CAST(count(DISTINCT CASE WHEN regexp_matches(line, '[^\\x00-\\x7F]') THEN doc_id END) AS BIGINT) AS non_ascii_texts FROM ln""")
+def q_non_ascii_profile(spark, sf):
+    return textscan.non_ascii_profile(fx.table(spark, sf, "documents"), "text", "doc_id")
+
+
+@register("non_ascii_lines", "WITH " + _LINES_SQL + """
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no,
+  CAST(strpos(line, regexp_extract(line, '[^\\x00-\\x7F]')) AS INTEGER) AS position
+FROM ln WHERE regexp_matches(line, '[^\\x00-\\x7F]')""")
+def q_non_ascii_lines(spark, sf):
+    return textscan.non_ascii_lines(fx.table(spark, sf, "documents"), "text", "doc_id") \
+        .select("doc_id", F.col("line_no").cast("int").alias("line_no"), "position")
+
+
+@register("non_ascii_first", "WITH " + _LINES_SQL + """
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no,
+  CAST(strpos(line, regexp_extract(line, '[^\\x00-\\x7F]')) AS INTEGER) AS position
+FROM ln WHERE regexp_matches(line, '[^\\x00-\\x7F]') ORDER BY doc_id, line_no LIMIT 5""")
+def q_non_ascii_first(spark, sf):
+    return textscan.first_non_ascii(fx.table(spark, sf, "documents"), "text", "doc_id", 5) \
+        .select("doc_id", F.col("line_no").cast("int").alias("line_no"), "position")
+
+
+@register("src_accounts_parquet", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 25")
+def q_src_accounts_parquet(spark, sf):
+    df = readers.read_accounts_parquet(spark, os.path.join(sf, "lineitem.parquet"),
+                                       columns=["l_orderkey", "l_partkey", "l_quantity"])
+    return df.filter(F.col("l_quantity") > 25)
+
+
+@register("src_multi_dataset", """
+SELECT *, 'parts' AS dataset FROM part UNION ALL BY NAME SELECT *, 'suppliers' AS dataset FROM supplier""")
+def q_src_multi_dataset(spark, sf):
+    routes = {os.path.join(sf, "part.parquet"): "parts", os.path.join(sf, "no_such_table.parquet"): "missing",
+              os.path.join(sf, "supplier.parquet"): "suppliers"}
+    return readers.load_datasets(spark, routes)
+
+
+@register("sample_rows", """
+SELECT * FROM account_voted ORDER BY id ASC NULLS FIRST, proposal_master_skey ASC NULLS FIRST,
+  director_master_skey ASC NULLS FIRST, shares_summable ASC NULLS FIRST, score_model2 ASC NULLS FIRST LIMIT 3""",
+          ["account_voted"])
+def q_sample_rows(spark, sf):
+    return readers.sample_rows(fx.account_voted(spark, sf), 3, _VPAGE + ["score_model2"])
+
+
+@register("src_parquet_inventory")
+def q_src_parquet_inventory(spark, sf):
+    return readers.parquet_inventory(spark.read.parquet(os.path.join(sf, "lineitem.parquet")))
+
+
+@register("gen_accounts")
+def q_gen_accounts(spark, sf):
+    ids = fx.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    return generate.synthetic_accounts(ids, seed=42, voted=True)
+
+
+@register("gen_proposals")
+def q_gen_proposals(spark, sf):
+    ids = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    return generate.synthetic_proposals(ids, seed=42)
+
+
+@register("src_proposals_csv", "WITH " + _RAW_P_SQL + "\nSELECT * FROM (" + _normalise_select("float")
+          + ") a\nUNION ALL\nSELECT * FROM (" + _normalise_select("float") + ") b", ["proposals"])
+def q_src_proposals_csv(spark, sf):
+    """Two CSV files whose columns come in different orders, bound by header name."""
+    raw = _raw_proposals(spark, sf)
+    p1, p2 = _scratch(spark, "csv-a"), _scratch(spark, "csv-b")
+    opts = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    raw.write.options(**opts).mode("overwrite").csv(p1)
+    raw.select(*reversed(raw.columns)).write.options(**opts).mode("overwrite").csv(p2)
+    return sh.normalise_proposals(readers.read_proposals_csv(spark, [p1, p2]))
+
+
+@register("resumable_load", "SELECT * FROM events")
+def q_resumable_load(spark, sf):
+    """Events split into files, loaded in two interrupted rounds, then re-run:
+    every row once."""
+    src, dst, ck = _scratch(spark, "rl-src"), _scratch(spark, "rl-dst"), _scratch(spark, "rl-ck")
+    ev = fx.table(spark, sf, "events")
+    first = ev.filter(F.col("event_id") % 3 != 0)
+    first.repartition(4, "event_id").write.mode("overwrite").parquet(src)
+    resumable_load(spark, src, dst, ck, max_files_per_trigger=2)
+    ev.filter(F.col("event_id") % 3 == 0).repartition(2, "event_id").write.mode("append").parquet(src)
+    resumable_load(spark, src, dst, ck, max_files_per_trigger=2)
+    resumable_load(spark, src, dst, ck, max_files_per_trigger=2)
+    return spark.read.parquet(dst)
