@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ballotlens.functions.text import WS
+from ballotlens.functions.text import JS_WS, PY_WS, WS
 
 # fixed values: accepted spellings of booleans / missing values
 TRUE_WORDS = ("TRUE", "1", "YES", "Y")
@@ -40,8 +40,8 @@ def _c(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Python ``str.strip()``: whitespace on both ends."""
-    return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: whitespace on both ends (character-set trim)."""
+    return F.btrim(_c(c), F.lit(PY_WS))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -53,7 +53,8 @@ def is_blank(c: Column | str) -> Column:
 def py_float(c: Column | str, allow_special: bool = True) -> Column:
     """Python ``float(text)``: surrounding whitespace, sign, exponent, '_'
     between digits, and (optionally) inf / nan; anything else -> NULL."""
-    t = F.regexp_replace(strip(c), "(?<=[0-9])_(?=[0-9])", "")
+    t0 = strip(c)
+    t = F.when(t0.contains("_"), F.regexp_replace(t0, "(?<=[0-9])_(?=[0-9])", "")).otherwise(t0)
     ok = t.rlike(_DEC_NUMBER)
     if allow_special:
         ok = ok | F.lower(t).isin(*_SPECIAL)
@@ -156,8 +157,18 @@ def clean_bool_default(c: Column | str) -> Column:
 
 
 # -------------------------------------------------------------- C10 - C13
+def _layout_regex(fmt: str) -> str:
+    """Shape of a date layout ('yyyy-M-d' -> 4 digits, 1-2 digits, 1-2 digits)."""
+    out = fmt.replace("yyyy", "Y").replace("M", "D").replace("d", "D")
+    out = "".join("[0-9]{4}" if ch == "Y" else "[0-9]{1,2}" if ch == "D" else "\\" + ch for ch in out)
+    return f"^{out}$"
+
+
 def _first_date(t: Column, formats: Sequence[str]) -> Column:
-    return F.coalesce(*[F.try_to_date(t, f) for f in formats])
+    """First layout that parses.  Each parse is guarded by the layout's shape:
+    a failed date parse is expensive (an exception per value), a regex is not,
+    and the guard also rejects years of other than four digits."""
+    return F.coalesce(*[F.when(t.rlike(_layout_regex(f)), F.try_to_date(t, f)) for f in formats])
 
 
 def clean_date6(c: Column | str) -> Column:
@@ -176,7 +187,7 @@ def clean_date3(c: Column | str) -> Column:
 def clean_date_mdy(c: Column | str) -> Column:
     """Only M/D/YYYY, on the untrimmed text."""
     x = _c(c)
-    return F.when(~is_blank(x), F.try_to_date(x, "M/d/yyyy"))
+    return F.when(~is_blank(x), _first_date(x, ["M/d/yyyy"]))
 
 
 def date_from_any(c: Column | str) -> Column:
@@ -221,7 +232,7 @@ def clean_truncate(c: Column | str, n: int = 500) -> Column:
 def parse_number(c: Column | str) -> Column:
     """Browser rule: trim, drop commas, '' -> NULL, decimal or 0x-hex number,
     non-finite -> NULL."""
-    t = F.regexp_replace(F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", ""), ",", "")
+    t = F.regexp_replace(F.btrim(_c(c), F.lit(JS_WS)), ",", "")
     hexv = F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(t, 3, 64), 16, 10).try_cast("double"))
     dec = F.when(t.rlike(_DEC_NUMBER), t.try_cast("double"))
     return F.when(t != "", finite(F.coalesce(dec, hexv)))
@@ -285,7 +296,7 @@ def typed_accounts(df: DataFrame, shares_as: str = "float") -> DataFrame:
 def js_number(c: Column | str) -> Column:
     """The browser's ``Number(text)``: trimmed decimal or 0x-hex literal,
     +-Infinity; '' -> 0; anything else NULL (NaN)."""
-    t = F.regexp_replace(_c(c).cast("string"), f"^{WS}+|{WS}+$", "")
+    t = F.btrim(_c(c).cast("string"), F.lit(JS_WS))
     hexv = F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(t, 3, 64), 16, 10).try_cast("double"))
     dec = F.when(t.rlike(_DEC_NUMBER), t.try_cast("double"))
     inf = F.when(t.isin("Infinity", "+Infinity"), F.lit(float("inf"))) \

@@ -7,10 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as the browser's trim / \s see it (ASCII controls plus the
-# no-break, line/paragraph separators and BOM); the same pattern text is valid
-# in Java regex and RE2, so oracles can reuse it.
-WS = "[ \\t\\n\\r\\f\\x{0B}\\x{A0}\\x{2028}\\x{2029}\\x{FEFF}]"
+# Whitespace sets, derived by rule: Python's str.strip() / split() use the
+# characters for which str.isspace() holds; the browser's trim and \s use the
+# same set without the four ASCII separators and NEL, plus the BOM.
+PY_WS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+JS_WS = "".join(ch for ch in PY_WS if ch not in "\x1c\x1d\x1e\x1f\x85") + "\ufeff"
+
+
+def char_class(chars: str, negate: bool = False) -> str:
+    """A regex character class valid in Java regex and RE2 (oracles reuse it)."""
+    body = "".join(f"\\x{{{ord(ch):X}}}" for ch in chars)
+    return f"[{'^' if negate else ''}{body}]"
+
+
+WS = char_class(JS_WS)
+NWS = char_class(JS_WS, negate=True)
 
 
 def _col(c: Column | str) -> Column:
@@ -18,18 +29,24 @@ def _col(c: Column | str) -> Column:
 
 
 def js_trim(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"^{WS}+|{WS}+$", "")
+    """The browser's ``String.trim()``: a character-set trim, no regex."""
+    return F.btrim(_col(c), F.lit(JS_WS))
 
 
 # --------------------------------------------------------------------- C23
 def truncate_words(c: Column | str, n: int = 10) -> Column:
     """First ``n`` whitespace-separated words joined by one space plus '...';
-    text with at most ``n`` words is returned unchanged; NULL / '' -> '-'."""
+    text with at most ``n`` words is returned unchanged; NULL / '' -> '-'.
+
+    Only the first ``n + 1`` words decide the result, so one anchored regex
+    reads them and stops: the cost does not grow with the text's length, and
+    the result is the same as splitting the whole text."""
     s = _col(c)
-    words = F.split(js_trim(s), f"{WS}+")
-    short = F.size(words) <= n
-    cut = F.concat(F.array_join(F.slice(words, 1, n), " "), F.lit("..."))
-    return F.when(s.isNull() | (s == ""), F.lit("-")).when(short, s).otherwise(cut)
+    pat = f"^{WS}*({NWS}+(?:{WS}+{NWS}+){{0,{n - 1}}})({WS}+{NWS})?"
+    head = F.regexp_extract(s, pat, 1)
+    more = F.regexp_extract(s, pat, 2) != ""
+    cut = F.concat(F.regexp_replace(head, f"{WS}+", " "), F.lit("..."))
+    return F.when(s.isNull() | (s == ""), F.lit("-")).when(more, cut).otherwise(s)
 
 
 # --------------------------------------------------------------------- C24

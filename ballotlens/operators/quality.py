@@ -229,8 +229,8 @@ def histogram(values: DataFrame, value_col: str = "value", bins: int = 10) -> Da
     Output: bin, label (bin start, 2 decimals), bin_start, count.
     """
     v = values.select(F.col(value_col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    mn = v.select(F.min("v")).scalar()
-    mx = v.select(F.max("v")).scalar()
+    mm = v.agg(F.struct(F.min("v").alias("mn"), F.max("v").alias("mx")).alias("m")).scalar()
+    mn, mx = mm.getField("mn"), mm.getField("mx")
     size = (mx - mn) / F.lit(float(bins))
     idx = F.when(mx == mn, F.lit(0)).otherwise(
         F.least(F.floor((F.col("v") - mn) / size).cast("int"), F.lit(bins - 1)))
