@@ -202,3 +202,13 @@ def table_inventory(spark: SparkSession, tables: Mapping[str, str], skip_pattern
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ---------------------------------------------------------------------- H10
+def varchar_violations(df: DataFrame, limits: Mapping[str, int]) -> DataFrame:
+    """Per text column with a declared length: values longer than the limit."""
+    present = [(c, n) for c, n in limits.items() if c in df.columns]
+    aggs = [F.count_if(F.length(F.col(c)) > n).cast("bigint").alias(c) for c, n in present]
+    wide = df.agg(*aggs)
+    args = ", ".join(f"'{c}', {n}, `{c}`" for c, n in present)
+    return wide.select(F.expr(f"stack({len(present)}, {args}) AS (column, max_length, violations)"))

@@ -1370,3 +1370,71 @@ def q_resumable_load(spark, sf):
     resumable_load(spark, src, dst, ck, max_files_per_trigger=2)
     resumable_load(spark, src, dst, ck, max_files_per_trigger=2)
     return spark.read.parquet(dst)
+
+
+# ================================================================ remaining inventory keys
+@register("for_against", """
+WITH k AS (SELECT 'P' AS key_type, proposal_master_skey AS key_value, * FROM accounts WHERE proposal_master_skey <> -1
+      UNION ALL SELECT 'D', director_master_skey, * FROM accounts WHERE director_master_skey <> -1)
+SELECT key_type, CAST(key_value AS BIGINT) AS key_value,
+  CAST(coalesce(sum(CASE WHEN is_voted = 1 AND prediction = 0 THEN shares_summable END), 0) AS DECIMAL(38,2)) AS for_shares,
+  CAST(coalesce(sum(CASE WHEN is_voted = 1 AND prediction = 1 THEN shares_summable END), 0) AS DECIMAL(38,2)) AS against_shares
+FROM k GROUP BY key_type, key_value""", ["accounts"])
+def q_for_against(spark, sf):
+    """A5: voted For (prediction exactly 0) / Against (exactly 1) shares per key."""
+    r = acc.rollup_by_key(fx.accounts(spark, sf))
+    return r.select("key_type", "key_value", acc._dec0("f").alias("for_shares"), acc._dec0("g").alias("against_shares"))
+
+
+@register("shares_needed", """
+SELECT id, predicted_for_shares, predicted_against_shares,
+  CAST(CASE WHEN predicted_against_shares > predicted_for_shares THEN predicted_against_shares - predicted_for_shares END
+       AS DECIMAL(38,2)) AS shares_needed FROM proposals""", ["proposals"])
+def q_shares_needed(spark, sf):
+    """A22 on the proposal's predicted shares (a NULL side gives no value)."""
+    p = fx.proposals(spark, sf)
+    return p.select("id", "predicted_for_shares", "predicted_against_shares",
+                    acc.shares_needed(F.col("predicted_for_shares"), F.col("predicted_against_shares"))
+                    .alias("shares_needed"))
+
+
+@register("duplicate_messages", """
+SELECT account_hash_key, proposal_master_skey, director_master_skey,
+  'account_hash_key(' || coalesce(CAST(account_hash_key AS VARCHAR), 'null') || ')+proposal_master_skey('
+  || coalesce(CAST(proposal_master_skey AS VARCHAR), 'null') || ')+director_master_skey('
+  || coalesce(CAST(director_master_skey AS VARCHAR), 'null') || ') is not inserted because it is already in outreach table' AS message
+FROM outreach""", ["outreach"])
+def q_duplicate_messages(spark, sf):
+    return ot.duplicate_messages(fx.outreach(spark, sf))
+
+
+@register("clean_date_any")
+def q_clean_date_any(spark, sf):
+    """Date / timestamp values or text in ISO or one of the six layouts."""
+    r = _raw(spark, sf)
+    return r.select("row_id", C.date_from_any("date_text").alias("value"))
+
+
+@register("varchar_limits", """
+SELECT * FROM (VALUES
+  ('final_key', 1000, (SELECT CAST(count_if(length(final_key) > 1000) AS BIGINT) FROM proposals)),
+  ('issuer_name', 200, (SELECT CAST(count_if(length(issuer_name) > 200) AS BIGINT) FROM proposals)),
+  ('proposal_type', 50, (SELECT CAST(count_if(length(proposal_type) > 50) AS BIGINT) FROM proposals)),
+  ('category', 50, (SELECT CAST(count_if(length(category) > 50) AS BIGINT) FROM proposals)),
+  ('subcategory', 50, (SELECT CAST(count_if(length(subcategory) > 50) AS BIGINT) FROM proposals))) t("column", max_length, violations)""",
+          ["proposals"])
+def q_varchar_limits(spark, sf):
+    return va.varchar_violations(fx.proposals(spark, sf), S.VARCHAR_LIMITS)
+
+
+_CSV_COLS = ["account_hash_key", "proposal_master_skey", "director_master_skey", "account_type", "shares_summable",
+             "rank_of_shareholding", "score_model2", "prediction_model2", "Target_encoded"]
+
+
+@register("csv_roundtrip", "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _CSV_COLS)
+          + " FROM account_voted", ["account_voted"])
+def q_csv_roundtrip(spark, sf):
+    """S9 + S2: export the voted accounts as header CSV, read them back by name (text)."""
+    path = _scratch(spark, "csv-export")
+    sinks.write_csv(fx.account_voted(spark, sf).select(*_CSV_COLS), path)
+    return readers.read_accounts_csv(spark, path, multi_line=False)

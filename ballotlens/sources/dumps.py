@@ -32,31 +32,37 @@ def insert_statement_batches(lines: DataFrame, batch_size: int = 1000, line_col:
 
     w = Window.partitionBy("_f", "_b").orderBy("line_no")
     df = df.withColumn("_rn", F.row_number().over(w)).withColumn("_prev_in", F.lag("tbl").over(w))
+    # a start that does not depend on the previous block: not the block's first line
+    inner_start = (F.col("_rn") > 1) & F.col("tbl").isNotNull() & \
+        (F.col("_prev_in").isNull() | (F.col("_prev_in") != F.col("tbl")))
 
-    # per block: size and last table -> dense offset and previous block's last table
-    blocks = df.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_cnt"),
-                                         F.max_by("tbl", "line_no").alias("_last_t"),
-                                         F.max("line_no").alias("_last_line"))
+    # one summary row per block (size = lines / block_lines): everything needed
+    # to carry numbering, the previous table and the open run across blocks
+    blocks = df.groupBy("_f", "_b").agg(
+        F.count(F.lit(1)).alias("_cnt"), F.min("line_no").alias("_first_line"),
+        F.min_by("tbl", "line_no").alias("_first_t"), F.max_by("tbl", "line_no").alias("_last_t"),
+        F.max(F.when(inner_start, F.col("_rn"))).alias("_in_rn"),
+        F.max(F.when(inner_start, F.col("line_no"))).alias("_in_line"))
     wb = Window.partitionBy("_f").orderBy("_b")
     blocks = blocks.select(
-        "_f", "_b",
-        F.coalesce(F.sum("_cnt").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.lag("_last_t").over(wb).alias("_prev_blk_t"),
-        F.lag("_last_line").over(wb).alias("_prev_blk_line"))
+        "*", F.coalesce(F.sum("_cnt").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.lag("_last_t").over(wb).alias("_prev_blk_t"))
+    first_starts = F.col("_first_t").isNotNull() & \
+        (F.col("_prev_blk_t").isNull() | (F.col("_prev_blk_t") != F.col("_first_t")))
+    blocks = blocks.withColumn("_bs_idx", F.coalesce(F.col("_off") + F.col("_in_rn"),
+                                                     F.when(first_starts, F.col("_off") + 1))) \
+        .withColumn("_bs_line", F.coalesce(F.col("_in_line"), F.when(first_starts, F.col("_first_line"))))
+    prior = wb.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_f", "_b", "_off", "_prev_blk_t",
+                           F.max("_bs_idx").over(prior).alias("_c_idx"), F.max("_bs_line").over(prior).alias("_c_line"))
+
     df = df.join(blocks, ["_f", "_b"], "left")
     prev_t = F.when(F.col("_rn") == 1, F.col("_prev_blk_t")).otherwise(F.col("_prev_in"))
     df = df.withColumn("_idx", F.col("_off") + F.col("_rn"))
     start = F.col("tbl").isNotNull() & (prev_t.isNull() | (prev_t != F.col("tbl")))
-    df = df.withColumn("_s_idx", F.when(start, F.col("_idx"))).withColumn("_s_line", F.when(start, F.col("line_no")))
-
-    # open run: last start at or before the line, within the block or carried in
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_rs_idx", F.max("_s_idx").over(upto)).withColumn("_rs_line", F.max("_s_line").over(upto))
-    carry = df.groupBy("_f", "_b").agg(F.max("_s_idx").alias("_bmax_idx"), F.max("_s_line").alias("_bmax_line"))
-    prior = wb.rowsBetween(Window.unboundedPreceding, -1)
-    carry = carry.select("_f", "_b", F.max("_bmax_idx").over(prior).alias("_c_idx"),
-                         F.max("_bmax_line").over(prior).alias("_c_line"))
-    df = df.join(carry, ["_f", "_b"], "left")
+    df = df.withColumn("_rs_idx", F.max(F.when(start, F.col("_idx"))).over(upto)) \
+        .withColumn("_rs_line", F.max(F.when(start, F.col("line_no"))).over(upto))
     run_idx = F.coalesce(F.col("_rs_idx"), F.col("_c_idx"))
     run_line = F.coalesce(F.col("_rs_line"), F.col("_c_line"))
     ins = df.filter(F.col("tbl").isNotNull()).select(
