@@ -81,7 +81,8 @@ def _typed(raw: Column, kind: str, float_mode: str) -> Column:
 
 
 def normalise_proposals(raw: DataFrame, float_mode: str = "float",
-                        fields: Sequence[tuple[str, str, str]] = PROPOSAL_FIELDS) -> DataFrame:
+                        fields: Sequence[tuple[str, str, str]] = PROPOSAL_FIELDS,
+                        extra: Sequence[Column] = ()) -> DataFrame:
     """Map the proposal file headers to table columns and type every field in
     one ``select``.  ``float_mode`` 'float' parses ratios as floats, 'numeric'
     as exact decimals rounded to 4 places.  Headers absent from the file give
@@ -92,7 +93,7 @@ def normalise_proposals(raw: DataFrame, float_mode: str = "float",
         src = header if header in cols else (name if name in cols else None)
         rawc = F.col(f"`{src}`").cast("string") if src else F.lit(None).cast("string")
         out.append(_typed(rawc, kind, float_mode).alias(name))
-    return raw.select(*out)
+    return raw.select(*out, *extra)
 
 
 def proposal_errors(raw: DataFrame, fields: Sequence[tuple[str, str, str]] = PROPOSAL_FIELDS,

@@ -1438,3 +1438,32 @@ def q_csv_roundtrip(spark, sf):
     path = _scratch(spark, "csv-export")
     sinks.write_csv(fx.account_voted(spark, sf).select(*_CSV_COLS), path)
     return readers.read_accounts_csv(spark, path, multi_line=False)
+
+
+# ================================================================ bulk loads (L1 path)
+from ballotlens.plans import load as ld  # noqa: E402
+
+
+@register("load_accounts", """
+SELECT account_hash_key, proposal_master_skey, director_master_skey, account_type,
+  CAST(shares_summable AS DECIMAL(20,4)) AS shares_summable, CAST(rank_of_shareholding AS BIGINT) AS rank_of_shareholding,
+  CAST(score_model1 AS DECIMAL(20,15)) AS score_model2, CAST(prediction_model1 AS DECIMAL(10,6)) AS prediction_model2,
+  CAST(Target_encoded AS BIGINT) AS Target_encoded, 0 AS is_voted, 'sds' AS dataset
+FROM account_unvoted WHERE account_hash_key IS NOT NULL AND trim(account_hash_key) <> ''""", ["account_unvoted"])
+def q_load_accounts(spark, sf):
+    """Unvoted account file (model-1 names) -> typed, clustered, partitioned table."""
+    target = _scratch(spark, "accounts-table")
+    ld.load_accounts(fx.account_unvoted(spark, sf), target, dataset="sds", is_voted=0)
+    t = spark.read.parquet(target)
+    return t.select(*ld.ACCOUNT_OUT, F.col("is_voted").cast("int").alias("is_voted"), "dataset")
+
+
+@register("load_proposals", "WITH " + _RAW_P_SQL + ",\nn AS (" + _normalise_select("float").replace(
+    " FROM rawp", ", \"VotingRatio\" AS _vr FROM rawp") + ")\nSELECT * EXCLUDE (_vr), 'proxy' AS dataset FROM n "
+          "WHERE NOT (_vr IS NOT NULL AND trim(_vr) <> '' AND NOT " + _num_ok("_vr") + ")", ["proposals"])
+def q_load_proposals(spark, sf):
+    """Proposal CSV text -> normalised rows, rejects split off, error budget checked."""
+    target = _scratch(spark, "proposals-table")
+    ld.load_proposals(_raw_proposals(spark, sf), target, dataset="proxy", max_errors=10 ** 9)
+    t = spark.read.parquet(target)
+    return t.select(*[n for n, _, _ in S.PROPOSAL_FIELDS], "dataset")
