@@ -53,21 +53,34 @@ def is_blank(c: Column | str) -> Column:
 def py_float(c: Column | str, allow_special: bool = True) -> Column:
     """Python ``float(text)``: surrounding whitespace, sign, exponent, '_'
     between digits, and (optionally) inf / nan; anything else -> NULL."""
-    t0 = strip(c)
+    x = _c(c)
+    # fast path on the raw text: made only of digits, sign, point and exponent
+    # letters, Java's double parser accepts exactly what Python's float accepts,
+    # so a plain cast decides; strip + regex run only for the rest
+    fast = F.when(F.translate(x, "0123456789+-.eE", "") == "", x.try_cast("double"))
+    t0 = strip(x)
     t = F.when(t0.contains("_"), F.regexp_replace(t0, "(?<=[0-9])_(?=[0-9])", "")).otherwise(t0)
     ok = t.rlike(_DEC_NUMBER)
     if allow_special:
         ok = ok | F.lower(t).isin(*_SPECIAL)
-    return F.when(ok, t.try_cast("double"))
+    return F.coalesce(fast, F.when(ok, t.try_cast("double")))
 
 
 def finite(x: Column) -> Column:
-    """NULL for NaN / +-infinity."""
-    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    """NULL for NaN / +-infinity (NaN compares above every number in Spark,
+    so one test covers all three; ``x`` sits in the first predicate, where
+    Spark evaluates a shared subexpression once)."""
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
 def _trunc_to_long(d: Column) -> Column:
-    return F.when(d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf")), d.try_cast("bigint"))
+    """Truncate toward zero; NaN, infinities and overflow give NULL (try_cast)."""
+    return d.try_cast("bigint")
+
+
+def _is_minus_one(x: Column) -> Column:
+    """strip(x) == '-1', paying for the strip only when '-1' occurs at all."""
+    return (x == "-1") | (x.contains("-1") & (strip(x) == "-1"))
 
 
 # --------------------------------------------------------------- C1 / C2
@@ -75,11 +88,8 @@ def clean_int(c: Column | str, sentinel: bool = True) -> Column:
     """Blank or exactly '-1' (after strip) -> NULL; else int(float(s)),
     truncating toward zero; bad, NaN or infinite -> NULL."""
     x = _c(c)
-    out = _trunc_to_long(py_float(x))
-    cond = is_blank(x)
-    if sentinel:
-        cond = cond | (strip(x) == "-1")
-    return F.when(~cond, out)
+    out = _trunc_to_long(py_float(x))   # blank text never parses, so it is NULL already
+    return F.when(~_is_minus_one(x), out) if sentinel else out
 
 
 def clean_int_excel(c: Column | str) -> Column:
@@ -90,8 +100,7 @@ def clean_int_excel(c: Column | str) -> Column:
 # --------------------------------------------------------------------- C3
 def clean_float(c: Column | str) -> Column:
     """Blank / bad -> NULL; NaN and infinities -> NULL too."""
-    x = _c(c)
-    return F.when(~is_blank(x), finite(py_float(x)))
+    return finite(py_float(c))   # blank text never parses
 
 
 # --------------------------------------------------------------------- C4
@@ -126,7 +135,8 @@ def clean_bool(c: Column | str, true_words: Sequence[str] = TRUE_WORDS,
     """Upper-cased, stripped text among the true / false spellings; else NULL."""
     x = _c(c)
     u = F.upper(strip(x))
-    return F.when(is_blank(x), F.lit(None).cast("boolean")) \
+    # exact spellings first (the common case), then the stripped, upper-cased text
+    return F.when(x.isin(*true_words), F.lit(True)).when(x.isin(*false_words), F.lit(False)) \
         .when(u.isin(*true_words), F.lit(True)).when(u.isin(*false_words), F.lit(False))
 
 
@@ -206,9 +216,8 @@ def clean_percentage(c: Column | str) -> Column:
 
 def clean_tinyint(c: Column | str) -> Column:
     """Blank / bad -> NULL; int(float(s)) clamped to 0..255."""
-    x = _c(c)
-    n = _trunc_to_long(py_float(x))
-    return F.when(~is_blank(x) & n.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(255), n)).cast("int"))
+    n = _trunc_to_long(py_float(c))
+    return F.when(n.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(255), n)).cast("int"))
 
 
 # -------------------------------------------------------------- C16 - C18

@@ -221,33 +221,44 @@ def threshold_table(proposals: DataFrame, thresholds: Sequence[float] = DELTA_TH
 
 # --------------------------------------------------------------------- A21
 def histogram(values: DataFrame, value_col: str = "value", bins: int = 10) -> DataFrame:
-    """Equal-width histogram between min and max; the last bin is closed.
+    """Equal-width histogram between min and max; the last bin is closed; one
+    bin holding everything when min = max.  Output: bin, label (bin start,
+    2 decimals), bin_start, count."""
+    one = values.select(F.lit(0).alias("_g"), F.col(value_col).alias("_v"))
+    return histograms(one, "_g", "_v", bins).drop("_g")
 
-    min / max come from a scalar subquery (a one-row aggregate), so there is
-    no cross join and no driver round trip.  Empty bins are filled from a
-    ``range(bins)`` frame.  When min = max there is one bin holding all values.
-    Output: bin, label (bin start, 2 decimals), bin_start, count.
-    """
-    v = values.select(F.col(value_col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    mm = v.agg(F.struct(F.min("v").alias("mn"), F.max("v").alias("mx")).alias("m")).scalar()
-    mn, mx = mm.getField("mn"), mm.getField("mx")
-    size = (mx - mn) / F.lit(float(bins))
-    idx = F.when(mx == mn, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("v") - mn) / size).cast("int"), F.lit(bins - 1)))
-    counts = v.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
-    # bins present: all of them, or just bin 0 when every value is equal
-    nbins = F.when(mx == mn, F.lit(1)).otherwise(F.lit(bins))
-    frame = values.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    frame = frame.filter((F.col("bin") < nbins) & mn.isNotNull())
-    start = mn + F.col("bin") * F.when(mx == mn, F.lit(0.0)).otherwise(size)
-    return frame.join(counts, "bin", "left").select(
-        "bin",
-        F.format_string("%.2f", start).alias("label"),
-        start.alias("bin_start"),
-        F.coalesce(F.col("cnt"), F.lit(0)).cast("bigint").alias("count"),
-    )
 
+def histograms(values: DataFrame, group_col: str, value_col: str = "value", bins: int = 10) -> DataFrame:
+    """``histogram`` for every group of ``group_col`` at once: one min/max
+    aggregate per group, one binning aggregate.
 
-def delta_histogram(proposals: DataFrame, metric: str = "delta1", bins: int = 10) -> DataFrame:
-    d = delta_long(proposals).filter(F.col("metric") == metric)
-    return histogram(d, "value", bins).select(F.lit(metric).alias("metric"), "*")
+    The stats frame has one row per group; groups are a small fixed set here
+    (metric names), which is the bound that makes broadcasting it safe.  Bins
+    come from ``explode(sequence(...))`` on the stats row, so empty bins show
+    0 without any cross join.
+    """
+    v = values.select(F.col(group_col).alias("g"), F.col(value_col).cast("double").alias("v")) \
+        .filter(F.col("v").isNotNull())
+    stats = v.groupBy("g").agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
+    single = F.col("mx") == F.col("mn")
+    size = F.when(single, F.lit(0.0)).otherwise((F.col("mx") - F.col("mn")) / F.lit(float(bins)))
+    stats = stats.select("g", "mn", "mx", size.alias("size"))
+    idx = F.when(F.col("size") == 0, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("v") - F.col("mn")) / F.col("size")).cast("int"), F.lit(bins - 1)))
+    counts = v.join(F.broadcast(stats), "g").groupBy("g", idx.alias("bin")) \
+        .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+    frame = stats.select("g", "mn", "size", F.explode(F.sequence(
+        F.lit(0), F.when(F.col("size") == 0, F.lit(0)).otherwise(F.lit(bins - 1)))).alias("bin"))
+    start = F.col("mn") + F.col("bin") * F.col("size")
+    return frame.join(counts, ["g", "bin"], "left").select(
+        F.col("g").alias(group_col), "bin",
+        F.format_string("%.2f", start).alias("label"), start.alias("bin_start"),
+        F.coalesce(F.col("cnt"), F.lit(0)).cast("bigint").alias("count"))
+
+
+def delta_histogram(proposals: DataFrame, metric: str | None = None, bins: int = 10) -> DataFrame:
+    """Histogram of the quality-form deltas (both metrics, or one)."""
+    d = delta_long(proposals)
+    if metric is not None:
+        d = d.filter(F.col("metric") == metric)
+    return histograms(d, "metric", "value", bins)

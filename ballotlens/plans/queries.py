@@ -178,8 +178,7 @@ WHERE mn IS NOT NULL AND r.bin < CASE WHEN mx = mn THEN 1 ELSE 10 END"""
 @register("delta_histogram", "WITH " + _DELTA_LONG_SQL + "\n" + _hist_sql("delta1") + "\nUNION ALL\n"
           + _hist_sql("delta2"), ["proposals"])
 def q_delta_histogram(spark, sf):
-    p = fx.proposals(spark, sf)
-    h = qm.delta_histogram(p, "delta1").unionByName(qm.delta_histogram(p, "delta2"))
+    h = qm.delta_histogram(fx.proposals(spark, sf))
     return h.select("metric", "bin", "label", r6(F.col("bin_start")).alias("bin_start"), "count")
 
 
