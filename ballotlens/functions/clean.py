@@ -311,3 +311,29 @@ def js_number(c: Column | str) -> Column:
     inf = F.when(t.isin("Infinity", "+Infinity"), F.lit(float("inf"))) \
         .when(t == "-Infinity", F.lit(float("-inf")))
     return F.when(t == "", F.lit(0.0)).otherwise(F.coalesce(dec, hexv, inf))
+
+
+# ------------------------------------------------------------ type-aware forms
+def _is_numeric(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.NumericType)
+
+
+def as_long(c: Column | str, dtype: T.DataType, sentinel: bool = False) -> Column:
+    """Whole number from a typed or text column: numbers are truncated
+    directly (no text round trip), text goes through ``clean_int``."""
+    x = _c(c)
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        out = x.cast("bigint")
+        return F.when(out != -1, out) if sentinel else out
+    if _is_numeric(dtype):
+        out = _trunc_to_long(x.cast("double"))
+        return F.when(out != -1, out) if sentinel else out
+    return clean_int(x.cast("string"), sentinel=sentinel)
+
+
+def as_double(c: Column | str, dtype: T.DataType) -> Column:
+    """Finite double from a typed or text column (NaN / infinities -> NULL)."""
+    x = _c(c)
+    if _is_numeric(dtype):
+        return finite(x.cast("double"))
+    return clean_float(x.cast("string"))

@@ -20,6 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ballotlens.functions import clean as C
 from ballotlens.operators import shape as sh
@@ -31,6 +32,13 @@ ACCOUNT_OUT = ("account_hash_key", "proposal_master_skey", "director_master_skey
                "shares_summable", "rank_of_shareholding", "score_model2", "prediction_model2", "Target_encoded")
 
 
+def _as_decimal(x, dtype, target: str):
+    """Decimal sources cast exactly; floats and text via a finite double."""
+    if isinstance(dtype, T.DecimalType):
+        return x.try_cast(target)
+    return C.as_double(x, dtype).try_cast(target)
+
+
 def prepare_accounts(raw: DataFrame, dataset: str, is_voted: int, fill_zero: bool = False,
                      columns: Sequence[str] = ACCOUNT_OUT) -> DataFrame:
     """Typed, cleaned account rows ready to write.
@@ -42,21 +50,23 @@ def prepare_accounts(raw: DataFrame, dataset: str, is_voted: int, fill_zero: boo
     df = sh.drop_redundant(df)
     df = C.drop_blank_keys(df.withColumn("account_hash_key", F.col("account_hash_key").cast("string")))
     ints = ("proposal_master_skey", "director_master_skey", "rank_of_shareholding", "Target_encoded")
+    types = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for c in columns:
-        if c not in df.columns:
+        if c not in types:
             out.append(F.lit(None).alias(c))
             continue
-        x = F.col(c)
+        x, t = F.col(c), types[c]
+        # typed (Parquet) columns are cast directly; text (CSV) columns parsed
         if c in ints:
-            v = C.coerce_int_zero(x) if fill_zero else C.clean_int_excel(x.cast("string"))
+            v = C.coerce_int_zero(x) if fill_zero else C.as_long(x, t)
         elif c == "shares_summable":
-            v = F.coalesce(C.clean_float(x.cast("string")), F.lit(0.0)) if fill_zero else C.clean_float(x.cast("string"))
-            v = v.cast("decimal(20,4)")
+            v = _as_decimal(x, t, "decimal(20,4)")
+            v = F.coalesce(v, F.lit(0).cast("decimal(20,4)")) if fill_zero else v
         elif c.startswith("score_model"):
-            v = C.clean_float(x.cast("string")).cast("decimal(20,15)")
+            v = _as_decimal(x, t, "decimal(20,15)")
         elif c.startswith("prediction_model"):
-            v = C.clean_float(x.cast("string")).cast("decimal(10,6)")
+            v = _as_decimal(x, t, "decimal(10,6)")
         else:
             v = x.cast("string")
         out.append(v.alias(c))
