@@ -84,3 +84,27 @@ def test_fuzzy_alias_conflict(spark):
         sh.fuzzy_alias(df, ["score_model1", "score_model2"])
     assert sh.alias_columns(spark.createDataFrame([(1, 2)], "score int, score_model int")).columns == \
         ["score_model2", "score_model"]
+
+
+def test_copy_clear_append(spark, scratch):
+    from ballotlens.operators import outreach as ot
+    schema = ("id long, account_hash_key string, proposal_master_skey long, director_master_skey long, "
+              "shares_summable double")
+    target = os.path.join(scratch, "outreach")
+    spark.createDataFrame([(1, "a", 1, 2, 1.0)], schema).write.parquet(target)
+    src = spark.createDataFrame([(5, "a", 1, 2, 1.0), (6, "b", 1, 2, 2.0), (7, "b", 1, 2, 3.0)], schema)
+    rep = sinks.copy_table(src, target, ot.copy_rows, columns=["id", "account_hash_key", "proposal_master_skey",
+                                                            "director_master_skey", "shares_summable"]).first()
+    assert (rep.source_rows, rep.copied, rep.skipped) == (3, 1, 2)
+    assert sorted(r.id for r in spark.read.parquet(target).collect()) == [1, 6]
+
+    table = os.path.join(scratch, "accounts")
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "v int, dataset string")
+    sinks.append_table(df, table)
+    sinks.append_table(df, table)
+    assert spark.read.parquet(table).count() == 4
+    import pytest
+    with pytest.raises(ValueError):
+        sinks.clear_dataset(spark, table, "x", None)
+    sinks.clear_dataset(spark, table, "x", None, confirm=True)
+    assert sorted(r.v for r in spark.read.parquet(table).collect()) == [2, 2]
