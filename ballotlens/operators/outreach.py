@@ -129,19 +129,36 @@ def add_to_outreach(selected: DataFrame, outreach: DataFrame, order: Sequence[st
     common = [c for c in target_cols if c not in ("id", "created_at") and c in set(selected.columns)]
     if not common:
         raise ValueError("no common columns between outreach and the selected rows")
-    shares = F.coalesce(F.col("shares_summable").cast("double"), F.lit(0.0))
-    n_new = new.agg(F.count(F.lit(1)).alias("n"), F.sum(shares).alias("s"))
-    n_dup = dups.agg(F.count(F.lit(1)).alias("n"))
-    total = not_existing.agg(F.sum(shares).alias("s"))
-    report = n_new.select(
-        F.col("n").cast("bigint").alias("inserted"),
-        n_dup.select("n").scalar().cast("bigint").alias("skipped"),
-        F.coalesce(total.select("s").scalar(), F.lit(0.0)).alias("total_shares"),
-        F.coalesce(F.col("s"), F.lit(0.0)).alias("inserted_shares"),
-    )
+    report = _add_report(flagged, order)
     return {"new": new.select(*common), "duplicates": duplicate_messages(dups), "report": report}
 
 
+def _add_report(flagged: DataFrame, order: Sequence[str]) -> DataFrame:
+    """inserted / skipped / total_shares / inserted_shares in one pass.
+
+    Rows are grouped by key triple (a partial aggregate per map task, so a hot
+    triple is combined early).  The "already exists" flag depends only on the
+    triple, so a keyed group inserts one row (its first, by the same order as
+    ``_first_per_key``) unless it exists; rows with a NULL key part all insert.
+    """
+    shares = F.coalesce(F.col("shares_summable").cast("double"), F.lit(0.0))
+    rest = [c for c in flagged.columns if c not in order and c != "already_exists"]
+    packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])
+    fresh = F.col("already_exists") == 0
+    g = flagged.groupBy(*KEYS, _keys_present().alias("_kp")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~fresh).alias("dup"),
+        F.sum(F.when(fresh, shares)).alias("s_fresh"), F.min(F.when(fresh, packed)).alias("first"))
+    kp = F.col("_kp")
+    first_shares = F.coalesce(F.col("first.shares_summable").cast("double"), F.lit(0.0))
+    ins = F.when(kp, F.when(F.col("n") > F.col("dup"), F.lit(1)).otherwise(F.lit(0))).otherwise(F.col("n") - F.col("dup"))
+    ins_sh = F.when(kp, F.when(F.col("first").isNotNull(), first_shares)).otherwise(F.col("s_fresh"))
+    return g.agg(
+        F.coalesce(F.sum(ins), F.lit(0)).cast("bigint").alias("inserted"),
+        F.coalesce(F.sum("dup"), F.lit(0)).cast("bigint").alias("skipped"),
+        F.coalesce(F.sum("s_fresh"), F.lit(0.0)).alias("total_shares"),
+        F.coalesce(F.sum(ins_sh), F.lit(0.0)).alias("inserted_shares"))
+
+
 # ---------------------------------------------------------------------- J2
 def in_outreach(unvoted: DataFrame, outreach: DataFrame, flag: str = "in_outreach") -> DataFrame:
     """Flag unvoted rows already in outreach: the hash matches with ``=``, and
