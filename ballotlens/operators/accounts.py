@@ -294,3 +294,17 @@ def unvoted_view(df: DataFrame) -> DataFrame:
     if "Target_encoded" in df.columns:
         cols.append("Target_encoded")
     return df.select(*cols)
+
+
+# --------------------------------------------------------------------- A7
+def account_filter_options(accounts: DataFrame, voted_col: str = "is_voted", pm: str = PM, dm: str = DM) -> DataFrame:
+    """Option lists of the account views of every proposal key: distinct
+    non-empty account types and non-NULL targets per (key, side).  Long
+    form (one row per option), so no list is gathered into one row; the
+    distinct is partially aggregated map-side."""
+    k = account_keys(accounts.select(voted_col, "account_type", "Target_encoded", pm, dm), pm, dm)
+    side = F.when(F.col(voted_col) == 1, F.lit("voted")).otherwise(F.lit("unvoted"))
+    long = k.select("key_type", "key_value", side.alias("side"), F.expr(
+        "stack(2, 'account_type', CAST(account_type AS STRING), 'Target_encoded', CAST(Target_encoded AS STRING)) "
+        "AS (field, value)"))
+    return long.filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct()

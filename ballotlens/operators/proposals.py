@@ -254,9 +254,11 @@ _PERCENT_FIELDS = ("for_percentage", "for_percentage_true", "abstain_percentage"
 _FLAG_FIELDS = ("approved", "prediction_correct")
 
 
-def proposal_detail(proposals: DataFrame) -> DataFrame:
-    """Every field of every proposal as (id, field, value) text rows: flags
-    Yes/No, percentages x100 with 2 decimals, NULL / '' -> 'N/A'."""
+def proposal_detail(proposals: DataFrame, proposal_id: int | None = None) -> DataFrame:
+    """Every field of every proposal (or of one id) as (id, field, value) text
+    rows: flags Yes/No, percentages x100 with 2 decimals, NULL / '' -> 'N/A'."""
+    if proposal_id is not None:
+        proposals = proposals.filter(F.col("id") == proposal_id)
     exprs = []
     for c in proposals.columns:
         x = F.col(c)

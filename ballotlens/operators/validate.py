@@ -118,6 +118,20 @@ def verify_dataset(proposals: DataFrame, dataset_col: str | None = None) -> Data
         F.min(d).alias("first_meeting"), F.max(d).alias("last_meeting"))
 
 
+def verify_datasets(spark: SparkSession, proposals: DataFrame, dataset_col: str,
+                    expected: Sequence[str]) -> DataFrame:
+    """``verify_dataset`` for a list of expected datasets, with a ``present``
+    flag: a dataset without rows (its table missing) still gets a row.  The
+    expected list is the caller's (a handful of names), joined to the
+    per-dataset aggregate."""
+    stats = verify_dataset(proposals, dataset_col).withColumnRenamed(dataset_col, "dataset")
+    names = spark.createDataFrame([(n,) for n in expected], "dataset string")
+    j = names.join(stats, "dataset", "left")
+    return j.select("dataset", F.coalesce(F.col("rows"), F.lit(0)).cast("bigint").alias("rows"),
+                    F.coalesce(F.col("issuers"), F.lit(0)).cast("bigint").alias("issuers"),
+                    "first_meeting", "last_meeting", F.col("rows").isNotNull().alias("present"))
+
+
 # ---------------------------------------------------------------------- V5
 def format_check(df: DataFrame, first_rows: int | None = None, order_col: str | None = None) -> DataFrame:
     """Account file format report: exact column order, old layout, bad account
@@ -201,7 +215,9 @@ def table_inventory(spark: SparkSession, tables: Mapping[str, str], skip_pattern
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    total = out.agg(F.lit("TOTAL").alias("table"), F.sum("rows").cast("bigint").alias("rows"),
+                    F.sum("files").cast("bigint").alias("files"), F.round(F.sum("size_mb"), 2).alias("size_mb"))
+    return out.unionByName(total)
 
 
 # ---------------------------------------------------------------------- H10

@@ -1466,3 +1466,34 @@ def q_load_proposals(spark, sf):
     ld.load_proposals(_raw_proposals(spark, sf), target, dataset="proxy", max_errors=10 ** 9)
     t = spark.read.parquet(target)
     return t.select(*[n for n, _, _ in S.PROPOSAL_FIELDS], "dataset")
+
+
+@register("account_filter_options", """
+WITH k AS (SELECT 'P' AS key_type, proposal_master_skey AS key_value, * FROM accounts WHERE proposal_master_skey <> -1
+      UNION ALL SELECT 'D', director_master_skey, * FROM accounts WHERE director_master_skey <> -1)
+SELECT DISTINCT key_type, CAST(key_value AS BIGINT) AS key_value, side, field, value FROM (
+  SELECT key_type, key_value, CASE WHEN is_voted = 1 THEN 'voted' ELSE 'unvoted' END AS side, 'account_type' AS field,
+    CAST(account_type AS VARCHAR) AS value FROM k
+  UNION ALL
+  SELECT key_type, key_value, CASE WHEN is_voted = 1 THEN 'voted' ELSE 'unvoted' END, 'Target_encoded',
+    CAST(Target_encoded AS VARCHAR) FROM k) t
+WHERE value IS NOT NULL AND value <> ''""", ["accounts"])
+def q_account_filter_options(spark, sf):
+    return acc.account_filter_options(fx.accounts(spark, sf))
+
+
+@register("verify_datasets", """
+SELECT d.dataset, CAST(coalesce(s.rows, 0) AS BIGINT) AS rows, CAST(coalesce(s.issuers, 0) AS BIGINT) AS issuers,
+  CAST(NULL AS DATE) AS first_meeting, CAST(NULL AS DATE) AS last_meeting, s.rows IS NOT NULL AS present
+FROM (VALUES ('M'), ('S'), ('X')) d(dataset) LEFT JOIN (
+  SELECT proposal_type, count(*) AS rows, count(DISTINCT lower(rtrim(issuer_name))) AS issuers FROM proposals
+  GROUP BY proposal_type) s ON s.proposal_type = d.dataset""", ["proposals"])
+def q_verify_datasets(spark, sf):
+    return va.verify_datasets(spark, fx.proposals(spark, sf), "proposal_type", ["M", "S", "X"])
+
+
+@register("proposal_detail_one", "SELECT * FROM (" + _detail_sql().replace("FROM proposals", "FROM proposals WHERE id = 42")
+          + ") t", ["proposals"])
+def q_proposal_detail_one(spark, sf):
+    """F11 point form: the detail rows of one proposal (the lookup is the feature)."""
+    return pr.proposal_detail(fx.proposals(spark, sf).select(*_PROPOSAL_COLS), proposal_id=42)
