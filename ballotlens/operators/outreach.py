@@ -112,7 +112,7 @@ def duplicate_messages(duplicates: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------- D1
 def add_to_outreach(selected: DataFrame, outreach: DataFrame, order: Sequence[str] = ("id",),
-                    outreach_columns: Sequence[str] | None = None) -> dict[str, DataFrame]:
+                    outreach_columns: Sequence[str] | None = None, materialize: bool = False) -> dict[str, DataFrame]:
     """Split selected unvoted rows into new rows and duplicates, and report.
 
     Returns DataFrames: ``new`` (rows to append, aligned to the outreach
@@ -120,8 +120,13 @@ def add_to_outreach(selected: DataFrame, outreach: DataFrame, order: Sequence[st
     ``report`` (one row: inserted, skipped, total_shares, inserted_shares).
     ``total_shares`` sums all rows not yet in outreach, in-batch duplicates
     included; ``inserted_shares`` only the rows actually added.
+    ``materialize`` writes the flagged selection once to the shared
+    checkpoint folder so the three outputs do not each recompute it.
     """
     flagged = flag_existing(selected, outreach)
+    if materialize:
+        from ballotlens.session import materialize as _mat
+        flagged = _mat(flagged, "outreach-flagged")
     not_existing = flagged.filter(F.col("already_exists") == 0).drop("already_exists")
     dups = flagged.filter(F.col("already_exists") == 1).drop("already_exists")
     new = _first_per_key(not_existing, order).unionByName(not_existing.filter(~_keys_present()))

@@ -146,7 +146,7 @@ def _predicted(cols: set[str], actual: Column) -> Column:
 
 
 def quality_frame(proposals: DataFrame) -> DataFrame:
-    """Per proposal: valid, actual, predicted, and quality-form deltas."""
+    """Per proposal: valid, actual, predicted (the confusion-matrix inputs)."""
     cols = set(proposals.columns)
     valid, actual = _actual(cols)
     actual_b = F.coalesce(actual, F.lit(False))
@@ -262,3 +262,14 @@ def delta_histogram(proposals: DataFrame, metric: str | None = None, bins: int =
     if metric is not None:
         d = d.filter(F.col("metric") == metric)
     return histograms(d, "metric", "value", bins)
+
+
+def quality_report(proposals: DataFrame, group_by: Sequence[str] = (), materialize: bool = False) -> dict[str, DataFrame]:
+    """Matrix + metrics, threshold table and histograms from one proposals
+    input; ``materialize`` writes the input once to the shared checkpoint
+    folder so the three reports read files instead of recomputing it."""
+    if materialize:
+        from ballotlens.session import materialize as _mat
+        proposals = _mat(proposals, "quality-input")
+    m = classification_metrics(confusion_matrix(proposals, group_by))
+    return {"metrics": m, "thresholds": threshold_table(proposals), "histograms": delta_histogram(proposals)}

@@ -66,3 +66,11 @@ def test_quality_invariants(spark):
         h = qm.delta_histogram(p, metric).collect()
         assert len(h) == 10
         assert sum(r["count"] for r in h) == rows[0].total
+
+
+def test_quality_report_materialized_matches(spark):
+    p = fx.proposals(spark, SF_SMALL)
+    lazy = qm.quality_report(p)
+    mat = qm.quality_report(p, materialize=True)
+    for k in ("metrics", "thresholds", "histograms"):
+        assert sorted(map(tuple, lazy[k].collect())) == sorted(map(tuple, mat[k].collect()))

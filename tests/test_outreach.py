@@ -46,3 +46,13 @@ def test_in_outreach_null_safe(spark):
 def test_delete_where_like(spark):
     df = spark.createDataFrame([("test_hash_1",), ("testXhash_2",), ("other",), (None,)], "k string")
     assert sorted(r.k or "" for r in ot.delete_where_like(df, "k", "test_hash_%").collect()) == ["", "other"]
+
+
+def test_add_to_outreach_materialized_same(spark):
+    u = fx.account_unvoted(spark, SF_SMALL)
+    sel = u.filter(F.col("rank_of_shareholding") <= 3)
+    o = fx.outreach(spark, SF_SMALL)
+    a = ot.add_to_outreach(sel, o)
+    b = ot.add_to_outreach(sel, o, materialize=True)
+    assert tuple(a["report"].first()) == tuple(b["report"].first())
+    assert sorted(map(tuple, a["new"].collect())) == sorted(map(tuple, b["new"].collect()))
