@@ -16,6 +16,7 @@ the files whatever operator sits on top.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,178 +27,81 @@ TABLES = (
 ).split()
 
 
+_READ_CACHE: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """The driver's table as a DataFrame.  The reader (schema from the file
+    footer) is built once per application and path: the inputs are immutable,
+    and resolving a Parquet schema costs a driver round trip per call."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (spark.sparkContext.applicationId, path)
+    df = _READ_CACHE.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _READ_CACHE[key] = df
+    return df
+
+
+# The builders run the view SQL below through ``spark.sql`` with the input
+# DataFrames bound as parameters: one JVM call per view, and literally the
+# same text the DuckDB oracles use, so both engines derive the same inputs.
+_BASE = {"accounts": ["lineitem"], "proposals": ["part"], "raw_values": ["orders"], "dump_lines": ["orders"]}
+
+
+def _bind(text: str, names: list[str]) -> str:
+    for n in names:
+        text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}}", text)
+    return text
 
 
-def _mod(c: Column, n: int) -> Column:
-    return c % F.lit(n)
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Fixture view ``name`` as a DataFrame over the driver's tables."""
+    inputs = {t: table(spark, sf_dir, t) for t in _BASE.get(name, [])}
+    inputs.update({d: view(spark, sf_dir, d) for d in _DEPS[name]})
+    return spark.sql(_bind(VIEW_SQL[name], list(inputs)), **inputs)
 
 
-# ---------------------------------------------------------------- B1 accounts
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One account row per lineitem; ``is_voted`` splits voted / unvoted."""
-    li = table(spark, sf_dir, "lineitem")
-    ok, pk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
-    return li.select(
-        pk.alias("part_key"),
-        (ok * 10 + ln).cast("bigint").alias("id"),
-        F.concat(F.lit("H"), F.lpad(ok.cast("string"), 8, "0")).alias("account_hash_key"),
-        F.when(_mod(pk, 5) == 0, F.lit(-1)).otherwise(pk).alias("proposal_master_skey"),
-        F.when(_mod(pk, 5) == 0, pk).when(_mod(pk, 7) == 0, F.lit(None)).otherwise(F.lit(-1))
-        .cast("bigint").alias("director_master_skey"),
-        F.when(F.col("l_returnflag") == "A", "Individual")
-        .when(F.col("l_returnflag") == "N", "Institution")
-        .otherwise("Mutual Fund").alias("account_type"),
-        F.when(_mod(ok + ln, 11) == 0, F.lit(None))
-        .otherwise(F.col("l_quantity").cast("decimal(20,2)")).alias("shares_summable"),
-        ln.cast("int").alias("rank_of_shareholding"),
-        (F.col("l_discount") * 10).cast("decimal(10,6)").alias("score"),
-        F.when(_mod(ok + F.col("l_suppkey"), 13) == 0, F.lit(None))
-        .when(F.col("l_discount") > 0.05, F.lit(1)).otherwise(F.lit(0)).alias("prediction"),
-        F.when(F.col("l_linestatus") == "O", F.lit(0))
-        .when(F.col("l_tax") <= 0.04, F.lit(1)).otherwise(F.lit(2)).alias("Target_encoded"),
-        F.when(F.col("l_linestatus") == "F", F.lit(1)).otherwise(F.lit(0)).alias("is_voted"),
-    )
-
-
-# ------------------------------------------------------------------ B2 views
-_B2_COLS = ["id", "account_hash_key", "proposal_master_skey", "director_master_skey",
-            "account_type", "shares_summable", "rank_of_shareholding"]
+    """B1: one account row per lineitem; ``is_voted`` splits voted / unvoted."""
+    return view(spark, sf_dir, "accounts")
 
 
 def account_voted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = accounts(spark, sf_dir)
-    return a.filter(F.col("is_voted") == 1).select(
-        *_B2_COLS, F.col("score").alias("score_model2"),
-        F.col("prediction").alias("prediction_model2"), "Target_encoded")
+    return view(spark, sf_dir, "account_voted")
 
 
 def account_unvoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = accounts(spark, sf_dir)
-    return a.filter(F.col("is_voted") == 0).select(
-        *_B2_COLS, F.col("score").alias("score_model1"),
-        F.col("prediction").alias("prediction_model1"), "Target_encoded")
+    return view(spark, sf_dir, "account_unvoted")
 
 
-# -------------------------------------------------------------- B3 proposals
 def account_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = accounts(spark, sf_dir)
-    s = F.col("shares_summable")
-    voted = F.col("is_voted") == 1
-    return a.groupBy("part_key").agg(
-        F.sum(F.when(voted & (F.col("prediction") == 0), s)).alias("pf"),
-        F.sum(F.when(voted & (F.col("prediction") == 1), s)).alias("pa"),
-        F.sum(F.when(F.col("is_voted") == 0, s)).alias("pu"),
-        F.sum(F.when(F.col("Target_encoded") == 1, s)).alias("tf"),
-        F.sum(F.when(F.col("Target_encoded") == 2, s)).alias("ta"),
-    )
+    return view(spark, sf_dir, "account_rollup")
 
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One proposal per part; share totals rolled up from ``accounts``."""
-    part = table(spark, sf_dir, "part")
-    r = account_rollup(spark, sf_dir)
-    p = F.col("p_partkey")
-    pf, pa, tf, ta = (F.coalesce(F.col(c), F.lit(0)) for c in ("pf", "pa", "tf", "ta"))
-    j = part.join(r, p == F.col("part_key"), "left")
-    return j.select(
-        (p + 1).cast("bigint").alias("id"),
-        F.when(_mod(p, 41) == 40, F.lit(None)).when(_mod(p, 5) == 0, F.lit(-1))
-        .otherwise(p).cast("bigint").alias("proposal_master_skey"),
-        F.when(_mod(p, 41) == 40, F.lit(-1)).when(_mod(p, 5) == 0, p)
-        .when(_mod(p, 7) == 0, F.lit(None)).otherwise(F.lit(-1)).cast("bigint").alias("director_master_skey"),
-        F.concat(F.lit("FK"), p.cast("string")).alias("final_key"),
-        F.when(_mod(p, 31) == 0, F.lit(None)).when(_mod(p, 37) == 0, F.lit(" "))
-        .when(_mod(p, 10) == 3, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("issuer_name"),
-        F.col("p_name").alias("proposal"),
-        F.col("p_type").alias("category"),
-        F.concat(F.lit("S"), (F.col("p_size") % 5).cast("string")).alias("subcategory"),
-        F.when(F.col("p_size") % 2 == 0, "M").otherwise("S").alias("proposal_type"),
-        F.col("pf").cast("bigint").alias("predicted_for_shares"),
-        F.col("pa").cast("bigint").alias("predicted_against_shares"),
-        F.col("p_size").cast("bigint").alias("predicted_abstain_shares"),
-        F.col("pu").cast("bigint").alias("predicted_unvoted_shares"),
-        F.when(_mod(p, 29) == 0, F.lit(None)).when(_mod(p, 23) == 0, F.lit(0))
-        .otherwise(F.col("tf").cast("bigint")).cast("bigint").alias("total_for_shares"),
-        F.col("ta").cast("bigint").alias("total_against_shares"),
-        F.col("p_size").cast("bigint").alias("total_abstain_shares"),
-        F.col("pu").cast("bigint").alias("total_unvoted_shares"),
-        F.when(_mod(p, 17) == 0, F.lit(None).cast("boolean"))
-        .otherwise(tf > ta).alias("approved"),
-        F.when((_mod(p, 17) == 0) | (_mod(p, 19) == 0), F.lit(None).cast("boolean"))
-        .otherwise((pf > pa) == (tf > ta)).alias("prediction_correct"),
-    )
-
-
-# --------------------------------------------------------------- B4 outreach
+    """One proposal per part; share totals rolled up from ``accounts``."""
+    return view(spark, sf_dir, "proposals")
+
+
 def outreach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = account_unvoted(spark, sf_dir).filter(F.col("rank_of_shareholding") <= 2)
-    return u.groupBy("account_hash_key", "proposal_master_skey", "director_master_skey").agg(
-        F.min("id").alias("id"),
-        F.min("account_type").alias("account_type"),
-        F.min("shares_summable").alias("shares_summable"),
-        F.min("rank_of_shareholding").alias("rank_of_shareholding"),
-    ).select("id", "account_hash_key", "proposal_master_skey", "director_master_skey",
-             "account_type", "shares_summable", "rank_of_shareholding")
+    """Already-chosen accounts, unique per non-NULL key triple."""
+    return view(spark, sf_dir, "outreach")
 
 
-# ------------------------------------------------------- B5 accounts_by_model
 def accounts_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = accounts(spark, sf_dir)
-    orig = a.select(F.lit("original").alias("dataset"), "is_voted", "account_hash_key",
-                    F.col("score").alias("score_model2"),
-                    F.col("prediction").cast("decimal(10,6)").alias("prediction_model2"))
-    cal = a.select(F.lit("calibrated").alias("dataset"), "is_voted", "account_hash_key",
-                   F.col("score").alias("score_model2"),
-                   F.when(F.col("prediction").isNull(), F.lit(None))
-                   .otherwise((F.col("score") * F.lit(0.8).cast("decimal(2,1)") + F.lit(0.1).cast("decimal(2,1)"))
-                              .cast("decimal(10,6)")).alias("prediction_model2"))
-    return orig.unionByName(cal)
-
-
-# ---------------------------------------------------------------- B6 raw text
+    """Original and calibrated model variants."""
+    return view(spark, sf_dir, "accounts_by_model")
+
+
 def raw_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    d = F.col("o_orderdate")
-    y, m, dd = F.year(d).cast("string"), F.month(d).cast("string"), F.dayofmonth(d).cast("string")
-
-    def case(n: int, values: list, default: Column | None = None) -> Column:
-        expr = None
-        for i, v in enumerate(values):
-            v = v if isinstance(v, Column) else F.lit(v)
-            expr = F.when(_mod(k, n) == i, v) if expr is None else expr.when(_mod(k, n) == i, v)
-        return expr.otherwise(default if default is not None else F.lit(None).cast("string"))
-
-    # fixed values: the messy inputs of the FIXTURES B6 view, in order
-    num_text = case(12, ["", "-1", "-1.0", " 7 ", "123.9", "-2.5", "abc", F.lit(None).cast("string"),
-                         "1e3", "null", "2.5"], F.col("o_custkey").cast("string"))
-    comma_text = case(5, ["1,234.56789", " 0.12344 ", "NULL", "12,3x"], F.lit("1234567"))
-    bool_text = case(11, ["TRUE", "yes", "Y", "1", "false", " no ", "N", "0", "maybe", ""], F.lit("t"))
-    date_text = case(9, [
-        F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(dd, 2, "0")),
-        F.concat(m, F.lit("/"), dd, F.lit("/"), y),
-        F.concat(F.lit("25/"), m, F.lit("/"), y),
-        F.concat(y, F.lit("/"), m, F.lit("/"), dd),
-        F.concat(m, F.lit("-"), dd, F.lit("-"), y),
-        F.concat(F.lit("25-"), m, F.lit("-"), y),
-        " null ", "not a date"], F.lit("5/13/25"))
-    pct_text = case(4, ["12.5%", "~ 7", "n/a"], F.lit("--"))
-    key_text = case(6, ["nan", "None", "   ", F.lit(None).cast("string")], F.concat(F.lit("H"), k.cast("string")))
-    return o.select(k.alias("row_id"), num_text.alias("num_text"), comma_text.alias("comma_text"),
-                    bool_text.alias("bool_text"), date_text.alias("date_text"),
-                    pct_text.alias("pct_text"), key_text.alias("key_text"))
-
-
-# -------------------------------------------------------------- B7 dump lines
+    """Messy text for the cleaning functions."""
+    return view(spark, sf_dir, "raw_values")
+
+
 def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
-    line = (F.when(_mod(k, 97) == 0, F.lit("-- comment"))
-            .when(_mod(k, 300) < 170, F.concat(F.lit("INSERT INTO `account_voted` VALUES ("), c, F.lit(");")))
-            .otherwise(F.concat(F.lit("INSERT INTO `account_unvoted` VALUES ("), c, F.lit(");"))))
-    return o.select(k.alias("line_no"), line.alias("line"))
+    """Numbered dump lines."""
+    return view(spark, sf_dir, "dump_lines")
 
 
 # ------------------------------------------------------- SQL text of the views
