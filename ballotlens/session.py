@@ -71,3 +71,15 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 256 * 1024 * 1024,
+                  floor: int = 200, ceiling: int = 100_000) -> int:
+    """Size the initial shuffle partition count for an input of ``input_bytes``
+    so each partition holds about ``target_bytes`` (fits executor memory
+    without spilling); AQE then coalesces small ones and splits skewed ones
+    toward the same advisory size.  Returns the partition count it set."""
+    n = max(floor, min(ceiling, -(-input_bytes // target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    return n
