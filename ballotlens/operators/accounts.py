@@ -308,3 +308,10 @@ def account_filter_options(accounts: DataFrame, voted_col: str = "is_voted", pm:
         "stack(2, 'account_type', CAST(account_type AS STRING), 'Target_encoded', CAST(Target_encoded AS STRING)) "
         "AS (field, value)"))
     return long.filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct()
+
+
+def accounts_for_key(df: DataFrame, key_type: str, key_value: int, pm: str = PM, dm: str = DM) -> DataFrame:
+    """The accounts of one proposal (key 'P') or director election ('D'); the
+    key filter is pushed into the Parquet scan of a stored table."""
+    col = {"P": pm, "D": dm}[key_type]
+    return df.filter(F.col(col) == F.lit(key_value))

@@ -121,6 +121,13 @@ SELECT l_partkey AS part_key,
   CASE WHEN l_linestatus = 'O' THEN 0 WHEN l_tax <= 0.04 THEN 1 ELSE 2 END AS Target_encoded,
   CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS is_voted
 FROM lineitem""",
+    "accounts_hot": """
+SELECT part_key, id,
+  CASE WHEN id % 3 = 0 THEN 'H_HOT' ELSE account_hash_key END AS account_hash_key,
+  CASE WHEN id % 3 = 0 THEN 1 ELSE proposal_master_skey END AS proposal_master_skey,
+  CASE WHEN id % 3 = 0 THEN -1 ELSE director_master_skey END AS director_master_skey,
+  account_type, shares_summable, rank_of_shareholding, score, prediction, Target_encoded, is_voted
+FROM accounts""",
     "account_voted": """
 SELECT id, account_hash_key, proposal_master_skey, director_master_skey, account_type, shares_summable,
   rank_of_shareholding, score AS score_model2, prediction AS prediction_model2, Target_encoded
@@ -197,14 +204,14 @@ FROM orders""",
 }
 
 _DEPS = {
-    "accounts": [], "account_voted": ["accounts"], "account_unvoted": ["accounts"],
+    "accounts": [], "accounts_hot": ["accounts"], "account_voted": ["accounts"], "account_unvoted": ["accounts"],
     "account_rollup": ["accounts"], "proposals": ["account_rollup"],
     "outreach": ["account_unvoted"], "accounts_by_model": ["accounts"],
     "raw_values": [], "dump_lines": [],
 }
 
 BUILDERS = {
-    "accounts": accounts, "account_voted": account_voted, "account_unvoted": account_unvoted,
+    "accounts": accounts, "accounts_hot": lambda s, d: view(s, d, "accounts_hot"), "account_voted": account_voted, "account_unvoted": account_unvoted,
     "account_rollup": account_rollup, "proposals": proposals, "outreach": outreach,
     "accounts_by_model": accounts_by_model, "raw_values": raw_values, "dump_lines": dump_lines,
 }

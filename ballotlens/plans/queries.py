@@ -1497,3 +1497,46 @@ def q_verify_datasets(spark, sf):
 def q_proposal_detail_one(spark, sf):
     """F11 point form: the detail rows of one proposal (the lookup is the feature)."""
     return pr.proposal_detail(fx.proposals(spark, sf).select(*_PROPOSAL_COLS), proposal_id=42)
+
+
+# ================================================================ hot key (a third of all rows on one key)
+@register("proposal_account_join_hot", FLAGSHIP_SQL.replace("FROM accounts WHERE", "FROM accounts_hot WHERE"),
+          ["proposals", "accounts_hot"])
+def q_proposal_account_join_hot(spark, sf):
+    """Flagship where proposal key 1 holds a third of all account rows: the
+    partial aggregate combines the hot key inside each map task."""
+    return acc.proposal_share_totals(fx.proposals(spark, sf), fx.view(spark, sf, "accounts_hot"))
+
+
+@register("insert_ignore_hot", f"""
+WITH u AS (SELECT id, account_hash_key, proposal_master_skey, director_master_skey, account_type, shares_summable,
+             rank_of_shareholding, score AS score_model1, prediction AS prediction_model1, Target_encoded
+           FROM accounts_hot WHERE is_voted = 0),
+ok AS (SELECT DISTINCT account_hash_key, proposal_master_skey, director_master_skey FROM outreach WHERE {_KEYS_NN}),
+fr AS (SELECT u.* FROM u WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.account_hash_key = u.account_hash_key
+  AND ok.proposal_master_skey = u.proposal_master_skey AND ok.director_master_skey = u.director_master_skey))
+SELECT id, account_hash_key, proposal_master_skey, director_master_skey, shares_summable FROM (
+  SELECT *, row_number() OVER (PARTITION BY account_hash_key, proposal_master_skey, director_master_skey
+    ORDER BY {_ORDER_ALL}) AS rn FROM fr WHERE {_KEYS_NN}) t WHERE rn = 1
+UNION ALL SELECT id, account_hash_key, proposal_master_skey, director_master_skey, shares_summable FROM fr
+WHERE NOT ({_KEYS_NN})""", ["accounts_hot", "outreach"])
+def q_insert_ignore_hot(spark, sf):
+    """D2 where one key triple holds a third of the rows: the first-row pick
+    is an aggregate, so the hot triple collapses map-side."""
+    u = fx.view(spark, sf, "accounts_hot").filter(F.col("is_voted") == 0).select(
+        "id", "account_hash_key", "proposal_master_skey", "director_master_skey", "account_type", "shares_summable",
+        "rank_of_shareholding", F.col("score").alias("score_model1"), F.col("prediction").alias("prediction_model1"),
+        "Target_encoded")
+    n = ot.insert_ignore(fx.outreach(spark, sf), u)
+    return n.select("id", "account_hash_key", "proposal_master_skey", "director_master_skey", "shares_summable")
+
+
+@register("proposal_accounts_page", """
+SELECT account_hash_key, proposal_master_skey, director_master_skey, account_type, shares_summable,
+  rank_of_shareholding, score_model2, prediction_model2, Target_encoded FROM account_voted WHERE proposal_master_skey = 1
+ORDER BY id ASC NULLS FIRST, proposal_master_skey ASC NULLS FIRST, director_master_skey ASC NULLS FIRST,
+  shares_summable ASC NULLS FIRST, score_model2 ASC NULLS FIRST LIMIT 1000""", ["account_voted"])
+def q_proposal_accounts_page(spark, sf):
+    """O1 for one request: the voted accounts of proposal key 1, first page of 1000."""
+    a = acc.accounts_for_key(fx.account_voted(spark, sf), "P", 1)
+    return acc.voted_view(acc.account_page(a, 1, 1000, _VPAGE + ["score_model2"]))

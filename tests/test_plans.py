@@ -66,3 +66,30 @@ def test_size_shuffles(spark):
         assert size_shuffles(spark, 1024 ** 4) == 4096
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@pytest.mark.parametrize("key", ["proposal_account_join_hot", "insert_ignore_hot"])
+def test_hot_key_plans_aggregate_before_shuffle(spark, key):
+    """A key with a third of all rows is combined map-side: a partial
+    aggregate sits below the shuffle on that key."""
+    p = plan(E.queries()[key](spark, SF_SMALL))
+    assert "partial_" in p
+
+
+def test_number_lines_and_batches(spark, scratch):
+    from ballotlens.sources import dumps
+    path = os.path.join(scratch, "dump")
+    os.makedirs(path)
+    lines = ["-- head"] + [f"INSERT INTO `t` VALUES ({i});" for i in range(5)] + ["SET x=1;"] + \
+            [f"INSERT INTO `u` VALUES ({i});" for i in range(3)]
+    for name in ("a.sql", "b.sql"):
+        with open(os.path.join(path, name), "w") as f:
+            f.write("\n".join(lines) + "\n")
+    numbered = dumps.number_lines(spark, path)
+    b = dumps.insert_statement_batches(numbered, batch_size=2, file_col="file").collect()
+    per_file = {}
+    for r in b:
+        per_file.setdefault(r.file, []).append((r.table_name, r.batch_no, r.n_lines))
+    assert len(per_file) == 2
+    for rows in per_file.values():
+        assert sorted(rows) == [("t", 0, 2), ("t", 1, 2), ("t", 2, 1), ("u", 0, 2), ("u", 1, 1)]
