@@ -32,9 +32,8 @@ def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] | None =
                   sort_within: Sequence[str] | None = None) -> None:
     """Overwrite the partitions present in ``df`` (dynamic), or the whole table
     when it is not partitioned.  ``df`` must not read from ``path``."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    _writer(df, partition_by, sort_within).mode("overwrite").parquet(path)
+    # per-write option: no session-wide side effect
+    _writer(df, partition_by, sort_within).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 # ----------------------------------------------------------------------- S7
@@ -63,12 +62,11 @@ def load_if_empty(df: DataFrame, path: str, replace: bool = False, **kw) -> str:
 
 
 # ----------------------------------------------------------------------- D4
-def clear_dataset(spark: SparkSession, path: str, dataset: str, schema, confirm: bool = False,
+def clear_dataset(spark: SparkSession, path: str, dataset: str, confirm: bool = False,
                   partition_by: Sequence[str] = ("dataset",)) -> None:
     """Empty one dataset's partition of a table (explicit ``confirm`` needed)."""
     if not confirm:
         raise ValueError("clear_dataset needs confirm=True")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(f"{path}/{partition_by[0]}={dataset}")
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -77,10 +75,13 @@ def clear_dataset(spark: SparkSession, path: str, dataset: str, schema, confirm:
 
 
 # ----------------------------------------------------------------------- D5
-def rewrite_without(spark: SparkSession, path: str, new_path: str, keep: DataFrame) -> None:
-    """Write the kept rows as a new version next to the old one (no in-place
-    delete: the input and output of a Spark job must differ)."""
-    keep.write.mode("overwrite").parquet(new_path)
+def delete_where(spark: SparkSession, path: str, new_path: str, col: str, pattern: str) -> DataFrame:
+    """DELETE ... WHERE col LIKE pattern as a new table version: the kept rows
+    are written to ``new_path`` (a Spark job cannot overwrite its own input);
+    the caller switches readers to the new version.  Returns the new table."""
+    from ballotlens.operators.outreach import delete_where_like
+    delete_where_like(spark.read.parquet(path), col, pattern).write.mode("overwrite").parquet(new_path)
+    return spark.read.parquet(new_path)
 
 
 # ----------------------------------------------------------------------- S8
@@ -93,5 +94,11 @@ def copy_table(source: DataFrame, target_path: str, copy_rows_fn, **kw) -> DataF
     # stage the new rows first: the plan reads the target it appends to
     staged = target_path.rstrip("/") + "__staged"
     res["new"].write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("append").parquet(target_path)
-    return res["report"]
+    new = spark.read.parquet(staged)
+    # the report comes from the staged files and the (unchanged) source, so it
+    # stays right after the append changes the target
+    n_new = new.agg(F.count(F.lit(1))).scalar()
+    report = source.agg(F.count(F.lit(1)).cast("bigint").alias("source_rows")).select(
+        "source_rows", n_new.cast("bigint").alias("copied"), (F.col("source_rows") - n_new).cast("bigint").alias("skipped"))
+    new.write.mode("append").parquet(target_path)
+    return report

@@ -105,6 +105,14 @@ def test_copy_clear_append(spark, scratch):
     assert spark.read.parquet(table).count() == 4
     import pytest
     with pytest.raises(ValueError):
-        sinks.clear_dataset(spark, table, "x", None)
-    sinks.clear_dataset(spark, table, "x", None, confirm=True)
+        sinks.clear_dataset(spark, table, "x")
+    sinks.clear_dataset(spark, table, "x", confirm=True)
     assert sorted(r.v for r in spark.read.parquet(table).collect()) == [2, 2]
+
+
+def test_delete_where_new_version(spark, scratch):
+    old, new = os.path.join(scratch, "v1"), os.path.join(scratch, "v2")
+    spark.createDataFrame([("test_hash_1",), ("test_hash_2",), ("keep",)], "k string").write.parquet(old)
+    out = sinks.delete_where(spark, old, new, "k", "test_hash_%")
+    assert [r.k for r in out.collect()] == ["keep"]
+    assert spark.read.parquet(old).count() == 3
