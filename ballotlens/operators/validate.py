@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ballotlens.functions import clean as C
@@ -43,20 +43,27 @@ def type_ok(value: Column, kind: str) -> Column:
 
 def type_violations(df: DataFrame, checks: Mapping[str, str], order_col: str, n: int | None = 10,
                     row_offset: int = 2) -> DataFrame:
-    """(row, column, expected, got) for every failing check.  ``n`` limits the
-    check to the first ``n`` rows by ``order_col`` (the validator's sample);
-    ``None`` checks all rows.  Columns absent from ``df`` are skipped (V1
-    reports them)."""
+    """(row key, column, expected, got) for every failing check.
+
+    With ``n`` the check covers the first ``n`` rows by ``order_col`` (the
+    upload validator's sample) and adds ``row``: the line in the file (1-based
+    position + ``row_offset - 1``, i.e. header = line 1).  Numbering only the
+    ``n``-row sample keeps that window tiny; ``n=None`` checks all rows and
+    reports them by ``order_col`` only (no global numbering).  Columns absent
+    from ``df`` are skipped (V1 reports them)."""
     present = [(c, k) for c, k in checks.items() if c in df.columns]
-    src = df
-    if n is not None:
-        src = df.orderBy(F.col(order_col).asc_nulls_first()).limit(n)
     items = [F.when(~type_ok(F.col(c), k), F.struct(F.lit(c).alias("column"), F.lit(k).alias("expected"),
                                                      F.col(c).cast("string").alias("got")))
              for c, k in present]
-    rn = F.col(order_col)
-    out = src.select(rn.alias("_ord"), F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("v"))
-    return out.select(F.col("_ord").alias(order_col), "v.column", "v.expected", "v.got")
+    bad = F.filter(F.array(*items), lambda x: x.isNotNull())
+    if n is None:
+        out = df.select(F.col(order_col), F.explode(bad).alias("v"))
+        return out.select(order_col, "v.column", "v.expected", "v.got")
+    sample = df.orderBy(F.col(order_col).asc_nulls_first()).limit(n)
+    w = Window.orderBy(F.col(order_col).asc_nulls_first())
+    numbered = sample.withColumn("row", (F.row_number().over(w) + (row_offset - 1)).cast("int"))
+    out = numbered.select("row", F.col(order_col), F.explode(bad).alias("v"))
+    return out.select("row", order_col, "v.column", "v.expected", "v.got")
 
 
 def type_violation_counts(df: DataFrame, checks: Mapping[str, str]) -> DataFrame:

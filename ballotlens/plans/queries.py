@@ -1145,8 +1145,9 @@ def q_type_violations(spark, sf):
     return va.type_violations(_raw(spark, sf), _V2_CHECKS, "row_id", n=None)
 
 
-@register("type_violations_sample", "WITH s AS (SELECT * FROM raw_values ORDER BY row_id LIMIT 10)\n" + "\nUNION ALL\n".join(
-    f"SELECT row_id, '{c}' AS column, '{k}' AS expected, {c} AS got FROM s WHERE NOT {_type_ok_sql(c, k)}"
+@register("type_violations_sample", "WITH s AS (SELECT *, CAST(row_number() OVER (ORDER BY row_id) + 1 AS INTEGER) AS row "
+          "FROM (SELECT * FROM raw_values ORDER BY row_id LIMIT 10) t)\n" + "\nUNION ALL\n".join(
+    f"SELECT row, row_id, '{c}' AS column, '{k}' AS expected, {c} AS got FROM s WHERE NOT {_type_ok_sql(c, k)}"
     for c, k in _V2_CHECKS.items()), ["raw_values"])
 def q_type_violations_sample(spark, sf):
     return va.type_violations(_raw(spark, sf), _V2_CHECKS, "row_id", n=10)
