@@ -32,6 +32,9 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is also every executor (default heap 1g)
+            b = b.config("spark.driver.memory", "8g")
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
