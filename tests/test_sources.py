@@ -116,3 +116,32 @@ def test_delete_where_new_version(spark, scratch):
     out = sinks.delete_where(spark, old, new, "k", "test_hash_%")
     assert [r.k for r in out.collect()] == ["keep"]
     assert spark.read.parquet(old).count() == 3
+
+
+def test_generator_independent_of_partitioning(spark):
+    from ballotlens.sources import generate
+    a = generate.synthetic_accounts(spark.range(0, 2000, numPartitions=1), seed=3, voted=True)
+    b = generate.synthetic_accounts(spark.range(0, 2000, numPartitions=7), seed=3, voted=True)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    r = a.agg(F.min("proposal_master_skey"), F.max("proposal_master_skey"), F.min("score"), F.max("score")).first()
+    assert 2024001 <= r[0] and r[1] <= 2024999 and float(r[2]) >= 0.1 and float(r[3]) <= 0.9
+    p = generate.synthetic_proposals(spark.range(0, 500, numPartitions=3), seed=3)
+    assert p.filter(F.col("predicted_unvoted_shares") + F.col("predicted_for_shares") + F.col("predicted_against_shares")
+                    + F.col("predicted_abstain_shares") < 10_000_000).count() == 0
+
+
+def test_load_proposals_error_budget(spark, scratch):
+    import pytest
+    from ballotlens.plans import load as ld
+    raw = spark.createDataFrame([("1", "Acme", "0.5", "true"), ("2", "Beta", "oops", "false"),
+                                 ("-1", "Gamma", "", "yes")],
+                                "proposal_master_skey string, issuer_name string, VotingRatio string, approved string")
+    with pytest.raises(RuntimeError):
+        ld.load_proposals(raw, os.path.join(scratch, "p"), dataset="x", max_errors=0)
+    assert not os.path.exists(os.path.join(scratch, "p"))
+    rep = ld.load_proposals(raw, os.path.join(scratch, "p"), dataset="x", max_errors=5,
+                            rejects_path=os.path.join(scratch, "rej"))
+    assert (rep["imported"], rep["errors"]) == (2, 1)
+    got = spark.read.parquet(os.path.join(scratch, "p")).select("proposal_master_skey", "voting_ratio", "approved")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 0.5, True), (None, None, True)], key=str)
+    assert [r.proposal_master_skey for r in spark.read.parquet(os.path.join(scratch, "rej")).collect()] == [2]
