@@ -44,6 +44,10 @@ def account_keys(accounts: DataFrame, pm: str = PM, dm: str = DM) -> DataFrame:
     An account row carrying both a proposal and a director key belongs to
     both; ``stack`` emits the two candidates from one scan (no second read of
     the fact table), and the sentinel/NULL ones are dropped right after.
+    The aggregate that follows keeps one hash entry per key.  Aggregating by
+    the (proposal, director) pair first and expanding afterwards was measured
+    slower (15 s vs 10 s on 20M rows) when pairs are many, since its hash
+    table grows with the pair count.
     """
     out = accounts.select(
         "*",
