@@ -1541,3 +1541,34 @@ def q_proposal_accounts_page(spark, sf):
     """O1 for one request: the voted accounts of proposal key 1, first page of 1000."""
     a = acc.accounts_for_key(fx.account_voted(spark, sf), "P", 1)
     return acc.voted_view(acc.account_page(a, 1, 1000, _VPAGE + ["score_model2"]))
+
+
+# ================================================================ option variants
+@register("issuer_semi_join_sentinel", f"""
+SELECT id, account_hash_key, proposal_master_skey, director_master_skey FROM accounts
+WHERE proposal_master_skey IN (SELECT proposal_master_skey FROM proposals WHERE {_ISSUER_SQL})
+   OR director_master_skey IN (SELECT director_master_skey FROM proposals WHERE {_ISSUER_SQL})""",
+          ["accounts", "proposals"])
+def q_issuer_semi_join_sentinel(spark, sf):
+    """J4 as the source had it: the -1 "no key" value also matches itself."""
+    a = ot.issuer_semi_join(fx.accounts(spark, sf), fx.proposals(spark, sf), ISSUERS, exclude_sentinel=False)
+    return a.select("id", "account_hash_key", "proposal_master_skey", "director_master_skey")
+
+
+@register("proposals_search_literal", """
+SELECT id, issuer_name FROM proposals
+WHERE issuer_name ILIKE '%#1%' OR proposal ILIKE '%#1%' OR final_key ILIKE '%#1%'
+   OR issuer_name ILIKE '%k\\_%' ESCAPE '\\' OR proposal ILIKE '%k\\_%' ESCAPE '\\' OR final_key ILIKE '%k\\_%' ESCAPE '\\'""",
+          ["proposals"])
+def q_proposals_search_literal(spark, sf):
+    """F2 with literal=True: '%' and '_' in the term match themselves."""
+    p = fx.proposals(spark, sf)
+    cond = pr.search_condition("#1", literal=True) | pr.search_condition("k_", literal=True)
+    return p.filter(cond).select("id", "issuer_name")
+
+
+@register("proposals_keyset_page", """
+SELECT id, issuer_name FROM proposals WHERE id < 1000 ORDER BY id DESC LIMIT 50""", ["proposals"])
+def q_proposals_keyset_page(spark, sf):
+    """O1 deep paging without OFFSET: the page after id 1000 in id DESC order."""
+    return pr.keyset_page(fx.proposals(spark, sf), after_id=1000, limit=50).select("id", "issuer_name")
