@@ -23,7 +23,8 @@ DEFAULT_CONF = {
 }
 
 
-def get_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "ballotlens") -> SparkSession:
+def get_session(master: str | None = "local[8]", shuffle_partitions: int | None = None,
+                app: str = "ballotlens") -> SparkSession:
     """Build (or reuse) a session with the library defaults.
 
     On a cluster, call with ``master=None`` and let spark-submit decide; the
@@ -37,7 +38,10 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str
             b = b.config("spark.driver.memory", "8g")
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
-    b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shuffle_partitions is None and master and master.startswith("local"):
+        shuffle_partitions = 8          # local tests: about the core count
+    if shuffle_partitions is not None:  # on a cluster: keep the site setting, or use size_shuffles()
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
