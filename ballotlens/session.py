@@ -51,11 +51,14 @@ def get_session(master: str | None = "local[8]", shuffle_partitions: int | None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only pick our own (a fresh scratch
-    folder) when the setting is absent, which happens in local tests.
+    A cluster names a shared folder there (survives lost executors).  Only a
+    local session (tests) may fall back to a fresh folder of its own; on a
+    cluster an unset setting is an error, never a machine-local folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (e.g. on HDFS / S3)")
         d = tempfile.mkdtemp(prefix="ballotlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
