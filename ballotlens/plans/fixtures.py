@@ -35,7 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     footer) is built once per application and path: the inputs are immutable,
     and resolving a Parquet schema costs a driver round trip per call."""
     path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (spark.sparkContext.applicationId, path)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle (Spark Connect)
+        app = str(id(spark))
+    key = (app, path)
     df = _READ_CACHE.get(key)
     if df is None or df.sparkSession is not spark:
         df = spark.read.parquet(path)

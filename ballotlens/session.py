@@ -56,12 +56,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     cluster an unset setting is an error, never a machine-local folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns checkpointing
+        sc = None
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if sc is None or not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (e.g. on HDFS / S3)")
         d = tempfile.mkdtemp(prefix="ballotlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc is not None:
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -19,7 +19,14 @@ from ballotlens.operators.shape import alias_columns
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the cluster's file system (driver metadata call)."""
-    jvm = spark.sparkContext._jvm
+    try:
+        jvm = spark.sparkContext._jvm
+    except Exception:  # noqa: BLE001 - no JVM handle (Spark Connect): ask the reader
+        try:
+            spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+            return True
+        except Exception:  # noqa: BLE001
+            return False
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(p))
