@@ -232,8 +232,9 @@ def histograms(values: DataFrame, group_col: str, value_col: str = "value", bins
     """``histogram`` for every group of ``group_col`` at once: one min/max
     aggregate per group, one binning aggregate.
 
-    The stats frame has one row per group; groups are a small fixed set here
-    (metric names), which is the bound that makes broadcasting it safe.  Bins
+    The stats frame has one row per group.  It is not hinted for broadcast:
+    its size depends on the caller's grouping, so AQE measures the
+    materialised stats stage and broadcasts it only when it is small.  Bins
     come from ``explode(sequence(...))`` on the stats row, so empty bins show
     0 without any cross join.
     """
@@ -245,7 +246,7 @@ def histograms(values: DataFrame, group_col: str, value_col: str = "value", bins
     stats = stats.select("g", "mn", "mx", size.alias("size"))
     idx = F.when(F.col("size") == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("v") - F.col("mn")) / F.col("size")).cast("int"), F.lit(bins - 1)))
-    counts = v.join(F.broadcast(stats), "g").groupBy("g", idx.alias("bin")) \
+    counts = v.join(stats, "g").groupBy("g", idx.alias("bin")) \
         .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
     frame = stats.select("g", "mn", "size", F.explode(F.sequence(
         F.lit(0), F.when(F.col("size") == 0, F.lit(0)).otherwise(F.lit(bins - 1)))).alias("bin"))
