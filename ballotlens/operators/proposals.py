@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from ballotlens.functions import text as T
 from ballotlens.operators import quality as qm
 
-# Above this many values an IN list becomes a broadcast semi join of a small
-# frame built from the (driver-side, already bounded) list.
+# Above IN_LIST_LIMIT values an IN list becomes a semi join of a frame built
+# from the (driver-side) list; it is hinted for broadcast up to
+# BROADCAST_LIST_LIMIT values (a checked size), and left to a shuffle join
+# beyond that.
 IN_LIST_LIMIT = 1000
+BROADCAST_LIST_LIMIT = 1_000_000
 
 
 def ci_key(c: Column | str) -> Column:
@@ -43,7 +46,9 @@ def issuer_in(df: DataFrame, issuers: Sequence[str] | None, col: str = "issuer_n
         return df.filter(ci_key(col).isin(keys))
     spark = df.sparkSession
     sel = spark.createDataFrame([(k,) for k in keys], "k string")
-    return df.join(F.broadcast(sel), ci_key(col) == F.col("k"), "left_semi")
+    if len(keys) <= BROADCAST_LIST_LIMIT:
+        sel = F.broadcast(sel)
+    return df.join(sel, ci_key(col) == F.col("k"), "left_semi")
 
 
 # ---------------------------------------------------------------------- F2

@@ -93,3 +93,14 @@ def test_number_lines_and_batches(spark, scratch):
     assert len(per_file) == 2
     for rows in per_file.values():
         assert sorted(rows) == [("t", 0, 2), ("t", 1, 2), ("t", 2, 1), ("u", 0, 2), ("u", 1, 1)]
+
+
+def test_large_issuer_list_is_a_semi_join(spark):
+    from ballotlens.operators import proposals as pr
+    names = [f"Brand#{i}" for i in range(1, 3000)]
+    small = pr.issuer_in(fx.proposals(spark, SF_SMALL), names[:2])
+    big = pr.issuer_in(fx.proposals(spark, SF_SMALL), names)
+    assert "LeftSemi" not in plan(small)
+    assert "LeftSemi" in plan(big)
+    assert small.count() <= big.count() == fx.proposals(spark, SF_SMALL).filter(
+        "issuer_name IS NOT NULL AND lower(rtrim(issuer_name)) LIKE 'brand#%'").count()
