@@ -80,6 +80,30 @@ def _typed(raw: Column, kind: str, float_mode: str) -> Column:
     return C.clean_blank(raw)
 
 
+# Built expression lists, keyed by (application, input columns, mode): Column
+# expressions are immutable, unresolved trees, so a list built once is reused
+# by every later call instead of being rebuilt with ~2000 driver->JVM calls.
+_EXPR_CACHE: dict[tuple, list[Column]] = {}
+
+
+def _cache_key(raw: DataFrame, *parts) -> tuple:
+    try:
+        app = raw.sparkSession.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - no SparkContext handle: do not cache
+        return ()
+    return (app, tuple(raw.columns), *parts)
+
+
+def _normalise_exprs(raw: DataFrame, float_mode: str, fields: Sequence[tuple[str, str, str]]) -> list[Column]:
+    cols = set(raw.columns)
+    out = []
+    for name, header, kind in fields:
+        src = header if header in cols else (name if name in cols else None)
+        rawc = F.col(f"`{src}`").cast("string") if src else F.lit(None).cast("string")
+        out.append(_typed(rawc, kind, float_mode).alias(name))
+    return out
+
+
 def normalise_proposals(raw: DataFrame, float_mode: str = "float",
                         fields: Sequence[tuple[str, str, str]] = PROPOSAL_FIELDS,
                         extra: Sequence[Column] = ()) -> DataFrame:
@@ -87,18 +111,21 @@ def normalise_proposals(raw: DataFrame, float_mode: str = "float",
     one ``select``.  ``float_mode`` 'float' parses ratios as floats, 'numeric'
     as exact decimals rounded to 4 places.  Headers absent from the file give
     NULL columns; ``merge_*`` and other extra columns are dropped."""
-    cols = set(raw.columns)
-    out = []
-    for name, header, kind in fields:
-        src = header if header in cols else (name if name in cols else None)
-        rawc = F.col(f"`{src}`").cast("string") if src else F.lit(None).cast("string")
-        out.append(_typed(rawc, kind, float_mode).alias(name))
-    return raw.select(*out, *extra)
+    key = _cache_key(raw, "normalise", float_mode, tuple(fields))
+    exprs = _EXPR_CACHE.get(key) if key else None
+    if exprs is None:
+        exprs = _normalise_exprs(raw, float_mode, fields)
+        if key:
+            _EXPR_CACHE[key] = exprs
+    return raw.select(*exprs, *extra)
 
 
 def proposal_errors(raw: DataFrame, fields: Sequence[tuple[str, str, str]] = PROPOSAL_FIELDS,
                     float_mode: str = "float") -> Column:
     """Array of the fields whose raw text is not blank but did not parse."""
+    key = _cache_key(raw, "errors", float_mode, tuple(fields))
+    if key and key in _EXPR_CACHE:
+        return _EXPR_CACHE[key][0]
     cols = set(raw.columns)
     errs = []
     for name, header, kind in fields:
@@ -114,7 +141,10 @@ def proposal_errors(raw: DataFrame, fields: Sequence[tuple[str, str, str]] = PRO
         if kind == "date":
             bad = bad & (F.lower(C.strip(r)) != "null")
         errs.append(F.when(bad, F.lit(name)))
-    return F.filter(F.array(*errs), lambda x: x.isNotNull()) if errs else F.array().cast("array<string>")
+    out = F.filter(F.array(*errs), lambda x: x.isNotNull()) if errs else F.array().cast("array<string>")
+    if key:
+        _EXPR_CACHE[key] = [out]
+    return out
 
 
 # ---------------------------------------------------------------------- H6
