@@ -4,11 +4,12 @@ The reference ships no data, so the test inputs are derived from the driver's
 tables: ``lineitem`` rows become account rows (voted and unvoted together),
 ``part`` rows become proposals whose share totals are rolled up from those
 accounts, ``orders`` rows become messy text for the cleaning functions and
-numbered dump lines.  Each builder below is the DataFrame form of a view; the
-matching SQL text (``VIEW_SQL``) prefixes every DuckDB oracle query so both
-engines see the same rows.
+numbered dump lines.  Each view is one SQL text (``VIEW_SQL``): Spark runs it
+through ``spark.sql`` with the input DataFrames bound as parameters, and the
+DuckDB oracles use the same text as a ``WITH`` prefix, so both engines derive
+the same inputs.
 
-All builders are lazy projections over a Parquet scan (plus one partial
+The views are lazy projections over a Parquet scan (plus one partial
 aggregation for ``proposals``), so column pruning and filter pushdown reach
 the files whatever operator sits on top.
 """
@@ -18,8 +19,7 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
