@@ -151,8 +151,9 @@ def dashboard(proposals: DataFrame, accounts: DataFrame, voted_col: str = "is_vo
         F.count_if(F.col(voted_col) == 1).alias("voted_accounts"),
         F.count_if(F.col(voted_col) != 1).alias("unvoted_accounts"),
     )
-    va = a.select("voted_accounts").scalar()
-    ua = a.select("unvoted_accounts").scalar()
+    # one scalar subquery (a struct) referenced twice: Spark runs it once
+    both = a.select(F.struct("voted_accounts", "unvoted_accounts")).scalar()
+    va, ua = both.getField("voted_accounts"), both.getField("unvoted_accounts")
     return p.select(
         *[F.col(c).cast("bigint").alias(c) for c in p.columns],
         va.cast("bigint").alias("voted_accounts"), ua.cast("bigint").alias("unvoted_accounts"),
