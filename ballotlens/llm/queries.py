@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotlens.llm import bpe, token_counts
+from ballotlens.llm import bpe, language_id, line_dedup, token_counts
 
 #: folder of the public tokenizers' files, found by their package
 def tokenizer(name: str) -> str:
@@ -30,8 +30,44 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), limit=2048)
 
 
+def held_out(docs: DataFrame) -> F.Column:
+    """Documents that teach nothing: crc32 of doc_id as text divisible by 5."""
+    return F.crc32(docs["doc_id"].cast("string")) % 5 == 0
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs.filter(~held_out(docs)))
+    out = language_id.predict(docs, model)
+    flat = out.select("row.doc_id", "lang_pred", "score", "rejected")
+    return flat.select("doc_id", F.coalesce(held_out(flat), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    bitmaps = line_dedup.keep_bitmaps(docs, min_docs=10, min_chars=1)
+    return (line_dedup.apply_bitmaps(docs, bitmaps)
+            .select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_bpe_round_trip, op3_token_counts,
+    op1_bpe_round_trip, op3_token_counts, op8_language_id, op9_line_dedup,
 )}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": r"""
+WITH whole AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+  SELECT doc_id, p AS pos, ls[p] AS line,
+         translate(trim(ls[p], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM whole)
+), often AS (
+  SELECT k FROM lines WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT l.doc_id, count(*) AS n_lines, count(o.k) AS n_dropped,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE o.k IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN often o ON l.k = o.k GROUP BY l.doc_id
+""",
+}
