@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotlens.llm import bpe, language_id, line_dedup, token_counts
+from ballotlens.llm import bpe, language_id, line_dedup, minhash, token_counts
 
 #: folder of the public tokenizers' files, found by their package
 def tokenizer(name: str) -> str:
@@ -26,6 +26,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), threshold=0.8)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), limit=2048)
 
@@ -51,7 +55,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_bpe_round_trip, op3_token_counts, op8_language_id, op9_line_dedup,
+    op1_bpe_round_trip, op2_near_duplicates, op3_token_counts, op8_language_id, op9_line_dedup,
 )}
 
 ORACLE_SQL: dict[str, str] = {
