@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotlens.llm import bpe, language_id, line_dedup, minhash, token_counts
+from ballotlens.llm import bpe, decontamination, knn, language_id, line_dedup, minhash, token_counts
 
 #: folder of the public tokenizers' files, found by their package
 def tokenizer(name: str) -> str:
@@ -34,6 +34,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), limit=2048)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and test item that it holds."""
+    return decontamination.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def held_out(docs: DataFrame) -> F.Column:
     """Documents that teach nothing: crc32 of doc_id as text divisible by 5."""
     return F.crc32(docs["doc_id"].cast("string")) % 5 == 0
@@ -54,8 +59,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_bpe_round_trip, op2_near_duplicates, op3_token_counts, op8_language_id, op9_line_dedup,
+    op1_bpe_round_trip, op2_near_duplicates, op3_token_counts, op6_decontamination, op8_language_id, op9_line_dedup, op10_top_k,
 )}
 
 ORACLE_SQL: dict[str, str] = {
@@ -73,5 +82,17 @@ WITH whole AS (
 SELECT l.doc_id, count(*) AS n_lines, count(o.k) AS n_dropped,
        sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE o.k IS NULL), '')) AS kept_sha256
 FROM lines l LEFT JOIN often o ON l.k = o.k GROUP BY l.doc_id
+""",
+    "op10_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs
+)
+SELECT * FROM ranked WHERE rank <= 10
 """,
 }
