@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotlens.llm import bpe, decontamination, knn, language_id, line_dedup, minhash, token_counts
+from ballotlens.llm import bpe, decontamination, knn, language_id, line_dedup, minhash, token_counts, token_store
+from ballotlens.llm.common import shared_path
 
 #: folder of the public tokenizers' files, found by their package
 def tokenizer(name: str) -> str:
@@ -39,6 +40,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-store")
+    token_store.write(documents(spark, sf_dir), path, tokenizer("byte_bpe_50k.json"), end_id=2)
+    return token_store.checksums(spark, path)
+
+
 def held_out(docs: DataFrame) -> F.Column:
     """Documents that teach nothing: crc32 of doc_id as text divisible by 5."""
     return F.crc32(docs["doc_id"].cast("string")) % 5 == 0
@@ -64,7 +71,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_bpe_round_trip, op2_near_duplicates, op3_token_counts, op6_decontamination, op8_language_id, op9_line_dedup, op10_top_k,
+    op1_bpe_round_trip, op2_near_duplicates, op3_token_counts, op6_decontamination, op7_token_store, op8_language_id, op9_line_dedup, op10_top_k,
 )}
 
 ORACLE_SQL: dict[str, str] = {
