@@ -1,26 +1,32 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
 A document is a weighted set: its shingles of five words (lower case, split at
-white space), weighted by how often they occur.  Every shingle is a Poisson
+white space), weighted by 1 + ln(count) / 2.  Every shingle is a Poisson
 process whose rate is its weight; its arrivals fall into registers at random,
 and each register keeps the first arrival's shingle.  Two documents' registers
 agree with their probability Jaccard similarity.  All shingles of a batch of
 documents draw their first arrivals, then those still below their document's
 slowest register draw their next, and so on: that is the early termination.
 
+Two documents are linked if the Jaccard similarity of their shingle sets
+reaches ``threshold``.  (With plain counts as weights, documents that have
+nothing in common but one line repeated hundreds of times would be alike;
+hence the damped weights, and the verification on sets.)
+
 1. One pass over the texts: content hash and registers of each document.
    Equal word sequences meet by content hash and go on as the least id.
 2. Bands of registers are buckets.  Each member of a bucket is compared with
    the bucket's least member only, so a bucket of n has n - 1 candidates.
    Candidates are verified on the texts; links become connected components.
-3. Where a bucket still holds several components, the members outside its
-   largest one are compared with all members of other components by their
-   registers, block against block inside tasks, and the pairs whose registers
-   agree enough are verified too.  So no pair that shares a bucket is passed
-   over, however large the bucket, and no list of all its pairs is written.
-
-Two documents are linked if their probability Jaccard similarity, or the same
-with all weights one (plain Jaccard), reaches ``threshold``.
+3. Where a bucket still holds several components, members outside its largest
+   one are compared with the members of other components by their registers,
+   block against block inside tasks.  A spanning forest of the pairs that agree
+   enough joins components to families; every such pair is within a family.
+4. Inside each family, members outside the largest component are compared with
+   all others on their texts, again block against block, likeliest pairs first
+   and passing over pairs that verified links have connected meanwhile.  So no
+   pair that shares a bucket is passed over, however large the bucket, and no
+   list of all pairs is written.
 
 Defined results: one row for each document with the least doc_id of its class;
 documents without words (null, empty, blank) are classes of their own; those
@@ -41,8 +47,8 @@ WORDS = 5
 BANDS, ROWS = 26, 5                  # a pair of similarity 0.8 misses all buckets in 3 of 100,000 cases
 REGISTERS = BANDS * ROWS
 NO_ID = -(2**63)                     # stands for a null doc_id
-MARGIN = 0.14                        # four standard deviations of the registers' estimate at 0.8
-BLOCK = 512                          # members of a block of a large bucket
+MARGIN = 0.16                        # four standard deviations of the registers' estimate at 0.8
+BLOCK = 256                          # members of a block of a large bucket
 
 _M, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POWER = np.uint64(0x100000001B3)
@@ -97,7 +103,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (own[1:] != own[:-1])
     heads = np.flatnonzero(new)
-    weight = np.diff(np.append(heads, len(s))).astype(np.float64)
+    weight = 1 + np.log(np.diff(np.append(heads, len(s)))) / 2
     return s[heads], weight, own[heads], content
 
 
@@ -124,34 +130,10 @@ def registers(s: np.ndarray, weight: np.ndarray, own: np.ndarray, n_texts: int)
     return sig
 
 
-def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """sum over d of 1 / sum over e of max(x_e / x_d, y_e / y_d), weights over
-    the union of both sets (0 where a set lacks the element)."""
-    both = (x > 0) & (y > 0)
-    if not both.any():
-        return 0.0
-    ratio = np.divide(x, y, out=np.full(len(x), np.inf), where=y > 0)
-    order = np.argsort(ratio, kind="stable")
-    ratio, x, y, both = ratio[order], x[order], y[order], both[order]
-    below = np.searchsorted(ratio, ratio[both], "left")      # elements of a smaller ratio
-    sum_y = np.concatenate(([0.0], np.cumsum(y)))[below]
-    sum_x = x.sum() - np.concatenate(([0.0], np.cumsum(x)))[below]
-    return float((x[both] / (sum_x + ratio[both] * sum_y)).sum())
-
-
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The greater of probability Jaccard and plain Jaccard of two texts' (shingles, weights)."""
-    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    union = len(a[0]) + len(b[0]) - len(common)
-    if not len(common):
-        return 0.0
-    plain = len(common) / union
-    if a[1].max() == 1 and b[1].max() == 1:
-        return plain
-    only_a, only_b = np.delete(a[1], i), np.delete(b[1], j)
-    x = np.concatenate((a[1][i], only_a, np.zeros(len(only_b))))
-    y = np.concatenate((b[1][j], np.zeros(len(only_a)), only_b))
-    return max(plain, probability_jaccard(x, y))
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted shingle sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,13 +183,13 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, t
         for batch in batches:
             a, b = (batch.column(k).to_pylist() for k in range(2))
             left, right = (batch.column(k).to_pylist() for k in range(2, 4))
-            s, w, own, _ = shingles(right)
+            s, _, own, _ = shingles(right)
             cut = np.searchsorted(own, np.arange(len(right) + 1))
             keep = []
             for i, t in enumerate(left):
                 if t != last:
-                    last, made = t, shingles([t])[:2]
-                keep.append(similarity(made, (s[cut[i]:cut[i + 1]], w[cut[i]:cut[i + 1]])) >= threshold)
+                    last, made = t, shingles([t])[0]
+                keep.append(similarity(made, s[cut[i]:cut[i + 1]]) >= threshold)
             at = np.flatnonzero(keep)
             yield arrays_to_batch(schema, [[a[i] for i in at], [b[i] for i in at]])
 
@@ -245,24 +227,36 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def _unsettled(rows: DataFrame, roots: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components that share a bucket, by their registers."""
-    labelled = stored(rows.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left")
-                      .select("bucket", "doc", F.coalesce("root", "doc").alias("root")), "bucket-roots")
-    sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    open_ = (sizes.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"))
-             .filter("kinds > 1 and n > 2"))      # two members have been compared already
-    open_ = stored(open_, "open-buckets")
-    part = stored(labelled.join(open_, "bucket"), "open-rows")
-    with_sig = stored(part.join(sketched.select("doc", "sig"), "doc"), "open-sigs")
-    blocks = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK)).alias("block")
+def _blocks(df: DataFrame, by: str, member, name: str) -> DataFrame:
+    """Members in lists of about BLOCK: (``by``, ms); ``n`` counts a group."""
+    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK)).alias("block")
+    return stored(df.select(by, block, member.alias("m")).groupBy(by, "block").agg(F.collect_list("m").alias("ms")).select(by, "ms"), name)
+
+
+def _open(rows: DataFrame, by: str) -> DataFrame:
+    """Groups of more than two members and more than one root: n, and the largest root."""
+    sizes = rows.groupBy(by, "root").agg(F.count("*").alias("n"))
+    return stored(sizes.groupBy(by).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"))
+                  .filter("kinds > 1 and n > 2").drop("kinds"), "open")
+
+
+def _least(threshold: float) -> int:
+    return int(np.ceil((threshold - MARGIN) * REGISTERS))
+
 
-    def packed(df):
-        return stored(df.select("bucket", blocks, F.struct("doc", "root", "sig").alias("m")).groupBy("bucket", "block").agg(F.collect_list("m").alias("ms")), "blocks")
+def _roots_of(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
 
-    query = packed(with_sig.filter("root <> main")).select("bucket", F.col("ms").alias("qs"))
-    every = packed(with_sig).select("bucket", "ms")
-    least = int(np.ceil((threshold - MARGIN) * REGISTERS))
+
+def _likely(rows: DataFrame, roots: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
+    """Of each open bucket's pairs whose registers agree enough, a spanning
+    forest over the components, block against block: (a, b)."""
+    labelled = stored(_roots_of(rows, roots), "bucket-roots")
+    part = stored(labelled.join(_open(labelled, "bucket"), "bucket"), "open-rows")
+    with_sig = stored(part.join(sketched, "doc"), "open-sigs")
+    member, least = F.struct("doc", "root", "sig"), _least(threshold)
+    query = _blocks(with_sig.filter("root <> main"), "bucket", member, "blocks").withColumnRenamed("ms", "qs")
+    every = _blocks(with_sig, "bucket", member, "blocks")
 
     def compare(batches):
         import pyarrow as pa
@@ -276,14 +270,66 @@ def _unsettled(rows: DataFrame, roots: DataFrame, sketched: DataFrame, threshold
             a, b = [], []
             for q, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (qd, qr, qs), (md, mr, ms) = unpack(q), unpack(m)
-                for i in range(len(qd)):
-                    hit = np.flatnonzero((mr != qr[i]) & ((ms == qs[i]).sum(axis=1) >= least))
-                    a.append(np.minimum(md[hit], qd[i]))
-                    b.append(np.maximum(md[hit], qd[i]))
-            yield arrays_to_batch(schema, [np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)])])
+                for i, j in _forest(qr, mr, np.array([(ms == x).sum(axis=1) for x in qs]), least, lambda i, j: True):
+                    a.append(qd[i])
+                    b.append(md[j])
+            yield arrays_to_batch(schema, [a, b])
 
     small_batches(rows.sparkSession, 64)
-    return query.join(every, "bucket").select("qs", "ms").mapInArrow(compare, "a long, b long").distinct()
+    return stored(query.join(every, "bucket").select("qs", "ms").mapInArrow(compare, "a long, b long"), "likely")
+
+
+def _forest(qr, mr, agree, least, linked):
+    """Pairs (i, j) that connect roots, the most agreeing first; ``linked`` says
+    whether a pair does connect them."""
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    i, j = np.nonzero((agree >= least) & (mr[None, :] != qr[:, None]))
+    order = np.argsort(-agree[i, j], kind="stable")
+    for k, n in zip(i[order].tolist(), j[order].tolist()):
+        x, y = find(int(qr[k])), find(int(mr[n]))
+        if x != y and linked(k, n):
+            parent[x] = y
+            yield k, n
+
+
+def _links_within(families: DataFrame, roots: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """Links between the components of each family, verified on the texts in
+    tasks, block against block: (a, b)."""
+    labelled = stored(_roots_of(families.select(F.col("node").alias("doc"), F.col("root").alias("family")), roots), "families")
+    part = stored(labelled.join(_open(labelled, "family"), "family"), "open-rows")
+    texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), text_of(docs, text_col).alias("text"))
+    whole = stored(part.join(texts, "doc"), "open-texts")
+    member, least = F.struct("doc", "root", "text"), _least(threshold)
+    query = _blocks(whole.filter("root <> main"), "family", member, "blocks").withColumnRenamed("ms", "qs")
+    every = _blocks(whole, "family", member, "blocks")
+
+    def compare(batches):
+        import pyarrow as pa
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def unpack(ms):
+            s, w, own, _ = shingles([m["text"] for m in ms])
+            cut = np.searchsorted(own, np.arange(len(ms) + 1))
+            return (np.array([m["doc"] for m in ms]), np.array([m["root"] for m in ms]), registers(s, w, own, len(ms)), [s[x:y] for x, y in zip(cut, cut[1:])])
+
+        for batch in batches:
+            a, b = [], []
+            for q, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (qd, qr, qs, qset), (md, mr, ms, mset) = unpack(q), unpack(m)
+                agree = np.array([(ms == x).sum(axis=1) for x in qs])
+                for i, j in _forest(qr, mr, agree, least, lambda i, j, x=qset, y=mset: similarity(x[i], y[j]) >= threshold):
+                    a.append(qd[i])
+                    b.append(md[j])
+            yield arrays_to_batch(schema, [a, b])
+
+    small_batches(docs.sparkSession, 4)
+    return stored(query.join(every, "family").select("qs", "ms").mapInArrow(compare, "a long, b long"), "verified")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,13 +342,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     rows = stored(buckets(reps).distinct(), "buckets")
     centres = stored(rows.groupBy("bucket").agg(F.min("doc").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "centres")
     shared = stored(rows.join(centres, "bucket").select("bucket", "doc", "a"), "shared-buckets")
-    pairs = stored(shared.filter("doc <> a").select("a", F.col("doc").alias("b")).distinct(), "pairs")
-    links = stored(verified(pairs, docs, threshold, id_col, text_col), "verified")
+    pairs = shared.filter("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+    links = stored(verified(stored(pairs, "pairs"), docs, threshold, id_col, text_col), "verified")
     roots = components(links)
-    more = stored(_unsettled(shared.select("bucket", "doc"), roots, reps, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(stored(verified(more, docs, threshold, id_col, text_col), "verified"))
-        roots = components(links)
+    likely = _likely(shared.select("bucket", "doc"), roots, reps, threshold)
+    if not likely.isEmpty():
+        families = components(links.unionByName(likely))
+        families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
+        more = _links_within(families, roots, docs, threshold, id_col, text_col)
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
     small_batches(spark)
     ids = (sketched.select("doc", "content").join(first, "content", "left")
            .select("doc", F.coalesce("rep", "doc").alias("rep")))

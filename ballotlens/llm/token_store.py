@@ -93,9 +93,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): decoded from the store's files."""
     small_batches(spark)
-    table = spark.read.schema(_ROWS).parquet(path)
-    blocks = table.filter("kind = 'blocks'").select("part", "row", "payload")
-    rows = table.filter("kind = 'docs'").select("part", "row", "doc_id", "start", "n_tokens")
+    # two reads: cogrouped sides mustn't share columns of one plan
+    blocks = spark.read.schema(_ROWS).parquet(path).filter("kind = 'blocks'").select("part", "row", "payload")
+    rows = spark.read.schema(_ROWS).parquet(path).filter("kind = 'docs'").select("part", "row", "doc_id", "start", "n_tokens")
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()     # one row a part
     before, base = {}, 0
     for r in totals:
