@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotlens.llm import bpe, decontamination, knn, language_id, line_dedup, minhash, token_counts, token_store
+from ballotlens.llm import bpe, decontamination, knn, language_id, license_scan, line_dedup, minhash, token_counts, token_store
 from ballotlens.llm.common import shared_path
 
 #: folder of the public tokenizers' files, found by their package
@@ -35,6 +35,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), limit=2048)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(documents(spark, sf_dir))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and test item that it holds."""
     return decontamination.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -71,7 +75,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_bpe_round_trip, op2_near_duplicates, op3_token_counts, op6_decontamination, op7_token_store, op8_language_id, op9_line_dedup, op10_top_k,
+    op1_bpe_round_trip, op2_near_duplicates, op3_token_counts, op5_license_scan, op6_decontamination, op7_token_store, op8_language_id, op9_line_dedup, op10_top_k,
 )}
 
 ORACLE_SQL: dict[str, str] = {
