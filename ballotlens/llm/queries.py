@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotlens.llm import bpe, decontamination, knn, language_id, license_scan, line_dedup, minhash, token_counts, token_store
+from ballotlens.llm import bpe, decontamination, knn, language_id, license_scan, line_dedup, minhash, pii, token_counts, token_store
 from ballotlens.llm.common import shared_path
 
 #: folder of the public tokenizers' files, found by their package
@@ -35,6 +35,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), limit=2048)
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(documents(spark, sf_dir))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_documents(documents(spark, sf_dir))
 
@@ -75,7 +80,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_bpe_round_trip, op2_near_duplicates, op3_token_counts, op5_license_scan, op6_decontamination, op7_token_store, op8_language_id, op9_line_dedup, op10_top_k,
+    op1_bpe_round_trip, op2_near_duplicates, op3_token_counts, op4_personal_data, op5_license_scan, op6_decontamination, op7_token_store, op8_language_id, op9_line_dedup, op10_top_k,
 )}
 
 ORACLE_SQL: dict[str, str] = {
