@@ -122,22 +122,26 @@ class Matcher:
         return found
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS,
-            block_items: int = BLOCK_ITEMS, id_col: str = "doc_id", text_col: str = "text",
-            item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, distance, budget) of every document and item that match."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def item_blocks(benchmark: DataFrame, min_chars: int, block_items: int, item_col: str, item_text_col: str):
+    """The benchmark's canonical items, a block of about ``block_items`` at a time."""
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), text_of(benchmark, item_text_col).alias("item"))
     items = items.filter(F.length(F.btrim("item")) >= min_chars).distinct()
     n_blocks = max(1, -(-items.count() // block_items))
     keyed = items.withColumn("block", F.pmod(F.xxhash64("item_id", "item"), F.lit(n_blocks)))
+    for k in range(n_blocks):
+        rows = keyed.filter(F.col("block") == k).select("item_id", "item").collect()
+        yield [(r.item_id, c) for r in rows if len(c := canonical(r.item)) >= min_chars]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS,
+            block_items: int = BLOCK_ITEMS, id_col: str = "doc_id", text_col: str = "text",
+            item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, distance, budget) of every document and item that match."""
+    small_batches(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     out = None
-    for k in range(n_blocks):
-        rows = keyed.filter(F.col("block") == k).select("item_id", "item").collect()      # about block_items rows
-        found = _one_block(texts, [(r.item_id, c) for r in rows if len(c := canonical(r.item)) >= min_chars], error_rate)
-        found = found if n_blocks == 1 else stored(found, "matches")
+    for items in item_blocks(benchmark, min_chars, block_items, item_col, item_text_col):
+        found = stored(_one_block(texts, items, error_rate), "matches")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("budget").alias("budget"))
 
@@ -157,6 +161,23 @@ def _one_block(texts: DataFrame, items: list[tuple[int, str]], error_rate: float
     return texts.mapInArrow(search, "doc_id long, item_id long, distance long, budget long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id of the documents that hold a test item."""
-    return matches(docs, benchmark, **options).select("doc_id").distinct()
+def without_matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS,
+                    block_items: int = BLOCK_ITEMS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no test item: a filter, without a shuffle."""
+    small_batches(docs.sparkSession)
+    for items in item_blocks(benchmark, min_chars, block_items, item_col, item_text_col):
+        docs = docs.filter(~_holds(docs, items, error_rate)(text_of(docs, text_col)))
+    return docs
+
+
+def _holds(docs: DataFrame, items: list[tuple[int, str]], error_rate: float):
+    sent, made = docs.sparkSession.sparkContext.broadcast(items), []
+
+    @F.pandas_udf("boolean")
+    def holds(texts):
+        import pandas as pd
+        if not made:                # once a task
+            made.append(Matcher(sent.value, error_rate))
+        return pd.Series([bool(made[0].match(canonical(t))) for t in texts], dtype=bool)
+
+    return holds
