@@ -237,12 +237,20 @@ def clean_truncate(c: Column | str, n: int = 500) -> Column:
     return F.when(~is_blank(x), F.substring(x, 1, n))
 
 
+def _hex_value(t: Column) -> Column:
+    """Value of a 0x literal of any length, digit by digit in doubles (exact up
+    to 53 bits; beyond the range of doubles: infinity)."""
+    digits = F.split(F.regexp_replace(F.lower(t), "^0x0*", ""), "")
+    places = F.filter(digits, lambda d: d != "")
+    return F.aggregate(places, F.lit(0.0), lambda a, d: a * 16.0 + (F.instr(F.lit("0123456789abcdef"), d) - 1).cast("double"))
+
+
 # --------------------------------------------------------------------- C19
 def parse_number(c: Column | str) -> Column:
     """Browser rule: trim, drop commas, '' -> NULL, decimal or 0x-hex number,
     non-finite -> NULL."""
     t = F.regexp_replace(F.btrim(_c(c), F.lit(JS_WS)), ",", "")
-    hexv = F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(t, 3, 64), 16, 10).try_cast("double"))
+    hexv = F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), _hex_value(t))
     dec = F.when(t.rlike(_DEC_NUMBER), t.try_cast("double"))
     return F.when(t != "", finite(F.coalesce(dec, hexv)))
 
@@ -306,7 +314,7 @@ def js_number(c: Column | str) -> Column:
     """The browser's ``Number(text)``: trimmed decimal or 0x-hex literal,
     +-Infinity; '' -> 0; anything else NULL (NaN)."""
     t = F.btrim(_c(c).cast("string"), F.lit(JS_WS))
-    hexv = F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(t, 3, 64), 16, 10).try_cast("double"))
+    hexv = F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), _hex_value(t))
     dec = F.when(t.rlike(_DEC_NUMBER), t.try_cast("double"))
     inf = F.when(t.isin("Infinity", "+Infinity"), F.lit(float("inf"))) \
         .when(t == "-Infinity", F.lit(float("-inf")))

@@ -52,16 +52,17 @@ def truncate_words(c: Column | str, n: int = 10) -> Column:
 # --------------------------------------------------------------------- C24
 def percent_text(c: Column | str, decimals: int = 2, null_text: str = "-") -> Column:
     """x * 100 with ``decimals`` places and a '%' sign; rounding is done on a
-    decimal (half-up), NULL -> ``null_text``."""
+    decimal (half-up); NULL, and values no decimal can hold (NaN, infinite, 28
+    digits before the point), -> ``null_text``."""
     x = _col(c).cast("double") * 100
-    d = F.round(x.cast("decimal(38,10)"), decimals).cast(f"decimal(38,{decimals})")
-    return F.when(x.isNull(), F.lit(null_text)).otherwise(F.concat(d.cast("string"), F.lit("%")))
+    d = F.round(x.try_cast("decimal(38,10)"), decimals).try_cast(f"decimal(38,{decimals})")
+    return F.when(d.isNull(), F.lit(null_text)).otherwise(F.concat(d.cast("string"), F.lit("%")))
 
 
 def share_text(c: Column | str) -> Column:
     """Thousands separators, at most 2 decimals, '-' for NULL."""
-    x = _col(c)
-    return F.when(x.isNull(), F.lit("-")).otherwise(F.call_function("format_number", x.cast("decimal(38,2)"), F.lit("#,##0.##")))
+    x = _col(c).try_cast("decimal(38,2)")
+    return F.when(x.isNull(), F.lit("-")).otherwise(F.call_function("format_number", x, F.lit("#,##0.##")))
 
 
 # --------------------------------------------------------------------- C25
@@ -82,7 +83,7 @@ def row_key(account_id: Column | str | None, hash_key: Column | str | None, inde
 # --------------------------------------------------------------------- C26
 def first_non_blank(cols: Sequence[Column | str]) -> Column:
     """The first value that is not blank after trimming (the value itself, untrimmed)."""
-    exprs = [F.when(F.trim(_col(c).cast("string")) != "", _col(c).cast("string")) for c in cols]
+    exprs = [F.when(js_trim(_col(c).cast("string")) != "", _col(c).cast("string")) for c in cols]
     return F.coalesce(*exprs) if len(exprs) > 1 else exprs[0]
 
 

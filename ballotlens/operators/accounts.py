@@ -13,7 +13,7 @@ measured size is under ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARES = "shares_summable"
@@ -68,7 +68,7 @@ def rollup_by_key(accounts: DataFrame, voted_col: str = "is_voted", prediction_c
     Against and the rest as For (calibrated models).
     """
     a = account_keys(accounts.select(voted_col, prediction_col, shares_col, pm, dm), pm, dm)
-    s = F.col(shares_col).cast("decimal(20,2)")
+    s = F.col(shares_col).try_cast("decimal(20,2)")
     voted = F.col(voted_col) == 1
     pred = F.col(prediction_col)
     if against_threshold is None:
@@ -215,11 +215,13 @@ def compare_models(accounts: DataFrame, dataset_col: str = "dataset",
 # --------------------------------------------------------------------- A11
 def type_distribution(accounts: DataFrame) -> DataFrame:
     """Rows per account type (NULL is a group) and their percent of all rows
-    (2 decimals).  The total is a scalar subquery: one more aggregate, no join."""
-    total = accounts.agg(F.count(F.lit(1)).alias("t")).scalar()
+    (2 decimals), most rows first.  The total is summed over the grouped result
+    (a row for each type), so the accounts are read once."""
     g = accounts.groupBy("account_type").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    total = F.sum("count").over(Window.partitionBy(F.lit(1)))
     return g.select("account_type", "count",
-                    F.round(F.col("count") * 100.0 / total, 2).alias("percentage"))
+                    F.round(F.col("count") * 100.0 / total, 2).alias("percentage")) \
+        .orderBy(F.desc("count"), F.col("account_type").asc_nulls_first())
 
 
 # --------------------------------------------------------------------- A14
@@ -267,8 +269,9 @@ def filtered_share_sums(accounts: DataFrame, voted_col: str = "is_voted", predic
 
 # --------------------------------------------------------------------- O6
 def sort_accounts(df: DataFrame, field: str, ascending: bool = True, tie_break: list[str] | None = None) -> DataFrame:
-    """Typed sort; NULL first ascending, last descending (as '' sorts in text)."""
-    c = F.col(field)
+    """Typed sort; text ignores case; NULL first ascending, last descending
+    (as '' sorts in text)."""
+    c = F.lower(field) if dict(df.dtypes)[field] == "string" else F.col(field)
     o = c.asc_nulls_first() if ascending else c.desc_nulls_last()
     return df.orderBy(o, *[F.col(t).asc() for t in (tie_break or [])])
 
@@ -311,7 +314,8 @@ def account_filter_options(accounts: DataFrame, voted_col: str = "is_voted", pm:
     long = k.select("key_type", "key_value", side.alias("side"), F.expr(
         "stack(2, 'account_type', CAST(account_type AS STRING), 'Target_encoded', CAST(Target_encoded AS STRING)) "
         "AS (field, value)"))
-    return long.filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct()
+    return long.filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct() \
+        .orderBy("key_type", "key_value", "side", "field", "value")
 
 
 def accounts_for_key(df: DataFrame, key_type: str, key_value: int, pm: str = PM, dm: str = DM) -> DataFrame:

@@ -5,11 +5,13 @@ rows whose three keys are all present are unique; a row with any NULL key
 never conflicts (so it is always inserted).  Spark has no such constraint, so
 it is enforced with joins and a grouped "first row per key" pick:
 
-* existing rows: anti / semi joins on the three keys with plain ``=``;
-* in-batch duplicates: ``min(struct(order cols..., row))`` per key triple.
-  This is an aggregate, so Spark combines it map-side before the shuffle
-  and a hot triple costs one row per task; a window would sort the whole
-  hot group in one task instead.
+* rows with a NULL key part bypass every join;
+* in-batch duplicates: ``min(struct(order cols..., row))`` per key triple,
+  *before* any join.  This is an aggregate, so Spark combines it map-side and
+  a hot triple costs one row per task; a window would sort the whole hot group
+  in one task instead;
+* existing rows: joins on the three keys with plain ``=``, of one row a triple
+  on either side.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ballotlens.functions.text import js_trim
 from ballotlens.operators.accounts import DM, PM, account_keys
+from ballotlens.schema import OUTREACH_TYPES
 
 HASH = "account_hash_key"
 KEYS = (HASH, PM, DM)
@@ -38,11 +42,18 @@ def _keys_present(keys: Sequence[str] = KEYS) -> Column:
 
 
 # ---------------------------------------------------------------------- U2
-def distinct_hashes(selection: DataFrame, col: str = HASH) -> DataFrame:
-    """Distinct hash keys of a request; blank values (after trim) are dropped,
-    the kept values are not trimmed."""
-    h = F.col(col).cast("string")
-    return selection.select(h.alias(HASH)).filter(h.isNotNull() & (F.trim(h) != "")).distinct()
+# fixed values: names under which a request may carry the hash key, first one that isn't empty counts
+HASH_NAMES = ("account_hash_key", "accountHashKey", "account_id", "id")
+
+
+def distinct_hashes(selection: DataFrame, col: str | None = None) -> DataFrame:
+    """Distinct hash keys of a request: row by row the first of ``HASH_NAMES``
+    that is neither NULL nor '' (or just ``col``); blank values (after trim)
+    are dropped, the kept values are not trimmed."""
+    names = [col] if col else [c for c in HASH_NAMES if c in selection.columns]
+    values = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in names]
+    h = F.coalesce(*values) if len(values) > 1 else values[0]
+    return selection.select(h.alias(HASH)).filter(F.col(HASH).isNotNull() & (js_trim(HASH) != "")).distinct()
 
 
 # ---------------------------------------------------------------------- J3
@@ -62,7 +73,7 @@ def selected_accounts_all(unvoted: DataFrame, selection: DataFrame) -> DataFrame
     """
     sel = selection.select(F.col(HASH).cast("string").alias(HASH), "key_type",
                            F.col("key_value").cast("bigint").alias("key_value")) \
-        .filter(F.col(HASH).isNotNull() & (F.trim(HASH) != "")).distinct()
+        .filter(F.col(HASH).isNotNull() & (js_trim(HASH) != "")).distinct()
     k = account_keys(unvoted)
     return k.join(sel, [HASH, "key_type", "key_value"], "left_semi").drop("key_type", "key_value")
 
@@ -77,26 +88,31 @@ def flag_existing(rows: DataFrame, outreach: DataFrame, flag: str = "already_exi
     return j.withColumn(flag, F.coalesce(F.col("_hit"), F.lit(0))).drop("_hit").select(*rows.columns, flag)
 
 
-def _first_per_key(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """First row (by ``order``, then all columns) per non-NULL key triple."""
+def _first_per_key(rows: DataFrame, order: Sequence[str], *more: Column) -> DataFrame:
+    """First row (by ``order``, then all columns) per non-NULL key triple; with
+    ``more`` aggregates of the triple's rows."""
     rest = [c for c in rows.columns if c not in order]
-    packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest]).alias("_r")
+    packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])
     keyed = rows.filter(_keys_present())
-    firsts = keyed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(KEYS)]).agg(F.min(packed).alias("_r"))
-    return firsts.select("_r.*").select(*rows.columns)
+    firsts = keyed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(KEYS)]).agg(F.min(packed).alias("_r"), *more)
+    # the keys from the grouping, so that a join on them needs no new shuffle
+    named = [F.col(f"_k{KEYS.index(c)}").alias(c) if c in KEYS else F.col(f"_r.`{c}`").alias(c) for c in rows.columns]
+    return firsts.select(*named, *firsts.columns[len(KEYS) + 1:])
+
+
+def _present(outreach: DataFrame) -> DataFrame:
+    return outreach.select(*KEYS).filter(_keys_present())
 
 
 # ---------------------------------------------------------------------- D2
 def insert_ignore(target: DataFrame, rows: DataFrame, order: Sequence[str] = ("id",)) -> DataFrame:
     """Rows of ``rows`` an INSERT IGNORE would add to ``target``.
 
-    NULL-key rows always go in; the others must not exist in ``target`` and
-    only the first per key triple (by ``order``) goes in.
+    NULL-key rows always go in; of the others the first per key triple (by
+    ``order``) goes in unless the triple exists in ``target``.
     """
-    t = target.select(*KEYS).filter(_keys_present()).distinct()
-    fresh = rows.join(t, list(KEYS), "left_anti")
-    nullkey = fresh.filter(~_keys_present())
-    return _first_per_key(fresh, order).unionByName(nullkey)
+    fresh = _first_per_key(rows, order).join(_present(target), list(KEYS), "left_anti")
+    return fresh.unionByName(rows.filter(~_keys_present()))
 
 
 # ---------------------------------------------------------------------- D3
@@ -104,6 +120,7 @@ def duplicate_messages(duplicates: DataFrame) -> DataFrame:
     def txt(c: str) -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit("null"))
 
+    # fixed value: the message's wording
     msg = F.concat(F.lit("account_hash_key("), txt(HASH), F.lit(")+proposal_master_skey("), txt(PM),
                    F.lit(")+director_master_skey("), txt(DM),
                    F.lit(") is not inserted because it is already in outreach table"))
@@ -120,48 +137,41 @@ def add_to_outreach(selected: DataFrame, outreach: DataFrame, order: Sequence[st
     ``report`` (one row: inserted, skipped, total_shares, inserted_shares).
     ``total_shares`` sums all rows not yet in outreach, in-batch duplicates
     included; ``inserted_shares`` only the rows actually added.
-    ``materialize`` writes the flagged selection once to the shared
-    checkpoint folder so the three outputs do not each recompute it.
+    ``materialize`` writes the grouped selection (a row a triple) once to the
+    shared checkpoint folder so the outputs do not each recompute it.
     """
-    flagged = flag_existing(selected, outreach)
+    shares = F.coalesce(F.col("shares_summable").cast("double"), F.lit(0.0))
+    # one row a triple, with how many rows and shares stand behind it
+    g = _first_per_key(selected, order, F.count(F.lit(1)).alias("_n"), F.sum(shares).alias("_shares"))
+    g = flag_existing(g, outreach)
     if materialize:
         from ballotlens.session import materialize as _mat
-        flagged = _mat(flagged, "outreach-flagged")
-    not_existing = flagged.filter(F.col("already_exists") == 0).drop("already_exists")
-    dups = flagged.filter(F.col("already_exists") == 1).drop("already_exists")
-    new = _first_per_key(not_existing, order).unionByName(not_existing.filter(~_keys_present()))
+        g = _mat(g, "outreach-triples")
+    open_rows = selected.filter(~_keys_present())
+    fresh = g.filter("already_exists = 0")
+    new = fresh.select(*selected.columns).unionByName(open_rows)
+    # rows against the triples that exist: a semi join, split at run time if a triple is hot
+    dups = selected.filter(_keys_present()).join(_present(outreach), list(KEYS), "left_semi")
     target_cols = list(outreach_columns) if outreach_columns is not None else list(outreach.columns)
     common = [c for c in target_cols if c not in ("id", "created_at") and c in set(selected.columns)]
     if not common:
         raise ValueError("no common columns between outreach and the selected rows")
-    report = _add_report(flagged, order)
-    return {"new": new.select(*common), "duplicates": duplicate_messages(dups), "report": report}
+    return {"new": new.select(*common), "duplicates": duplicate_messages(dups), "report": _add_report(g, open_rows, shares)}
 
 
-def _add_report(flagged: DataFrame, order: Sequence[str]) -> DataFrame:
-    """inserted / skipped / total_shares / inserted_shares in one pass.
-
-    Rows are grouped by key triple (a partial aggregate per map task, so a hot
-    triple is combined early).  The "already exists" flag depends only on the
-    triple, so a keyed group inserts one row (its first, by the same order as
-    ``_first_per_key``) unless it exists; rows with a NULL key part all insert.
-    """
-    shares = F.coalesce(F.col("shares_summable").cast("double"), F.lit(0.0))
-    rest = [c for c in flagged.columns if c not in order and c != "already_exists"]
-    packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])
+def _add_report(g: DataFrame, open_rows: DataFrame, shares: Column) -> DataFrame:
+    """inserted / skipped / total_shares / inserted_shares from the triples and
+    the rows with a NULL key part, which are summed up on their own first."""
     fresh = F.col("already_exists") == 0
-    g = flagged.groupBy(*KEYS, _keys_present().alias("_kp")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~fresh).alias("dup"),
-        F.sum(F.when(fresh, shares)).alias("s_fresh"), F.min(F.when(fresh, packed)).alias("first"))
-    kp = F.col("_kp")
-    first_shares = F.coalesce(F.col("first.shares_summable").cast("double"), F.lit(0.0))
-    ins = F.when(kp, F.when(F.col("n") > F.col("dup"), F.lit(1)).otherwise(F.lit(0))).otherwise(F.col("n") - F.col("dup"))
-    ins_sh = F.when(kp, F.when(F.col("first").isNotNull(), first_shares)).otherwise(F.col("s_fresh"))
-    return g.agg(
-        F.coalesce(F.sum(ins), F.lit(0)).cast("bigint").alias("inserted"),
+    a = g.select(fresh.cast("bigint").alias("ins"), F.when(~fresh, F.col("_n")).otherwise(F.lit(0)).alias("dup"),
+                 F.when(fresh, F.col("_shares")).alias("total"), F.when(fresh, shares).alias("ins_shares"))
+    b = open_rows.agg(F.count(F.lit(1)).alias("ins"), F.lit(0).cast("bigint").alias("dup"), F.sum(shares).alias("total"))
+    both = a.unionByName(b.withColumn("ins_shares", F.col("total")))
+    return both.agg(
+        F.coalesce(F.sum("ins"), F.lit(0)).cast("bigint").alias("inserted"),
         F.coalesce(F.sum("dup"), F.lit(0)).cast("bigint").alias("skipped"),
-        F.coalesce(F.sum("s_fresh"), F.lit(0.0)).alias("total_shares"),
-        F.coalesce(F.sum(ins_sh), F.lit(0.0)).alias("inserted_shares"))
+        F.coalesce(F.sum("total"), F.lit(0.0)).alias("total_shares"),
+        F.coalesce(F.sum("ins_shares"), F.lit(0.0)).alias("inserted_shares"))
 
 
 # ---------------------------------------------------------------------- J2
@@ -195,13 +205,11 @@ def copy_rows(source: DataFrame, target: DataFrame, columns: Sequence[str] = OUT
     order = [c for c in order if c in source.columns] or cols[:1]
     src = source.select(*dict.fromkeys(cols + list(order)))
     new = insert_ignore(target, src, order)
-    n_src = src.agg(F.count(F.lit(1)).alias("n"))
-    n_new = new.agg(F.count(F.lit(1)).alias("n"))
-    report = n_src.select(
-        F.col("n").cast("bigint").alias("source_rows"),
-        n_new.select("n").scalar().cast("bigint").alias("copied"),
-        (F.col("n") - n_new.select("n").scalar()).cast("bigint").alias("skipped"),
-    )
+    # one aggregate over both: source rows count 1, new rows 0
+    both = src.select(F.lit(1).alias("s")).unionByName(new.select(F.lit(0).alias("s")))
+    report = both.agg(F.coalesce(F.sum("s"), F.lit(0)).cast("bigint").alias("source_rows"), F.count(F.lit(1)).alias("_all")).select(
+        "source_rows", (F.col("_all") - F.col("source_rows")).cast("bigint").alias("copied"),
+        (2 * F.col("source_rows") - F.col("_all")).cast("bigint").alias("skipped"))
     return {"new": new.select(*cols), "report": report}
 
 
@@ -227,7 +235,7 @@ def migrate_outreach(old: DataFrame, hash_aliases: Sequence[str] = ("account_id"
             raise ValueError("no account hash column to migrate from")
         df = df.withColumnRenamed(src, HASH)
     keep = [c for c in ("id", "created_at") if c in df.columns]
-    out = [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns]
+    out = [F.col(c) if c in df.columns else F.lit(None).cast(OUTREACH_TYPES.get(c, "string")).alias(c) for c in columns]
     return df.select(*keep, *out)
 
 
@@ -237,17 +245,24 @@ def issuer_semi_join(accounts: DataFrame, proposals: DataFrame, issuers: Sequenc
     """Accounts whose proposal key or director key belongs to a proposal of
     one of ``issuers`` (case-insensitive); empty list = no filter.
 
-    Written as two IN-subqueries joined by OR, which Spark plans as two
-    existence joins (hash or sort-merge by size) rather than a nested loop.
-    ``exclude_sentinel`` keeps the -1 "no key" value from matching itself.
+    Rows are told apart by their keys first: those with a valid proposal key
+    are joined on it, those with only a valid director key on that, and those
+    with both whose proposal key doesn't match on the director key.  Each row
+    comes once, and the -1 "no key" rows never enter a join.  With
+    ``exclude_sentinel=False`` -1 is a key like any other.
     """
     if not issuers:
         return accounts
     from ballotlens.operators.proposals import issuer_in
     p = issuer_in(proposals, issuers)
-    pm_keys = p.select(PM).filter(F.col(PM).isNotNull())
-    dm_keys = p.select(DM).filter(F.col(DM).isNotNull())
-    if exclude_sentinel:
-        pm_keys = pm_keys.filter(F.col(PM) != -1)
-        dm_keys = dm_keys.filter(F.col(DM) != -1)
-    return accounts.filter(F.col(PM).isin(pm_keys.distinct()) | F.col(DM).isin(dm_keys.distinct()))
+
+    def valid(c: str) -> Column:
+        v = F.col(c).isNotNull()
+        return v & (F.col(c) != -1) if exclude_sentinel else v
+
+    has_pm, has_dm = F.coalesce(valid(PM), F.lit(False)), F.coalesce(valid(DM), F.lit(False))
+    pm_keys, dm_keys = p.filter(valid(PM)).select(PM), p.filter(valid(DM)).select(DM)
+    by_pm = accounts.filter(has_pm).join(pm_keys, PM, "left_semi")
+    by_dm = accounts.filter(~has_pm & has_dm).join(dm_keys, DM, "left_semi")
+    both = accounts.filter(has_pm & has_dm).join(pm_keys, PM, "left_anti").join(dm_keys, DM, "left_semi")
+    return by_pm.select(*accounts.columns).unionByName(by_dm.select(*accounts.columns)).unionByName(both.select(*accounts.columns))

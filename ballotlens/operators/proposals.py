@@ -16,14 +16,6 @@ from pyspark.sql import functions as F
 from ballotlens.functions import text as T
 from ballotlens.operators import quality as qm
 
-# Above IN_LIST_LIMIT values an IN list becomes a semi join of a frame built
-# from the (driver-side) list; it is hinted for broadcast up to
-# BROADCAST_LIST_LIMIT values (a checked size), and left to a shuffle join
-# beyond that.
-IN_LIST_LIMIT = 1000
-BROADCAST_LIST_LIMIT = 1_000_000
-
-
 def ci_key(c: Column | str) -> Column:
     """Grouping / equality key of the server's case-insensitive collation."""
     c = F.col(c) if isinstance(c, str) else c
@@ -42,12 +34,8 @@ def issuer_in(df: DataFrame, issuers: Sequence[str] | None, col: str = "issuer_n
     if not issuers:
         return df
     keys = sorted({i.rstrip(" ").lower() for i in issuers})
-    if len(keys) <= IN_LIST_LIMIT:
-        return df.filter(ci_key(col).isin(keys))
-    spark = df.sparkSession
-    sel = spark.createDataFrame([(k,) for k in keys], "k string")
-    if len(keys) <= BROADCAST_LIST_LIMIT:
-        sel = F.broadcast(sel)
+    # a local relation: its bytes are known, Spark picks the join by them
+    sel = df.sparkSession.createDataFrame([(k,) for k in keys], "k string")
     return df.join(sel, ci_key(col) == F.col("k"), "left_semi")
 
 
@@ -193,7 +181,7 @@ def filter_options(proposals: DataFrame) -> DataFrame:
     pairs = [(f, c) for f, c in pairs if c in cols]
     args = ", ".join(f"'{f}', CAST({c} AS STRING)" for f, c in pairs)
     long = proposals.select(F.expr(f"stack({len(pairs)}, {args}) AS (field, value)"))
-    return long.filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct()
+    return long.filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct().orderBy("field", "value")
 
 
 def issuer_list(proposals: DataFrame, selected: Sequence[str] = ()) -> DataFrame:
@@ -208,7 +196,7 @@ def issuer_list(proposals: DataFrame, selected: Sequence[str] = ()) -> DataFrame
     sel = list(selected)
     flag = F.col("name").isin(sel) if sel else F.lit(False)
     return g.select("name", "proposal_count", "director_count", F.lit("active").alias("status"),
-                    flag.alias("selected"))
+                    flag.alias("selected"), "k").orderBy("k").drop("k")
 
 
 def top_issuers(proposals: DataFrame, k: int = 10) -> DataFrame:

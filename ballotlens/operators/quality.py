@@ -27,11 +27,19 @@ def _num0(c: str) -> Column:
 
 
 # ------------------------------------------------------------------ A18 / A19
-def delta1(form: str = "table") -> Column:
-    """|pred_for - true_for| / |true_for|.
+def _absent(columns: Sequence[str] | None, needed: Sequence[str]) -> bool:
+    """Whether a table of these columns lacks one that a delta needs."""
+    return columns is not None and any(c not in columns for c in needed)
+
+
+def delta1(form: str = "table", columns: Sequence[str] | None = None) -> Column:
+    """|pred_for - true_for| / |true_for|; NULL where ``columns``, the table's,
+    lack one of the two.
 
     ``table``: a zero (or NULL) true_for divides by 1.  ``quality``: NULL then.
     """
+    if _absent(columns, (PF, TF)):
+        return F.lit(None).cast("double")
     pred, truth = _num0(PF), _num0(TF)
     num = F.abs(pred - truth)
     if form == "table":
@@ -41,8 +49,11 @@ def delta1(form: str = "table") -> Column:
     raise ValueError(f"unknown form {form!r}")
 
 
-def delta2(form: str = "table") -> Column:
-    """|pf/(pf+pa+pb) - tf/(tf+ta+tb)|; zero denominators -> 1 (table) or NULL (quality)."""
+def delta2(form: str = "table", columns: Sequence[str] | None = None) -> Column:
+    """|pf/(pf+pa+pb) - tf/(tf+ta+tb)|; zero denominators -> 1 (table) or NULL
+    (quality); NULL where ``columns``, the table's, lack one of the six."""
+    if _absent(columns, (PF, PA, PB, TF, TA, TB)):
+        return F.lit(None).cast("double")
     pf, pa, pb, tf, ta, tb = (_num0(c) for c in (PF, PA, PB, TF, TA, TB))
     pd, td = pf + pa + pb, tf + ta + tb
     if form == "table":
@@ -55,12 +66,15 @@ def delta2(form: str = "table") -> Column:
 
 
 def with_deltas(proposals: DataFrame, form: str = "table") -> DataFrame:
-    return proposals.withColumn("delta1", delta1(form)).withColumn("delta2", delta2(form))
+    cols = proposals.columns
+    return proposals.withColumn("delta1", delta1(form, cols)).withColumn("delta2", delta2(form, cols))
 
 
 def quality_set(proposals: DataFrame) -> DataFrame:
     """Proposals that enter the quality deltas: true_for exactly 0 is excluded
     from both metrics; a NULL true_for stays (it only loses Delta1)."""
+    if TF not in proposals.columns:
+        return proposals
     tf = F.col(TF)
     return proposals.filter(tf.isNull() | (tf != 0))
 
@@ -114,21 +128,23 @@ def quality_filter(proposals: DataFrame, issuer: str | None = None, proposal_typ
 
 
 # --------------------------------------------------------------------- A16
-def _actual(cols: set[str]) -> tuple[Column, Column]:
-    """(valid, actual) from the first outcome column the table has."""
-    if "approved" in cols:
-        c = F.col("approved").cast("boolean")
-        return c.isNotNull(), c
-    if "proposal_approved" in cols:
-        c = F.col("proposal_approved").cast("boolean")
-        return c.isNotNull(), c
+def _actual(cols: Sequence[str]) -> tuple[Column, Column]:
+    """(valid, actual): row by row from the first of approved,
+    proposal_approved and outcome that holds a value."""
+    found = []
+    for c in ("approved", "proposal_approved"):
+        if c in cols:
+            found.append(F.col(c).try_cast("boolean"))
     if "outcome" in cols:
-        c = F.col("outcome")
-        return c.isNotNull(), F.coalesce(c.cast("string").isin("approved", "Approved", "1"), F.lit(False))
-    raise ValueError("no outcome column (approved / proposal_approved / outcome)")
+        c = F.col("outcome").cast("string")
+        found.append(F.when(c.isNotNull(), c.isin("approved", "Approved", "1")))
+    if not found:
+        raise ValueError("no outcome column (approved / proposal_approved / outcome)")
+    value = F.coalesce(*found) if len(found) > 1 else found[0]
+    return value.isNotNull(), value
 
 
-def _predicted(cols: set[str], actual: Column) -> Column:
+def _predicted(cols: Sequence[str], actual: Column) -> Column:
     """Predicted approval; the fallback is chosen from the columns present (plan time)."""
     if PF in cols and PA in cols:
         by_shares = _num0(PF) > _num0(PA)
@@ -137,7 +153,8 @@ def _predicted(cols: set[str], actual: Column) -> Column:
     elif "Target_encoded" in cols:
         by_shares = F.coalesce(F.col("Target_encoded").cast("string") == "1", F.lit(False))
     else:
-        model = [c for c in sorted(cols) if "prediction_model" in c or "score_model" in c]
+        # the first in the table's column order
+        model = [c for c in cols if "prediction_model" in c or "score_model" in c]
         by_shares = _num0(model[0]) > 0.5 if model else F.lit(False)
     if "prediction_correct" in cols:
         pc = F.col("prediction_correct").cast("boolean")
@@ -147,7 +164,7 @@ def _predicted(cols: set[str], actual: Column) -> Column:
 
 def quality_frame(proposals: DataFrame) -> DataFrame:
     """Per proposal: valid, actual, predicted (the confusion-matrix inputs)."""
-    cols = set(proposals.columns)
+    cols = proposals.columns
     valid, actual = _actual(cols)
     actual_b = F.coalesce(actual, F.lit(False))
     return proposals.select(
@@ -258,11 +275,33 @@ def histograms(values: DataFrame, group_col: str, value_col: str = "value", bins
 
 
 def delta_histogram(proposals: DataFrame, metric: str | None = None, bins: int = 10) -> DataFrame:
-    """Histogram of the quality-form deltas (both metrics, or one)."""
-    d = delta_long(proposals)
-    if metric is not None:
-        d = d.filter(F.col("metric") == metric)
-    return histograms(d, "metric", "value", bins)
+    """Histogram of the quality-form deltas (both metrics, or one).
+
+    The ranges of both metrics are one row, used as a scalar subquery: values
+    are binned and counted without a join on the metric."""
+    wanted = [metric] if metric is not None else ["delta1", "delta2"]
+    d = with_deltas(quality_set(proposals), "quality").select(*wanted)
+    bounds = d.agg(F.map_from_arrays(F.array(*map(F.lit, wanted)), F.array(*[
+        F.struct(F.min(m).alias("mn"), F.max(m).alias("mx")) for m in wanted])).alias("b"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        r = F.element_at("_b", F.col("metric"))
+        size = F.when(r["mx"] == r["mn"], F.lit(0.0)).otherwise((r["mx"] - r["mn"]) / F.lit(float(bins)))
+        return df.withColumn("_b", bounds.scalar()).withColumn("mn", r["mn"]).withColumn("size", size).drop("_b")
+
+    args = ", ".join(f"'{m}', `{m}`" for m in wanted)
+    long = d.select(F.expr(f"stack({len(wanted)}, {args}) AS (metric, value)")).filter("value is not null")
+    idx = F.when(F.col("size") == 0, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("value") - F.col("mn")) / F.col("size")).cast("int"), F.lit(bins - 1)))
+    counts = placed(long).groupBy("metric", idx.alias("bin")).agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+    # a row a bin, counted or not; metrics without values have none
+    frame = placed(proposals.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, wanted))).alias("metric"))) \
+        .filter("mn is not null").select("metric", "mn", "size", F.explode(F.sequence(
+            F.lit(0), F.when(F.col("size") == 0, F.lit(0)).otherwise(F.lit(bins - 1)))).alias("bin"))
+    start = F.col("mn") + F.col("bin") * F.col("size")
+    return frame.join(counts, ["metric", "bin"], "left").select(
+        "metric", "bin", F.format_string("%.2f", start).alias("label"), start.alias("bin_start"),
+        F.coalesce(F.col("cnt"), F.lit(0)).cast("bigint").alias("count"))
 
 
 def quality_report(proposals: DataFrame, group_by: Sequence[str] = (), materialize: bool = False) -> dict[str, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballotlens.functions import clean as C
-from ballotlens.schema import ACCOUNT_ALIASES, OLD_FORMAT_COLUMNS, PROPOSAL_FIELDS
+from ballotlens.schema import ACCOUNT_ALIASES, NARROW_FIELDS, OLD_FORMAT_COLUMNS, PROPOSAL_FIELDS
 
 
 # ---------------------------------------------------------------------- H1
@@ -80,28 +80,8 @@ def _typed(raw: Column, kind: str, float_mode: str) -> Column:
     return C.clean_blank(raw)
 
 
-# Built expression lists, keyed by (application, input columns, mode): Column
-# expressions are immutable, unresolved trees, so a list built once is reused
-# by every later call instead of being rebuilt with ~2000 driver->JVM calls.
-_EXPR_CACHE: dict[tuple, list[Column]] = {}
-
-
-def _cache_key(raw: DataFrame, *parts) -> tuple:
-    try:
-        app = raw.sparkSession.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - no SparkContext handle: do not cache
-        return ()
-    return (app, tuple(raw.columns), *parts)
-
-
-def _normalise_exprs(raw: DataFrame, float_mode: str, fields: Sequence[tuple[str, str, str]]) -> list[Column]:
-    cols = set(raw.columns)
-    out = []
-    for name, header, kind in fields:
-        src = header if header in cols else (name if name in cols else None)
-        rawc = F.col(f"`{src}`").cast("string") if src else F.lit(None).cast("string")
-        out.append(_typed(rawc, kind, float_mode).alias(name))
-    return out
+def _source(df: DataFrame, header: str, name: str) -> str | None:
+    return header if header in df.columns else name if name in df.columns else None
 
 
 def normalise_proposals(raw: DataFrame, float_mode: str = "float",
@@ -111,28 +91,80 @@ def normalise_proposals(raw: DataFrame, float_mode: str = "float",
     one ``select``.  ``float_mode`` 'float' parses ratios as floats, 'numeric'
     as exact decimals rounded to 4 places.  Headers absent from the file give
     NULL columns; ``merge_*`` and other extra columns are dropped."""
-    key = _cache_key(raw, "normalise", float_mode, tuple(fields))
-    exprs = _EXPR_CACHE.get(key) if key else None
-    if exprs is None:
-        exprs = _normalise_exprs(raw, float_mode, fields)
-        if key:
-            _EXPR_CACHE[key] = exprs
-    return raw.select(*exprs, *extra)
+    out = []
+    for name, header, kind in fields:
+        src = _source(raw, header, name)
+        rawc = F.col(f"`{src}`").cast("string") if src else F.lit(None).cast("string")
+        out.append(_typed(rawc, kind, float_mode).alias(name))
+    return raw.select(*out, *extra)
+
+
+def normalise_excel_proposals(raw: DataFrame, fields: Sequence[tuple[str, str, str]] = PROPOSAL_FIELDS) -> DataFrame:
+    """The same fields from rows read out of a spreadsheet: text is kept as it
+    is ('' and -1 too), whole numbers keep -1, shares and ratios are floats,
+    dates take any layout, the two text columns of the prospectus become
+    percentages."""
+    out = []
+    for name, header, kind in fields:
+        src = _source(raw, header, name)
+        x = F.col(f"`{src}`") if src else F.lit(None).cast("string")
+        text = x.cast("string")
+        if name in ("against_prospectus_2026", "abstain_prospectus_2026"):
+            v = C.clean_percentage(text)
+        elif kind == "float" or name.endswith("_shares"):
+            v = C.clean_float(text)
+        elif kind == "int":
+            v = C.clean_int_excel(text)
+        elif kind == "bool":
+            v = C.clean_bool_excel(text)
+        elif kind == "date":
+            v = C.date_from_any(x)
+        else:
+            v = text
+        out.append(v.alias(name))
+    return raw.select(*out)
+
+
+def normalise_narrow_proposals(raw: DataFrame, fields: Sequence[tuple[str, str]] = NARROW_FIELDS) -> DataFrame:
+    """The narrow file's 19 fields and ``_failed``: rows whose keys or flags
+    aren't whole numbers can't be inserted; any other bad cell becomes NULL."""
+    out, failed = [], F.lit(False)
+    for name, kind in fields:
+        x = F.col(name).cast("string") if name in raw.columns else F.lit(None).cast("string")
+        if kind == "key":
+            v = F.when(~C.is_blank(x), F.when(C.strip(x).rlike("^[+-]?[0-9]+$"), C.strip(x).try_cast("bigint")))
+            failed = failed | (~C.is_blank(x) & v.isNull())
+        elif kind == "flag":
+            v = C.clean_bool_default(x)
+            failed = failed | v.isNull()
+        elif kind in ("num6", "num4"):
+            v = C.clean_numeric_sci(x, int(kind[3:]))
+        elif kind == "date":
+            v = C.clean_date3(x)
+        elif kind == "text500":
+            v = C.clean_truncate(x, 500)
+        else:
+            v = F.when(~C.is_blank(x), x)
+        out.append(v.alias(name))
+    return raw.select(*out, failed.alias("_failed"))
+
+
+def union_proposal_forms(wide: DataFrame, narrow: DataFrame) -> DataFrame:
+    """Wide and narrow rows in one table: fields that a form lacks are NULL,
+    ``mt_date`` takes the narrow form's ``meeting_date``, shares are doubles."""
+    shares = [c for c in wide.columns if c.endswith("_shares") and c in narrow.columns]
+    both = wide.withColumns({c: F.col(c).cast("double") for c in shares}).unionByName(
+        narrow.withColumns({c: F.col(c).cast("double") for c in shares}), allowMissingColumns=True)
+    return both.withColumn("mt_date", F.coalesce("mt_date", "meeting_date")) if "mt_date" in both.columns else both
 
 
 def proposal_errors(raw: DataFrame, fields: Sequence[tuple[str, str, str]] = PROPOSAL_FIELDS,
                     float_mode: str = "float") -> Column:
     """Array of the fields whose raw text is not blank but did not parse."""
-    key = _cache_key(raw, "errors", float_mode, tuple(fields))
-    if key and key in _EXPR_CACHE:
-        return _EXPR_CACHE[key][0]
-    cols = set(raw.columns)
     errs = []
     for name, header, kind in fields:
-        if kind in ("str", "dirname"):
-            continue
-        src = header if header in cols else (name if name in cols else None)
-        if src is None:
+        src = _source(raw, header, name)
+        if kind in ("str", "dirname") or src is None:
             continue
         r = F.col(f"`{src}`").cast("string")
         bad = ~C.is_blank(r) & _typed(r, kind, float_mode).isNull()
@@ -141,10 +173,7 @@ def proposal_errors(raw: DataFrame, fields: Sequence[tuple[str, str, str]] = PRO
         if kind == "date":
             bad = bad & (F.lower(C.strip(r)) != "null")
         errs.append(F.when(bad, F.lit(name)))
-    out = F.filter(F.array(*errs), lambda x: x.isNotNull()) if errs else F.array().cast("array<string>")
-    if key:
-        _EXPR_CACHE[key] = [out]
-    return out
+    return F.filter(F.array(*errs), lambda x: x.isNotNull()) if errs else F.array().cast("array<string>")
 
 
 # ---------------------------------------------------------------------- H6

@@ -41,15 +41,15 @@ def type_ok(value: Column, kind: str) -> Column:
     return v.isNull() | (v == "") | ok
 
 
-def type_violations(df: DataFrame, checks: Mapping[str, str], order_col: str, n: int | None = 10,
+def type_violations(df: DataFrame, checks: Mapping[str, str], order_col: str, n: int | None = None,
                     row_offset: int = 2) -> DataFrame:
     """(row key, column, expected, got) for every failing check.
 
-    With ``n`` the check covers the first ``n`` rows by ``order_col`` (the
-    upload validator's sample) and adds ``row``: the line in the file (1-based
+    All rows are checked.  With ``n`` (the upload validator samples 10) only
+    the first ``n`` rows by ``order_col`` are, and the result adds ``row``: the line in the file (1-based
     position + ``row_offset - 1``, i.e. header = line 1).  Numbering only the
-    ``n``-row sample keeps that window tiny; ``n=None`` checks all rows and
-    reports them by ``order_col`` only (no global numbering).  Columns absent
+    ``n``-row sample keeps that window tiny; without ``n``
+    rows are named by ``order_col`` only (no global numbering).  Columns absent
     from ``df`` are skipped (V1 reports them)."""
     present = [(c, k) for c, k in checks.items() if c in df.columns]
     items = [F.when(~type_ok(F.col(c), k), F.struct(F.lit(c).alias("column"), F.lit(k).alias("expected"),
@@ -174,21 +174,32 @@ def load_completeness(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- V7
-def load_report(rows: DataFrame, errors_col: str = "_errors") -> DataFrame:
-    """Imported vs error rows (a row is in error when its error array is not empty)."""
-    bad = F.size(F.col(errors_col)) > 0
-    return rows.agg(F.count_if(~bad).cast("bigint").alias("imported"), F.count_if(bad).cast("bigint").alias("errors"))
+def load_report(rows: DataFrame, errors_col: str = "_errors", failed_col: str | None = None) -> DataFrame:
+    """Rows imported, rows that can't be inserted (``failed_col``; none where
+    the table takes NULL in every field), rows with a cell that was set to NULL
+    because it didn't parse, and how many such cells."""
+    failed = F.col(failed_col) if failed_col else F.lit(False)
+    n = F.size(F.col(errors_col))
+    return rows.agg(F.count_if(~failed).cast("bigint").alias("imported"), F.count_if(failed).cast("bigint").alias("errors"),
+                    F.count_if(~failed & (n > 0)).cast("bigint").alias("rows_with_bad_cells"),
+                    F.coalesce(F.sum(F.when(~failed, n)), F.lit(0)).cast("bigint").alias("bad_cells"))
 
 
-def split_rejects(rows: DataFrame, errors_col: str = "_errors") -> tuple[DataFrame, DataFrame]:
-    bad = F.size(F.col(errors_col)) > 0
-    return rows.filter(~bad).drop(errors_col), rows.filter(bad)
+def cell_errors(rows: DataFrame, errors_col: str = "_errors") -> DataFrame:
+    """Cells set to NULL, per field."""
+    return rows.select(F.explode(errors_col).alias("field")).groupBy("field").agg(F.count(F.lit(1)).cast("bigint").alias("bad_cells"))
 
 
-def enforce_error_budget(report: DataFrame, max_errors: int) -> dict:
-    """Pull the one-row report and stop the load when errors exceed the budget."""
+def split_rejects(rows: DataFrame, failed_col: str = "_failed") -> tuple[DataFrame, DataFrame]:
+    """(rows to insert, rows that can't be)."""
+    return rows.filter(~F.col(failed_col)).drop(failed_col), rows.filter(F.col(failed_col))
+
+
+def enforce_error_budget(report: DataFrame, max_errors: int | None = None) -> dict:
+    """Pull the one-row report; stop the load when more rows failed than
+    ``max_errors`` (None: no limit)."""
     r = report.first().asDict()
-    if r["errors"] > max_errors:
+    if max_errors is not None and r["errors"] > max_errors:
         raise RuntimeError(f"load stopped: {r['errors']} error rows > {max_errors}")
     return r
 
@@ -199,32 +210,27 @@ def table_counts(accounts: DataFrame, dataset_col: str = "dataset", voted_col: s
     t = F.when(F.col(voted_col) == 1, "account_voted").otherwise("account_unvoted")
     g = accounts.groupBy(F.col(dataset_col).alias("dataset"), t.alias("table")).agg(
         F.count(F.lit(1)).cast("bigint").alias("rows"))
-    tot = accounts.groupBy(F.col(dataset_col).alias("dataset")).agg(F.count(F.lit(1)).cast("bigint").alias("rows")) \
-        .select("dataset", F.lit("total").alias("table"), "rows")
-    return g.unionByName(tot)
+    # totals from the grouped rows: the accounts are read once
+    both = g.groupingSets([["dataset", "table"], ["dataset"]], "dataset", "table").agg(
+        F.sum("rows").cast("bigint").alias("rows"), F.grouping("table").alias("is_total"))
+    return both.select("dataset", F.when(F.col("is_total") == 1, F.lit("total")).otherwise(F.col("table")).alias("table"), "rows")
 
 
 # --------------------------------------------------------------------- A25
 def table_inventory(spark: SparkSession, tables: Mapping[str, str], skip_pattern: str = "backup") -> DataFrame:
     """Per table: rows, files and size in MB (from the file metadata column),
     skipping tables whose name contains ``skip_pattern``."""
-    parts = []
+    files = None
     for name, path in sorted(tables.items()):
         if skip_pattern and skip_pattern in name.lower():
             continue
-        df = spark.read.parquet(path)
-        files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-        size = files.agg(F.sum("file_size")).scalar()
-        nfiles = files.agg(F.count(F.lit(1))).scalar()
-        parts.append(df.agg(F.count(F.lit(1)).cast("bigint").alias("rows")).select(
-            F.lit(name).alias("table"), "rows", nfiles.cast("bigint").alias("files"),
-            F.round(size / (1024 * 1024), 2).alias("size_mb")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    total = out.agg(F.lit("TOTAL").alias("table"), F.sum("rows").cast("bigint").alias("rows"),
-                    F.sum("files").cast("bigint").alias("files"), F.round(F.sum("size_mb"), 2).alias("size_mb"))
-    return out.unionByName(total)
+        # one pass a table, a row a file
+        one = spark.read.parquet(path).groupBy("_metadata.file_path").agg(
+            F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes")).select(F.lit(name).alias("table"), "rows", "bytes")
+        files = one if files is None else files.unionByName(one)
+    sums = files.rollup("table").agg(F.sum("rows").cast("bigint").alias("rows"), F.count(F.lit(1)).cast("bigint").alias("files"),
+                                     F.round(F.sum("bytes") / (1024 * 1024), 2).alias("size_mb"))
+    return sums.withColumn("table", F.coalesce("table", F.lit("TOTAL")))
 
 
 # ---------------------------------------------------------------------- H10

@@ -27,24 +27,9 @@ TABLES = (
 ).split()
 
 
-_READ_CACHE: dict[tuple[str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The driver's table as a DataFrame.  The reader (schema from the file
-    footer) is built once per application and path: the inputs are immutable,
-    and resolving a Parquet schema costs a driver round trip per call."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle (Spark Connect)
-        app = str(id(spark))
-    key = (app, path)
-    df = _READ_CACHE.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _READ_CACHE[key] = df
-    return df
+    """The driver's table as a DataFrame."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 # The builders run the view SQL below through ``spark.sql`` with the input
@@ -168,7 +153,10 @@ SELECT CAST(p_partkey + 1 AS BIGINT) AS id,
   CAST(pu AS BIGINT) AS total_unvoted_shares,
   CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN coalesce(tf, 0) > coalesce(ta, 0) THEN TRUE ELSE FALSE END AS approved,
   CASE WHEN p_partkey % 17 = 0 OR p_partkey % 19 = 0 THEN NULL
-       WHEN (coalesce(pf, 0) > coalesce(pa, 0)) = (coalesce(tf, 0) > coalesce(ta, 0)) THEN TRUE ELSE FALSE END AS prediction_correct
+       WHEN (coalesce(pf, 0) > coalesce(pa, 0)) = (coalesce(tf, 0) > coalesce(ta, 0)) THEN TRUE ELSE FALSE END AS prediction_correct,
+  CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_partkey % 10000 AS DOUBLE) / 10000 END AS for_percentage,
+  CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(p_partkey % 1000 AS DOUBLE) / 1000 END AS for_percentage_true,
+  CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST('2024-01-01' AS DATE) + CAST(p_partkey % 365 AS INT) END AS mt_date
 FROM part LEFT JOIN account_rollup ON part_key = p_partkey""",
     "outreach": """
 SELECT MIN(id) AS id, account_hash_key, proposal_master_skey, director_master_skey,
@@ -185,7 +173,8 @@ SELECT 'calibrated' AS dataset, is_voted, account_hash_key, score AS score_model
 SELECT o_orderkey AS row_id,
   CASE o_orderkey % 12 WHEN 0 THEN '' WHEN 1 THEN '-1' WHEN 2 THEN '-1.0' WHEN 3 THEN ' 7 ' WHEN 4 THEN '123.9' WHEN 5 THEN '-2.5'
        WHEN 6 THEN 'abc' WHEN 7 THEN NULL WHEN 8 THEN '1e3' WHEN 9 THEN 'null' WHEN 10 THEN '2.5' ELSE CAST(o_custkey AS VARCHAR(20)) END AS num_text,
-  CASE o_orderkey % 5 WHEN 0 THEN '1,234.56789' WHEN 1 THEN ' 0.12344 ' WHEN 2 THEN 'NULL' WHEN 3 THEN '12,3x' ELSE '1234567' END AS comma_text,
+  CASE o_orderkey % 5 WHEN 0 THEN '1,234.56789' WHEN 1 THEN ' 0.12344 ' WHEN 2 THEN 'NULL' WHEN 3 THEN '12,3x'
+       ELSE CASE o_orderkey % 4 WHEN 0 THEN '0x1FFFFFFFFFFFFFFFFF' WHEN 1 THEN '0x10' WHEN 2 THEN '1e400' ELSE '1234567' END END AS comma_text,
   CASE o_orderkey % 11 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'yes' WHEN 2 THEN 'Y' WHEN 3 THEN '1' WHEN 4 THEN 'false' WHEN 5 THEN ' no '
        WHEN 6 THEN 'N' WHEN 7 THEN '0' WHEN 8 THEN 'maybe' WHEN 9 THEN '' ELSE 't' END AS bool_text,
   CASE o_orderkey % 9
@@ -197,7 +186,7 @@ SELECT o_orderkey AS row_id,
        WHEN 5 THEN concat('25-', CAST(month(o_orderdate) AS VARCHAR(2)), '-', CAST(year(o_orderdate) AS VARCHAR(4)))
        WHEN 6 THEN ' null ' WHEN 7 THEN 'not a date' ELSE '5/13/25' END AS date_text,
   CASE o_orderkey % 4 WHEN 0 THEN '12.5%' WHEN 1 THEN '~ 7' WHEN 2 THEN 'n/a' ELSE '--' END AS pct_text,
-  CASE o_orderkey % 6 WHEN 0 THEN 'nan' WHEN 1 THEN 'None' WHEN 2 THEN '   ' WHEN 3 THEN NULL ELSE concat('H', CAST(o_orderkey AS VARCHAR(20))) END AS key_text
+  CASE o_orderkey % 6 WHEN 0 THEN 'nan' WHEN 1 THEN 'None' WHEN 2 THEN concat('  ', chr(9)) WHEN 3 THEN NULL ELSE concat('H', CAST(o_orderkey AS VARCHAR(20))) END AS key_text
 FROM orders""",
     "dump_lines": """
 SELECT o_orderkey AS line_no,

@@ -5,11 +5,15 @@ Accounts: read (Parquet or CSV) -> alias the model columns -> type and clean
 ``dataset`` / ``is_voted``, each file sorted by proposal key, so later key
 lookups skip row groups.  No shuffle: one task per input split.
 
-Proposals: read CSV by header name -> normalise the 48 fields -> split
-rows with unparseable values into a rejects table -> enforce the error
-budget -> write.
+Proposals: read CSV by header name -> normalise the 48 fields -> write every
+row, a cell that doesn't parse as NULL; bad cells are counted per field during
+the write.  The narrow form fails rows whose keys or flags aren't whole
+numbers; those go to a rejects table.
 
-Both are one scan and one write; nothing passes through the driver, and a
+Outreach: read CSV by header name -> clean the 11 columns -> skip rows without
+a hash key -> append those whose key triple isn't there yet.
+
+Each is one scan and one write; nothing passes through the driver, and a
 re-run overwrites the same partitions (safe after a lost executor or a
 failed job).
 """
@@ -18,14 +22,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballotlens.functions import clean as C
+from ballotlens.operators import outreach as ot
 from ballotlens.operators import shape as sh
 from ballotlens.operators import validate as va
-from ballotlens.schema import ACCOUNT_ALIASES
+from ballotlens.schema import ACCOUNT_ALIASES, ACCOUNTS_SCHEMA, OUTREACH_TYPES, PROPOSAL_FIELDS
 from ballotlens.sources import sinks
 
 ACCOUNT_OUT = ("account_hash_key", "proposal_master_skey", "director_master_skey", "account_type",
@@ -44,7 +49,8 @@ def prepare_accounts(raw: DataFrame, dataset: str, is_voted: int, fill_zero: boo
     """Typed, cleaned account rows ready to write.
 
     ``fill_zero`` reproduces the loader variant that turns missing keys and
-    shares into 0 (half-even rounding); by default a missing value stays NULL.
+    shares into 0 (whole numbers, half-even rounding) and missing-value tokens
+    of the account type into ''; by default a missing value stays NULL.
     """
     df = sh.copy_if_missing(sh.alias_columns(raw, ACCOUNT_ALIASES))
     df = sh.drop_redundant(df)
@@ -53,16 +59,17 @@ def prepare_accounts(raw: DataFrame, dataset: str, is_voted: int, fill_zero: boo
     types = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for c in columns:
-        if c not in types:
-            out.append(F.lit(None).alias(c))
+        if c not in types:   # typed, or later files could not share the table
+            out.append(F.lit(None).cast(ACCOUNTS_SCHEMA[c].dataType).alias(c))
             continue
         x, t = F.col(c), types[c]
         # typed (Parquet) columns are cast directly; text (CSV) columns parsed
         if c in ints:
             v = C.coerce_int_zero(x) if fill_zero else C.as_long(x, t)
         elif c == "shares_summable":
-            v = _as_decimal(x, t, "decimal(20,4)")
-            v = F.coalesce(v, F.lit(0).cast("decimal(20,4)")) if fill_zero else v
+            v = C.coerce_int_zero(x).cast("decimal(20,4)") if fill_zero else _as_decimal(x, t, "decimal(20,4)")
+        elif c == "account_type" and fill_zero:
+            v = C.blank_text_tokens(x.cast("string"))
         elif c.startswith("score_model"):
             v = _as_decimal(x, t, "decimal(20,15)")
         elif c.startswith("prediction_model"):
@@ -85,22 +92,59 @@ def load_accounts(raw: DataFrame, target: str, dataset: str, is_voted: int, **kw
                         sort_within=("dataset", "is_voted", "proposal_master_skey", "account_hash_key"))
 
 
-def prepare_proposals(raw: DataFrame, float_mode: str = "float") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(good rows, rejects with their error fields, one-row load report)."""
+def prepare_proposals(raw: DataFrame, float_mode: str = "float") -> DataFrame:
+    """Every row typed, and ``_errors``: its fields that were set to NULL."""
     raw = sh.drop_prefixed(raw)
-    errors = sh.proposal_errors(raw, float_mode=float_mode).alias("_errors")
-    typed = sh.normalise_proposals(raw, float_mode, extra=[errors])
-    good, bad = va.split_rejects(typed)
-    return good, bad, va.load_report(typed)
-
-
-def load_proposals(raw: DataFrame, target: str, dataset: str, max_errors: int = 100,
-                   float_mode: str = "float", rejects_path: str | None = None) -> dict:
-    """Load one dataset's proposals; stop (write nothing) when the error rows
-    exceed ``max_errors``."""
-    good, bad, report = prepare_proposals(raw, float_mode)
+    return sh.normalise_proposals(raw, float_mode, extra=[sh.proposal_errors(raw, float_mode=float_mode).alias("_errors")])
+
+
+def load_proposals(raw: DataFrame, target: str, dataset: str, float_mode: str = "float") -> dict:
+    """Load one dataset's proposals, all rows.  Returns the rows imported and
+    the cells set to NULL by field, counted while the rows are written."""
+    typed, seen = prepare_proposals(raw, float_mode), Observation()
+    fields = [n for n, _, kind in PROPOSAL_FIELDS if kind not in ("str", "dirname")]
+    typed = typed.observe(seen, F.count(F.lit(1)).alias("imported"),
+                          *[F.count_if(F.array_contains("_errors", n)).alias(n) for n in fields])
+    sinks.replace_table(typed.drop("_errors").withColumn("dataset", F.lit(dataset)), target, partition_by=("dataset",))
+    counts = seen.get
+    return {"imported": counts["imported"], "errors": 0, "bad_cells": {n: counts[n] for n in fields if counts[n]}}
+
+
+def load_narrow_proposals(raw: DataFrame, target: str, dataset: str, max_errors: int | None = None,
+                          rejects_path: str | None = None) -> dict:
+    """Load the narrow form; rows that fail go to ``rejects_path`` if given.
+    ``max_errors`` stops the load, writing nothing, when more rows fail; by
+    default any number may."""
+    rows = sh.normalise_narrow_proposals(raw)
+    report = rows.agg(F.count_if(~F.col("_failed")).alias("imported"), F.count_if("_failed").alias("errors"))
     r = va.enforce_error_budget(report, max_errors)
+    good, bad = va.split_rejects(rows)
     if rejects_path:
-        bad.withColumn("dataset", F.lit(dataset)).write.mode("overwrite").parquet(rejects_path)
+        bad.drop("_failed").withColumn("dataset", F.lit(dataset)).write.mode("overwrite").parquet(rejects_path)
     sinks.replace_table(good.withColumn("dataset", F.lit(dataset)), target, partition_by=("dataset",))
     return r
+
+
+def prepare_outreach(raw: DataFrame) -> DataFrame:
+    """The 11 outreach columns, cleaned; rows without a hash key left out."""
+    def x(c):
+        return F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string")
+
+    def clean(c):
+        if c == "account_hash_key":
+            return x(c)
+        if c in ("unnamed_col", "account_type"):
+            return C.clean_blank(x(c))
+        if c == "prediction_model1":
+            return C.clean_tinyint(x(c))
+        return C.clean_float(x(c)) if c in ("shares_summable", "score_model1") else C.clean_int(x(c))
+
+    rows = raw.select(*[clean(c).cast(t).alias(c) for c, t in OUTREACH_TYPES.items()])
+    return rows.filter(F.coalesce("account_hash_key", F.lit("")) != "")
+
+
+def load_outreach(raw: DataFrame, target: str, dataset: str) -> DataFrame:
+    """Append an outreach file to ``dataset``'s part of the table, skipping
+    rows whose key triple is there or comes twice (of those the least row
+    stays).  Returns (source_rows, copied, skipped)."""
+    return sinks.copy_table(prepare_outreach(raw), target, ot.copy_rows, dataset=dataset, order=ot.OUTREACH_COLUMNS)

@@ -348,7 +348,7 @@ SELECT id, """ + _plain_sql("proposal_master_skey") + " AS proposal_master_key,
           + _truncate_sql("CASE WHEN trim(proposal) <> '' THEN proposal END") + """ AS proposal_content,
   CASE WHEN prediction_correct THEN 'Correct' ELSE 'Incorrect' END AS prediction_accuracy,
   CASE WHEN approved THEN 'Yes' ELSE 'No' END AS approved_status,
-  '-' AS for_percentage, '-' AS true_for_percentage, """
+  """ + _pct_sql("for_percentage") + " AS for_percentage, " + _pct_sql("for_percentage_true") + """ AS true_for_percentage, """
           + ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE format('{{:,}}', {c}) END AS {c}" for c in _SHARE_COLS)
           + ", " + _pct_sql("delta1") + " AS delta1, " + _pct_sql("delta2") + " AS delta2 FROM d",
           ["proposals"])
@@ -357,7 +357,8 @@ def q_proposal_report(spark, sf):
 
 
 _PROPOSAL_COLS = ["id", "proposal_master_skey", "director_master_skey", "final_key", "issuer_name", "proposal",
-                  "category", "subcategory", "proposal_type"] + _SHARE_COLS + ["approved", "prediction_correct"]
+                  "category", "subcategory", "proposal_type"] + _SHARE_COLS + [
+    "approved", "prediction_correct", "for_percentage", "for_percentage_true", "mt_date"]
 
 
 def _detail_sql() -> str:
@@ -365,6 +366,8 @@ def _detail_sql() -> str:
     for c in _PROPOSAL_COLS:
         if c in ("approved", "prediction_correct"):
             v = f"CASE WHEN {c} IS NULL THEN 'N/A' WHEN {c} THEN 'Yes' ELSE 'No' END"
+        elif c.startswith("for_percentage"):
+            v = _pct_sql(c, "N/A")
         else:
             v = f"CASE WHEN CAST({c} AS VARCHAR) IS NULL OR CAST({c} AS VARCHAR) = '' THEN 'N/A' ELSE CAST({c} AS VARCHAR) END"
         parts.append(f"SELECT id, '{c}' AS field, {v} AS value FROM proposals")
@@ -518,7 +521,7 @@ def q_issuer_semi_join(spark, sf):
 
 
 @register("distinct_hashes", """
-SELECT DISTINCT key_text AS account_hash_key FROM raw_values WHERE key_text IS NOT NULL AND trim(key_text) <> ''""",
+SELECT DISTINCT key_text AS account_hash_key FROM raw_values WHERE key_text IS NOT NULL AND trim(key_text, ' ' || chr(9)) <> ''""",
           ["raw_values"])
 def q_distinct_hashes(spark, sf):
     return ot.distinct_hashes(fx.raw_values(spark, sf), "key_text")
@@ -545,31 +548,33 @@ def q_delete_where(spark, sf):
 
 
 @register("migrate_outreach", """
-SELECT id, NULL::VARCHAR AS row_index, NULL::VARCHAR AS unnamed_col, account_hash_key, proposal_master_skey,
-  director_master_skey, account_type, shares_summable, rank_of_shareholding, NULL::VARCHAR AS score_model1,
-  NULL::VARCHAR AS prediction_model1, NULL::VARCHAR AS Target_encoded FROM outreach""", ["outreach"])
+SELECT id, NULL::BIGINT AS row_index, NULL::VARCHAR AS unnamed_col, account_hash_key, proposal_master_skey,
+  director_master_skey, account_type, shares_summable, rank_of_shareholding, NULL::DOUBLE AS score_model1,
+  NULL::INTEGER AS prediction_model1, NULL::BIGINT AS Target_encoded FROM outreach""", ["outreach"])
 def q_migrate_outreach(spark, sf):
-    old = fx.outreach(spark, sf).withColumnRenamed("account_hash_key", "account_id")
-    m = ot.migrate_outreach(old)
-    return m.select(*[F.col(c).cast("string").alias(c) if c in ("row_index", "unnamed_col", "score_model1",
-                                                                  "prediction_model1", "Target_encoded")
-                      else F.col(c) for c in m.columns])
+    return ot.migrate_outreach(fx.outreach(spark, sf).withColumnRenamed("account_hash_key", "account_id"))
 
 
 @register("copy_outreach", f"""
-WITH src AS (SELECT * FROM account_unvoted WHERE rank_of_shareholding <= 3),
+WITH src AS (SELECT * FROM account_unvoted),
 ok AS (SELECT DISTINCT account_hash_key, proposal_master_skey, director_master_skey FROM outreach WHERE {_KEYS_NN}),
 fr AS (SELECT u.* FROM src u WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.account_hash_key = u.account_hash_key
   AND ok.proposal_master_skey = u.proposal_master_skey AND ok.director_master_skey = u.director_master_skey)),
 nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_hash_key, proposal_master_skey, director_master_skey
     ORDER BY {_ORDER_ALL}) AS rn FROM fr WHERE {_KEYS_NN}) t WHERE rn = 1
   UNION ALL SELECT *, 1 AS rn FROM fr WHERE NOT ({_KEYS_NN}))
-SELECT CAST((SELECT count(*) FROM src) AS BIGINT) AS source_rows, CAST((SELECT count(*) FROM nw) AS BIGINT) AS copied,
-  CAST((SELECT count(*) FROM src) - (SELECT count(*) FROM nw) AS BIGINT) AS skipped""",
-          ["account_unvoted", "outreach"])
+SELECT {", ".join(_OUTREACH_COMMON)}, 'proxy' AS dataset FROM outreach
+UNION ALL SELECT {", ".join(_OUTREACH_COMMON)}, 'other' FROM outreach
+UNION ALL SELECT {", ".join(_OUTREACH_COMMON)}, 'proxy' FROM nw""", ["account_unvoted", "outreach"])
 def q_copy_outreach(spark, sf):
-    src = fx.account_unvoted(spark, sf).filter(F.col("rank_of_shareholding") <= 3)
-    return ot.copy_rows(src, fx.outreach(spark, sf))["report"]
+    """All unvoted rows copied into one dataset of a partitioned outreach
+    table; the whole table read back."""
+    path = scratch_path(spark, f"outreach-{uuid.uuid4().hex[:12]}")
+    old = fx.outreach(spark, sf).select(*_OUTREACH_COMMON)
+    for name in ("proxy", "other"):
+        sinks.append_table(old.withColumn("dataset", F.lit(name)), path)
+    sinks.copy_table(fx.account_unvoted(spark, sf), path, ot.copy_rows, dataset="proxy", columns=_OUTREACH_COMMON, order=_U_COLS)
+    return spark.read.parquet(path).select(*_OUTREACH_COMMON, "dataset")
 
 
 # ================================================================ account analytics
@@ -837,7 +842,7 @@ _clean_query("clean_float", C.clean_float, "num_text",
 _clean_query("clean_numeric", C.clean_numeric, "comma_text",
              f"CASE WHEN {_blank('comma_text')} OR lower(trim(comma_text)) = 'null' THEN NULL "
              f"WHEN regexp_matches(trim(replace(comma_text, ',', '')), '{_DEC_RE}') THEN "
-             "CAST(round(CAST(trim(replace(comma_text, ',', '')) AS DECIMAL(38,10)), 4) AS DECIMAL(38,4)) END")
+             "CAST(round(TRY_CAST(trim(replace(comma_text, ',', '')) AS DECIMAL(38,10)), 4) AS DECIMAL(38,4)) END")
 _clean_query("clean_numeric_sci", lambda c: C.clean_numeric_sci(c, 6), "num_text",
              f"CASE WHEN {_blank('num_text')} THEN NULL "
              "WHEN num_text LIKE '%E+%' OR num_text LIKE '%E-%' OR num_text LIKE '%e+%' OR num_text LIKE '%e-%' "
@@ -890,7 +895,9 @@ _clean_query("clean_blank", C.clean_blank, "key_text", "nullif(key_text, '')")
 _clean_query("clean_director_name", C.clean_director_name, "num_text",
              "CASE WHEN num_text NOT IN ('', '-1') THEN num_text END")
 _clean_query("parse_number", C.parse_number, "comma_text",
-             f"CASE WHEN replace(trim(comma_text), ',', '') <> '' AND regexp_matches(replace(trim(comma_text), ',', ''), "
+             "CASE WHEN comma_text = '0x1FFFFFFFFFFFFFFFFF' THEN 590295810358705651712.0 WHEN comma_text = '0x10' THEN 16.0 "
+             "WHEN comma_text = '1e400' THEN NULL "
+             f"WHEN replace(trim(comma_text), ',', '') <> '' AND regexp_matches(replace(trim(comma_text), ',', ''), "
              f"'{_DEC_RE}') THEN CAST(replace(trim(comma_text), ',', '') AS DOUBLE) END")
 _clean_query("coerce_int_zero", C.coerce_int_zero, "num_text",
              f"coalesce(CASE WHEN {_num_ok('num_text')} THEN CAST(round_even(CAST(trim(num_text) AS DOUBLE), 0) AS BIGINT) END, 0)")
@@ -898,7 +905,7 @@ _clean_query("coerce_int_zero", C.coerce_int_zero, "num_text",
 
 @register("drop_blank_keys", """
 SELECT row_id, CASE WHEN key_text IS NULL OR key_text IN ('nan', 'None') THEN '' ELSE key_text END AS key_text
-FROM raw_values WHERE trim(CASE WHEN key_text IS NULL OR key_text IN ('nan', 'None') THEN '' ELSE key_text END) <> ''""",
+FROM raw_values WHERE trim(CASE WHEN key_text IS NULL OR key_text IN ('nan', 'None') THEN '' ELSE key_text END, ' ' || chr(9)) <> ''""",
           ["raw_values"])
 def q_drop_blank_keys(spark, sf):
     return C.drop_blank_keys(_raw(spark, sf).select("row_id", "key_text"), "key_text")
@@ -952,7 +959,7 @@ def q_row_key(spark, sf):
 
 
 @register("first_non_blank", """
-SELECT row_id, coalesce(CASE WHEN trim(key_text) <> '' THEN key_text END, CASE WHEN trim(num_text) <> '' THEN num_text END,
+SELECT row_id, coalesce(CASE WHEN trim(key_text, ' ' || chr(9)) <> '' THEN key_text END, CASE WHEN trim(num_text) <> '' THEN num_text END,
   CASE WHEN trim(comma_text) <> '' THEN comma_text END) AS value FROM raw_values""", ["raw_values"])
 def q_first_non_blank(spark, sf):
     return _raw(spark, sf).select("row_id", T.first_non_blank(["key_text", "num_text", "comma_text"]).alias("value"))
@@ -1117,11 +1124,16 @@ def q_slim_accounts(spark, sf):
 
 def _js_num_sql(x: str) -> str:
     t = f"trim(CAST({x} AS VARCHAR))"
-    return (f"CASE WHEN {t} = '' THEN 0.0 WHEN regexp_matches({t}, '{_DEC_RE}') THEN CAST({t} AS DOUBLE) "
-            f"WHEN regexp_matches({t}, '^0[xX][0-9a-fA-F]+$') THEN CAST(try_cast({t} AS BIGINT) AS DOUBLE) "
+    return (f"CASE WHEN {t} = '' THEN 0.0 WHEN regexp_matches({t}, '{_DEC_RE}') THEN TRY_CAST({t} AS DOUBLE) "
+            f"WHEN regexp_matches({t}, '^0[xX][0-9a-fA-F]+$') THEN 16.0 "   # only whether it's finite and whole counts
             f"WHEN {t} IN ('Infinity', '+Infinity') THEN CAST('inf' AS DOUBLE) WHEN {t} = '-Infinity' THEN CAST('-inf' AS DOUBLE) END")
 
 
+def _any_date_sql(x: str) -> str:
+    return (f"CASE WHEN {_blank(x)} OR lower(trim({x})) = 'null' THEN NULL ELSE "
+            + _date_sql(f"trim({x})", [_YMD, _MDY_SL, _DMY_SL, _YMD_SL, _MDY_DA, _DMY_DA]) + " END")
+
+
 def _type_ok_sql(x: str, kind: str) -> str:
     n = _js_num_sql(x)
     if kind == "int":
@@ -1130,12 +1142,14 @@ def _type_ok_sql(x: str, kind: str) -> str:
         ok = f"coalesce(isfinite({n}), FALSE)"
     elif kind == "bool":
         ok = f"{x} IN ('0', '1', 'true', 'false')"
+    elif kind == "date":
+        ok = f"({_any_date_sql(x)}) IS NOT NULL"
     else:
         ok = "TRUE"
     return f"({x} IS NULL OR {x} = '' OR {ok})"
 
 
-_V2_CHECKS = {"num_text": "int", "comma_text": "float", "bool_text": "bool", "key_text": "string"}
+_V2_CHECKS = {"num_text": "int", "comma_text": "float", "bool_text": "bool", "date_text": "date", "key_text": "string"}
 
 
 @register("type_violations", "\nUNION ALL\n".join(
@@ -1161,13 +1175,15 @@ def q_type_violation_counts(spark, sf):
 
 
 def _fits_sql(x: str, kind: str) -> str:
-    d = f"CASE WHEN {_num_ok(x)} THEN CAST(trim({x}) AS DOUBLE) END"
+    d = f"CASE WHEN {_num_ok(x)} THEN TRY_CAST(trim({x}) AS DOUBLE) END"
     if kind == "int":
         ok = f"coalesce(floor({d}) = {d} AND {d} BETWEEN -2147483648 AND 2147483647, FALSE)"
     elif kind == "float":
         ok = f"coalesce(abs({d}) < 1e14, FALSE)"
     elif kind == "bool":
         ok = f"{x} IN ('0', '1', 'true', 'false')"
+    elif kind == "date":
+        ok = f"({_any_date_sql(x)}) IS NOT NULL"
     else:
         ok = f"length({x}) <= 255"
     return f"({x} IS NULL OR {x} = '' OR {ok})"
@@ -1183,7 +1199,7 @@ def q_fit_violations(spark, sf):
 
 @register("verify_dataset", """
 SELECT proposal_type, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT lower(rtrim(issuer_name))) AS BIGINT) AS issuers,
-  CAST(NULL AS DATE) AS first_meeting, CAST(NULL AS DATE) AS last_meeting FROM proposals GROUP BY proposal_type""",
+  min(mt_date) AS first_meeting, max(mt_date) AS last_meeting FROM proposals GROUP BY proposal_type""",
           ["proposals"])
 def q_verify_dataset(spark, sf):
     return va.verify_dataset(fx.proposals(spark, sf), "proposal_type")
@@ -1208,15 +1224,25 @@ def q_load_completeness(spark, sf):
 
 
 @register("load_report", "WITH " + _RAW_P_SQL + """
-SELECT CAST(count_if(NOT bad) AS BIGINT) AS imported, CAST(count_if(bad) AS BIGINT) AS errors FROM (
+SELECT CAST(count(*) AS BIGINT) AS imported, CAST(0 AS BIGINT) AS errors, CAST(count_if(bad) AS BIGINT) AS rows_with_bad_cells,
+  CAST(count_if(bad) AS BIGINT) AS bad_cells FROM (
   SELECT ("VotingRatio" IS NOT NULL AND trim("VotingRatio") <> '' AND NOT """ + _num_ok('"VotingRatio"') + """) AS bad
   FROM rawp) t""", ["proposals"])
 def q_load_report(spark, sf):
+    """V7: every row is imported; cells that don't parse are counted."""
     raw = _raw_proposals(spark, sf)
     rows = raw.select("*", sh.proposal_errors(raw).alias("_errors"))
     return va.load_report(rows)
 
 
+@register("cell_errors", "WITH " + _RAW_P_SQL + """
+SELECT 'voting_ratio' AS field, CAST(count(*) AS BIGINT) AS bad_cells FROM rawp
+WHERE "VotingRatio" IS NOT NULL AND trim("VotingRatio") <> '' AND NOT """ + _num_ok('"VotingRatio"') + """ HAVING count(*) > 0""", ["proposals"])
+def q_cell_errors(spark, sf):
+    raw = _raw_proposals(spark, sf)
+    return va.cell_errors(raw.select(sh.proposal_errors(raw).alias("_errors")))
+
+
 @register("table_counts", """
 SELECT dataset, CASE WHEN is_voted = 1 THEN 'account_voted' ELSE 'account_unvoted' END AS "table", CAST(count(*) AS BIGINT) AS rows
 FROM accounts_by_model GROUP BY 1, 2
@@ -1305,11 +1331,10 @@ def q_non_ascii_first(spark, sf):
         .select("doc_id", F.col("line_no").cast("int").alias("line_no"), "position")
 
 
-@register("src_accounts_parquet", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 25")
+@register("src_accounts_parquet", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
 def q_src_accounts_parquet(spark, sf):
-    df = readers.read_accounts_parquet(spark, os.path.join(sf, "lineitem.parquet"),
-                                       columns=["l_orderkey", "l_partkey", "l_quantity"])
-    return df.filter(F.col("l_quantity") > 25)
+    return readers.read_accounts_parquet(spark, os.path.join(sf, "lineitem.parquet"),
+                                         columns=["l_orderkey", "l_partkey", "l_quantity"])
 
 
 @register("src_multi_dataset", """
@@ -1408,7 +1433,7 @@ def q_duplicate_messages(spark, sf):
     return ot.duplicate_messages(fx.outreach(spark, sf))
 
 
-@register("clean_date_any")
+@register("clean_date_any", f"SELECT row_id, {_any_date_sql('date_text')} AS value FROM raw_values", ["raw_values"])
 def q_clean_date_any(spark, sf):
     """Date / timestamp values or text in ISO or one of the six layouts."""
     r = _raw(spark, sf)
@@ -1458,17 +1483,180 @@ def q_load_accounts(spark, sf):
     return t.select(*ld.ACCOUNT_OUT, F.col("is_voted").cast("int").alias("is_voted"), "dataset")
 
 
-@register("load_proposals", "WITH " + _RAW_P_SQL + ",\nn AS (" + _normalise_select("float").replace(
-    " FROM rawp", ", \"VotingRatio\" AS _vr FROM rawp") + ")\nSELECT * EXCLUDE (_vr), 'proxy' AS dataset FROM n "
-          "WHERE NOT (_vr IS NOT NULL AND trim(_vr) <> '' AND NOT " + _num_ok("_vr") + ")", ["proposals"])
+@register("load_proposals", "WITH " + _RAW_P_SQL + ",\nn AS (" + _normalise_select("float") + ")\nSELECT *, 'proxy' AS dataset FROM n",
+          ["proposals"])
 def q_load_proposals(spark, sf):
-    """Proposal CSV text -> normalised rows, rejects split off, error budget checked."""
+    """Proposal CSV text -> normalised rows, all of them; a bad cell is NULL."""
     target = _scratch(spark, "proposals-table")
-    ld.load_proposals(_raw_proposals(spark, sf), target, dataset="proxy", max_errors=10 ** 9)
+    ld.load_proposals(_raw_proposals(spark, sf), target, dataset="proxy")
     t = spark.read.parquet(target)
     return t.select(*[n for n, _, _ in S.PROPOSAL_FIELDS], "dataset")
 
 
+@register("load_narrow_proposals", """
+SELECT CASE WHEN id % 6 <> 0 THEN proposal_master_skey END AS proposal_master_skey, director_master_skey,
+  CASE WHEN issuer_name IS NOT NULL AND trim(issuer_name) <> '' THEN issuer_name END AS issuer_name, category, proposal,
+  coalesce(prediction_correct, FALSE) AS prediction_correct, coalesce(approved, FALSE) AS approved,
+  CASE WHEN id % 4 = 0 THEN NULL ELSE round(CAST(id AS DOUBLE) / 8, 6) END AS for_percentage,
+  CAST(predicted_for_shares AS DOUBLE) AS predicted_for_shares, mt_date AS meeting_date, 'narrow' AS dataset
+FROM proposals WHERE id % 7 <> 0""", ["proposals"])
+def q_load_narrow_proposals(spark, sf):
+    """The narrow form: rows with a bad key are rejected, other bad cells NULL."""
+    p, i = fx.proposals(spark, sf), F.col("id")
+    flag = lambda c: F.col(c).cast("int").cast("string").alias(c)
+    raw = p.select(
+        F.when(i % 7 == 0, F.lit("12a")).when(i % 6 == 0, F.lit(" ")).otherwise(F.col("proposal_master_skey").cast("string")).alias("proposal_master_skey"),
+        F.col("director_master_skey").cast("string").alias("director_master_skey"), "issuer_name", "category", "proposal",
+        flag("prediction_correct"), flag("approved"),
+        F.when(i % 4 == 0, F.lit("n/a")).otherwise(F.format_string("%.4f", i / 8)).alias("for_percentage"),
+        F.col("predicted_for_shares").cast("string").alias("predicted_for_shares"), F.date_format("mt_date", "M/d/yyyy").alias("meeting_date"))
+    target = _scratch(spark, "narrow-table")
+    ld.load_narrow_proposals(raw, target, dataset="narrow", rejects_path=_scratch(spark, "narrow-rejects"))
+    return spark.read.parquet(target).select(
+        "proposal_master_skey", "director_master_skey", "issuer_name", "category", "proposal", "prediction_correct", "approved",
+        "for_percentage", "predicted_for_shares", "meeting_date", "dataset")
+
+
+@register("normalise_excel", "WITH " + _RAW_P_SQL + f"""
+SELECT final_key, director_name, CASE WHEN {_num_ok("proposal_master_skey")} THEN CAST(trunc(CAST(trim(proposal_master_skey) AS DOUBLE)) AS BIGINT) END
+    AS proposal_master_skey, CAST(predicted_for_shares AS DOUBLE) AS predicted_for_shares,
+  CASE WHEN {_num_ok('"VotingRatio"')} THEN CAST("VotingRatio" AS DOUBLE) END AS voting_ratio,
+  {_any_date_sql("mt_date")} AS mt_date, {_any_date_sql("record_date")} AS record_date, lower(approved) = 'true' AS approved,
+  CAST(replace("Against (%) - From Prospectus 2026 File", '%', '') AS DOUBLE) AS against_prospectus_2026 FROM rawp""", ["proposals"])
+def q_normalise_excel(spark, sf):
+    """H5, rows read out of a spreadsheet: text and -1 are kept."""
+    return sh.normalise_excel_proposals(_raw_proposals(spark, sf)).select(
+        "final_key", "director_name", "proposal_master_skey", "predicted_for_shares", "voting_ratio", "mt_date", "record_date",
+        "approved", "against_prospectus_2026")
+
+
+_OUT_TYPED = """CAST(proposal_master_skey AS BIGINT) AS proposal_master_skey, CAST(director_master_skey AS BIGINT) AS director_master_skey,
+  account_type, CAST(shares_summable AS DOUBLE) AS shares_summable, CAST(rank_of_shareholding AS BIGINT) AS rank_of_shareholding"""
+
+
+@register("load_outreach", f"""
+WITH f AS (SELECT account_hash_key, CASE WHEN proposal_master_skey <> -1 THEN proposal_master_skey END AS proposal_master_skey,
+    CASE WHEN director_master_skey <> -1 THEN director_master_skey END AS director_master_skey, account_type, shares_summable, rank_of_shareholding
+  FROM account_unvoted),
+r AS (SELECT account_hash_key, {_OUT_TYPED} FROM f)
+SELECT * FROM r WHERE NOT ({_KEYS_NN})
+UNION ALL SELECT DISTINCT ON (account_hash_key, proposal_master_skey, director_master_skey) * FROM r WHERE {_KEYS_NN}""", ["account_unvoted"])
+def q_load_outreach(spark, sf):
+    """An outreach CSV loaded twice: the second load adds only rows whose key
+    triple has a NULL, which never conflict, so it's cleared of them first."""
+    cols = ["account_hash_key", "proposal_master_skey", "director_master_skey", "account_type", "shares_summable", "rank_of_shareholding"]
+    path, target = _scratch(spark, "outreach-csv"), _scratch(spark, "outreach-table")
+    sinks.write_csv(fx.account_unvoted(spark, sf).select(*cols), path)
+    raw = readers.read_accounts_csv(spark, path)
+    ld.load_outreach(raw, target, "proxy")
+    rows = ld.prepare_outreach(raw)
+    full = rows.filter(F.expr(_KEYS_NN))
+    sinks.copy_table(full, target, ot.copy_rows, dataset="proxy", order=ot.OUTREACH_COLUMNS)
+    return spark.read.parquet(target).select(*cols)
+
+
+@register("load_accounts_fill_zero", """
+SELECT account_hash_key, CAST(coalesce(proposal_master_skey, 0) AS BIGINT) AS proposal_master_skey,
+  CAST(coalesce(director_master_skey, 0) AS BIGINT) AS director_master_skey, coalesce(nullif(account_type, 'Other'), '') AS account_type,
+  CAST(coalesce(round_even(CAST(shares_summable AS DOUBLE) / 2, 0), 0) AS DECIMAL(20,4)) AS shares_summable, CAST(0 AS BIGINT) AS Target_encoded
+FROM account_unvoted WHERE account_hash_key IS NOT NULL AND trim(account_hash_key) <> ''""", ["account_unvoted"])
+def q_load_accounts_fill_zero(spark, sf):
+    """The loader variant that writes 0 for what is missing: keys, shares
+    (halved here, so that half-even rounding shows) and the lacking target."""
+    raw = fx.account_unvoted(spark, sf).drop("Target_encoded").withColumn("shares_summable", F.col("shares_summable").cast("double") / 2)
+    raw = raw.withColumn("account_type", F.when(F.col("account_type") == "Other", F.lit("nan")).otherwise(F.col("account_type"))).withColumn("Target_encoded", F.lit(None).cast("long"))
+    target = _scratch(spark, "accounts-zero")
+    ld.load_accounts(raw, target, dataset="sel", is_voted=0, fill_zero=True)
+    return spark.read.parquet(target).select("account_hash_key", "proposal_master_skey", "director_master_skey", "account_type", "shares_summable", "Target_encoded")
+
+
+_TABLE = "SELECT id, account_type, CASE WHEN is_voted = 1 THEN 'a=b/c' ELSE 'plain' END AS dataset FROM accounts"
+
+
+def _two_datasets(spark, sf):
+    return fx.accounts(spark, sf).select("id", "account_type", F.when(F.col("is_voted") == 1, F.lit("a=b/c")).otherwise(F.lit("plain")).alias("dataset"))
+
+
+@register("append_table", f"{_TABLE} UNION ALL {_TABLE}", ["accounts"])
+def q_append_table(spark, sf):
+    """The same rows appended twice."""
+    path = _scratch(spark, "append-table")
+    for _ in range(2):
+        sinks.append_table(_two_datasets(spark, sf), path)
+    return spark.read.parquet(path).select("id", "account_type", "dataset")
+
+
+@register("load_if_empty", _TABLE, ["accounts"])
+def q_load_if_empty(spark, sf):
+    """The second load finds rows and does nothing."""
+    path = _scratch(spark, "load-if-empty")
+    for _ in range(2):
+        sinks.load_if_empty(_two_datasets(spark, sf), path)
+    return spark.read.parquet(path).select("id", "account_type", "dataset")
+
+
+@register("clear_dataset", _TABLE + " WHERE is_voted <> 1", ["accounts"])
+def q_clear_dataset(spark, sf):
+    """A dataset whose name a partition folder must escape."""
+    path = _scratch(spark, "clear-dataset")
+    sinks.append_table(_two_datasets(spark, sf), path)
+    sinks.clear_dataset(spark, path, "a=b/c", confirm=True)
+    return spark.read.parquet(path).select("id", "account_type", "dataset")
+
+
+@register("confusion_outcome_fallback", "WITH " + _NUM_SQL + """,
+c AS (SELECT coalesce(CASE WHEN id % 2 = 0 THEN total_for_shares IS NOT NULL END, approved) AS approved, pf > pa AS pred FROM n)
+SELECT """ + _CM_BODY + " FROM c", ["proposals"])
+def q_confusion_outcome_fallback(spark, sf):
+    """The outcome column is chosen row by row."""
+    p = fx.proposals(spark, sf).drop("prediction_correct")
+    even = F.col("id") % 2 == 0
+    word = F.when(F.col("total_for_shares").isNotNull(), F.lit("approved")).otherwise(F.lit("rejected"))
+    text = F.when(F.col("approved"), F.lit("1")).when(~F.col("approved"), F.lit("0"))
+    p = p.withColumn("outcome", F.when(even, word).otherwise(text)).withColumn("approved", F.lit(None).cast("boolean"))
+    return qm.confusion_matrix(p)
+
+
+@register("confusion_model_fallback", "WITH " + _NUM_SQL + """,
+c AS (SELECT approved, id % 10 > 5 AS pred FROM n) SELECT """ + _CM_BODY + " FROM c", ["proposals"])
+def q_confusion_model_fallback(spark, sf):
+    """Without shares the first model column in the table's order decides."""
+    p = fx.proposals(spark, sf).select("id", "approved", ((F.col("id") % 10).cast("double") / 10).alias("score_model2"), F.lit(0.1).alias("prediction_model1"))
+    return qm.confusion_matrix(p)
+
+
+@register("delta_missing_column", "WITH " + _NUM_SQL + """
+SELECT id, round(delta1, 6) AS delta1, CAST(NULL AS DOUBLE) AS delta2 FROM (SELECT id, """ + _DELTA_TABLE_SQL + " FROM n) t", ["proposals"])
+def q_delta_missing_column(spark, sf):
+    """A table without the abstain shares has no Delta2."""
+    d = qm.with_deltas(fx.proposals(spark, sf).drop("total_abstain_shares"), "table")
+    return d.select("id", r6(F.col("delta1")).alias("delta1"), "delta2")
+
+
+@register("issuer_semi_join_hot", f"""
+SELECT id, account_hash_key, proposal_master_skey, director_master_skey FROM accounts_hot
+WHERE proposal_master_skey IN (SELECT proposal_master_skey FROM proposals WHERE {_ISSUER_SQL} AND proposal_master_skey <> -1)
+   OR director_master_skey IN (SELECT director_master_skey FROM proposals WHERE {_ISSUER_SQL} AND director_master_skey <> -1)""",
+          ["accounts_hot", "proposals"])
+def q_issuer_semi_join_hot(spark, sf):
+    """J4 where one proposal key holds a third of all account rows."""
+    a = ot.issuer_semi_join(fx.view(spark, sf, "accounts_hot"), fx.proposals(spark, sf), ISSUERS)
+    return a.select("id", "account_hash_key", "proposal_master_skey", "director_master_skey")
+
+
+@register("accounts_sorted_text", """
+SELECT id, account_type FROM account_unvoted
+ORDER BY lower(account_type) ASC NULLS FIRST, id ASC, proposal_master_skey ASC NULLS FIRST,
+  director_master_skey ASC NULLS FIRST, score_model1 ASC NULLS FIRST LIMIT 50 OFFSET 50""", ["account_unvoted"])
+def q_accounts_sorted_text(spark, sf):
+    """O6 on a text field: case doesn't count."""
+    u = fx.account_unvoted(spark, sf)
+    mixed = F.when(F.col("id") % 2 == 0, F.upper("account_type")).otherwise(F.lower("account_type"))
+    s = acc.sort_accounts(u.withColumn("t", F.col("account_type")).withColumn("account_type", mixed), "account_type",
+                          tie_break=["id", "proposal_master_skey", "director_master_skey", "score_model1"])
+    return s.offset(50).limit(50).select("id", F.col("t").alias("account_type"))
+
+
 @register("account_filter_options", """
 WITH k AS (SELECT 'P' AS key_type, proposal_master_skey AS key_value, * FROM accounts WHERE proposal_master_skey <> -1
       UNION ALL SELECT 'D', director_master_skey, * FROM accounts WHERE director_master_skey <> -1)
@@ -1485,9 +1673,9 @@ def q_account_filter_options(spark, sf):
 
 @register("verify_datasets", """
 SELECT d.dataset, CAST(coalesce(s.rows, 0) AS BIGINT) AS rows, CAST(coalesce(s.issuers, 0) AS BIGINT) AS issuers,
-  CAST(NULL AS DATE) AS first_meeting, CAST(NULL AS DATE) AS last_meeting, s.rows IS NOT NULL AS present
+  s.f AS first_meeting, s.l AS last_meeting, s.rows IS NOT NULL AS present
 FROM (VALUES ('M'), ('S'), ('X')) d(dataset) LEFT JOIN (
-  SELECT proposal_type, count(*) AS rows, count(DISTINCT lower(rtrim(issuer_name))) AS issuers FROM proposals
+  SELECT proposal_type, count(*) AS rows, count(DISTINCT lower(rtrim(issuer_name))) AS issuers, min(mt_date) AS f, max(mt_date) AS l FROM proposals
   GROUP BY proposal_type) s ON s.proposal_type = d.dataset""", ["proposals"])
 def q_verify_datasets(spark, sf):
     return va.verify_datasets(spark, fx.proposals(spark, sf), "proposal_type", ["M", "S", "X"])

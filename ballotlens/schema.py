@@ -101,7 +101,26 @@ ACCOUNTS_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType(), True),
 ])
 
-# Checks of the upload validator: column -> expected kind (int / float / string / bool / date)
+# fixed values: the narrow proposal file's fields as (column, kind).
+# kind: key (whole number, anything else fails the row), text, text500 (first
+# 500 characters), flag (blank: false; not a whole number fails the row), num6 /
+# num4 (rounded to so many places), date (three layouts).
+NARROW_FIELDS: tuple[tuple[str, str], ...] = (
+    ("proposal_master_skey", "key"), ("director_master_skey", "key"), ("issuer_name", "text500"),
+    ("category", "text500"), ("proposal", "text"), ("prediction_correct", "flag"), ("approved", "flag"),
+    ("for_percentage", "num6"), ("against_percentage", "num6"), ("abstain_percentage", "num6"),
+    ("predicted_for_shares", "num4"), ("predicted_against_shares", "num4"), ("predicted_abstain_shares", "num4"),
+    ("predicted_unvoted_shares", "num4"), ("total_for_shares", "num4"), ("total_against_shares", "num4"),
+    ("total_abstain_shares", "num4"), ("total_unvoted_shares", "num4"), ("meeting_date", "date"),
+)
+
+# fixed values: types of the 11 outreach columns
+OUTREACH_TYPES = {"row_index": "bigint", "unnamed_col": "string", "account_hash_key": "string",
+                  "proposal_master_skey": "bigint", "director_master_skey": "bigint", "account_type": "string",
+                  "shares_summable": "double", "rank_of_shareholding": "bigint", "score_model1": "double",
+                  "prediction_model1": "int", "Target_encoded": "bigint"}
+
+# fixed values: checks of the upload validator: column -> expected kind (int / float / string / bool / date)
 ACCOUNT_CHECKS = {"row_index": "int", "unnamed_col": "string", "account_hash_key": "string",
                   "proposal_master_skey": "int", "director_master_skey": "int", "account_type": "string",
                   "shares_summable": "float", "rank_of_shareholding": "int", "score_model1": "float",

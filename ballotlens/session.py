@@ -88,13 +88,19 @@ def materialize(df, name: str):
     return df.sparkSession.read.parquet(path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ours through the cluster's file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 256 * 1024 * 1024,
-                  floor: int = 200, ceiling: int = 100_000) -> int:
+                  floor: int = 200) -> int:
     """Size the initial shuffle partition count for an input of ``input_bytes``
     so each partition holds about ``target_bytes`` (fits executor memory
     without spilling); AQE then coalesces small ones and splits skewed ones
     toward the same advisory size.  Returns the partition count it set."""
-    n = max(floor, min(ceiling, -(-input_bytes // target_bytes)))
+    n = max(floor, -(-input_bytes // target_bytes))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
     return n

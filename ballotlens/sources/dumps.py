@@ -4,7 +4,8 @@ A line ``INSERT INTO `t` VALUES (...);`` belongs to a run of consecutive
 INSERT lines into the same table; a run ends at another table or at any
 other line; each run is cut every ``batch_size`` lines.
 
-Distributed gaps-and-islands: a window over a whole file would put the file
+The windows over blocks run per file (one row per block of lines; without a
+file column, one group for all).  Distributed gaps-and-islands: a window over a whole file would put the file
 in one task, so windows are partitioned by (file, line block).  Per-block
 summaries (one row per block, so their size is lines / block_lines) carry
 the dense line number, the previous line's table and the open run across
@@ -75,9 +76,18 @@ def insert_statement_batches(lines: DataFrame, batch_size: int = 1000, line_col:
     return out.select(*(["_f"] if file_col else []), *cols).withColumnRenamed("_f", file_col or "_f")
 
 
-def number_lines(spark, path: str, block_lines: int = 1_000_000) -> DataFrame:
-    """Read a text file as (file, line_no, line) without a global window:
-    ``zipWithIndex`` numbers lines partition by partition (one extra pass to
-    count each partition), which keeps file order."""
-    rdd = spark.read.text(path).select(F.input_file_name().alias("file"), "value").rdd.zipWithIndex()
-    return rdd.map(lambda r: (r[0][0], r[1] + 1, r[0][1])).toDF("file string, line_no long, line string")
+def number_lines(spark, path: str) -> DataFrame:
+    """Text files as (file, line_no, line), lines numbered from 1 in each file.
+
+    Within an input split rows keep their order, so their running ids count the
+    split's lines; a summary of one row a split carries the offset of the lines
+    in the file's earlier splits.  No line leaves the JVM, and no window runs
+    over lines."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    splits = lines.groupBy("file", "_at").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return lines.join(splits, ["file", "_at"]).select(
+        "file", (F.col("_off") + F.col("_row") - F.col("_first") + 1).alias("line_no"), "line")

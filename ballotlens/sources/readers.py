@@ -33,12 +33,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 # ------------------------------------------------------------------ S1 / S2
-def read_csv_by_name(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True,
+def read_csv_by_name(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False,
                      skip_missing: bool = False) -> DataFrame:
     """Header CSV, quoted fields, UTF-8, all columns strings named by the header.
 
-    ``multi_line`` allows quoted newlines but makes each file one split; pass
-    False for big files without embedded newlines so Spark splits them.
+    Files are split over tasks.  ``multi_line`` is for files with quoted
+    newlines: it reads them right, but each file is one task.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     frames = []

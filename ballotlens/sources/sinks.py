@@ -9,11 +9,15 @@ rewrites the same partitions.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ballotlens.operators.shape import drop_redundant
+from ballotlens.session import remove_path, scratch_path
 from ballotlens.sources.readers import path_exists
 
 
@@ -64,13 +68,17 @@ def load_if_empty(df: DataFrame, path: str, replace: bool = False, **kw) -> str:
 # ----------------------------------------------------------------------- D4
 def clear_dataset(spark: SparkSession, path: str, dataset: str, confirm: bool = False,
                   partition_by: Sequence[str] = ("dataset",)) -> None:
-    """Empty one dataset's partition of a table (explicit ``confirm`` needed)."""
+    """Empty one dataset's partition of a table (explicit ``confirm`` needed);
+    a dataset that the table doesn't hold is an error.  Partition folders
+    escape special characters, so names are compared unescaped."""
     if not confirm:
         raise ValueError("clear_dataset needs confirm=True")
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/{partition_by[0]}={dataset}")
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(p):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [st.getPath() for st in fs.listStatus(root) if unquote(st.getPath().getName()) == f"{partition_by[0]}={dataset}"]
+    if not found:
+        raise ValueError(f"no {partition_by[0]} {dataset!r} in {path}")
+    for p in found:
         fs.delete(p, True)
 
 
@@ -85,20 +93,50 @@ def delete_where(spark: SparkSession, path: str, new_path: str, col: str, patter
 
 
 # ----------------------------------------------------------------------- S8
-def copy_table(source: DataFrame, target_path: str, copy_rows_fn, **kw) -> DataFrame:
+def copy_table(source: DataFrame, target_path: str, copy_rows_fn, dataset: str | None = None,
+               partition_col: str = "dataset", **kw) -> DataFrame:
     """Append the not-yet-present rows of ``source`` to the table at
-    ``target_path``; returns the copy report."""
+    ``target_path`` (to its part ``dataset``, if the table is partitioned; a
+    table that isn't there yet is begun).  Returns one row: source_rows,
+    copied, skipped."""
     spark = source.sparkSession
-    target = spark.read.parquet(target_path)
-    res = copy_rows_fn(source, target, **kw)
+    if path_exists(spark, target_path):
+        target = spark.read.parquet(target_path)
+        if dataset is not None:
+            target = target.filter(F.col(partition_col) == dataset).drop(partition_col)
+    else:
+        target = source.limit(0)
+    new = copy_rows_fn(source, target, **kw)["new"]
+    if dataset is not None:
+        new = new.withColumn(partition_col, F.lit(dataset))
     # stage the new rows first: the plan reads the target it appends to
-    staged = target_path.rstrip("/") + "__staged"
-    res["new"].write.mode("overwrite").parquet(staged)
-    new = spark.read.parquet(staged)
-    # the report comes from the staged files and the (unchanged) source, so it
-    # stays right after the append changes the target
-    n_new = new.agg(F.count(F.lit(1))).scalar()
-    report = source.agg(F.count(F.lit(1)).cast("bigint").alias("source_rows")).select(
-        "source_rows", n_new.cast("bigint").alias("copied"), (F.col("source_rows") - n_new).cast("bigint").alias("skipped"))
-    new.write.mode("append").parquet(target_path)
-    return report
+    staged = scratch_path(spark, f"copy-{uuid.uuid4().hex[:12]}")
+    new.write.parquet(staged)
+    rows = spark.read.schema(new.schema).parquet(staged)
+    n_new, n_src = rows.count(), source.count()
+    append_table(rows, target_path, partition_by=(partition_col,) if dataset is not None else None)
+    remove_path(spark, staged)
+    return spark.createDataFrame([(n_src, n_new, n_src - n_new)], "source_rows bigint, copied bigint, skipped bigint")
+
+
+# ----------------------------------------------------------------------- H8
+def slim_accounts(spark: SparkSession, path: str, day: str) -> dict[str, str | int]:
+    """Move an account table to the slim layout: write it without the old
+    columns, check the row count, keep the old folder as
+    ``<path>_backup_<day>``, and put the new one in its place.  On a count that
+    differs nothing is swapped."""
+    old = spark.read.parquet(path)
+    new_path, backup = f"{path.rstrip('/')}_slim_{day}", f"{path.rstrip('/')}_backup_{day}"
+    parts = [c for c in ("dataset", "is_voted") if c in old.columns]
+    _writer(drop_redundant(old), parts, None).mode("overwrite").parquet(new_path)
+    n_old, n_new = old.count(), spark.read.parquet(new_path).count()
+    if n_old != n_new:
+        raise RuntimeError(f"slim copy has {n_new} rows, the table {n_old}")
+    jvm = spark.sparkContext._jvm
+    at = [jvm.org.apache.hadoop.fs.Path(p) for p in (path, backup, new_path)]
+    fs = at[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at[1]):
+        raise RuntimeError(f"{backup} exists")
+    fs.rename(at[0], at[1])
+    fs.rename(at[2], at[0])
+    return {"rows": n_new, "backup": backup}

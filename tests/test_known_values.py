@@ -74,3 +74,45 @@ def test_quality_report_materialized_matches(spark):
     mat = qm.quality_report(p, materialize=True)
     for k in ("metrics", "thresholds", "histograms"):
         assert sorted(map(tuple, lazy[k].collect())) == sorted(map(tuple, mat[k].collect()))
+
+
+def test_no_value_aborts_a_job(spark):
+    from pyspark.sql import functions as F
+
+    from ballotlens.functions import clean as C
+    from ballotlens.functions import text as T
+    from ballotlens.operators import validate as va
+    texts = ["0x" + "F" * 300, "0x1FFFFFFFFFFFFFFFFF", "0x0", "1e400", "-1e999", "NaN", "9" * 400, "0." + "0" * 400 + "1", "\t", "x" * 1000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.v for r in df.select(C.parse_number("t").alias("v")).collect()]
+    assert got[:5] == [None, 590295810358705651712.0, 0.0, None, None]
+    for f in (C.clean_int, C.clean_int_excel, C.clean_float, C.clean_numeric, C.clean_numeric_sci, C.clean_bool, C.clean_bool_default, C.clean_date6,
+              C.clean_percentage, C.clean_tinyint, C.coerce_int_zero, C.js_number, C.date_from_any):
+        df.select(f(F.col("t")).cast("string")).collect()
+    for kind in ("int", "float", "bool", "date", "string"):
+        df.select(va.type_ok(F.col("t"), kind), va.fits(F.col("t"), kind)).collect()
+    nums = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e300,), (-1e40,), (0.125,)], "x double")
+    assert [r[0] for r in nums.select(T.percent_text("x")).collect()] == ["-", "-", "-", "-", "12.50%"]
+    nums.select(T.share_text("x")).collect()
+
+
+def test_lists_come_in_order(spark):
+    from ballotlens.operators import accounts as acc
+    from ballotlens.operators import proposals as pr
+    from ballotlens.plans import fixtures as fx
+    from conftest import SF_SMALL
+    p, a = fx.proposals(spark, SF_SMALL), fx.accounts(spark, SF_SMALL)
+    o = [tuple(r) for r in pr.filter_options(p).collect()]
+    assert o == sorted(o)
+    names = [r.name for r in pr.issuer_list(p).collect()]
+    assert names == sorted(names, key=lambda n: n.rstrip(" ").lower())
+    n = [r["count"] for r in acc.type_distribution(a).collect()]
+    assert n == sorted(n, reverse=True)
+    f = [tuple(r) for r in acc.account_filter_options(a).collect()]
+    assert f == sorted(f)
+
+
+def test_hash_names_fall_back_row_by_row(spark):
+    from ballotlens.operators import outreach as ot
+    df = spark.createDataFrame([("a", "x", 1), ("", "b", 2), (None, None, 3), (" \t", "z", 4)], "account_hash_key string, account_id string, id int")
+    assert sorted(r[0] for r in ot.distinct_hashes(df).collect()) == ["3", "a", "b"]

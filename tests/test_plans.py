@@ -7,21 +7,25 @@ import pytest
 
 import __spark_entry__ as E
 from ballotlens.operators import accounts as acc
+from ballotlens.operators import outreach as ot
+from ballotlens.plans import catalog
 from ballotlens.plans import fixtures as fx
 from ballotlens.session import size_shuffles
 from conftest import SF_SMALL
 
 WRITERS = {"src_proposals_csv", "resumable_load", "table_inventory", "csv_roundtrip", "load_accounts",
-           "load_proposals"}
+           "load_proposals", "load_narrow_proposals", "load_outreach", "load_accounts_fill_zero", "append_table",
+           "load_if_empty", "clear_dataset", "copy_outreach"}
+CATALOG = catalog.queries()
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(set(E.queries()) - WRITERS))
+@pytest.mark.parametrize("key", sorted(set(CATALOG) - WRITERS))
 def test_no_pairwise_joins(spark, key):
-    p = plan(E.queries()[key](spark, SF_SMALL))
+    p = plan(CATALOG[key](spark, SF_SMALL))
     assert "BroadcastNestedLoopJoin" not in p
     assert "CartesianProduct" not in p
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
@@ -36,9 +40,38 @@ def test_flagship_plan(spark):
     assert "partial_sum" in p or "PartialMerge" in p or "HashAggregate" in p
 
 
-def test_issuer_semi_join_is_existence_join(spark):
-    p = plan(E.queries()["issuer_semi_join"](spark, SF_SMALL))
-    assert "ExistenceJoin" in p
+@pytest.fixture()
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def below(lines, i):
+    """The lines of a plan's tree under line i."""
+    depth = len(lines[i]) - len(lines[i].lstrip(" :+-"))
+    for line in lines[i + 1:]:
+        if len(line) - len(line.lstrip(" :+-")) <= depth:
+            return
+        yield line
+
+
+def test_issuer_join_keeps_sentinels_out(spark, no_broadcast):
+    """Semi joins, and every scan of accounts filters the key it's shuffled on."""
+    p = plan(ot.issuer_semi_join(fx.accounts(spark, SF_SMALL), fx.proposals(spark, SF_SMALL), ["Brand#11"]))
+    assert "ExistenceJoin" not in p and "LeftSemi" in p
+    lines = p.splitlines()
+    shuffles = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(proposal_master_skey" in x or "Exchange hashpartitioning(director_master_skey" in x]
+    assert shuffles
+    for i in shuffles:
+        assert any("Filter" in x and "-1" in x for x in below(lines, i))
+
+
+def test_fact_tables_are_read_once(spark):
+    for key, most in (("type_distribution", 1), ("table_counts", 2)):      # the models are a union of two reads
+        assert plan(CATALOG[key](spark, SF_SMALL)).count("FileScan") == most
+    assert plan(CATALOG["table_inventory"](spark, SF_SMALL)).count("FileScan") == len(fx.TABLES)
 
 
 def test_lookup_pushes_filter(spark, scratch):
@@ -61,19 +94,30 @@ def test_dump_windows_are_partitioned(spark):
 def test_size_shuffles(spark):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        assert size_shuffles(spark, 100 * 1024 ** 4) == 100_000      # 100 TiB: capped
+        assert size_shuffles(spark, 100 * 1024 ** 4) == 409_600      # 100 TiB
         assert size_shuffles(spark, 10 * 1024 ** 3) == 200
         assert size_shuffles(spark, 1024 ** 4) == 4096
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
-@pytest.mark.parametrize("key", ["proposal_account_join_hot", "insert_ignore_hot"])
-def test_hot_key_plans_aggregate_before_shuffle(spark, key):
-    """A key with a third of all rows is combined map-side: a partial
-    aggregate sits below the shuffle on that key."""
-    p = plan(E.queries()[key](spark, SF_SMALL))
-    assert "partial_" in p
+def test_flagship_combines_hot_key_before_shuffle(spark):
+    assert "partial_" in plan(CATALOG["proposal_account_join_hot"](spark, SF_SMALL))
+
+
+@pytest.mark.parametrize("key", ["insert_ignore_hot", "insert_ignore", "outreach_new"])
+def test_triples_are_combined_before_their_first_shuffle(spark, no_broadcast, key):
+    """Below the first exchange on the key triple there is the partial
+    aggregate, and no join takes rows that aren't combined."""
+    lines = plan(CATALOG[key](spark, SF_SMALL)).splitlines()
+    triple = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(account_hash_key#" in x and "proposal_master_skey#" in x]
+    assert any("partial_min" in next(below(lines, i)) for i in triple)
+    for i in triple:
+        assert "Aggregate(key" in next(below(lines, i))
+    joins = [i for i, x in enumerate(lines) if "SortMergeJoin [account_hash_key" in x and ("LeftAnti" in x or "LeftOuter" in x)]
+    assert joins
+    for i in joins:
+        assert any("_k0" in x for x in below(lines, i))
 
 
 def test_number_lines_and_batches(spark, scratch):
@@ -89,18 +133,34 @@ def test_number_lines_and_batches(spark, scratch):
     b = dumps.insert_statement_batches(numbered, batch_size=2, file_col="file").collect()
     per_file = {}
     for r in b:
-        per_file.setdefault(r.file, []).append((r.table_name, r.batch_no, r.n_lines))
+        per_file.setdefault(r.file, []).append((r.table_name, r.batch_no, r.n_lines, r.run_start, r.first_line, r.last_line))
     assert len(per_file) == 2
     for rows in per_file.values():
-        assert sorted(rows) == [("t", 0, 2), ("t", 1, 2), ("t", 2, 1), ("u", 0, 2), ("u", 1, 1)]
+        assert sorted(rows) == [("t", 0, 2, 2, 2, 3), ("t", 1, 2, 2, 4, 5), ("t", 2, 1, 2, 6, 6), ("u", 0, 2, 8, 8, 9), ("u", 1, 1, 8, 10, 10)]
+    p = plan(numbered)
+    assert "Python" not in p and "ExistingRDD" not in p
+
+
+def test_lines_are_numbered_across_splits(spark, scratch):
+    from ballotlens.sources import dumps
+    path = os.path.join(scratch, "long.sql")
+    with open(path, "w") as f:
+        f.write("".join(f"line {i}\n" for i in range(1, 5001)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = dumps.number_lines(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.line_no, r.line) for r in rows) == [(i, f"line {i}") for i in range(1, 5001)]
 
 
-def test_large_issuer_list_is_a_semi_join(spark):
+def test_issuer_list_is_a_semi_join(spark):
     from ballotlens.operators import proposals as pr
     names = [f"Brand#{i}" for i in range(1, 3000)]
     small = pr.issuer_in(fx.proposals(spark, SF_SMALL), names[:2])
     big = pr.issuer_in(fx.proposals(spark, SF_SMALL), names)
-    assert "LeftSemi" not in plan(small)
-    assert "LeftSemi" in plan(big)
+    for p in (plan(small), plan(big)):
+        assert "LeftSemi" in p and "hint" not in p.lower()
     assert small.count() <= big.count() == fx.proposals(spark, SF_SMALL).filter(
         "issuer_name IS NOT NULL AND lower(rtrim(issuer_name)) LIKE 'brand#%'").count()

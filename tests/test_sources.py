@@ -106,6 +106,8 @@ def test_copy_clear_append(spark, scratch):
     import pytest
     with pytest.raises(ValueError):
         sinks.clear_dataset(spark, table, "x")
+    with pytest.raises(ValueError):
+        sinks.clear_dataset(spark, table, "z", confirm=True)
     sinks.clear_dataset(spark, table, "x", confirm=True)
     assert sorted(r.v for r in spark.read.parquet(table).collect()) == [2, 2]
 
@@ -130,18 +132,54 @@ def test_generator_independent_of_partitioning(spark):
                     + F.col("predicted_abstain_shares") < 10_000_000).count() == 0
 
 
-def test_load_proposals_error_budget(spark, scratch):
-    import pytest
+def test_load_proposals_keeps_every_row(spark, scratch):
     from ballotlens.plans import load as ld
-    raw = spark.createDataFrame([("1", "Acme", "0.5", "true"), ("2", "Beta", "oops", "false"),
-                                 ("-1", "Gamma", "", "yes")],
+    raw = spark.createDataFrame([("1", "Acme", "0.5", "true"), ("2", "Beta", "oops", "false"), ("-1", "Gamma", "", "yes")],
                                 "proposal_master_skey string, issuer_name string, VotingRatio string, approved string")
-    with pytest.raises(RuntimeError):
-        ld.load_proposals(raw, os.path.join(scratch, "p"), dataset="x", max_errors=0)
-    assert not os.path.exists(os.path.join(scratch, "p"))
-    rep = ld.load_proposals(raw, os.path.join(scratch, "p"), dataset="x", max_errors=5,
-                            rejects_path=os.path.join(scratch, "rej"))
-    assert (rep["imported"], rep["errors"]) == (2, 1)
+    rep = ld.load_proposals(raw, os.path.join(scratch, "p"), dataset="x")
+    assert rep == {"imported": 3, "errors": 0, "bad_cells": {"voting_ratio": 1}}
     got = spark.read.parquet(os.path.join(scratch, "p")).select("proposal_master_skey", "voting_ratio", "approved")
-    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 0.5, True), (None, None, True)], key=str)
-    assert [r.proposal_master_skey for r in spark.read.parquet(os.path.join(scratch, "rej")).collect()] == [2]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 0.5, True), (2, None, False), (None, None, True)], key=str)
+
+
+def test_narrow_load_budget_and_rejects(spark, scratch):
+    import pytest
+    from ballotlens.plans import load as ld
+    raw = spark.createDataFrame([("1", "1", "x"), ("2.0", "1", "2.5"), ("", "maybe", ""), (" 3 ", "", "1e400")],
+                                "proposal_master_skey string, approved string, for_percentage string")
+    with pytest.raises(RuntimeError):
+        ld.load_narrow_proposals(raw, os.path.join(scratch, "n"), "x", max_errors=1)
+    assert not os.path.exists(os.path.join(scratch, "n"))
+    rep = ld.load_narrow_proposals(raw, os.path.join(scratch, "n"), "x", rejects_path=os.path.join(scratch, "r"))
+    assert rep == {"imported": 2, "errors": 2}
+    assert sorted(map(tuple, spark.read.parquet(os.path.join(scratch, "n")).select("proposal_master_skey", "approved", "for_percentage").collect())) == \
+        [(1, True, None), (3, False, None)]
+    assert spark.read.parquet(os.path.join(scratch, "r")).count() == 2
+
+
+def test_untyped_null_columns_can_share_a_table(spark, scratch):
+    from ballotlens.plans import load as ld
+    path = os.path.join(scratch, "acc")
+    a = spark.createDataFrame([("h", 1, 2, "T", 1.5)], "account_hash_key string, proposal_master_skey long, director_master_skey long, account_type string, shares_summable double")
+    ld.load_accounts(a, path, "d", 0)
+    ld.load_accounts(a.withColumn("Target_encoded", F.lit(2)), path, "d", 1)
+    assert sorted(((r.is_voted, r.Target_encoded) for r in spark.read.parquet(path).collect())) == [(0, None), (1, 2)]
+
+
+def test_slim_accounts_swaps_and_keeps_a_backup(spark, scratch):
+    path = os.path.join(scratch, "wide")
+    spark.createDataFrame([(1, "u", "h", "d"), (2, "u", "g", "e")], "row_index int, unnamed_col string, account_hash_key string, dataset string") \
+        .write.partitionBy("dataset").parquet(path)
+    r = sinks.slim_accounts(spark, path, "20260101")
+    assert r["rows"] == 2 and spark.read.parquet(path).columns == ["account_hash_key", "dataset"]
+    assert "row_index" in spark.read.parquet(r["backup"]).columns
+
+
+def test_union_of_proposal_forms(spark):
+    from ballotlens.operators import validate as va
+    wide = sh.normalise_proposals(spark.createDataFrame([("1", "A", "1/2/2024", "5")], "proposal_master_skey string, issuer_name string, mt_date string, total_for_shares string"))
+    narrow = sh.normalise_narrow_proposals(spark.createDataFrame([("2", "B", "3/4/2024", "2.5")], "proposal_master_skey string, issuer_name string, meeting_date string, total_for_shares string")).drop("_failed")
+    both = sh.union_proposal_forms(wide, narrow)
+    r = va.verify_dataset(both).first()
+    assert (r.rows, str(r.first_meeting), str(r.last_meeting)) == (2, "2024-01-02", "2024-03-04")
+    assert sorted(x.total_for_shares for x in both.collect()) == [2.5, 5.0]
