@@ -104,12 +104,15 @@ def _encode_group(blocks: list[np.ndarray]) -> list[bytes]:
         part = (rng >> _U(12)) * p.astype(_U)
         low += np.where(known & ~hit, part, _U(0))
         rng = np.where(known, np.where(hit, part, (rng >> _U(12)) * (4096 - p).astype(_U)), rng)
-        for k, s in ((0, ids >> 8), (1, ids & 255)):
-            s = model.wide + s
+        miss = np.flatnonzero(~hit)
+        lo, r, x, wide = low[miss], rng[miss], ids[miss], model.wide[miss]
+        for k, s in ((0, x >> 8), (1, x & 255)):
+            s = wide + s
             a, b = model.flat[k][s], model.flat[k][s + 1]
-            unit = rng >> _U(14)
-            low += np.where(hit, _U(0), unit * a)
-            rng = np.where(hit, rng, unit * (b - a))
+            r >>= _U(14)
+            lo += r * a
+            r *= b - a
+        low[miss], rng[miss] = lo, r
         _settle(low, rng, step < lengths, lambda at: _put(out, pos, low, at))
         model.learn(ids, candidate, hit, p, step)
     for _ in range(8):
@@ -161,18 +164,23 @@ def _decode_group(coded: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
         hit = known & (code - low < part)
         low += np.where(known & ~hit, part, _U(0))
         rng = np.where(known, np.where(hit, part, (rng >> _U(12)) * (4096 - p).astype(_U)), rng)
-        ids = np.where(hit, candidate, np.int32(0))
+        ids = np.where(hit, candidate, np.int32(0)).astype(np.int32)
+        miss = np.flatnonzero(~hit)
+        lo, r, gap, wide = low[miss], rng[miss], code[miss] - low[miss], model.wide[miss]
+        x = np.zeros(len(miss), np.int32)
         for k in range(2):
-            flat, unit = model.flat[k], np.maximum(rng >> _U(14), _U(1))
-            value = np.minimum((code - low) // unit, _U(TOTAL - 1))
-            at = model.wide.copy()
+            flat = model.flat[k]
+            r >>= _U(14)
+            value = gap // np.maximum(r, _U(1))
+            at = wide.copy()
             for bit in (128, 64, 32, 16, 8, 4, 2, 1):
                 at += (flat[at + bit] <= value) * bit
             a, b = flat[at], flat[at + 1]
-            s = (at - model.wide).astype(np.int32)
-            low += np.where(hit, _U(0), unit * a)
-            rng = np.where(hit, rng, unit * (b - a))
-            ids = np.where(hit, ids, ids << 8 | s)
+            gap -= r * a
+            lo += r * a
+            r *= b - a
+            x = x << 8 | (at - wide).astype(np.int32)
+        low[miss], rng[miss], ids[miss] = lo, r, x
         _settle(low, rng, step < lengths, shift)
         table[step] = ids
         model.learn(ids, candidate, hit, p, step)

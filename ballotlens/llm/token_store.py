@@ -43,8 +43,8 @@ def ids_of(text: str, path: str) -> np.ndarray:
     """Ids of a text as the vocabulary file's library gives them."""
     own = bpe.load(path)
     if pretokens.is_latin(text) and not any(s in text for s in own.special):
-        return np.array(_library(path).encode_ordinary(text), np.int64)
-    return np.frombuffer(own.encode(text), "<u4").astype(np.int64)
+        return _library(path).encode_to_numpy(text)
+    return np.frombuffer(own.encode(text), "<u4")
 
 
 _ROWS = "kind string, part int, row long, doc_id long, start long, n_tokens long, payload binary"
@@ -60,7 +60,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
         schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
-        end = np.array([end_id])
+        end = np.array([end_id], "<u4")
         group = range_coder.BLOCK_IDS * range_coder.LANES
         waiting, n_waiting, row, block, start = [], 0, 0, 0, 0
 
