@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +29,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation of earlier steps."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if _passing.get():
+        _passing.get()[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: tables to remove, a list for each ``temporary`` that is open
+_passing: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables that are ``stored`` inside are removed at the end: what is to
+    outlive them has to be written before, with ``lasting``."""
+    paths: list[str] = []
+    token = _passing.set((*_passing.get(), paths))
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for p in paths:
+            drop_stored(spark, p)
+
+
+def lasting(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, but outlives the innermost ``temporary``."""
+    token = _passing.set(_passing.get()[:-1])
+    try:
+        return stored(df, name)
+    finally:
+        _passing.reset(token)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 

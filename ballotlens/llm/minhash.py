@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlens.llm.common import arrays_to_batch, small_batches, stored, text_of
+from ballotlens.llm.common import arrays_to_batch, lasting, small_batches, stored, temporary, text_of
 
 WORDS = 5
 BANDS, ROWS = 26, 5                  # a pair of similarity 0.8 misses all buckets in 3 of 100,000 cases
@@ -333,7 +333,13 @@ def _links_within(families: DataFrame, roots: DataFrame, docs: DataFrame, thresh
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id): the least doc_id of each document's class."""
+    """(doc_id, class_id): the least doc_id of each document's class.  The
+    result is a written table; the tables it was made from are removed."""
+    with temporary(docs.sparkSession):
+        return lasting(_classes(docs, threshold, id_col, text_col), "classes")
+
+
+def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     sketched = stored(sketches(docs, id_col, text_col), "sketches")
     worded = sketched.filter("content <> 0")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ballotlens.llm import bpe, decontamination, language_id, line_dedup, minhash
-from ballotlens.llm.common import stored
+from ballotlens.llm.common import drop_stored, shared_path, temporary
 from ballotlens.llm.queries import held_out, tokenizer
 
 
@@ -67,9 +67,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    """The last stage's rows; of the stages' tables only the last one's input stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        path = shared_path(spark, f"pipeline-{name}")
+        with temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before is not None:
+            drop_stored(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
