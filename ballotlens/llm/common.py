@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import tempfile
 import uuid
+import zipfile
 from contextvars import ContextVar
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +19,29 @@ from ballotlens.session import ensure_checkpoint_dir
 ROWS_PER_BATCH = 512
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the application's Python workers this package, once: they can't
+    import it from the driver's folders unless it was installed or submitted
+    with ``--py-files``.  Spark serves the file to executors as they start."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="ballotlens-code-"), "ballotlens_code.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
+
+
 def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Bound the rows of an Arrow batch, so that long texts fit a worker."""
+    """Bound the rows of an Arrow batch, so that long texts fit a worker (and
+    see to it that workers have this package)."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) not in range(1, rows + 1):
         spark.conf.set(key, str(rows))
