@@ -15,8 +15,9 @@ least cross-entropy per character wins, ties to the first name.
 
 Rejection: a second, disjoint sample of each language calibrates how far above
 its mean a document's cross-entropy lies, in units that widen for short texts.
-A document farther out than any of those by ``slack`` is rejected, as is one
-without a letter.
+A document farther out than any of those (``LEAST_LIMIT`` units at least) by
+the factor ``slack`` is rejected, as is one without a letter: ordinary
+documents of a learned language stay.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0;
 rows without lang or text teach nothing; with nothing to learn from, every
@@ -38,6 +39,7 @@ ORDER = 4
 SAMPLE_DOCS = 400          # documents of a language that are counted, and as many that calibrate
 MAX_NGRAMS = 2_000_000     # n-grams of all languages; the most frequent stay
 SLACK = 1.5
+LEAST_LIMIT = 8.0          # a sample of few documents shows too little of what is usual
 UND = "und"
 
 
@@ -249,7 +251,7 @@ def _calibrate(model: Model, sample: DataFrame, slack: float) -> None:
            .withColumn("spread", F.greatest(F.percentile_approx(F.abs(F.col("h") - F.col("mean")), 0.5).over(by), F.lit(0.01))))
     far = (F.col("h") - F.col("mean")) / (F.col("spread") + F.col("per_char") / F.sqrt("n"))
     for r in dev.groupBy("lang").agg(*(F.first(c).alias(c) for c in ("mean", "spread", "per_char")), F.max(far).alias("worst")).collect():
-        model.limits[r["lang"]] = (r["mean"], r["spread"], r["per_char"], max(1.0, r["worst"]) * slack)
+        model.limits[r["lang"]] = (r["mean"], r["spread"], r["per_char"], max(LEAST_LIMIT, r["worst"]) * slack)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

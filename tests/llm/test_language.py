@@ -64,7 +64,7 @@ def test_model_as_definition():
 
 
 def test_awkward_rows(spark):
-    texts = [None, "", "1 2 ...", "the cat and the dog " * 5, "la maison et le chat " * 5, "the cat " * 20_000, "漢字🙂x"] + ["the dog sat on the mat", "le chien et la table"] * 10
+    texts = [None, "", "1 2 ...", "the cat and the dog " * 5, "la maison et le chat " * 5, "the cat " * 20_000, "漢字🙂xq" * 60] + ["the dog sat on the mat", "le chien et la table"] * 10
     langs = [None, "en", "en", None, None, None, None] + ["en", "fr"] * 10
     df = docs(spark, texts, langs)
     m = li.fit(df)
@@ -82,4 +82,4 @@ def test_held_out_accuracy(spark):
     out = queries.op8_language_id(spark, SF_MID).join(queries.documents(spark, SF_MID).select("doc_id", "lang"), "doc_id")
     r = out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.avg(F.col("rejected").cast("int")).alias("r"),
                 F.avg(F.when(F.col("held_out"), (F.col("lang") == F.col("lang_pred")).cast("int"))).alias("h")).first()
-    assert r.a > 0.99 and r.h > 0.99 and r.r < 0.01, r
+    assert r.a > 0.99 and r.h > 0.99 and r.r < 0.002, r
