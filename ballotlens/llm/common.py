@@ -30,7 +30,7 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="ballotlens-code-"), "ballotlens_code.zip")
+    target = Path(tempfile.mkdtemp(prefix="ballotlens-code-")).resolve() / "ballotlens_code.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
