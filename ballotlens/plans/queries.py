@@ -1540,7 +1540,9 @@ WITH f AS (SELECT account_hash_key, CASE WHEN proposal_master_skey <> -1 THEN pr
   FROM account_unvoted),
 r AS (SELECT account_hash_key, {_OUT_TYPED} FROM f)
 SELECT * FROM r WHERE NOT ({_KEYS_NN})
-UNION ALL SELECT DISTINCT ON (account_hash_key, proposal_master_skey, director_master_skey) * FROM r WHERE {_KEYS_NN}""", ["account_unvoted"])
+UNION ALL SELECT * FROM (SELECT DISTINCT ON (account_hash_key, proposal_master_skey, director_master_skey) * FROM r WHERE {_KEYS_NN}
+  ORDER BY account_hash_key, proposal_master_skey, director_master_skey, account_type NULLS FIRST, shares_summable NULLS FIRST,
+    rank_of_shareholding NULLS FIRST) t""", ["account_unvoted"])
 def q_load_outreach(spark, sf):
     """An outreach CSV loaded twice: the second load adds only rows whose key
     triple has a NULL, which never conflict, so it's cleared of them first."""
