@@ -73,8 +73,6 @@ class ByteBpe:
     """A byte-level vocabulary file: symbols, merge ranks, tokens' bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -94,7 +92,7 @@ class ByteBpe:
             self.bytes_of[i] = t.encode()
         self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.split_special = regex_of(self.special)
-        self.words = pretokens.Words(pretokens.BYTE_LEVEL, Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str)
+        self.words = pretokens.Words(pretokens.BYTE_LEVEL, path)
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.table))]
         self.kept = _Remembered(lambda w: self.pack(self.encode_word(w.encode())))
         self.leaves = _Remembered(lambda w: tuple(self.merge([self.byte_id[b] for b in w])))

@@ -38,13 +38,27 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, so that long texts fit a worker (and
     see to it that workers have this package)."""
     ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) not in range(1, rows + 1):
-        spark.conf.set(key, str(rows))
+    if int(spark.conf.get(_BATCH, "10000")) not in range(1, ROWS_PER_BATCH + 1):
+        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
+
+
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """So many rows to an Arrow batch in the jobs that run inside."""
+    ship_package(spark)
+    before = spark.conf.get(_BATCH, "10000")
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -22,6 +22,7 @@ table on either side gives an empty result; extra columns go no further.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,11 +174,10 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = E
 def _holds(docs: DataFrame, items: list[tuple[int, str]], error_rate: float):
     sent, made = docs.sparkSession.sparkContext.broadcast(items), []
 
-    @F.pandas_udf("boolean")
-    def holds(texts):
-        import pandas as pd
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
         if not made:                # once a task
             made.append(Matcher(sent.value, error_rate))
-        return pd.Series([bool(made[0].match(canonical(t))) for t in texts], dtype=bool)
+        return pa.array([bool(made[0].match(canonical(t))) for t in texts.to_pylist()], pa.bool_())
 
     return holds

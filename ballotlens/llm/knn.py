@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballotlens.llm.common import arrays_to_batch, small_batches, stored
+from ballotlens.llm.common import arrays_to_batch, batch_rows, lasting, stored, temporary
 
 PIVOTS = 64
 BLOCK_ROWS = 8_192        # vectors of a block of a group
@@ -41,7 +41,6 @@ _VECTOR = "vec_id long, dim int, v binary"
 
 def integer_vectors(vectors: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, dim, v): components as packed 64-bit integers."""
-    small_batches(vectors.sparkSession, 4096)
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].cast("array<double>").alias("e")).filter("vec_id is not null and e is not null")
 
     def pack(batches):
@@ -154,9 +153,16 @@ def local_best(ids: np.ndarray, data: np.ndarray, qids: np.ndarray, queries: np.
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, n_pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
           block_queries: int = BLOCK_QUERIES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score); ``is_query`` is a condition on vec_id."""
+    """(query_id, rank, vec_id, score); ``is_query`` is a condition on vec_id.
+    The result is a written table; the tables it was made from are removed."""
+    with temporary(vectors.sparkSession):
+        return _top_k(vectors, is_query, k, scale, n_pivots, block_rows, block_queries, id_col, vec_col)
+
+
+def _top_k(vectors, is_query, k, scale, n_pivots, block_rows, block_queries, id_col, vec_col) -> DataFrame:
     spark = vectors.sparkSession
-    packed = stored(integer_vectors(vectors, scale, id_col, vec_col), "vectors")
+    with batch_rows(spark, 4096):
+        packed = stored(integer_vectors(vectors, scale, id_col, vec_col), "vectors")
     pivots = pivot_sets(packed, n_pivots)
     data = stored(grouped(packed, pivots), "cells")
     # both bounded: a row for each group, and k + 1 distances of each
@@ -175,7 +181,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
                    for c, blocks in summary.groups_for(_matrix([v], d)[0].astype(np.float64)) for n in range(blocks)]
             yield arrays_to_batch(schema, [[r[j] for r in out] for j in range(5)])
 
-    small_batches(spark, 64)
     key = ["dim", "cell", "block"]
     asked = (data.filter(is_query).select("vec_id", "dim", "v").distinct().mapInArrow(route, "dim int, cell int, block long, query_id long, q binary"))
     # queries of a block, in packs of bounded size: enough packs for all queries at once
@@ -196,7 +201,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
                 found = local_best(np.array([m["vec_id"] for m in ms]), _matrix([m["v"] for m in ms], dim), qids, _matrix([q["q"] for q in qs], dim), k)
                 yield arrays_to_batch(schema, [[int(qids[f[0]]) for f in found], [marks[f[0]] for f in found], [f[1] for f in found], [f[2] for f in found]])
 
-    small_batches(spark, 4)
     best = asked.join(blocks, key).select("dim", "queries", "members").mapInArrow(solve, "query_id long, q_hash long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "q_hash").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with batch_rows(spark, 4):     # a row is a block of vectors and a pack of queries
+        return lasting(best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top-k")

@@ -30,6 +30,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -261,9 +262,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = spark.sparkContext.broadcast(model)    # bounded by max_ngrams
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text_of(docs, text_col).alias("text"))
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def score(text):
-        import pandas as pd
-        return pd.DataFrame(sent.value.predict(text.tolist()), columns=["lang_pred", "score", "rejected"])
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def score(text: pa.Array) -> pa.Array:
+        lang, sure, out = zip(*sent.value.predict(text.to_pylist())) if len(text) else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(out, pa.bool_())], ["lang_pred", "score", "rejected"])
 
     return rows.select("row", score("text").alias("p")).select("row", "p.lang_pred", "p.score", "p.rejected")

@@ -27,6 +27,7 @@ from __future__ import annotations
 import string
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,10 +195,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
                        F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("text_hash"))
     both = rows.join(bitmaps, ["doc", "text_hash"], "left")
 
-    @F.pandas_udf("string")
-    def kept(whole, bitmap):
-        import pandas as pd
-        return pd.Series([kept_text(t, m) for t, m in zip(whole, bitmap, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def kept(whole: pa.Array, bitmap: pa.Array) -> pa.Array:
+        return pa.array([kept_text(t, m) for t, m in zip(whole.to_pylist(), bitmap.to_pylist(), strict=True)], pa.string())
 
     return both.select("row", F.size(F.split("whole", "\n", -1)).cast("long").alias("n_lines"),
                        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),

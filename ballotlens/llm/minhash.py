@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlens.llm.common import arrays_to_batch, lasting, small_batches, stored, temporary, text_of
+from ballotlens.llm.common import arrays_to_batch, batch_rows, lasting, small_batches, stored, temporary, text_of
 
 WORDS = 5
 BANDS, ROWS = 26, 5                  # a pair of similarity 0.8 misses all buckets in 3 of 100,000 cases
@@ -275,8 +275,8 @@ def _likely(rows: DataFrame, roots: DataFrame, sketched: DataFrame, threshold: f
                     b.append(md[j])
             yield arrays_to_batch(schema, [a, b])
 
-    small_batches(rows.sparkSession, 64)
-    return stored(query.join(every, "bucket").select("qs", "ms").mapInArrow(compare, "a long, b long"), "likely")
+    with batch_rows(rows.sparkSession, 64):
+        return stored(query.join(every, "bucket").select("qs", "ms").mapInArrow(compare, "a long, b long"), "likely")
 
 
 def _forest(qr, mr, agree, least, linked):
@@ -328,8 +328,8 @@ def _links_within(families: DataFrame, roots: DataFrame, docs: DataFrame, thresh
                     b.append(md[j])
             yield arrays_to_batch(schema, [a, b])
 
-    small_batches(docs.sparkSession, 4)
-    return stored(query.join(every, "family").select("qs", "ms").mapInArrow(compare, "a long, b long"), "verified")
+    with batch_rows(docs.sparkSession, 4):       # a row is two blocks of texts
+        return stored(query.join(every, "family").select("qs", "ms").mapInArrow(compare, "a long, b long"), "verified")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,7 +340,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
 
 def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    spark = docs.sparkSession
     sketched = stored(sketches(docs, id_col, text_col), "sketches")
     worded = sketched.filter("content <> 0")
     first = stored(worded.groupBy("content").agg(F.min("doc").alias("rep")), "contents")
@@ -358,7 +357,6 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
         more = _links_within(families, roots, docs, threshold, id_col, text_col)
         if not more.isEmpty():
             roots = components(links.unionByName(more))
-    small_batches(spark)
     ids = (sketched.select("doc", "content").join(first, "content", "left")
            .select("doc", F.coalesce("rep", "doc").alias("rep")))
     out = (ids.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")

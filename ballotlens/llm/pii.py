@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -217,15 +218,14 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS, smoothing: float = SMOOTHING
     by_doc = stored(new.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "end", "kind")).alias("found")), "pii-found")
     whole = seen.drop("seen").join(by_doc, ["doc", "text_hash"], "left")
 
-    @F.pandas_udf("string")
-    def merged(base, found):
-        import pandas as pd
+    @F.arrow_udf("string")
+    def merged(base: pa.Array, found: pa.Array) -> pa.Array:
         out = []
-        for b, f in zip(base, found, strict=True):
+        for b, f in zip(base.to_pylist(), found.to_pylist(), strict=True):
             spans = [(int(x), int(y), k) for k, x, y in (s.split(":") for s in b.split(",") if s)]
             spans += [(int(s["start"]), int(s["end"]), s["kind"]) for s in (f if f is not None else [])]
             out.append(",".join(f"{k}:{x}:{y}" for x, y, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))))
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     spans = F.when(F.col("found").isNull(), F.col("base")).otherwise(merged("base", "found"))
     return whole.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base",

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import regex
 
@@ -56,11 +56,21 @@ def unknown_in(text: str) -> frozenset[str]:
 
 
 class Words:
-    """The words of a text; ``pre_tokenize`` asks the library for its words."""
+    """The words of a text by the pattern of the tokenizer file at ``path``."""
 
-    def __init__(self, pattern: str, pre_tokenize):
+    def __init__(self, pattern: str, path: str):
         self.latin, self.full = _latin(pattern), regex.compile(pattern)
-        self.ask, self.stand_in = pre_tokenize, {}
+        self.path, self.stand_in = path, {}
+
+    @cached_property
+    def library(self):
+        """The library's tokenizer: only texts with odd characters need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def ask(self, text: str) -> list:
+        return self.library.pre_tokenizer.pre_tokenize_str(text)
 
     def find(self, text: str) -> list[str]:
         if is_latin(text):

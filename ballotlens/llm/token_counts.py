@@ -35,8 +35,6 @@ class WordCounter:
     """A vocabulary file as merge ranks between symbol numbers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
@@ -47,10 +45,8 @@ class WordCounter:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.pairs[vocab[a] << BITS | vocab[b]] = rank << BITS | vocab[a + b]
-        library = Tokenizer.from_file(path)
-        self.normalize = library.normalizer.normalize_str
         self.split_special = regex_of([t["content"] for t in spec["added_tokens"]])
-        self.words = pretokens.Words(pretokens.WORD_LEVEL, lambda s: library.pre_tokenizer.pre_tokenize_str(s))
+        self.words = pretokens.Words(pretokens.WORD_LEVEL, path)
         self.spaces = regex.compile(r"\s+")
         self.kept = _Remembered(self.count_word)
 
@@ -91,7 +87,7 @@ class WordCounter:
         if text.isascii():
             return text.lower()
         if pretokens.unknown_in(text):
-            return self.normalize(text)
+            return self.words.library.normalizer.normalize_str(text)
         return self.spaces.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
 
     def count(self, text: str) -> int:
