@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
+import io
 import uuid
 import zipfile
 from contextvars import ContextVar
@@ -29,12 +29,16 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
-    root = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="ballotlens-code-")).resolve() / "ballotlens_code.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    root, packed = Path(__file__).resolve().parent.parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(target))
+    target = f"{shared_path(spark, 'code')}/ballotlens_code.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(target)
     _shipped.add(sc.applicationId)
 
 
