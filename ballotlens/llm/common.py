@@ -115,6 +115,19 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def slices(texts: list[str], most: int = 1 << 19):
+    """(start, end) of runs of texts of about ``most`` characters at most, or of
+    one longer text: what array work on a batch takes stays small."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > most:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def text_of(df: DataFrame, text_col: str) -> Column:
     """The text column as a string; null counts as the empty text."""
     return F.coalesce(df[text_col].cast("string"), F.lit(""))

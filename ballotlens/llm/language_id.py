@@ -34,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballotlens.llm.common import arrays_to_batch, small_batches, text_of
+from ballotlens.llm.common import arrays_to_batch, slices, small_batches, text_of
 
 ORDER = 4
 SAMPLE_DOCS = 400          # documents of a language that are counted, and as many that calibrate
 MAX_NGRAMS = 2_000_000     # n-grams of all languages; the most frequent stay
 SLACK = 1.5
 LEAST_LIMIT = 8.0          # a sample of few documents shows too little of what is usual
+LOOKED_UP = 1 << 18        # positions looked up at once
 UND = "und"
 
 
@@ -145,13 +146,16 @@ class Model:
 
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character for each text and language; characters counted."""
-        codes, at = fold(texts)
-        g, starts = grams(codes, at)
-        n = np.diff(np.append(starts, len(g)))
-        total = np.zeros((len(texts), len(self.langs)))
-        full = np.flatnonzero(n > 0)
-        if len(full):
-            total[full] = -np.add.reduceat(self.look_up(g), starts[full], axis=0, dtype=np.float64)
+        total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        for a, b in slices(texts):
+            codes, at = fold(texts[a:b])
+            g, starts = grams(codes, at)
+            n[a:b] = np.diff(np.append(starts, len(g)))
+            own = np.repeat(np.arange(b - a), n[a:b])
+            for k in range(0, len(g), LOOKED_UP):
+                logp, who = self.look_up(g[k:k + LOOKED_UP]), own[k:k + LOOKED_UP]
+                for x in range(len(self.langs)):
+                    total[a:b, x] -= np.bincount(who, logp[:, x], b - a)
         return total / np.maximum(n, 1)[:, None], n
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:

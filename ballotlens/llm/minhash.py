@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlens.llm.common import arrays_to_batch, batch_rows, lasting, small_batches, stored, temporary, text_of
+from ballotlens.llm.common import arrays_to_batch, batch_rows, lasting, slices, small_batches, stored, temporary, text_of
 
 WORDS = 5
 BANDS, ROWS = 26, 5                  # a pair of similarity 0.8 misses all buckets in 3 of 100,000 cases
@@ -145,9 +145,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         import pyarrow as pa
         schema = pa.schema([("doc", pa.int64()), ("content", pa.int64()), ("sig", pa.binary())])
         for b in batches:
-            s, w, own, content = shingles(b.column(1).to_pylist())
-            sig = registers(s, w, own, b.num_rows)
-            yield arrays_to_batch(schema, [b.column(0), content.view(np.int64), [x.tobytes() for x in sig]])
+            ids, texts = b.column(0), b.column(1).to_pylist()
+            for i, j in slices(texts):
+                s, w, own, content = shingles(texts[i:j])
+                sig = registers(s, w, own, j - i)
+                yield arrays_to_batch(schema, [ids.slice(i, j - i), content.view(np.int64), [x.tobytes() for x in sig]])
 
     return rows.mapInArrow(sketch, "doc long, content long, sig binary")
 

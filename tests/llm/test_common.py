@@ -15,3 +15,11 @@ def test_passing_tables_are_removed(spark):
     assert not any(map(os.path.exists, paths))
     c = common.lasting(df, "c")
     assert c.count() == 5
+
+
+def test_slices_cover_texts_once():
+    texts = ["a" * n for n in (0, 5, 3, 20, 0, 1, 9, 9)]
+    got = list(common.slices(texts, 10))
+    assert [i for a, b in got for i in range(a, b)] == list(range(len(texts)))
+    assert all(b - a == 1 or sum(map(len, texts[a:b])) <= 10 for a, b in got)
+    assert list(common.slices([], 10)) == []
