@@ -107,6 +107,18 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return s[heads], weight, own[heads], content
 
 
+def sets_and_registers(texts: list[str], sign: bool = True):
+    """Each text's shingle set, and all texts' registers (if asked for)."""
+    sets, sigs = [], [np.zeros((0, REGISTERS), np.uint32)]
+    for i, j in slices(texts):
+        s, w, own, _ = shingles(texts[i:j])
+        cut = np.searchsorted(own, np.arange(j - i + 1))
+        sets += [s[a:b] for a, b in zip(cut, cut[1:])]
+        if sign:
+            sigs.append(registers(s, w, own, j - i))
+    return sets, np.concatenate(sigs)
+
+
 def registers(s: np.ndarray, weight: np.ndarray, own: np.ndarray, n_texts: int) -> np.ndarray:
     """Each text's registers: low 32 bits of the shingle that arrived first."""
     q = np.full((n_texts, REGISTERS), np.inf)
@@ -185,13 +197,11 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, t
         for batch in batches:
             a, b = (batch.column(k).to_pylist() for k in range(2))
             left, right = (batch.column(k).to_pylist() for k in range(2, 4))
-            s, _, own, _ = shingles(right)
-            cut = np.searchsorted(own, np.arange(len(right) + 1))
-            keep = []
+            sets, keep = sets_and_registers(right, sign=False)[0], []
             for i, t in enumerate(left):
                 if t != last:
                     last, made = t, shingles([t])[0]
-                keep.append(similarity(made, s[cut[i]:cut[i + 1]]) >= threshold)
+                keep.append(similarity(made, sets[i]) >= threshold)
             at = np.flatnonzero(keep)
             yield arrays_to_batch(schema, [[a[i] for i in at], [b[i] for i in at]])
 
@@ -316,9 +326,8 @@ def _links_within(families: DataFrame, roots: DataFrame, docs: DataFrame, thresh
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def unpack(ms):
-            s, w, own, _ = shingles([m["text"] for m in ms])
-            cut = np.searchsorted(own, np.arange(len(ms) + 1))
-            return (np.array([m["doc"] for m in ms]), np.array([m["root"] for m in ms]), registers(s, w, own, len(ms)), [s[x:y] for x, y in zip(cut, cut[1:])])
+            sets, sigs = sets_and_registers([m["text"] for m in ms])
+            return np.array([m["doc"] for m in ms]), np.array([m["root"] for m in ms]), sigs, sets
 
         for batch in batches:
             a, b = [], []
