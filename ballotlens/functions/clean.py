@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ballotlens.functions.text import JS_WS, PY_WS, WS
+from ballotlens.functions.text import JS_WS, PY_WS
 
 # fixed values: accepted spellings of booleans / missing values
 TRUE_WORDS = ("TRUE", "1", "YES", "Y")

@@ -1,7 +1,6 @@
 """Cleaning rules on literal inputs; expected values follow the source loaders' rules."""
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from ballotlens.functions import clean as C
