@@ -2,7 +2,6 @@ import math
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from ballotlens.llm import language_id as li

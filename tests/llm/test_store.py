@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from ballotlens.llm import common, queries, token_store
 from ballotlens.llm import range_coder as rc
 from conftest import SF_SMALL
-from helpers import docs, empty
+from helpers import empty
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
