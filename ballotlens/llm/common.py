@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import io
+import sys
 import uuid
 import zipfile
 from contextvars import ContextVar
@@ -115,6 +117,16 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def forget_vocabularies() -> None:
+    """A Python worker outlives its tasks and serves one operator after the
+    other: drop the vocabularies, and what they remember, of earlier ones."""
+    for name in ("bpe", "token_counts"):
+        module = sys.modules.get(f"ballotlens.llm.{name}")
+        if module is not None and module.load.cache_info().currsize:
+            module.load.cache_clear()
+            gc.collect()
+
+
 def slices(texts: list[str], most: int = 1 << 19):
     """(start, end) of runs of texts of about ``most`` characters at most, or of
     one longer text: what array work on a batch takes stays small."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlens.llm.common import arrays_to_batch, small_batches, stored, text_of
+from ballotlens.llm.common import arrays_to_batch, forget_vocabularies, small_batches, stored, text_of
 
 ERROR_RATE = 0.05
 MIN_CHARS = 12
@@ -177,6 +177,7 @@ def _holds(docs: DataFrame, items: list[tuple[int, str]], error_rate: float):
     @F.arrow_udf("boolean")
     def holds(texts: pa.Array) -> pa.Array:
         if not made:                # once a task
+            forget_vocabularies()
             made.append(Matcher(sent.value, error_rate))
         return pa.array([bool(made[0].match(canonical(t))) for t in texts.to_pylist()], pa.bool_())
 

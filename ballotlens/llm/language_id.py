@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballotlens.llm.common import arrays_to_batch, slices, small_batches, text_of
+from ballotlens.llm.common import arrays_to_batch, forget_vocabularies, slices, small_batches, text_of
 
 ORDER = 4
 SAMPLE_DOCS = 400          # documents of a language that are counted, and as many that calibrate
@@ -212,6 +212,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_ngrams: int = MAX_N
 
     def count(batches):
         import pyarrow as pa
+        forget_vocabularies()
         schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), object)
@@ -268,6 +269,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     @F.arrow_udf("lang_pred string, score double, rejected boolean")
     def score(text: pa.Array) -> pa.Array:
+        forget_vocabularies()
         lang, sure, out = zip(*sent.value.predict(text.to_pylist())) if len(text) else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(out, pa.bool_())], ["lang_pred", "score", "rejected"])
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballotlens.llm.common import arrays_to_batch, small_batches, stored, text_of
+from ballotlens.llm.common import arrays_to_batch, forget_vocabularies, small_batches, stored, text_of
 
 BLANKS = " \t\n\x0b\x0c\r"
 NO_ID = -(2**63)            # stands for a null doc_id
@@ -61,6 +61,7 @@ _STREAMED = "edge boolean, summary boolean, h1 long, h2 long, doc long, text_has
 def _stream(min_docs: int):
     def run(batches):
         import pyarrow as pa
+        forget_vocabularies()
         schema = pa.schema([("edge", pa.bool_()), ("summary", pa.bool_()), *((c, pa.int64()) for c in ROW[:4]), ("pos", pa.int32()),
                             ("first", pa.bool_()), ("n_docs", pa.int64()), ("last_doc", pa.int64())])
         state = None   # the open run: hash, first row, documents, last document, rows not returned yet, at the partition's start?

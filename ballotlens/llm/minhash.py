@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotlens.llm.common import arrays_to_batch, batch_rows, lasting, slices, small_batches, stored, temporary, text_of
+from ballotlens.llm.common import arrays_to_batch, batch_rows, forget_vocabularies, lasting, slices, small_batches, stored, temporary, text_of
 
 WORDS = 5
 BANDS, ROWS = 26, 5                  # a pair of similarity 0.8 misses all buckets in 3 of 100,000 cases
@@ -155,6 +155,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def sketch(batches):
         import pyarrow as pa
+        forget_vocabularies()
         schema = pa.schema([("doc", pa.int64()), ("content", pa.int64()), ("sig", pa.binary())])
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()

@@ -23,3 +23,19 @@ def test_slices_cover_texts_once():
     assert [i for a, b in got for i in range(a, b)] == list(range(len(texts)))
     assert all(b - a == 1 or sum(map(len, texts[a:b])) <= 10 for a, b in got)
     assert list(common.slices([], 10)) == []
+
+
+def test_vocabularies_are_forgotten():
+    import gc
+    import weakref
+
+    import public_tokenizers
+
+    from ballotlens.llm import bpe
+    b = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    b.encode("some words to remember")
+    seen = weakref.ref(b)
+    del b
+    common.forget_vocabularies()
+    gc.collect()
+    assert seen() is None and bpe.load.cache_info().currsize == 0
