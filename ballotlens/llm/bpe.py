@@ -40,8 +40,8 @@ from ballotlens.llm import pretokens
 from ballotlens.llm.common import arrays_to_batch, id_and_text, small_batches
 
 LEAF = 6                   # bytes of a word that are merged without cutting it
-KEPT = 200_000             # words, leaves and windows that a worker remembers of each; then it starts anew
-KEPT_LENGTH = 48           # longer words aren't remembered
+KEPT = 150_000             # words, leaves and windows that a worker remembers of each; then it starts anew
+KEPT_LENGTH = 48           # longer words are not remembered
 SEAM = 48                  # characters from which a word across a cut is joined from the leaves' halves
 LEAF_CHARS = 32_768        # characters of a leaf of a long document
 BITS = 20                  # an id takes fewer bits than that
@@ -50,19 +50,20 @@ NONE = 1 << 62
 
 
 class _Remembered(dict):
-    """Results by key, filled as keys turn up.  At most ``KEPT`` stay, and as
-    many of the generation before, from which those still asked for move over."""
+    """Results by key, filled as keys turn up.  At most ``KEPT`` (over ``less``)
+    stay, and as many of the generation before, from which those still asked
+    for move over."""
 
-    def __init__(self, make):
+    def __init__(self, make, less: int = 1):
         super().__init__()
-        self.make, self.before = make, {}
+        self.make, self.before, self.most = make, {}, max(1, KEPT // less)
 
     def __missing__(self, key):
         made = self.before.get(key)
         if made is None:
             made = self.make(key)
-        if len(key) <= KEPT_LENGTH:
-            if len(self) >= KEPT:
+        if type(key) is not str or len(key) <= KEPT_LENGTH:
+            if len(self) >= self.most:
                 self.before = dict(self)
                 self.clear()
             self[key] = made
@@ -96,7 +97,8 @@ class ByteBpe:
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.table))]
         self.kept = _Remembered(lambda w: self.pack(self.encode_word(w.encode())))
         self.leaves = _Remembered(lambda w: tuple(self.merge([self.byte_id[b] for b in w])))
-        self.windows = _Remembered(self.window)
+        self.seams = _Remembered(self.meet)
+        self.windows = _Remembered(self.window, 3)
 
     def pack(self, ids) -> bytes:
         return b"".join([self.packed[i] for i in ids])
@@ -152,14 +154,24 @@ class ByteBpe:
         left, right = key
         return tuple(self.encode_bytes(b"".join([self.bytes_of[x] for x in left + right])))
 
+    def meet(self, key: int) -> tuple[int, ...]:
+        """The encoding of two tokens together; empty if it's the two themselves."""
+        pair = key >> BITS, key & MASK
+        found = tuple(self.encode_bytes(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]))
+        return () if found == pair else found
+
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of both together: a window of the last ``i`` tokens of
         the left and the first ``j`` of the right is encoded anew, and grows on
         the side where its outermost token isn't the half's own."""
+        window = self.seams[left[-1] << BITS | right[0]]
+        if not window:
+            return left + right
         i = j = 1
         while True:
             tail, head = left[-i:], right[:j]
-            window = self.windows[tail, head] if i + j <= 4 else self.window((tail, head))
+            if i + j > 2:
+                window = self.windows[tail, head] if i + j <= 4 else self.window((tail, head))
             left_ok = i >= len(left) or window[0] == tail[0]
             right_ok = j >= len(right) or window[-1] == head[-1]
             if left_ok and right_ok:
