@@ -246,11 +246,11 @@ def _blocks(df: DataFrame, by: str, member, name: str) -> DataFrame:
     return stored(df.select(by, block, member.alias("m")).groupBy(by, "block").agg(F.collect_list("m").alias("ms")).select(by, "ms"), name)
 
 
-def _open(rows: DataFrame, by: str) -> DataFrame:
-    """Groups of more than two members and more than one root: n, and the largest root."""
+def _open(rows: DataFrame, by: str, members: int = 2) -> DataFrame:
+    """Groups of at least ``members`` and more than one root: n, and the largest root."""
     sizes = rows.groupBy(by, "root").agg(F.count("*").alias("n"))
     return stored(sizes.groupBy(by).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"))
-                  .filter("kinds > 1 and n > 2").drop("kinds"), "open")
+                  .filter(f"kinds > 1 and n >= {members}").drop("kinds"), "open")
 
 
 def _least(threshold: float) -> int:
@@ -265,7 +265,8 @@ def _likely(rows: DataFrame, roots: DataFrame, sketched: DataFrame, threshold: f
     """Of each open bucket's pairs whose registers agree enough, a spanning
     forest over the components, block against block: (a, b)."""
     labelled = stored(_roots_of(rows, roots), "bucket-roots")
-    part = stored(labelled.join(_open(labelled, "bucket"), "bucket"), "open-rows")
+    # two members of a bucket were compared, as one of them is the least
+    part = stored(labelled.join(_open(labelled, "bucket", 3), "bucket"), "open-rows")
     with_sig = stored(part.join(sketched, "doc"), "open-sigs")
     member, least = F.struct("doc", "root", "sig"), _least(threshold)
     query = _blocks(with_sig.filter("root <> main"), "bucket", member, "blocks").withColumnRenamed("ms", "qs")

@@ -133,3 +133,21 @@ def test_query_as_brute_force(spark, sf):
     rows = queries.documents(spark, sf).select("doc_id", "text").collect()
     got = {r.doc_id: r.class_id for r in queries.op2_near_duplicates(spark, sf).collect()}
     assert got == classes([r.text for r in rows], [r.doc_id for r in rows])
+
+
+def crowd(monkeypatch):
+    """All documents share one bucket."""
+    monkeypatch.setattr(minhash, "buckets", lambda sketched: sketched.selectExpr("1L as bucket", "doc"))
+
+
+def test_lone_pairs_in_a_crowded_bucket(spark, monkeypatch):
+    """Each pair is a family of two; the bucket's least member is like neither."""
+    r = random.Random(11)
+    texts = []
+    for _ in range(12):
+        t = [f"w{r.randint(0, 10**6)}" for _ in range(120)]
+        texts += [" ".join(t), " ".join([*t[:-3], "x", "y", "z"])]
+    texts = [" ".join(f"u{r.randint(0, 10**6)}" for _ in range(90)) for _ in range(6)] + texts
+    crowd(monkeypatch)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert got == classes(texts, list(range(len(texts)))) and len(set(got.values())) == 18
