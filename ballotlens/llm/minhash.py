@@ -7,6 +7,11 @@ and each register keeps the first arrival's shingle.  Two documents' registers
 agree with their probability Jaccard similarity.  All shingles of a batch of
 documents draw their first arrivals, then those still below their document's
 slowest register draw their next, and so on: that is the early termination.
+With unit weights, probability Jaccard is the plain Jaccard similarity of the
+sets.  So each document has two signatures, by unit weights and by its own;
+they differ only where a text repeats a shingle.  Both are banded and compared:
+what is missed has a bound that follows from the links' own measure, however
+often texts repeat what they share.
 
 Two documents are linked if the Jaccard similarity of their shingle sets
 reaches ``threshold``.  (With plain counts as weights, documents that have
@@ -109,13 +114,13 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def sets_and_registers(texts: list[str], sign: bool = True):
     """Each text's shingle set, and all texts' registers (if asked for)."""
-    sets, sigs = [], [np.zeros((0, REGISTERS), np.uint32)]
+    sets, sigs = [], [np.zeros((0, 2, REGISTERS), np.uint32)]
     for i, j in slices(texts):
         s, w, own, _ = shingles(texts[i:j])
         cut = np.searchsorted(own, np.arange(j - i + 1))
         sets += [s[a:b] for a, b in zip(cut, cut[1:])]
         if sign:
-            sigs.append(registers(s, w, own, j - i))
+            sigs.append(signatures(s, w, own, j - i))
     return sets, np.concatenate(sigs)
 
 
@@ -142,6 +147,30 @@ def registers(s: np.ndarray, weight: np.ndarray, own: np.ndarray, n_texts: int)
     return sig
 
 
+def signatures(s: np.ndarray, weight: np.ndarray, own: np.ndarray, n_texts: int) -> np.ndarray:
+    """Each text's registers by unit weights, and by its own weights."""
+    sig = np.repeat(registers(s, np.ones(len(s)), own, n_texts)[:, None], 2, axis=1)
+    repeats = np.unique(own[weight > 1])
+    if len(repeats):
+        at = np.isin(own, repeats)
+        sig[repeats, 1] = registers(s[at], weight[at], np.searchsorted(repeats, own[at]), len(repeats))
+    return sig
+
+
+def pack(sig: np.ndarray) -> list[bytes]:
+    """Signatures as bytes, those that are alike once."""
+    return [x[0].tobytes() if (x[0] == x[1]).all() else x.tobytes() for x in sig]
+
+
+def unpack_signatures(packed: list[bytes]) -> np.ndarray:
+    return np.array([np.resize(np.frombuffer(x, np.uint32), 2 * REGISTERS) for x in packed], np.uint32).reshape(-1, 2, REGISTERS)
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many registers agree, for each of a with each of b, by the better signature."""
+    return np.array([(b == x).sum(axis=2).max(axis=1) for x in a])
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted shingle sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -161,23 +190,24 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i, j in slices(texts):
                 s, w, own, content = shingles(texts[i:j])
-                sig = registers(s, w, own, j - i)
-                yield arrays_to_batch(schema, [ids.slice(i, j - i), content.view(np.int64), [x.tobytes() for x in sig]])
+                yield arrays_to_batch(schema, [ids.slice(i, j - i), content.view(np.int64), pack(signatures(s, w, own, j - i))])
 
     return rows.mapInArrow(sketch, "doc long, content long, sig binary")
 
 
 def buckets(sketched: DataFrame) -> DataFrame:
-    """(bucket, doc): a row for each band."""
+    """(bucket, doc): a row for each band of each signature."""
     def bands(batches):
         import pyarrow as pa
         schema = pa.schema([("bucket", pa.int64()), ("doc", pa.int64())])
         for b in batches:
-            sig = np.array([np.frombuffer(x, np.uint32) for x in b.column(1).to_pylist()], np.uint64).reshape(-1, BANDS, ROWS)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2]).copy()
+            sig = unpack_signatures(b.column(1).to_pylist()).astype(np.uint64).reshape(-1, 2, BANDS, ROWS)
+            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:3]).copy()
             for k in range(ROWS):
-                key = mix(key * _POWER + sig[:, :, k])
-            yield arrays_to_batch(schema, [key.reshape(-1).view(np.int64), np.repeat(np.asarray(b.column(0)), BANDS)])
+                key = mix(key * _POWER + sig[..., k])
+            new = np.ones(key.shape, bool)
+            new[:, 1] = key[:, 1] != key[:, 0]
+            yield arrays_to_batch(schema, [key[new].view(np.int64), np.repeat(np.asarray(b.column(0)), new.sum(axis=(1, 2)))])
 
     return sketched.select("doc", "sig").mapInArrow(bands, "bucket long, doc long")
 
@@ -278,13 +308,13 @@ def _likely(rows: DataFrame, roots: DataFrame, sketched: DataFrame, threshold: f
 
         def unpack(ms):
             return (np.array([m["doc"] for m in ms]), np.array([m["root"] for m in ms]),
-                    np.array([np.frombuffer(m["sig"], np.uint32) for m in ms]))
+                    unpack_signatures([m["sig"] for m in ms]))
 
         for batch in batches:
             a, b = [], []
             for q, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (qd, qr, qs), (md, mr, ms) = unpack(q), unpack(m)
-                for i, j in _forest(qr, mr, np.array([(ms == x).sum(axis=1) for x in qs]), least, lambda i, j: True):
+                for i, j in _forest(qr, mr, agreement(qs, ms), least, lambda i, j: True):
                     a.append(qd[i])
                     b.append(md[j])
             yield arrays_to_batch(schema, [a, b])
@@ -335,8 +365,7 @@ def _links_within(families: DataFrame, roots: DataFrame, docs: DataFrame, thresh
             a, b = [], []
             for q, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (qd, qr, qs, qset), (md, mr, ms, mset) = unpack(q), unpack(m)
-                agree = np.array([(ms == x).sum(axis=1) for x in qs])
-                for i, j in _forest(qr, mr, agree, least, lambda i, j, x=qset, y=mset: similarity(x[i], y[j]) >= threshold):
+                for i, j in _forest(qr, mr, agreement(qs, ms), least, lambda i, j, x=qset, y=mset: similarity(x[i], y[j]) >= threshold):
                     a.append(qd[i])
                     b.append(md[j])
             yield arrays_to_batch(schema, [a, b])

@@ -151,3 +151,31 @@ def test_lone_pairs_in_a_crowded_bucket(spark, monkeypatch):
     crowd(monkeypatch)
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs(spark, texts)).collect()}
     assert got == classes(texts, list(range(len(texts)))) and len(set(got.values())) == 18
+
+
+@pytest.mark.parametrize("crowded", [True, False])
+def test_similar_sets_of_unlike_counts(spark, monkeypatch, crowded):
+    """One of each pair repeats half of what both share a hundred times."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    texts = []
+    for _ in range(60):
+        shared = [word() for _ in range(94)]
+        texts += [" ".join(shared[:50] * 100 + shared[50:] + [word() for _ in range(5)]), " ".join(shared + [word() for _ in range(5)])]
+    if crowded:
+        crowd(monkeypatch)
+    want = classes(texts, list(range(120)))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert got == want and len(set(want.values())) == 60
+
+
+def test_unit_signature_estimates_set_jaccard():
+    r, errors = random.Random(13), []
+    for _ in range(60):
+        a = [f"w{r.randint(0, 10**6)}" for _ in range(120)]
+        b = a[:50] * r.choice([1, 9]) + a[50:r.randint(90, 120)]
+        s, w, own, _ = minhash.shingles([" ".join(a), " ".join(b)])
+        sig = minhash.unpack_signatures(minhash.pack(minhash.signatures(s, w, own, 2)))
+        assert (sig[:, 1] == minhash.registers(s, w, own, 2)).all()
+        errors.append((sig[0, 0] == sig[1, 0]).mean() - plain(bag(" ".join(a)), bag(" ".join(b))))
+    assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.17
