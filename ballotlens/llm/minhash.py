@@ -33,17 +33,19 @@ hence the damped weights, and the verification on sets.)
    pair that shares a bucket is passed over, however large the bucket, and no
    list of all pairs is written.
 
-Defined results: one row for each document with the least doc_id of its class;
-documents without words (null, empty, blank) are classes of their own; those
-of fewer than five words have one shingle, all their words; rows that share a
-doc_id are one document (null ids too) and give one row; extra columns go no
-further; an empty table gives an empty result.
+Defined results: documents are told apart by doc_id (null ids too) and text, and
+unlike texts of one id don't join their classes.  A class is named by its least
+doc_id, null only if none of its documents has an id; each document gives its
+(doc_id, class_id), alike ones once.  Documents without words (null, empty,
+blank) are classes of their own; those of fewer than five words have one
+shingle, all their words; extra columns go no further; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballotlens.llm.common import arrays_to_batch, batch_rows, forget_vocabularies, lasting, slices, small_batches, stored, temporary, text_of
@@ -177,22 +179,34 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def document_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells documents apart: a hash of doc_id and text."""
+    return F.xxhash64(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), text_of(docs, text_col))
+
+
+def texts_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """(doc, text) of the documents in ``nodes`` (doc), each once: repeated rows
+    meet inside tasks first."""
+    texts = docs.select(document_key(docs, id_col, text_col).alias("doc"), text_of(docs, text_col).alias("text"))
+    return stored(texts.dropDuplicates(["doc"]).join(nodes, "doc", "left_semi"), name)
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, content, sig): content 0 for documents without words."""
+    """(doc, id, content, sig): content 0 for documents without words."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), text_of(docs, text_col).alias("text"))
+    rows = docs.select(document_key(docs, id_col, text_col).alias("doc"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), text_of(docs, text_col).alias("text"))
 
     def sketch(batches):
         import pyarrow as pa
         forget_vocabularies()
-        schema = pa.schema([("doc", pa.int64()), ("content", pa.int64()), ("sig", pa.binary())])
+        schema = pa.schema([("doc", pa.int64()), ("id", pa.int64()), ("content", pa.int64()), ("sig", pa.binary())])
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            keys, ids, texts = b.column(0), b.column(1), b.column(2).to_pylist()
             for i, j in slices(texts):
                 s, w, own, content = shingles(texts[i:j])
-                yield arrays_to_batch(schema, [ids.slice(i, j - i), content.view(np.int64), pack(signatures(s, w, own, j - i))])
+                yield arrays_to_batch(schema, [keys.slice(i, j - i), ids.slice(i, j - i), content.view(np.int64), pack(signatures(s, w, own, j - i))])
 
-    return rows.mapInArrow(sketch, "doc long, content long, sig binary")
+    return rows.mapInArrow(sketch, "doc long, id long, content long, sig binary")
 
 
 def buckets(sketched: DataFrame) -> DataFrame:
@@ -216,7 +230,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, t
     """The pairs (a, b) whose texts are similar.  Both joins have one long row
     set and plain exchanges, so a document of many pairs is a skewed join that
     is split at run time."""
-    texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), text_of(docs, text_col).alias("text"))
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), docs, id_col, text_col, "candidates")
     small_batches(docs.sparkSession)
     rows = (pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a"))
@@ -347,8 +361,7 @@ def _links_within(families: DataFrame, roots: DataFrame, docs: DataFrame, thresh
     tasks, block against block: (a, b)."""
     labelled = stored(_roots_of(families.select(F.col("node").alias("doc"), F.col("root").alias("family")), roots), "families")
     part = stored(labelled.join(_open(labelled, "family"), "family"), "open-rows")
-    texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), text_of(docs, text_col).alias("text"))
-    whole = stored(part.join(texts, "doc"), "open-texts")
+    whole = stored(part.join(texts_of(part.select("doc"), docs, id_col, text_col, "family-texts"), "doc"), "open-texts")
     member, least = F.struct("doc", "root", "text"), _least(threshold)
     query = _blocks(whole.filter("root <> main"), "family", member, "blocks").withColumnRenamed("ms", "qs")
     every = _blocks(whole, "family", member, "blocks")
@@ -378,14 +391,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     """(doc_id, class_id): the least doc_id of each document's class.  The
     result is a written table; the tables it was made from are removed."""
     with temporary(docs.sparkSession):
-        return lasting(_classes(docs, threshold, id_col, text_col), "classes")
+        out = _classes(docs, threshold, id_col, text_col).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.nullif("head.id", F.lit(NO_ID)).alias("class_id"))
+        return lasting(out.distinct(), "classes")
+
+
+def first_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key): the ``document_key`` of one document of each class, that of least doc_id."""
+    with temporary(docs.sparkSession):
+        out = _classes(docs, threshold, id_col, text_col).filter("doc = head.doc").select(F.col("doc").alias("key"))
+        return lasting(out.distinct(), "first-documents")
 
 
 def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc, id, head): each row's document and its class's first one."""
     sketched = stored(sketches(docs, id_col, text_col), "sketches")
     worded = sketched.filter("content <> 0")
-    first = stored(worded.groupBy("content").agg(F.min("doc").alias("rep")), "contents")
-    reps = stored(worded.join(first.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").select("doc", "sig"), "representatives")
+    order = F.struct((F.col("id") == NO_ID).alias("no_id"), "id", "doc")
+    first = stored(worded.groupBy("content").agg(F.min("doc").alias("rep"), F.min(order).alias("least")), "contents")
+    reps = stored(worded.select("doc", "sig").dropDuplicates(["doc"]).join(first.select(F.col("rep").alias("doc")), "doc", "left_semi"), "representatives")
     rows = stored(buckets(reps).distinct(), "buckets")
     centres = stored(rows.groupBy("bucket").agg(F.min("doc").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "centres")
     shared = stored(rows.join(centres, "bucket").select("bucket", "doc", "a"), "shared-buckets")
@@ -399,10 +422,8 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
         more = _links_within(families, roots, docs, threshold, id_col, text_col)
         if not more.isEmpty():
             roots = components(links.unionByName(more))
-    ids = (sketched.select("doc", "content").join(first, "content", "left")
-           .select("doc", F.coalesce("rep", "doc").alias("rep")))
-    out = (ids.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-           .select("doc", F.coalesce("root", "rep").alias("class")))
-    out = out.groupBy("doc").agg(F.min("class").alias("class"))
-    null = F.lit(NO_ID)
-    return out.select(F.nullif("doc", null).alias("doc_id"), F.nullif("class", null).alias("class_id"))
+    at_root = stored(first.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+                     .select("content", "least", F.coalesce("root", "rep").alias("root")), "content-roots")
+    heads = at_root.join(at_root.groupBy("root").agg(F.min("least").alias("head")), "root").select("content", "head")
+    return (sketched.select("doc", "id", "content").join(heads, "content", "left")
+            .select("doc", "id", F.coalesce("head", order).alias("head")))

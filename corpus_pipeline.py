@@ -8,19 +8,21 @@ stage works on all rows that its predecessor kept:
    farther from every learned language than any calibration document);
 2. lines: of a line found in 10 or more documents only the first occurrence
    stays; documents that lose all their text that way go;
-3. near_duplicates: of each class the document of least doc_id stays;
+3. near_duplicates: of each class the document of least doc_id stays (one
+   without an id only if none has one);
 4. decontamination: documents that hold a benchmark item go;
 5. bpe: ids of what is left, and the text decoded from them.
 
 Stages 1 to 4 return the columns of ``documents`` (and any others that the
 table has); ``n_chars`` follows a changed text.  Null texts count as empty:
-the first stage rejects them.  Rows that share a doc_id are one document, of
-which stage 3 keeps one row.  Empty tables give empty results.
+the first stage rejects them.  Rows that share doc_id and text are one
+document, of which stage 3 keeps one row; unlike texts of one id, or without
+an id, are documents of their own there.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballotlens.llm import bpe, decontamination, language_id, line_dedup, minhash
@@ -43,11 +45,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = (minhash.near_duplicates(docs, threshold=0.8).filter(F.equal_null("doc_id", "class_id"))
-             .select(F.coalesce("doc_id", F.lit(minhash.NO_ID)).alias("key")))
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"], F.lit(minhash.NO_ID)).alias("key"))
-    one = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row.text")))
-    return rows.join(first, "key", "left_semi").withColumn("n", one).filter("n = 1").select("row.*")
+    first = minhash.first_documents(docs, threshold=0.8)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), minhash.document_key(docs).alias("key"))
+    return rows.groupBy("key").agg(F.first("row").alias("row")).join(first, "key", "left_semi").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

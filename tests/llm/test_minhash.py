@@ -179,3 +179,9 @@ def test_unit_signature_estimates_set_jaccard():
         assert (sig[:, 1] == minhash.registers(s, w, own, 2)).all()
         errors.append((sig[0, 0] == sig[1, 0]).mean() - plain(bag(" ".join(a)), bag(" ".join(b))))
     assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.17
+
+
+def test_unlike_texts_of_one_id_are_apart(spark):
+    rows = [(1, "a b c d e f g"), (2, "k l m n o p q"), (7, "k l m n o p q"), (7, "r s t u v w x"), (8, "r s t u v w x"), (None, "A b c d e f g"), (None, "1 2 3 4 5 6"), (None, "5 6 7 8 9 0")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows * 2, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0) for r in got) == [(0, 0), (0, 1), (1, 1), (2, 2), (7, 2), (7, 7), (8, 7)]

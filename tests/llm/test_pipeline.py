@@ -59,6 +59,13 @@ def test_stages_return_the_columns_of_documents(spark):
     assert len(near) == len(set(near)) and set(range(29, 40)) & set(near) == {29}
 
 
+def test_unlike_documents_of_one_id_or_none_stay(spark):
+    rows = [(None, f"text {i} " + " ".join(f"w{i}x{j}" for j in range(20)), i) for i in range(9)] + [(3, "a b c d e f g", 9), (3, "h i j k l m n", 10), (3, "A b c d e f g", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    got = cp.near_duplicates(spark, df.unionByName(df), SF_SMALL).collect()
+    assert sorted(r.n for r in got if r.n not in (9, 11)) == [*range(9), 10] and sum(r.n in (9, 11) for r in got) == 1
+
+
 def test_clean_documents_stay(spark):
     """The first stage and the fourth leave ordinary documents alone."""
     df = queries.documents(spark, SF_MID)
