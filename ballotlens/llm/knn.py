@@ -3,10 +3,11 @@
 1. A bounded sample of vectors are pivots; every vector joins its nearest
    pivot's group (its Voronoi cell).
 2. A summary of each group (size, radius, greatest norm, and the ``k + 1``
-   least distances from the pivot) bounds inner products by Cauchy-Schwarz:
+   least distances from the pivot, of as many ids) bounds inner products by
+   Cauchy-Schwarz:
    a member x at distance d from pivot p has q.p - |q| d <= q.x <= q.p + |q| d.
-   The k-th best of the lower bounds over all groups is a score that a query's
-   k-th answer reaches.
+   The k-th best of the lower bounds over all groups, without those of the
+   query's own id, is a score that a query's k-th answer reaches.
 3. A query is replicated only to the groups whose upper bound reaches that
    score, there to each block of the group (a group of a third of all rows is
    as many blocks as its size asks for), and every block is solved locally.
@@ -112,17 +113,18 @@ class Summary:
             self.cells.setdefault(r.dim, []).append((r.cell, p[r.cell], r.radius, r.norm, -(-r.n // block_rows)))
         self.near = {}
         for r in near:
-            self.near.setdefault((r.dim, r.cell), []).append(r.distance)
+            self.near.setdefault((r.dim, r.cell), []).append((r.distance, getattr(r, "vec_id", None)))
 
-    def groups_for(self, q: np.ndarray) -> list[tuple[int, int]]:
+    def groups_for(self, q: np.ndarray, query_id: int | None = None) -> list[tuple[int, int]]:
         """(cell, blocks) of the groups that may hold one of q's best k."""
         cells = self.cells[len(q)]
         p = np.array([c[1] for c in cells]).reshape(len(cells), len(q))
         size = float(np.sqrt((q * q).sum()))
         middle = p @ q
         slack = 1e-9 * (1 + size * (np.abs(p).sum(1).max(initial=0) + max(c[2] for c in cells)))
-        lower = np.concatenate([m - size * np.array(self.near[len(q), c[0]]) for m, c in zip(middle, cells, strict=True)])
-        reach = np.sort(lower)[::-1][self.k] if len(lower) > self.k else -np.inf     # one may be the query itself
+        others = [[d for d, i in self.near[len(q), c[0]] if i is None or i != query_id] for c in cells]
+        lower = np.concatenate([m - size * np.array(d, float) for m, d in zip(middle, others, strict=True)])
+        reach = np.sort(lower)[::-1][self.k - 1] if len(lower) >= self.k else -np.inf
         upper = np.minimum(middle + size * np.array([c[2] for c in cells]), size * np.array([c[3] for c in cells]))
         return [(c[0], c[4]) for c, u in zip(cells, upper, strict=True) if u + slack >= reach - slack]
 
@@ -165,10 +167,10 @@ def _top_k(vectors, is_query, k, scale, n_pivots, block_rows, block_queries, id_
         packed = stored(integer_vectors(vectors, scale, id_col, vec_col), "vectors")
     pivots = pivot_sets(packed, n_pivots)
     data = stored(grouped(packed, pivots), "cells")
-    # both bounded: a row for each group, and k + 1 distances of each
+    # both bounded: a row for each group, and distances of k + 1 ids of each, as one may be the query's own
     groups = data.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius"), F.max("norm").alias("norm"))
     by = Window.partitionBy("dim", "cell").orderBy("distance", "vec_id")
-    near = data.select("dim", "cell", "distance", "vec_id").withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k + 1)
+    near = data.groupBy("dim", "cell", "vec_id").agg(F.min("distance").alias("distance")).withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k + 1)
     summary = Summary(pivots, rows := groups.collect(), near.collect(), k, block_rows)
     # block counts and bounds: at most n_pivots groups and one for each odd length
     counts = spark.createDataFrame([(r.dim, r.cell, -(-r.n // block_rows)) for r in rows], "dim int, cell int, blocks long")
@@ -178,7 +180,7 @@ def _top_k(vectors, is_query, k, scale, n_pivots, block_rows, block_queries, id_
         schema = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("block", pa.int64()), ("query_id", pa.int64()), ("q", pa.binary())])
         for b in batches:
             out = [(d, c, n, i, v) for i, d, v in zip(*(x.to_pylist() for x in b.columns), strict=True)
-                   for c, blocks in summary.groups_for(_matrix([v], d)[0].astype(np.float64)) for n in range(blocks)]
+                   for c, blocks in summary.groups_for(_matrix([v], d)[0].astype(np.float64), i) for n in range(blocks)]
             yield arrays_to_batch(schema, [[r[j] for r in out] for j in range(5)])
 
     key = ["dim", "cell", "block"]

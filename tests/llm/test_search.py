@@ -101,6 +101,15 @@ def test_groups_are_passed_over():
     assert len(s.groups_for(p[3])) < 5
 
 
+def test_repeated_rows_of_the_query_hide_no_answer(spark):
+    """Every vector is a pivot and occurs twelve times: cells of no radius."""
+    r = np.random.default_rng(8)
+    rows = [(50 * c, r.normal(size=6).tolist()) for c in range(24)] * 12
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = knn.top_k(df, F.col("vec_id") % 100 == 0, k=10, n_pivots=300).collect()
+    assert {tuple(x) for x in got} == brute_top(rows, 10) and len(got) == 120
+
+
 @pytest.mark.parametrize("sf", [SF_SMALL, SF_MID])
 def test_query_as_sql(spark, sf):
     con = duckdb.connect()
