@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotlens.llm import bpe, decontamination, knn, language_id, license_scan, line_dedup, minhash, pii, token_counts, token_store
+from ballotlens.llm import bpe, decontamination, exact_dedup, knn, language_id, license_scan, line_dedup, minhash, pii, token_counts, token_store
 from ballotlens.llm.common import shared_path
 
 #: folder of the public tokenizers' files, found by their package
@@ -79,8 +79,13 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_bpe_round_trip, op2_near_duplicates, op3_token_counts, op4_personal_data, op5_license_scan, op6_decontamination, op7_token_store, op8_language_id, op9_line_dedup, op10_top_k,
+    op13_exact_dedup,
 )}
 
 ORACLE_SQL: dict[str, str] = {
@@ -110,5 +115,11 @@ WITH v AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs
 )
 SELECT * FROM ranked WHERE rank <= 10
+""",
+    "op13_exact_dedup": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
+       row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(text) AS text_sha256
+FROM t
 """,
 }
