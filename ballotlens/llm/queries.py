@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotlens.llm import bpe, decontamination, exact_dedup, knn, language_id, license_scan, line_dedup, minhash, pii, token_counts, token_store
+from ballotlens.llm import bpe, decontamination, exact_dedup, knn, language_id, lexical_search, license_scan, line_dedup, minhash, pii, token_counts, token_store
 from ballotlens.llm.common import shared_path
 
 #: folder of the public tokenizers' files, found by their package
@@ -79,13 +79,17 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_bpe_round_trip, op2_near_duplicates, op3_token_counts, op4_personal_data, op5_license_scan, op6_decontamination, op7_token_store, op8_language_id, op9_line_dedup, op10_top_k,
-    op13_exact_dedup,
+    op12_lexical_search, op13_exact_dedup,
 )}
 
 ORACLE_SQL: dict[str, str] = {
@@ -115,6 +119,28 @@ WITH v AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs
 )
 SELECT * FROM ranked WHERE rank <= 10
+""",
+    "op12_lexical_search": r"""
+WITH low AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), d AS (SELECT * FROM low WHERE len(t) > 0),
+corpus AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d),
+tf AS (
+  SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, corpus GROUP BY term, n_docs
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), s AS (
+  SELECT item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term), corpus GROUP BY item_id, rid, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
 """,
     "op13_exact_dedup": """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
