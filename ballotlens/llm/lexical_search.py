@@ -96,12 +96,12 @@ class _Numbers(dict):
 class Builder:
     """Collects a shard's documents."""
 
-    def __init__(self, n_docs: int, n_terms: int):
-        self.corpus, self.numbers, self.size = (n_docs, n_terms), _Numbers(), 0
+    def __init__(self, n_docs: int, n_terms: int, most_docs: int = SHARD_DOCS):
+        self.corpus, self.most_docs, self.numbers, self.size = (n_docs, n_terms), most_docs, _Numbers(), 0
         self.ids, self.lengths, self.terms, self.tfs = [], [], [], []
 
     def full(self) -> bool:
-        return len(self.ids) >= SHARD_DOCS or self.size >= SHARD_BYTES
+        return len(self.ids) >= self.most_docs or self.size >= SHARD_BYTES
 
     def add(self, doc_id: int | None, body: bytes) -> None:
         counts, n = Counter(), 0
@@ -230,7 +230,7 @@ def counts(docs: DataFrame) -> tuple[int, int]:
     return total[0] or 0, total[1] or 0
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> Index:
     """An index of all terms of all documents; its shards are a written table."""
     small_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
@@ -240,13 +240,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         import pyarrow as pa
         forget_vocabularies()
         schema = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.binary()) for c in _SHARD.split(", ")])
-        shard = Builder(n_docs, n_terms)
+        shard = Builder(n_docs, n_terms, shard_docs)
         for b in batches:
             for i, body in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 shard.add(i, body)
                 if shard.full():
                     yield arrays_to_batch(schema, [[x] for x in shard.pack()])
-                    shard = Builder(n_docs, n_terms)
+                    shard = Builder(n_docs, n_terms, shard_docs)
         if shard.ids:
             yield arrays_to_batch(schema, [[x] for x in shard.pack()])
 

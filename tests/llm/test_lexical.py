@@ -61,14 +61,14 @@ def test_terms_as_pattern():
         assert [w.decode() for p in ls.pieces(t.encode()) for w in p] == words(t)
 
 
-@pytest.mark.parametrize("shard,block,item_bytes", [(40, 4, 300), (100_000, 128, 1 << 20), (7, 128, 1 << 20)])
-def test_as_brute_force(spark, monkeypatch, shard, block, item_bytes):
+@pytest.mark.parametrize("shard,item_bytes", [(40, 300), (100_000, 1 << 20), (7, 1 << 20)])
+def test_as_brute_force(spark, shard, item_bytes):
     rows, items = corpus()
     df = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, score long, terms string").repartition(3)
     asked = spark.createDataFrame([(i, t, 9) for i, t in items + items[:3]], "item_id long, text string, rank int")
-    if shard < 100:      # set in the tasks too: nested functions go with their values
-        monkeypatch.setattr(ls, "SHARD_DOCS", shard)
-    got = ls.search(ls.build_index(df), asked, item_bytes=item_bytes)
+    index = ls.build_index(df, shard_docs=shard)
+    assert index.shards.count() >= 700 / shard
+    got = ls.search(index, asked, item_bytes=item_bytes)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, items)
 
 
