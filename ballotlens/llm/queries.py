@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotlens.llm import bpe, decontamination, exact_dedup, knn, language_id, lexical_search, license_scan, line_dedup, minhash, pii, token_counts, token_store
+from ballotlens.llm import bpe, decontamination, exact_dedup, knn, language_id, lexical_search, license_scan, line_dedup, minhash, pii, token_counts, token_store, whitening
 from ballotlens.llm.common import shared_path
 
 #: folder of the public tokenizers' files, found by their package
@@ -79,6 +79,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, scale=64, shift=1_000_000)
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
 
@@ -89,7 +94,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_bpe_round_trip, op2_near_duplicates, op3_token_counts, op4_personal_data, op5_license_scan, op6_decontamination, op7_token_store, op8_language_id, op9_line_dedup, op10_top_k,
-    op12_lexical_search, op13_exact_dedup,
+    op11_whitening, op12_lexical_search, op13_exact_dedup,
 )}
 
 ORACLE_SQL: dict[str, str] = {
