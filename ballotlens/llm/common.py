@@ -76,7 +76,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     if _passing.get():
         _passing.get()[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a ``stored`` table after its last use."""
+    drop_stored(df.sparkSession, df._stored_at)
 
 
 #: tables to remove, a list for each ``temporary`` that is open

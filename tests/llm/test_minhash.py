@@ -83,7 +83,7 @@ def test_similarity_as_definition():
     r = random.Random(5)
     for _ in range(60):
         a, b = (" ".join(r.choice("xyz") + str(r.randint(0, 2)) for _ in range(r.randint(1, 60))) for _ in range(2))
-        s, _, own, _ = minhash.shingles([a, b])
+        s, _, own = minhash.shingles([a, b])
         assert abs(minhash.similarity(s[own == 0], s[own == 1]) - plain(bag(a), bag(b))) < 1e-9
 
 
@@ -96,7 +96,7 @@ def test_registers_estimate_probability_jaccard():
     for _ in range(60):
         a = [str(r.randint(0, 99)) for _ in range(120)] + ["rep eat ed li ne"] * r.randint(0, 9)
         b = a[:r.randint(20, 120)] + [str(r.randint(0, 99)) for _ in range(20)]
-        s, w, own, _ = minhash.shingles([" ".join(a), " ".join(b), "", "short"])
+        s, w, own = minhash.shingles([" ".join(a), " ".join(b), "", "short"])
         sig = minhash.registers(s, w, own, 4)
         errors.append((sig[0] == sig[1]).mean() - jp(damped(bag(" ".join(a))), damped(bag(" ".join(b)))))
         assert not sig[2].any()
@@ -174,8 +174,8 @@ def test_unit_signature_estimates_set_jaccard():
     for _ in range(60):
         a = [f"w{r.randint(0, 10**6)}" for _ in range(120)]
         b = a[:50] * r.choice([1, 9]) + a[50:r.randint(90, 120)]
-        s, w, own, _ = minhash.shingles([" ".join(a), " ".join(b)])
-        sig = minhash.unpack_signatures(minhash.pack(minhash.signatures(s, w, own, 2)))
+        s, w, own = minhash.shingles([" ".join(a), " ".join(b)])
+        sig = minhash.signatures(s, w, own, 2)
         assert (sig[:, 1] == minhash.registers(s, w, own, 2)).all()
         errors.append((sig[0, 0] == sig[1, 0]).mean() - plain(bag(" ".join(a)), bag(" ".join(b))))
     assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.17
@@ -185,3 +185,38 @@ def test_unlike_texts_of_one_id_are_apart(spark):
     rows = [(1, "a b c d e f g"), (2, "k l m n o p q"), (7, "k l m n o p q"), (7, "r s t u v w x"), (8, "r s t u v w x"), (None, "A b c d e f g"), (None, "1 2 3 4 5 6"), (None, "5 6 7 8 9 0")]
     got = minhash.near_duplicates(spark.createDataFrame(rows * 2, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.class_id or 0) for r in got) == [(0, 0), (0, 1), (1, 1), (2, 2), (7, 2), (7, 7), (8, 7)]
+
+
+def test_four_bits_agree_where_registers_do():
+    r = np.random.default_rng(14)
+    a = r.integers(0, 2**32, (50, 2, minhash.REGISTERS), dtype=np.uint32)
+    a[::3, 1] = a[::3, 0]
+    b = np.where(r.random(a.shape) < 0.5, a, r.integers(0, 2**32, a.shape, dtype=np.uint32))
+    x, y = (minhash.unpack(minhash.pack(s)) for s in (a, b))
+    want = ((a ^ b) & 15 == 0).sum(axis=2).max(axis=1)
+    assert (minhash.agreement(x, y) == want).all() and (want >= minhash.agreement(a, b)).all()
+    assert (minhash.agreements(x[:4], y) == [[minhash.agreement(i, j) for j in y] for i in x[:4]]).all()
+
+
+def test_filter_of_keys_holds_all_and_few_others(spark):
+    keys = spark.range(20_000).selectExpr("xxhash64(id) as k1", "xxhash64('2', id) as k2")
+    others = spark.range(20_000, 60_000).selectExpr("xxhash64(id) as k1", "xxhash64('2', id) as k2")
+    held = minhash.key_filter(keys)
+    assert keys.filter(held).count() == 20_000 and others.filter(held).count() < 4_000
+    assert others.filter(minhash.key_filter(keys.limit(0))).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Copies of two megabytes that differ in a few words, within one family."""
+    r = random.Random(15)
+    base = [f"w{r.randint(0, 10**5)}" for _ in range(300_000)]
+    texts = [" ".join(base), " ".join(base[:-50]), " ".join([*base[100:], "end"]), " ".join(reversed(base)), "short one here to be alone"]
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+
+
+def test_blocks_are_bounded_by_bytes(spark):
+    rows = [(1, 0, i, i, 1000, 1000 * minhash.BLOCK_BYTES // 100) for i in range(1000)]
+    df = spark.createDataFrame(rows, "bucket long, main long, doc long, root long, n long, size long")
+    sizes = [len(x.ms) for x in minhash._blocks(df, "bucket", df["root"], "b").collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) < 150
