@@ -16,7 +16,7 @@ stage works on all rows that its predecessor kept:
 Stages 1 to 4 return the columns of ``documents`` (and any others that the
 table has); ``n_chars`` follows a changed text.  Null texts count as empty:
 the first stage rejects them.  Rows that share doc_id and text are one
-document, of which stage 3 keeps one row; unlike texts of one id, or without
+document, of which stage 3 keeps one row, the least by all columns; unlike texts of one id, or without
 an id, are documents of their own there.  Empty tables give empty results.
 """
 
@@ -46,8 +46,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = minhash.first_documents(docs, threshold=0.8)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), minhash.document_key(docs).alias("key"))
-    return rows.groupBy("key").agg(F.first("row").alias("row")).join(first, "key", "left_semi").select("row.*")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *minhash.document_key(docs))
+    return rows.groupBy(*minhash.KEY).agg(F.min("row").alias("row")).join(first, minhash.KEY, "left_semi").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
