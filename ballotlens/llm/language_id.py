@@ -1,19 +1,21 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Fitting: a bounded sample of labelled documents (``sample_docs`` of each
-language, those of least id hash) is cut into character 4-grams, which Spark
-counts for each language.  From the counts the driver builds each language's
-interpolated Kneser-Ney model (lower orders from continuation counts) and
-stores them as sorted arrays of packed n-grams with a column of log
-probabilities for each language.  The model's size is bounded by
-``max_ngrams``; it is small enough to send to every task.
+Fitting: a bounded sample of labelled documents (about ``sample_docs`` of each
+language, those whose hash of doc_id and text lies below the share that its
+count of different documents allows; repeated rows are one) is cut into
+character 4-grams, which Spark counts for each language.  From the counts the
+driver builds each language's interpolated Kneser-Ney model (lower orders from
+continuation counts) and stores them as sorted arrays of packed n-grams with a
+column of log probabilities for each language.  All n-grams of the sample stay:
+its documents bound the model, which goes to every task.
 
 Scoring: whole texts; letters lower-cased, whatever lies between them one
 space.  Each position's 4-gram is looked up once for all languages by binary
 search, and where no language knows it, its shorter ends are.  The language of
 least cross-entropy per character wins, ties to the first name.
 
-Rejection: a second, disjoint sample of each language calibrates how far above
+Rejection: a second, disjoint sample of each language, if there are documents
+left for one (the first always goes to the counts), calibrates how far above
 its mean a document's cross-entropy lies, in units that widen for short texts.
 A document farther out than any of those (``LEAST_LIMIT`` units at least) by
 the factor ``slack`` is rejected, as is one without a letter: ordinary
@@ -21,8 +23,10 @@ documents of a learned language stay.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0;
 rows without lang or text teach nothing; with nothing to learn from, every
-prediction is ``und``; repeated rows each give their row; extra columns go no
-further.
+prediction is ``und``; languages that fit equally well go to the first name;
+languages without a second document reject nothing but letterless texts;
+repeated rows each give their row; extra columns stay in the row's struct,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,11 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballotlens.llm.common import arrays_to_batch, forget_vocabularies, slices, small_batches, text_of
+from ballotlens.llm.common import arrays_to_batch, forget_vocabularies, slices, small_batches, stored, temporary, text_of
 
 ORDER = 4
 SAMPLE_DOCS = 400          # documents of a language that are counted, and as many that calibrate
-MAX_NGRAMS = 2_000_000     # n-grams of all languages; the most frequent stay
 SLACK = 1.5
 LEAST_LIMIT = 8.0          # a sample of few documents shows too little of what is usual
 LOOKED_UP = 1 << 18        # positions looked up at once
@@ -192,24 +195,27 @@ def _discount(c: np.ndarray) -> float:
 
 
 def _sample(docs: DataFrame, sample_docs: int) -> DataFrame:
-    """lang, text, part (0: count, 1: calibrate): the documents of each language
-    with the least hashes, found from ids alone; each map task passes on at
-    most the asked number of a language, and texts are read for the chosen."""
-    hashed = docs.filter("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", F.length("text")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cut = (hashed.select("lang", "h").withColumn("r", rank).filter(F.col("r") <= 2 * sample_docs)
-           .groupBy("lang").agg(F.max("h").alias("most")))
-    return (hashed.join(F.broadcast(cut), "lang").filter("h <= most")     # a row for each language
-            .select("lang", "text", F.pmod("h", F.lit(2)).alias("part")))
-
-
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_ngrams: int = MAX_NGRAMS, slack: float = SLACK,
+    """lang, text, part (0: count, 1: calibrate): about ``sample_docs`` documents
+    of each language for either part.  What is kept follows from a document's
+    own hash and two numbers a language, so no group of rows meets in a task."""
+    hashed = docs.filter("lang is not null and text is not null").select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h"))
+    langs = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.min("h").alias("least"))
+    below = lambda docs: F.least(F.lit(float(docs)) / F.col("n"), F.lit(0.9999 * docs / (2 * sample_docs))) * 2.0**63
+    cuts = stored(langs.select("lang", "least", below(sample_docs).cast("long").alias("count"), below(2 * sample_docs).cast("long").alias("most")), "cuts")
+    chosen = hashed.join(cuts, "lang").filter("h <= most or h = least")
+    return chosen.select("lang", "text", "h", F.when((F.col("h") <= F.col("count")) | (F.col("h") == F.col("least")), 0).otherwise(1).alias("part")).dropDuplicates(["lang", "h"]).drop("h")
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, slack: float = SLACK,
         id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The languages' models from labelled rows, with calibrated limits."""
     small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    sample = _sample(rows, sample_docs)
+    with temporary(docs.sparkSession):
+        return _fit(stored(_sample(rows, sample_docs), "sample"), slack)
 
+
+def _fit(sample: DataFrame, slack: float) -> Model:
     def count(batches):
         import pyarrow as pa
         forget_vocabularies()
@@ -224,7 +230,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_ngrams: int = MAX_N
 
     counted = (sample.filter("part = 0").select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    table = counted.orderBy(F.desc("n"), "lang", "gram").limit(max_ngrams).toArrow()
+    table = counted.toArrow()
     lang, gram, n = (table.column(k) for k in range(3))
     gram, n = np.asarray(gram).view(np.uint64), np.asarray(n)
     names = np.array(lang.to_pylist(), object)
@@ -264,7 +270,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(row struct of all of docs' columns, lang_pred, score, rejected) for each row."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)    # bounded by max_ngrams
+    sent = spark.sparkContext.broadcast(model)    # bounded by the sample
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text_of(docs, text_col).alias("text"))
 
     @F.arrow_udf("lang_pred string, score double, rejected boolean")

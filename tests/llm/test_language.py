@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ballotlens.llm import language_id as li
 from ballotlens.llm import queries
-from conftest import SF_MID
+from conftest import SF_MID, SF_SMALL
 from helpers import docs, empty
 
 
@@ -82,3 +82,45 @@ def test_held_out_accuracy(spark):
     r = out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.avg(F.col("rejected").cast("int")).alias("r"),
                 F.avg(F.when(F.col("held_out"), (F.col("lang") == F.col("lang_pred")).cast("int"))).alias("h")).first()
     assert r.a > 0.99 and r.h > 0.99 and r.r < 0.002, r
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_sample_is_bounded_whatever_ids_repeat(spark):
+    unlike = rows_of(spark, [(None, f"text {i:05d}", "en") for i in range(4000)])
+    parts = [r.part for r in li._sample(unlike, 10).collect()]
+    assert 5 <= len(parts) <= 50 and {0, 1} == set(parts)
+    alike = rows_of(spark, [(None, "same text", "en")] * 3000 + [(1, "une phrase", "fr")])
+    assert sorted((r.lang, r.part) for r in li._sample(alike, 10).collect()) == [("en", 0), ("fr", 0)]
+    few = rows_of(spark, [(i, f"text {i}", "en") for i in range(20)])
+    assert li._sample(few, 400).count() == 20
+    assert sorted(tuple(r) for r in li._sample(unlike.repartition(7), 10).collect()) == sorted(tuple(r) for r in li._sample(unlike, 10).collect())
+
+
+def test_languages_of_one_document_are_learned(spark):
+    rows = [(i, (chr(97 + i) + chr(98 + i)) * 30, f"l{i:02d}") for i in range(20)]
+    m = li.fit(rows_of(spark, rows))
+    assert m.langs == [x for _, _, x in rows]
+    got = {r.row.doc_id: (r.lang_pred, r.rejected) for r in li.predict(rows_of(spark, rows), m).collect()}
+    assert got == {i: (x, False) for i, _, x in rows}
+
+
+def test_ties_go_to_the_first_name(spark):
+    m = li.fit(rows_of(spark, [(1, "abc abd", "y"), (2, "abc abd", "x"), (3, "abc abd", "z")]))
+    assert [p[0] for p in m.predict(["abc", "abd abc"])] == ["x", "x"]
+
+
+def test_query_as_a_model_counted_in_plain_python(spark):
+    """The query's predictions against a model from plain counts of its sample."""
+    df = queries.documents(spark, SF_SMALL)
+    texts = {}
+    for r in li._sample(df.filter(~queries.held_out(df)).select("doc_id", "text", "lang"), li.SAMPLE_DOCS).filter("part = 0").collect():
+        texts.setdefault(r.lang, []).append(r.text)
+    plain = fit_local(texts)
+    rows = df.collect()
+    want = {r.doc_id: p[:2] for r, p in zip(rows, plain.predict([r.text for r in rows]), strict=True)}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op8_language_id(spark, SF_SMALL).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-6 for i in want)
