@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ballotlens.functions.dates import free_date
 from ballotlens.functions.text import JS_WS, PY_WS
 
 # fixed values: accepted spellings of booleans / missing values
@@ -201,9 +202,10 @@ def clean_date_mdy(c: Column | str) -> Column:
 
 
 def date_from_any(c: Column | str) -> Column:
-    """A date or timestamp value, ISO text, or one of the six layouts."""
-    x = _c(c)
-    return F.coalesce(x.try_cast("date"), clean_date6(x.cast("string")))
+    """Text in any layout of ``functions.dates``: years of four digits, month
+    names, a time of day after the date.  Date and timestamp columns are text to
+    it, in ISO form."""
+    return free_date(_c(c).cast("string"))
 
 
 # -------------------------------------------------------------- C14 / C15
@@ -310,15 +312,20 @@ def typed_accounts(df: DataFrame, shares_as: str = "float") -> DataFrame:
 
 
 # ------------------------------------------------------------ browser Number()
-def js_number(c: Column | str) -> Column:
-    """The browser's ``Number(text)``: trimmed decimal or 0x-hex literal,
+def js_decimal(c: Column | str) -> Column:
+    """The browser's ``Number(text)`` but for hex literals: trimmed decimal,
     +-Infinity; '' -> 0; anything else NULL (NaN)."""
     t = F.btrim(_c(c).cast("string"), F.lit(JS_WS))
-    hexv = F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), _hex_value(t))
     dec = F.when(t.rlike(_DEC_NUMBER), t.try_cast("double"))
     inf = F.when(t.isin("Infinity", "+Infinity"), F.lit(float("inf"))) \
         .when(t == "-Infinity", F.lit(float("-inf")))
-    return F.when(t == "", F.lit(0.0)).otherwise(F.coalesce(dec, hexv, inf))
+    return F.when(t == "", F.lit(0.0)).otherwise(F.coalesce(dec, inf))
+
+
+def js_number(c: Column | str) -> Column:
+    """The browser's ``Number(text)``, 0x-hex literals too."""
+    t = F.btrim(_c(c).cast("string"), F.lit(JS_WS))
+    return F.coalesce(js_decimal(c), F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), _hex_value(t)))
 
 
 # ------------------------------------------------------------ type-aware forms

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,3 +93,30 @@ def yes_no(c: Column | str, yes: str = "Yes", no: str = "No", null_text: str | N
     x = _col(c).cast("boolean")
     out = F.when(x, F.lit(yes)).otherwise(F.lit(no))
     return out if null_text is None else F.when(x.isNull(), F.lit(null_text)).otherwise(out)
+
+
+# ------------------------------------------------- accent-insensitive matching
+@lru_cache(maxsize=1)
+def _accents() -> tuple[str, str]:
+    """Letters that decompose into one letter and marks, and those letters; then
+    the marks themselves, which stand for nothing.  Derived from Unicode."""
+    pairs = []
+    for ch in map(chr, range(0x80, 0x2000)):
+        d = unicodedata.normalize("NFD", ch)
+        if len(d) > 1 and d[0].isalpha() and all(unicodedata.combining(x) for x in d[1:]):
+            pairs.append((ch, d[0]))
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
+
+
+def fold_accents(c: Column | str) -> Column:
+    """Letters without their accents, JVM-side and for any operator (``LIKE``
+    takes no accent-insensitive collation)."""
+    return F.translate(_col(c), *_accents())
+
+
+def fold_accents_text(s: str) -> str:
+    """The same for a parameter."""
+    letters, plain = _accents()
+    to = {ord(a): (plain[i] if i < len(plain) else None) for i, a in enumerate(letters)}
+    return s.translate(to)

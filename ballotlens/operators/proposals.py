@@ -3,7 +3,9 @@
 String matching follows the rules of the two layers the operators come from:
 server-side filters are case-insensitive and ignore trailing spaces (we key
 on ``lower(rtrim(x))``, and show ``min(x)`` as a group's name); browser-side
-filters are exact.  ``LIKE`` searches are ``ILIKE``.
+filters are exact.  ``LIKE`` searches are ``ILIKE``.  With
+``accent_insensitive`` the server's whole comparison rule holds: keys and
+searched texts are folded to letters without accents as well.
 """
 
 from __future__ import annotations
@@ -16,10 +18,15 @@ from pyspark.sql import functions as F
 from ballotlens.functions import text as T
 from ballotlens.operators import quality as qm
 
-def ci_key(c: Column | str) -> Column:
+def ci_key(c: Column | str, accent_insensitive: bool = False) -> Column:
     """Grouping / equality key of the server's case-insensitive collation."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.lower(F.rtrim(c))
+    return F.lower(F.rtrim(T.fold_accents(c) if accent_insensitive else c))
+
+
+def ci_text(s: str, accent_insensitive: bool = False) -> str:
+    """The same key of a parameter."""
+    return (T.fold_accents_text(s) if accent_insensitive else s).rstrip(" ").lower()
 
 
 def not_blank(c: Column | str) -> Column:
@@ -29,28 +36,29 @@ def not_blank(c: Column | str) -> Column:
 
 
 # ---------------------------------------------------------------------- F3
-def issuer_in(df: DataFrame, issuers: Sequence[str] | None, col: str = "issuer_name") -> DataFrame:
+def issuer_in(df: DataFrame, issuers: Sequence[str] | None, col: str = "issuer_name", accent_insensitive: bool = False) -> DataFrame:
     """Keep rows whose issuer is in the list (case-insensitive); empty list = no filter."""
     if not issuers:
         return df
-    keys = sorted({i.rstrip(" ").lower() for i in issuers})
+    keys = sorted({ci_text(i, accent_insensitive) for i in issuers})
     # a local relation: its bytes are known, Spark picks the join by them
     sel = df.sparkSession.createDataFrame([(k,) for k in keys], "k string")
-    return df.join(sel, ci_key(col) == F.col("k"), "left_semi")
+    return df.join(sel, ci_key(col, accent_insensitive) == F.col("k"), "left_semi")
 
 
 # ---------------------------------------------------------------------- F2
 def search_condition(term: str, cols: Sequence[str] = ("issuer_name", "proposal", "final_key"),
-                     literal: bool = False) -> Column:
+                     literal: bool = False, accent_insensitive: bool = False) -> Column:
     """Case-insensitive substring match on any of ``cols``; '%' and '_' in the
     term act as wildcards unless ``literal``."""
-    t = term
+    t = T.fold_accents_text(term) if accent_insensitive else term
     if literal:
         t = t.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
     pat = f"%{t}%"
     cond = F.lit(False)
     for c in cols:
-        cond = cond | F.coalesce(F.col(c).ilike(pat), F.lit(False))
+        text = T.fold_accents(c) if accent_insensitive else F.col(c)
+        cond = cond | F.coalesce(text.ilike(pat), F.lit(False))
     return cond
 
 
@@ -61,7 +69,7 @@ def _flag_value(v: str) -> bool:
 # ---------------------------------------------------------------------- F1
 def filter_proposals(df: DataFrame, prediction_correct: str | None = None, approved: str | None = None,
                      category: str | None = None, search: str | None = None,
-                     issuers: Sequence[str] | None = None) -> DataFrame:
+                     issuers: Sequence[str] | None = None, accent_insensitive: bool = False) -> DataFrame:
     """AND of the given conditions.  Flag text 'true' means TRUE, any other
     non-empty text FALSE; NULL flags never match.  Category is compared
     case-insensitively; empty / None parameters are ignored."""
@@ -71,11 +79,11 @@ def filter_proposals(df: DataFrame, prediction_correct: str | None = None, appro
     if approved:
         cond = cond & (F.col("approved") == F.lit(_flag_value(approved)))
     if category:
-        cond = cond & (ci_key("category") == category.rstrip(" ").lower())
+        cond = cond & (ci_key("category", accent_insensitive) == ci_text(category, accent_insensitive))
     if search:
-        cond = cond & search_condition(search)
+        cond = cond & search_condition(search, accent_insensitive=accent_insensitive)
     out = df.filter(F.coalesce(cond, F.lit(False)))
-    return issuer_in(out, issuers)
+    return issuer_in(out, issuers, accent_insensitive=accent_insensitive)
 
 
 # ------------------------------------------------------------------ O1 / O2
@@ -160,11 +168,11 @@ def accuracy_rate(proposals: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A6 - A9
-def distinct_categories(proposals: DataFrame, issuers: Sequence[str] | None = None) -> DataFrame:
+def distinct_categories(proposals: DataFrame, issuers: Sequence[str] | None = None, accent_insensitive: bool = False) -> DataFrame:
     """Distinct non-NULL categories (case-insensitive groups, shown as their
     smallest spelling)."""
-    df = issuer_in(proposals, issuers).filter(F.col("category").isNotNull())
-    return df.groupBy(ci_key("category").alias("k")).agg(F.min("category").alias("category")) \
+    df = issuer_in(proposals, issuers, accent_insensitive=accent_insensitive).filter(F.col("category").isNotNull())
+    return df.groupBy(ci_key("category", accent_insensitive).alias("k")).agg(F.min("category").alias("category")) \
         .select("category").orderBy("category")
 
 
@@ -184,11 +192,11 @@ def filter_options(proposals: DataFrame) -> DataFrame:
     return long.filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct().orderBy("field", "value")
 
 
-def issuer_list(proposals: DataFrame, selected: Sequence[str] = ()) -> DataFrame:
+def issuer_list(proposals: DataFrame, selected: Sequence[str] = (), accent_insensitive: bool = False) -> DataFrame:
     """Per non-blank issuer: distinct proposal keys, distinct director keys
     (the -1 sentinel counts as a value), status and selection flag."""
     df = proposals.filter(not_blank("issuer_name"))
-    g = df.groupBy(ci_key("issuer_name").alias("k")).agg(
+    g = df.groupBy(ci_key("issuer_name", accent_insensitive).alias("k")).agg(
         F.min("issuer_name").alias("name"),
         F.count_distinct("proposal_master_skey").cast("bigint").alias("proposal_count"),
         F.count_distinct("director_master_skey").cast("bigint").alias("director_count"),
@@ -199,9 +207,9 @@ def issuer_list(proposals: DataFrame, selected: Sequence[str] = ()) -> DataFrame
                     flag.alias("selected"), "k").orderBy("k").drop("k")
 
 
-def top_issuers(proposals: DataFrame, k: int = 10) -> DataFrame:
+def top_issuers(proposals: DataFrame, k: int = 10, accent_insensitive: bool = False) -> DataFrame:
     """The ``k`` issuers with most proposals (ties by name)."""
-    g = proposals.groupBy(ci_key("issuer_name").alias("key")).agg(
+    g = proposals.groupBy(ci_key("issuer_name", accent_insensitive).alias("key")).agg(
         F.min("issuer_name").alias("issuer_name"), F.count(F.lit(1)).cast("bigint").alias("proposal_count"))
     return g.orderBy(F.col("proposal_count").desc(), F.col("key").asc_nulls_first()).limit(k) \
         .select("issuer_name", "proposal_count")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ballotlens.functions import clean as C
+from ballotlens.functions.text import JS_WS
 from ballotlens.operators.proposals import ci_key
 from ballotlens.schema import ACCOUNT_FILE_COLUMNS, ACCOUNT_TYPES, OLD_FORMAT_COLUMNS
 
@@ -23,15 +24,48 @@ def column_diff(spark: SparkSession, df: DataFrame, expected: Sequence[str]) ->
     return spark.createDataFrame(rows, "kind string, column string, position int")
 
 
+def column_fill(df: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """(kind, column, position, filled): every expected or found column, whether
+    it is there (ok, missing, extra), and how many of its values are neither
+    NULL nor blank: one pass over the rows, whatever the columns."""
+    cols = list(df.columns)
+    names = [*expected, *(c for c in cols if c not in expected)]
+    kinds = ["missing" if c not in cols else "ok" if c in expected else "extra" for c in names]
+    at = [expected.index(c) if c in expected else cols.index(c) for c in names]
+
+    def filled(c):
+        return F.count_if(F.btrim(F.col(f"`{c}`").cast("string")) != "") if c in cols else F.sum(F.lit(0))
+
+    wide = df.agg(*(F.coalesce(filled(c), F.lit(0)).cast("bigint").alias(f"n{i}") for i, c in enumerate(names)))
+    rows = [F.struct(F.lit(k).alias("kind"), F.lit(c).alias("column"), F.lit(a).alias("position"), F.col(f"n{i}").alias("filled"))
+            for i, (k, c, a) in enumerate(zip(kinds, names, at, strict=True))]
+    return wide.select(F.inline(F.array(*rows)))
+
+
 # ---------------------------------------------------------------------- V2
+def _finite_number(v: Column) -> Column:
+    """Whether the browser's ``Number`` of the text is finite: hex literals by
+    their digits (256 of them reach the range of doubles), others by value."""
+    t = F.btrim(v, F.lit(JS_WS))
+    hexa = t.rlike("^0[xX][0-9a-fA-F]+$")
+    whole = t.rlike("^0[xX]0*[0-9a-fA-F]{1,256}$") & ~t.rlike("^0[xX]0*[fF]{13}[89a-fA-F][0-9a-fA-F]{242}$")
+    n = F.when(~hexa, C.js_decimal(v))
+    return F.when(hexa, whole).otherwise(F.coalesce(n.isNotNull() & (F.abs(n) != float("inf")), F.lit(False)))
+
+
+def _whole_number(v: Column) -> Column:
+    t = F.btrim(v, F.lit(JS_WS))
+    n = C.js_decimal(v)
+    return F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), _finite_number(v)).otherwise(F.coalesce((F.abs(n) != float("inf")) & (F.floor(n) == n), F.lit(False)))
+
+
 def type_ok(value: Column, kind: str) -> Column:
     """The upload validator's check of one raw value; NULL / '' always pass."""
     v = value.cast("string")
-    n = C.js_number(v)
     if kind == "int":
-        ok = v.rlike(r"^-?\d+$") | (n.isNotNull() & (F.abs(n) != float("inf")) & (F.floor(n) == n))
+        ok = v.rlike(r"^-?\d+$") | _whole_number(v)
     elif kind == "float":
-        ok = n.isNotNull() & (F.abs(n) != float("inf"))
+        ok = _finite_number(v)
     elif kind == "bool":
         ok = v.isin("0", "1", "true", "false")
     elif kind == "date":
@@ -112,7 +146,7 @@ def fit_violations(df: DataFrame, checks: Mapping[str, str], varchar: int = 255)
 
 
 # ---------------------------------------------------------------------- V4
-def verify_dataset(proposals: DataFrame, dataset_col: str | None = None) -> DataFrame:
+def verify_dataset(proposals: DataFrame, dataset_col: str | None = None, accent_insensitive: bool = False) -> DataFrame:
     """Rows, distinct non-NULL issuers (case-insensitive) and meeting date
     range, per dataset (or overall)."""
     cols = set(proposals.columns)
@@ -121,7 +155,7 @@ def verify_dataset(proposals: DataFrame, dataset_col: str | None = None) -> Data
     g = [dataset_col] if dataset_col else []
     return proposals.groupBy(*g).agg(
         F.count(F.lit(1)).cast("bigint").alias("rows"),
-        F.count_distinct(ci_key("issuer_name")).cast("bigint").alias("issuers"),
+        F.count_distinct(ci_key("issuer_name", accent_insensitive)).cast("bigint").alias("issuers"),
         F.min(d).alias("first_meeting"), F.max(d).alias("last_meeting"))
 
 

@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # The builders run the view SQL below through ``spark.sql`` with the input
 # DataFrames bound as parameters: one JVM call per view, and literally the
 # same text the DuckDB oracles use, so both engines derive the same inputs.
-_BASE = {"accounts": ["lineitem"], "proposals": ["part"], "raw_values": ["orders"], "dump_lines": ["orders"]}
+_BASE = {"accounts": ["lineitem"], "proposals": ["part"], "raw_values": ["orders"], "dump_lines": ["orders"], "date_values": ["orders"]}
 
 
 def _bind(text: str, names: list[str]) -> str:
@@ -194,19 +194,42 @@ SELECT o_orderkey AS line_no,
        WHEN (o_orderkey % 300) < 170 THEN concat('INSERT INTO `account_voted` VALUES (', CAST(o_custkey AS VARCHAR(20)), ');')
        ELSE concat('INSERT INTO `account_unvoted` VALUES (', CAST(o_custkey AS VARCHAR(20)), ');') END AS line
 FROM orders""",
+    "dump_lines_padded": """
+SELECT CASE WHEN line_no % 3 = 0 THEN 'a.sql' ELSE 'b.sql' END AS file, line_no,
+  CASE line_no % 8 WHEN 1 THEN concat('  ', line, ' ') WHEN 2 THEN concat(chr(9), line) ELSE line END AS line
+FROM dump_lines""",
+    "date_values": """
+SELECT o_orderkey AS row_id,
+  CASE o_orderkey % 16
+       WHEN 0 THEN concat(y, m, d) WHEN 1 THEN concat(substring('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(m AS INT) * 3 - 2, 3), ' ', dd, ', ', y)
+       WHEN 2 THEN concat(dd, '-', substring('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(m AS INT) * 3 - 2, 3), '-', y)
+       WHEN 3 THEN concat(y, '-', m, '-', d, ' 10:30:00') WHEN 4 THEN concat(m, '/', d, '/', y, ' 3:07 PM') WHEN 5 THEN concat(d, '/', m, '/', y)
+       WHEN 6 THEN concat(m, '.', d, '.', y) WHEN 7 THEN concat(y, '/', mm, '/', dd) WHEN 8 THEN concat(y, '-', m, '-', d, ' junk')
+       WHEN 9 THEN CAST(45000 + o_custkey AS VARCHAR(20)) WHEN 10 THEN concat('  ', y, '-', mm, '-', dd, '  ') WHEN 11 THEN concat(mm, '/', dd, '/', substring(y, 3, 2))
+       WHEN 12 THEN concat('1', y, '-', m, '-', d) WHEN 13 THEN concat(y, '-', m, '-31') WHEN 14 THEN NULL ELSE 'null' END AS date_text
+FROM (SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS VARCHAR(4)) AS y, CAST(month(o_orderdate) AS VARCHAR(2)) AS mm, CAST(day(o_orderdate) AS VARCHAR(2)) AS dd,
+        lpad(CAST(month(o_orderdate) AS VARCHAR(2)), 2, '0') AS m, lpad(CAST(day(o_orderdate) AS VARCHAR(2)), 2, '0') AS d FROM orders) o""",
+    "proposals_accented": """
+SELECT id, proposal_master_skey, director_master_skey, final_key, proposal, mt_date, prediction_correct, approved,
+  CASE id % 6 WHEN 0 THEN 'Soci\u00e9t\u00e9 ' || issuer_name WHEN 1 THEN 'SOCIETE ' || issuer_name WHEN 2 THEN 'societ\u00c9 ' || issuer_name || '  '
+       WHEN 3 THEN '\u00c5bo ' || issuer_name WHEN 4 THEN 'abo ' || issuer_name ELSE issuer_name END AS issuer_name,
+  CASE id % 3 WHEN 0 THEN '\u00c9lection ' || category WHEN 1 THEN 'election ' || category ELSE category END AS category
+FROM proposals""",
 }
 
 _DEPS = {
     "accounts": [], "accounts_hot": ["accounts"], "account_voted": ["accounts"], "account_unvoted": ["accounts"],
     "account_rollup": ["accounts"], "proposals": ["account_rollup"],
     "outreach": ["account_unvoted"], "accounts_by_model": ["accounts"],
-    "raw_values": [], "dump_lines": [],
+    "raw_values": [], "dump_lines": [], "dump_lines_padded": ["dump_lines"], "date_values": [], "proposals_accented": ["proposals"],
 }
 
 BUILDERS = {
     "accounts": accounts, "accounts_hot": lambda s, d: view(s, d, "accounts_hot"), "account_voted": account_voted, "account_unvoted": account_unvoted,
     "account_rollup": account_rollup, "proposals": proposals, "outreach": outreach,
     "accounts_by_model": accounts_by_model, "raw_values": raw_values, "dump_lines": dump_lines,
+    "dump_lines_padded": lambda s, d: view(s, d, "dump_lines_padded"), "date_values": lambda s, d: view(s, d, "date_values"),
+    "proposals_accented": lambda s, d: view(s, d, "proposals_accented"),
 }
 
 

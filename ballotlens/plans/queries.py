@@ -1251,9 +1251,17 @@ def q_table_counts(spark, sf):
     return va.table_counts(fx.accounts_by_model(spark, sf))
 
 
-@register("column_diff")
+_FOUND = ["account_hash_key", "proposal_master_skey", "director_master_skey", "account_type", "shares_summable", "id", "score_model1"]
+
+
+@register("column_diff", "\nUNION ALL\n".join(
+    f"SELECT '{k}' AS kind, '{c}' AS column, {i} AS position, "
+    + (f"CAST(count_if(trim(CAST({c} AS VARCHAR)) <> '') AS BIGINT)" if k != "missing" else "CAST(0 * count(*) AS BIGINT)") + " AS filled FROM account_unvoted"
+    for c, k, i in [*((c, "ok" if c in _FOUND else "missing", i) for i, c in enumerate(S.ACCOUNT_CHECKS)),
+                    *((c, "extra", i) for i, c in enumerate(_FOUND) if c not in S.ACCOUNT_CHECKS)]), ["account_unvoted"])
 def q_column_diff(spark, sf):
-    return va.column_diff(spark, fx.account_unvoted(spark, sf), list(S.ACCOUNT_CHECKS))
+    """V1: expected and found columns, with how many rows fill each."""
+    return va.column_fill(fx.account_unvoted(spark, sf).select(*_FOUND), list(S.ACCOUNT_CHECKS))
 
 
 @register("table_inventory")
@@ -1358,16 +1366,24 @@ def q_src_parquet_inventory(spark, sf):
     return readers.parquet_inventory(spark.read.parquet(os.path.join(sf, "lineitem.parquet")))
 
 
-@register("gen_accounts")
+def _pseudonym_sql(x: str, n: int) -> str:
+    return f"substr(sha256('sample|' || {x}), 1, {n})"
+
+
+@register("gen_accounts", f"""
+SELECT id, {_pseudonym_sql('account_hash_key', 24)} AS account_hash_key, proposal_master_skey, director_master_skey, account_type,
+  CAST(floor(shares_summable / 100) * 100 AS BIGINT) AS shares_summable, prediction, is_voted FROM accounts""", ["accounts"])
 def q_gen_accounts(spark, sf):
-    ids = fx.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
-    return generate.synthetic_accounts(ids, seed=42, voted=True)
+    """Sample account rows, hash keys replaced and shares coarsened."""
+    return generate.sample_accounts(fx.accounts(spark, sf), "sample").select(
+        "id", "account_hash_key", "proposal_master_skey", "director_master_skey", "account_type", "shares_summable", "prediction", "is_voted")
 
 
-@register("gen_proposals")
+@register("gen_proposals", f"""
+SELECT id, 'Issuer ' || {_pseudonym_sql('lower(rtrim(issuer_name))', 8)} AS issuer_name, {_pseudonym_sql('final_key', 12)} AS final_key,
+  'Proposal ' || CAST(id AS VARCHAR) AS proposal, category, approved FROM proposals""", ["proposals"])
 def q_gen_proposals(spark, sf):
-    ids = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    return generate.synthetic_proposals(ids, seed=42)
+    return generate.sample_proposals(fx.proposals(spark, sf), "sample").select("id", "issuer_name", "final_key", "proposal", "category", "approved")
 
 
 @register("src_proposals_csv", "WITH " + _RAW_P_SQL + "\nSELECT * FROM (" + _normalise_select("float")

@@ -1,85 +1,32 @@
-"""Synthetic accounts and proposals (S10), deterministic by seed.
+"""Sample tables to hand out, made from real rows.
 
-Every random draw is ``xxhash64(id, seed, salt)`` mapped to [0, 1), so a row's
-values depend only on its id and the seed: the same for any partitioning,
-any number of executors, and any re-run of a lost task (``rand()`` is not).
+Hash keys and names become salted digests, amounts are coarsened; keys that
+join, types, ranks and predictions stay, so every report still works.  A row
+depends on itself and the salt alone: any partitioning, any re-run of a lost
+task gives the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TWO53 = float(2 ** 53)
 
+def pseudonym(c: Column | str, salt: str, length: int = 24) -> Column:
+    """The first hex digits of a salted SHA-256; NULL stays NULL."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.substring(F.sha2(F.concat(F.lit(f"{salt}|"), x.cast("string")), 256), 1, length)
 
-def uniform(id_col: Column, seed: int, salt: int) -> Column:
-    h = F.xxhash64(id_col, F.lit(seed), F.lit(salt))
-    return F.pmod(h, F.lit(2 ** 53)).cast("double") / F.lit(_TWO53)
 
+def sample_accounts(accounts: DataFrame, salt: str, unit: int = 100) -> DataFrame:
+    """Account rows with pseudonyms for hash keys and shares in whole ``unit``s."""
+    shares = (F.floor(F.col("shares_summable") / unit) * unit).cast("bigint")
+    return accounts.withColumns({"account_hash_key": pseudonym("account_hash_key", salt), "shares_summable": shares})
 
-def _int_between(u: Column, lo: int, hi: int) -> Column:
-    return (F.lit(lo) + F.floor(u * (hi - lo + 1))).cast("bigint")
 
-
-def synthetic_accounts(ids: DataFrame, seed: int = 42, voted: bool = False, id_col: str = "id") -> DataFrame:
-    """Account rows for the given ids: 24-hex hash, proposal key 2024001..2024999,
-    director key -1 or 1001..9999, shares 100..1,000,000, rank 1..50,000,
-    score 0.1..0.9, prediction 0/1; voted rows get a truth that matches the
-    prediction 75% of the time."""
-    i = F.col(id_col)
-    u = lambda salt: uniform(i, seed, salt)
-    pred = F.when(u(8) < 0.5, F.lit(0)).otherwise(F.lit(1))
-    types = F.array(F.lit("Individual"), F.lit("Institution"), F.lit("Fund"))
-    cols = [
-        i.cast("bigint").alias("id"),
-        F.substring(F.md5(F.concat(F.lit("account_"), i.cast("string"), F.lit(f"_{seed}"))), 1, 24).alias("account_hash_key"),
-        _int_between(u(1), 2024001, 2024999).alias("proposal_master_skey"),
-        F.when(u(2) < 0.5, F.lit(-1).cast("bigint")).otherwise(_int_between(u(3), 1001, 9999)).alias("director_master_skey"),
-        F.element_at(types, (F.floor(u(4) * 3) + 1).cast("int")).alias("account_type"),
-        F.round(F.lit(100.0) + u(5) * (1_000_000 - 100), 4).cast("decimal(20,4)").alias("shares_summable"),
-        _int_between(u(6), 1, 50_000).alias("rank_of_shareholding"),
-        F.round(F.lit(0.1) + u(7) * 0.8, 15).cast("decimal(20,15)").alias("score"),
-        pred.alias("prediction"),
-    ]
-    if voted:
-        cols.append(F.when(u(9) < 0.75, pred).otherwise(1 - pred).alias("Target_encoded"))
-    else:
-        cols.append(F.lit(0).alias("Target_encoded"))
-    return ids.select(*cols)
-
-
-def synthetic_proposals(ids: DataFrame, seed: int = 42, id_col: str = "id") -> DataFrame:
-    """Proposal rows: share totals 10M..100M split by a For percentage of
-    30..80; predictions right 75% of the time; predicted shares within +-10%."""
-    i = F.col(id_col)
-    u = lambda salt: uniform(i, seed, 100 + salt)
-    total = _int_between(u(1), 10_000_000, 100_000_000)
-    for_pct = F.round(F.lit(30.0) + u(2) * 50, 2)
-    against_pct = F.round(F.lit(100.0) - for_pct - (F.lit(5.0) + u(3) * 15), 2)
-    approved = for_pct > 50
-    predicted = F.when(u(4) < 0.75, approved).otherwise(~approved)
-    pf = F.floor(total * for_pct / 100 * (F.lit(0.9) + u(5) * 0.2)).cast("bigint")
-    pa = F.floor(total * against_pct / 100 * (F.lit(0.9) + u(6) * 0.2)).cast("bigint")
-    pb = F.floor(total * (F.lit(0.05) + u(7) * 0.1)).cast("bigint")
-    tf = F.floor(total * for_pct / 100).cast("bigint")
-    ta = F.floor(total * against_pct / 100).cast("bigint")
-    tb = F.floor(total * (F.lit(0.05) + u(8) * 0.1)).cast("bigint")
-    return ids.select(
-        i.cast("bigint").alias("id"),
-        _int_between(u(9), 2024001, 2024999).alias("proposal_master_skey"),
-        F.when(u(10) < 0.5, F.lit(-1).cast("bigint")).otherwise(_int_between(u(11), 1001, 9999)).alias("director_master_skey"),
-        F.concat(F.lit("Issuer "), _int_between(u(12), 1, 50).cast("string")).alias("issuer_name"),
-        F.concat(F.lit("Category "), _int_between(u(13), 1, 8).cast("string")).alias("category"),
-        (predicted == approved).alias("prediction_correct"), approved.alias("approved"),
-        for_pct.alias("for_percentage"), against_pct.alias("against_percentage"),
-        pf.alias("predicted_for_shares"), pa.alias("predicted_against_shares"), pb.alias("predicted_abstain_shares"),
-        (total - pf - pa - pb).alias("predicted_unvoted_shares"),
-        tf.alias("total_for_shares"), ta.alias("total_against_shares"), tb.alias("total_abstain_shares"),
-        (total - tf - ta - tb).alias("total_unvoted_shares"),
-    )
-
-
-def synthetic_range(spark: SparkSession, n: int, kind: str = "accounts", seed: int = 42, **kw) -> DataFrame:
-    ids = spark.range(n)
-    return synthetic_accounts(ids, seed, **kw) if kind == "accounts" else synthetic_proposals(ids, seed)
+def sample_proposals(proposals: DataFrame, salt: str) -> DataFrame:
+    """Proposal rows whose issuers (one pseudonym for all spellings that the
+    server takes for one), texts and final keys are replaced."""
+    issuer = F.concat(F.lit("Issuer "), pseudonym(F.lower(F.rtrim("issuer_name")), salt, 8))
+    return proposals.withColumns({"issuer_name": issuer, "final_key": pseudonym("final_key", salt, 12),
+                                  "proposal": F.concat(F.lit("Proposal "), F.col("id").cast("string"))})

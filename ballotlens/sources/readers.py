@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballotlens.operators.shape import alias_columns
+from ballotlens.sources.quoted_csv import read_quoted_csv
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -34,17 +35,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 # ------------------------------------------------------------------ S1 / S2
 def read_csv_by_name(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False,
-                     skip_missing: bool = False) -> DataFrame:
+                     skip_missing: bool = False, quoted_newlines: bool = False) -> DataFrame:
     """Header CSV, quoted fields, UTF-8, all columns strings named by the header.
 
-    Files are split over tasks.  ``multi_line`` is for files with quoted
-    newlines: it reads them right, but each file is one task.
+    Files are split over tasks.  Where quoted fields may hold newlines,
+    ``quoted_newlines`` glues their lines, still in splits (one shuffle of the
+    text); ``multi_line`` is Spark's own way, a whole file in one task.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     frames = []
     for p in paths:
         if skip_missing and not path_exists(spark, p):
             continue
+        if quoted_newlines and not multi_line:
+            frames.append(read_quoted_csv(spark, p))
+            continue
         frames.append(spark.read.option("header", True).option("multiLine", multi_line)
                       .option("escape", '"').option("encoding", "UTF-8").csv(p))
     if not frames:
@@ -55,13 +60,16 @@ def read_csv_by_name(spark: SparkSession, paths: str | Sequence[str], multi_line
     return out
 
 
-def read_proposals_csv(spark: SparkSession, paths: str | Sequence[str], **kw) -> DataFrame:
-    return read_csv_by_name(spark, paths, **kw)
+def read_proposals_csv(spark: SparkSession, paths: str | Sequence[str], quoted_newlines: bool = True, **kw) -> DataFrame:
+    """Proposal CSV: proposal texts hold newlines, so records are glued."""
+    return read_csv_by_name(spark, paths, quoted_newlines=quoted_newlines, **kw)
 
 
 def read_accounts_csv(spark: SparkSession, paths: str | Sequence[str],
                       aliases: Mapping[str, Sequence[str]] | None = None, **kw) -> DataFrame:
-    """Account / outreach CSV; ``aliases`` maps alternative column names."""
+    """Account / outreach CSV; ``aliases`` maps alternative column names.  Their
+    fields hold no newlines: lines are records, without a shuffle, unless
+    ``quoted_newlines`` is set."""
     df = read_csv_by_name(spark, paths, **kw)
     return alias_columns(df, aliases) if aliases else df
 

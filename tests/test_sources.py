@@ -120,16 +120,18 @@ def test_delete_where_new_version(spark, scratch):
     assert spark.read.parquet(old).count() == 3
 
 
-def test_generator_independent_of_partitioning(spark):
+def test_samples_are_the_same_for_any_partitioning(spark):
     from ballotlens.sources import generate
-    a = generate.synthetic_accounts(spark.range(0, 2000, numPartitions=1), seed=3, voted=True)
-    b = generate.synthetic_accounts(spark.range(0, 2000, numPartitions=7), seed=3, voted=True)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    r = a.agg(F.min("proposal_master_skey"), F.max("proposal_master_skey"), F.min("score"), F.max("score")).first()
-    assert 2024001 <= r[0] and r[1] <= 2024999 and float(r[2]) >= 0.1 and float(r[3]) <= 0.9
-    p = generate.synthetic_proposals(spark.range(0, 500, numPartitions=3), seed=3)
-    assert p.filter(F.col("predicted_unvoted_shares") + F.col("predicted_for_shares") + F.col("predicted_against_shares")
-                    + F.col("predicted_abstain_shares") < 10_000_000).count() == 0
+    rows = [(i, f"H{i % 7}" if i % 5 else None, i * 37 if i % 3 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, account_hash_key string, shares_summable long")
+    a, b = (generate.sample_accounts(df.repartition(n), "s").collect() for n in (1, 7))
+    assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str)
+    real, got = {r[0]: r for r in rows}, {r.id: r for r in a}
+    assert all((got[i].account_hash_key is None) == (real[i][1] is None) for i in real)
+    assert len({r.account_hash_key for r in a if r.account_hash_key}) == 7 and all(r.shares_summable is None or r.shares_summable % 100 == 0 for r in a)
+    p = spark.createDataFrame([(1, "Acme", "k", "t"), (2, "ACME  ", "k2", "t"), (3, None, None, None)], "id long, issuer_name string, final_key string, proposal string")
+    out = generate.sample_proposals(p, "s").orderBy("id").collect()
+    assert out[0].issuer_name == out[1].issuer_name != "Acme" and out[2].issuer_name is None and out[2].proposal == "Proposal 3"
 
 
 def test_load_proposals_keeps_every_row(spark, scratch):
