@@ -97,8 +97,12 @@ def proposal_share_totals(proposals: DataFrame, accounts: DataFrame, **kw) -> Da
     Accounts are aggregated once per (key kind, key) and joined to the
     proposals of that kind.  Proposals without a valid key get zeros.
     """
+    return totals_of_rollup(proposals, rollup_by_key(accounts, **kw))
+
+
+def totals_of_rollup(proposals: DataFrame, r: DataFrame) -> DataFrame:
+    """The same from the accounts' roll-up by key."""
     p = effective_key(proposals.select("id", PM, DM)).select("id", "key_type", "key_value")
-    r = rollup_by_key(accounts, **kw)
     j = p.join(r, ["key_type", "key_value"], "left")
     f, g = _dec0("f"), _dec0("g")
     return j.select(

@@ -245,11 +245,12 @@ def issuer_semi_join(accounts: DataFrame, proposals: DataFrame, issuers: Sequenc
     """Accounts whose proposal key or director key belongs to a proposal of
     one of ``issuers`` (case-insensitive); empty list = no filter.
 
-    Rows are told apart by their keys first: those with a valid proposal key
-    are joined on it, those with only a valid director key on that, and those
-    with both whose proposal key doesn't match on the director key.  Each row
-    comes once, and the -1 "no key" rows never enter a join.  With
-    ``exclude_sentinel=False`` -1 is a key like any other.
+    One pass over the accounts: rows with a valid key are looked up in the
+    issuers' proposal keys and in their director keys, and stay if either is
+    found.  The -1 "no key" is no key: rows without any never enter a join, and
+    where one of two is missing, a hash of the row stands for it, which spreads
+    such rows over the tasks and matches nothing.
+    With ``exclude_sentinel=False`` -1 is a key like any other.
     """
     if not issuers:
         return accounts
@@ -260,9 +261,12 @@ def issuer_semi_join(accounts: DataFrame, proposals: DataFrame, issuers: Sequenc
         v = F.col(c).isNotNull()
         return v & (F.col(c) != -1) if exclude_sentinel else v
 
-    has_pm, has_dm = F.coalesce(valid(PM), F.lit(False)), F.coalesce(valid(DM), F.lit(False))
-    pm_keys, dm_keys = p.filter(valid(PM)).select(PM), p.filter(valid(DM)).select(DM)
-    by_pm = accounts.filter(has_pm).join(pm_keys, PM, "left_semi")
-    by_dm = accounts.filter(~has_pm & has_dm).join(dm_keys, DM, "left_semi")
-    both = accounts.filter(has_pm & has_dm).join(pm_keys, PM, "left_anti").join(dm_keys, DM, "left_semi")
-    return by_pm.select(*accounts.columns).unionByName(by_dm.select(*accounts.columns)).unionByName(both.select(*accounts.columns))
+    def looked_up(rows: DataFrame, c: str, hit: str) -> DataFrame:
+        has = F.coalesce(valid(c), F.lit(False))
+        rows = rows.withColumn("_has", has).withColumn("_key", F.when(has, F.col(c)).otherwise(F.xxhash64(HASH, PM, DM)))
+        keys = p.filter(valid(c)).select(F.col(c).alias("_valid")).distinct().withColumn(hit, F.lit(True))
+        return rows.join(keys, (F.col("_key") == F.col("_valid")) & F.col("_has"), "left").drop("_key", "_has", "_valid")
+
+    keyed = accounts.filter(F.coalesce(valid(PM), F.lit(False)) | F.coalesce(valid(DM), F.lit(False)))
+    found = looked_up(looked_up(keyed, PM, "_by_proposal"), DM, "_by_director")
+    return found.filter(F.col("_by_proposal").isNotNull() | F.col("_by_director").isNotNull()).select(*accounts.columns)

@@ -39,7 +39,7 @@ def register(key: str, sql: str | None = None, views: tuple[str, ...] | list[str
 
 def _load_all() -> None:
     # importing the query modules fills REGISTRY
-    from ballotlens.plans import queries, queries_inputs  # noqa: F401
+    from ballotlens.plans import queries, queries_inputs, queries_tables  # noqa: F401
 
 
 def queries() -> dict[str, Builder]:

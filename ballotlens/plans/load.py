@@ -13,8 +13,9 @@ numbers; those go to a rejects table.
 Outreach: read CSV by header name -> clean the 11 columns -> skip rows without
 a hash key -> append those whose key triple isn't there yet.
 
-Each is one scan and one write; nothing passes through the driver, and a
-re-run overwrites the same partitions (safe after a lost executor or a
+Rows are counted while they are written: one scan for each table that is
+written, and one more only where ``max_errors`` has to be checked first.
+Nothing passes through the driver, and a re-run overwrites the same partitions (safe after a lost executor or a
 failed job).
 """
 
@@ -88,7 +89,8 @@ def load_accounts(raw: DataFrame, target: str, dataset: str, is_voted: int, **kw
     # partitioning would cost a full extra read of the source (its sampling
     # pass) for fewer footers to open per lookup; a hot key needs no special
     # handling because nothing is partitioned by key.
-    sinks.replace_table(rows, target, partition_by=("dataset", "is_voted"),
+    # Lookups by hash, which the files aren't sorted by, use bloom filters.
+    sinks.replace_table(rows, target, partition_by=("dataset", "is_voted"), bloom=("account_hash_key",),
                         sort_within=("dataset", "is_voted", "proposal_master_skey", "account_hash_key"))
 
 
@@ -115,14 +117,15 @@ def load_narrow_proposals(raw: DataFrame, target: str, dataset: str, max_errors:
     """Load the narrow form; rows that fail go to ``rejects_path`` if given.
     ``max_errors`` stops the load, writing nothing, when more rows fail; by
     default any number may."""
-    rows = sh.normalise_narrow_proposals(raw)
-    report = rows.agg(F.count_if(~F.col("_failed")).alias("imported"), F.count_if("_failed").alias("errors"))
-    r = va.enforce_error_budget(report, max_errors)
-    good, bad = va.split_rejects(rows)
+    rows, seen = sh.normalise_narrow_proposals(raw), Observation()
+    counts = [F.count_if(~F.col("_failed")).alias("imported"), F.count_if("_failed").alias("errors")]
+    if max_errors is not None:     # nothing may be written before the rows are counted
+        va.enforce_error_budget(rows.agg(*counts), max_errors)
     if rejects_path:
-        bad.drop("_failed").withColumn("dataset", F.lit(dataset)).write.mode("overwrite").parquet(rejects_path)
+        va.split_rejects(rows)[1].drop("_failed").withColumn("dataset", F.lit(dataset)).write.mode("overwrite").parquet(rejects_path)
+    good, _ = va.split_rejects(rows.observe(seen, *counts))
     sinks.replace_table(good.withColumn("dataset", F.lit(dataset)), target, partition_by=("dataset",))
-    return r
+    return seen.get
 
 
 def prepare_outreach(raw: DataFrame) -> DataFrame:

@@ -21,11 +21,13 @@ from ballotlens.session import remove_path, scratch_path
 from ballotlens.sources.readers import path_exists
 
 
-def _writer(df: DataFrame, partition_by: Sequence[str] | None, sort_within: Sequence[str] | None):
+def _writer(df: DataFrame, partition_by: Sequence[str] | None, sort_within: Sequence[str] | None, bloom: Sequence[str] = ()):
     if sort_within:
         # clustered files: row-group min/max statistics then prune key lookups
         df = df.sortWithinPartitions(*sort_within)
     w = df.write
+    for c in bloom:     # of each row group: lookups by value skip the groups without it
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
     if partition_by:
         w = w.partitionBy(*partition_by)
     return w
@@ -33,17 +35,18 @@ def _writer(df: DataFrame, partition_by: Sequence[str] | None, sort_within: Sequ
 
 # ----------------------------------------------------------------------- S6
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = ("dataset",),
-                  sort_within: Sequence[str] | None = None) -> None:
+                  sort_within: Sequence[str] | None = None, bloom: Sequence[str] = ()) -> None:
     """Overwrite the partitions present in ``df`` (dynamic), or the whole table
-    when it is not partitioned.  ``df`` must not read from ``path``."""
+    when it is not partitioned.  ``df`` must not read from ``path``.  ``bloom``
+    names columns for point lookups that the files aren't sorted by."""
     # per-write option: no session-wide side effect
-    _writer(df, partition_by, sort_within).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    _writer(df, partition_by, sort_within, bloom).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 # ----------------------------------------------------------------------- S7
 def append_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = ("dataset",),
-                 sort_within: Sequence[str] | None = None) -> None:
-    _writer(df, partition_by, sort_within).mode("append").parquet(path)
+                 sort_within: Sequence[str] | None = None, bloom: Sequence[str] = ()) -> None:
+    _writer(df, partition_by, sort_within, bloom).mode("append").parquet(path)
 
 
 # ----------------------------------------------------------------------- S9
