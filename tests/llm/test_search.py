@@ -1,4 +1,5 @@
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -34,7 +35,8 @@ def test_matches_as_brute_force(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 6)))
     items = [" ".join(word() for _ in range(r.randint(8, 30))) for _ in range(12)] + ["tiny", None, "", "exactly twelve"]
-    texts = [None, "", "tiny", "EXACTLY \n twelve"]
+    items += ["Ab c", "q"]
+    texts = [None, "", "tiny", "EXACTLY \n twelve", "a tiny-ish text", "tinytown destiny", "xab c", "ab\nC!", "q", "(q)", "quick", "\u00e9q"]
     for _ in range(40):
         t = list(" ".join(word() for _ in range(20)) + "\n" + (r.choice(items[:12]) if r.random() < 0.7 else "") + " " + " ".join(word() for _ in range(9)))
         for _ in range(r.choice([0, 1, 3, 6, 12])):
@@ -46,7 +48,10 @@ def test_matches_as_brute_force(spark):
     for d, t in enumerate(texts):
         for i, item in enumerate(items):
             c, b = dc.canonical(t or ""), dc.canonical(item or "")
-            if len(b) >= dc.MIN_CHARS:
+            if 0 < len(b) < dc.MIN_CHARS:      # as it is, between word bounds
+                if re.search(r"(?<![^\W_])" + re.escape(b) + r"(?![^\W_])", c):
+                    want.add((d, i, 0))
+            elif b:
                 if len(c) > 10_000:
                     c = c[-500:]
                 if (e := least_distance(b, c)) <= int(0.05 * len(b)):
@@ -55,6 +60,11 @@ def test_matches_as_brute_force(spark):
     for block in (5, 1000):
         got = dc.matches(df.unionByName(df), bench.unionByName(bench), block_items=block).collect()
         assert len(got) == len(want) and {(x.doc_id, x.item_id, x.distance) for x in got} == want
+    hold = {d for d, _, _ in want}
+    for block in (5, 1000):          # several blocks, one automaton at a time
+        left = dc.without_matches(df, bench, block_items=block)
+        assert {r.doc_id for r in left.collect()} == set(range(len(texts))) - hold and left.columns == df.columns
+        assert left._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 1
     assert dc.matches(empty(spark), bench).count() == 0
     assert dc.matches(df, bench.limit(0)).count() == 0
 
