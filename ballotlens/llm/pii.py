@@ -1,9 +1,12 @@
 """Personal data: base patterns, and identifiers found by bootstrapped context.
 
 Base kinds (email, ip, card, phone) have fixed patterns.  Their instances are
-the seeds.  What stands before an instance (its last one or two words, and a
-``key=`` or ``key:`` that touches it) is a lexical pattern.  The same is read
-off every other token that holds a digit or an at sign: those are candidates.
+the seeds.  What stands before an instance (its last one or two words, of at
+most 120 characters, and a ``key=`` or ``key:`` that touches it) is a lexical
+pattern.  The same is read off the candidates: every other token that holds a
+digit or an at sign, digit groups joined by single blanks, dashes, points,
+slashes and parentheses as one, and names on both sides of ``[at]``, ``(at)``
+or ``_at_``.
 
 Spark builds the graph of distinct (pattern, instance) edges over the whole
 corpus and scores it in rounds:
@@ -31,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballotlens.llm.common import arrays_to_batch, small_batches, stored, text_of
+from ballotlens.llm.common import arrays_to_batch, discard, lasting, small_batches, stored, temporary, text_of
 
 KINDS = ["email", "ip", "card", "phone"]
 ROUNDS = 3
 SMOOTHING = 2.0
 MIN_RELIABILITY = 0.85     # 12 instances of one kind, none of another
-MIN_LENGTH = 5             # characters of a candidate
+MIN_LENGTH = 5             # characters of a candidate without an at sign: fewer suit no kind
 NO_ID = -(2**63)
 
 # Fixed patterns.  A local part, and digits that begin an address, are found
@@ -49,6 +52,9 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9@]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_GROUPS = re.compile(r"(?<![0-9(+])[(+]*+[0-9]++\)?+(?:[ ./-]?+\(?+[0-9]++\)?+)++")
+_AT = re.compile(r" ?[\[({]at[\])}] ?|_at_", re.IGNORECASE)
+_HOST = re.compile(r"[A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9]")
 _TRIM_LEFT, _TRIM_RIGHT = "\"'(<[{*", ".,;:!?)]}>\"'*"
 
 
@@ -94,10 +100,43 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda s: (s[0], s[2]))]
 
 
+def joined(text: str) -> list[tuple[int, int]]:
+    """Digit groups with blanks between them, and addresses with an at mark, that
+    begin and end where tokens do."""
+    found, done = [], 0
+    for m in _GROUPS.finditer(text):
+        a, b = m.span()
+        if " " in m[0] and (a == 0 or text[a - 1].isspace() or text[a - 1] in _TRIM_LEFT + "=:") \
+                and (b == len(text) or text[b].isspace() or text[b] in _TRIM_RIGHT):
+            found.append((a, b))
+    for m in _AT.finditer(text):
+        a = m.start()
+        while a > done and text[a - 1] in _LOCAL:
+            a -= 1
+        host = _HOST.match(text, m.end())
+        done = host.end() if host else m.end()
+        if host and a < m.start():
+            found.append((a, host.end()))
+    return sorted(found)
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Tokens with a digit or an at sign that no base span touches; of
-    ``key=value`` and ``key:value`` the value."""
-    out, done, spans, k, n = [], 0, sorted((a, b) for a, b, _ in base), 0, len(text)
+    """What no base span touches: joined groups, and tokens with a digit or an at
+    sign outside them; of ``key=value`` and ``key:value`` the value."""
+    taken, k = sorted((a, b) for a, b, _ in base), 0
+    end = 0                                     # where the spans before k end
+    groups = []
+    for a, b in joined(text):
+        while k < len(taken) and taken[k][0] < b:
+            end = max(end, taken[k][1])
+            k += 1
+        if end <= a and (not groups or groups[-1][1] <= a) and b - a >= MIN_LENGTH:
+            groups.append((a, b))
+    return sorted(groups + _tokens(text, sorted(taken + groups)))
+
+
+def _tokens(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out, done, k, n = [], 0, 0, len(text)
     taken = 0                                   # where the spans before k end
     m = _DIGIT.search(text)
     while m:
@@ -119,7 +158,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
                 a += 1
             while b > a and text[b - 1] in _TRIM_RIGHT:
                 b -= 1
-            if b - a >= MIN_LENGTH:
+            if b - a >= MIN_LENGTH or "@" in text[a:b]:
                 out.append((a, b))
         m = _DIGIT.search(text, done)
     return out
@@ -141,7 +180,7 @@ def suits(kind: str, value: str) -> bool:
     """Whether a candidate's characters suit a kind."""
     digits, letters = sum("0" <= c <= "9" for c in value), sum(c.isalpha() for c in value)
     if kind == "email":
-        return "@" in value or letters >= 4 and re.search(r"[([]at[)\]]|_at_", value.lower()) is not None
+        return "@" in value or letters >= 4 and _AT.search(value) is not None
     if kind == "ip":
         return digits >= 4 and ("." in value or ":" in value) and letters <= digits
     return digits >= 6 and letters == 0
@@ -182,7 +221,13 @@ def reliable_patterns(seen: DataFrame, rounds: int = ROUNDS, smoothing: float =
     """(pattern, kind, reliability) from the rows that ``read_spans`` saw.
 
     Patterns are kept as hashes.  Every grouping first adds up inside tasks, so
-    a context that a third of all tokens share is one row a task."""
+    a context that a third of all tokens share is one row a task.  The result is
+    a written table; what the rounds leave behind is removed."""
+    with temporary(seen.sparkSession):
+        return lasting(_scored(seen, rounds, smoothing, min_reliability), "patterns")
+
+
+def _scored(seen: DataFrame, rounds: int, smoothing: float, min_reliability: float) -> DataFrame:
     flat = seen.select(F.explode("seen").alias("s")).select(
         F.explode("s.pattern").alias("p"), F.xxhash64("s.value").alias("instance"), F.col("s.kind").alias("kind"), F.col("s.suits").alias("suits"))
     flat = flat.select(F.xxhash64("p").alias("pattern"), "instance", "kind", "suits")
@@ -210,12 +255,13 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS, smoothing: float = SMOOTHING
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans, n_found): ``base``
     and ``spans`` are kind:start:end by start and kind, joined by commas."""
     seen = stored(read_spans(docs, id_col, text_col), "pii-seen")
-    good = stored(reliable_patterns(seen, rounds, smoothing, min_reliability), "patterns")
+    good = reliable_patterns(seen, rounds, smoothing, min_reliability)
     new = (seen.select("doc", "text_hash", F.explode("seen").alias("s")).filter("s.kind is null and size(s.suits) > 0")
            .select("doc", "text_hash", "s.start", "s.end", "s.suits", F.explode("s.pattern").alias("p"))
            .withColumn("pattern", F.xxhash64("p")).join(good, "pattern").filter(F.array_contains("suits", F.col("kind")))
            .groupBy("doc", "text_hash", "start", "end").agg(F.max_by("kind", F.struct("reliability", "kind")).alias("kind")))
     by_doc = stored(new.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "end", "kind")).alias("found")), "pii-found")
+    discard(good)
     whole = seen.drop("seen").join(by_doc, ["doc", "text_hash"], "left")
 
     @F.arrow_udf("string")

@@ -42,7 +42,7 @@ def test_base_as_plain_patterns():
 
 
 def test_long_runs_take_linear_time():
-    for t in ("a" * 300_000, "1" * 300_000, "a." * 100_000 + "@", "@" * 200_000, "+1" * 100_000, "1." * 100_000, "a1=" * 100_000, "1 " * 100_000):
+    for t in ("a" * 300_000, "1" * 300_000, "a." * 100_000 + "@", "@" * 200_000, "+1" * 100_000, "1." * 100_000, "a1=" * 100_000, "1 " * 100_000, "a_at_" * 60_000, "(at)" * 60_000, "+((" * 60_000):
         spans = pii.base_spans(t)
         pii.candidates(t, spans)
 
@@ -128,3 +128,67 @@ def test_query_base_as_plain_patterns(spark, sf):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in base) for k in pii.KINDS]
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(joined.split(",")) <= set(r.spans.split(","))
+
+
+def test_candidates_with_blanks_and_at_marks():
+    cases = {"call (020) 7946 001 now": ["(020) 7946 001"], "card 4111 1111 1111 1112.": ["4111 1111 1111 1112"], "phone 555 123 4567": ["555 123 4567"],
+             "john [at] example.com": ["john [at] example.com"], "mail john_at_example.com!": ["john_at_example.com"], "mail a.b(at)x-y.org, or": ["a.b(at)x-y.org"],
+             "tel=(030) 12-34 x": ["(030) 12-34"], "12  34  567": [], "x12 34 567": [], "in 1999 and 2001": [], "at [at] 5": [], "a@b": ["a@b"], "12 34 567x": ["567x"][:0],
+             "4111 1111 1111 1111 and 555 123 4567": ["555 123 4567"], "1 2\n3 4 5 6": ["3 4 5 6"], "joe@x.org [at] y.com 12345": ["12345"]}
+    for text, want in cases.items():
+        assert [text[a:b] for a, b in pii.candidates(text, pii.base_spans(text))] == want, text
+
+
+def planted():
+    """Contexts learned from seeds, and identifiers of other forms in them."""
+    r = random.Random(3)
+    texts = [f"note {i} reach me on +49 30 {r.randint(10**6, 10**7)} soon" for i in range(25)]
+    texts += [f"note {i} write to user{i}x@mail{i}.example.org soon" for i in range(25)]
+    hidden = {"phone": ["reach me on (020) 7946 001 soon", "reach me on 555 123 4567 soon"],
+              "email": ["write to john [at] example.com soon", "write to mary_at_example.org soon", "write to jim(at)example.net soon"]}
+    return texts, hidden
+
+
+def test_planted_identifiers_are_found(spark):
+    texts, hidden = planted()
+    flat = [(k, t) for k, ts in hidden.items() for t in ts]
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs(spark, texts + [t for _, t in flat])).collect()}
+    for i, (kind, t) in enumerate(flat, len(texts)):
+        head = "reach me on " if kind == "phone" else "write to "
+        assert got[i] == f"{kind}:{len(head)}:{t.index(' soon')}", t
+
+
+def brute_spans(texts):
+    """The whole operator in plain Python, from its own parts' definitions."""
+    seen = []
+    for t in texts:
+        base = pii.base_spans(t)
+        own = [{"kind": k, "value": t[a:b].lower(), "suits": [k], "pattern": pii.patterns(t, a), "at": (a, b)} for a, b, k in base]
+        own += [{"kind": None, "value": t[a:b].lower(), "suits": [k for k in pii.KINDS if pii.suits(k, t[a:b])], "pattern": pii.patterns(t, a), "at": (a, b)} for a, b in pii.candidates(t, base)]
+        seen.append({"seen": own})
+    best = {}
+    for (p, kind), x in reliability(seen, pii.ROUNDS).items():
+        if x >= pii.MIN_RELIABILITY and (p not in best or (-x, kind) < (-best[p][0], best[p][1])):
+            best[p] = (x, kind)
+    out = []
+    for row in seen:
+        spans = []
+        for s in row["seen"]:
+            found = [best[p] for p in s["pattern"] if p in best and best[p][1] in s["suits"]] if s["kind"] is None else [(1, s["kind"])]
+            if found:
+                spans.append((s["at"][0], pii.KINDS.index(max(found)[1]), s["at"][1]))
+        out.append(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)))
+    return out
+
+
+@pytest.mark.parametrize("sf", [SF_SMALL, SF_MID])
+def test_query_spans_as_brute_force(spark, sf):
+    rows = queries.documents(spark, sf).collect()
+    want = {r.doc_id: s for r, s in zip(rows, brute_spans([r.text or "" for r in rows]), strict=True)}
+    assert {r.doc_id: r.spans for r in queries.op4_personal_data(spark, sf).collect()} == want
+
+
+def test_passing_tables_are_removed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("ballotlens.llm.common.ensure_checkpoint_dir", lambda s: str(tmp_path))
+    pii.find_pii(docs(spark, made())).count()
+    assert len([p for p in tmp_path.iterdir() if not p.name.startswith("code")]) == 2      # what its result reads
