@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballotlens.llm import pretokens
-from ballotlens.llm.common import arrays_to_batch, id_and_text, small_batches
+from ballotlens.llm.common import arrays_to_batch, id_and_text, release_memory, small_batches
 
 LEAF = 6                   # bytes of a word that are merged without cutting it
 KEPT = 150_000             # words, leaves and windows that a worker remembers of each; then it starts anew
@@ -266,6 +266,7 @@ def regex_of(special):
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteBpe:
     """One vocabulary for each worker process."""
+    release_memory()
     return ByteBpe(path)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import io
 import sys
@@ -124,6 +125,17 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release_memory() -> None:
+    """What freed batches and texts leave in the allocators goes back to the
+    system: a worker's process is shared by operators that come one by one."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def forget_vocabularies() -> None:
     """A Python worker outlives its tasks and serves one operator after the
     other: drop the vocabularies, and what they remember, of earlier ones."""
@@ -131,7 +143,7 @@ def forget_vocabularies() -> None:
         module = sys.modules.get(f"ballotlens.llm.{name}")
         if module is not None and module.load.cache_info().currsize:
             module.load.cache_clear()
-            gc.collect()
+    release_memory()
 
 
 def slices(texts: list[str], most: int = 1 << 19):

@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballotlens.llm.common import arrays_to_batch, batch_rows, discard, forget_vocabularies, lasting, slices, small_batches, stored, temporary, text_of
+from ballotlens.llm.common import arrays_to_batch, batch_rows, discard, forget_vocabularies, lasting, release_memory, slices, small_batches, stored, temporary, text_of
 
 WORDS = 5
 BANDS, ROWS = 26, 5                  # a pair of similarity 0.8 misses all buckets in 3 of 100,000 cases
@@ -301,9 +301,11 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: floa
         import pyarrow as pa
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         made = np.zeros(0, np.uint64)
+        release_memory()
         for batch in batches:
             a, b, kind, texts = (batch.column(k).to_pylist() for k in range(4))
             sets, keep = sets_and_registers(texts, sign=False)[0], []
+            del texts
             for i, k in enumerate(kind):
                 if k == 0:           # the texts after it are its own
                     made = sets[i]
