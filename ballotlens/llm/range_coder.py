@@ -10,14 +10,16 @@ The model of a block, for each id:
 * the last id seen after the two ids before (order 2) and after the one before
   (order 1), each with a count of how often it held; the one that held more
   often, order 2's if equal, is the candidate;
-* the probability that the candidate is the next id mixes both orders' log odds
-  by those counts, with weights that learn from every outcome; whether it is
-  the next is coded as a binary decision;
-* an id that isn't the candidate is coded by its high and its low byte under
-  order-0 frequencies, brought up to date every few steps.
-
-The range coder is carryless with 64-bit state; a step shrinks the range by 40
-bits at most, so one renormalisation a step is enough.
+* the probability that the candidate is the next id mixes three inputs: both
+  orders' log odds by those counts, and order 0's log probability of the
+  candidate, by how often its bytes came up in the block.  The weights learn
+  from every outcome; whether it is the next is coded as a binary decision;
+* an id that isn't the candidate is coded byte by byte, the highest first, under
+  the same order-0 frequencies, brought up to date every few steps.
+
+Ids take two bytes, or three where one of a sequence is over 65,535.  The range
+coder is carryless with 64-bit state; a step shrinks the range by 45 bits at
+most, so one renormalisation a step is enough.
 """
 
 from __future__ import annotations
@@ -29,38 +31,41 @@ import numpy as np
 BLOCK_IDS = 4096
 LANES = 2048                  # blocks coded abreast
 SLOTS = 2048                  # contexts of an order that a block tells apart
-MAGIC, VERSION = b"IDRC", 1   # a block starts with these, its ids, and crc32 of its ids
-HEADER = 13
-TOTAL = 1 << 14               # order-0 frequencies add up to this
+MAGIC, VERSION = b"IDRC", 2   # a block starts with these, its ids' bytes, its ids, and crc32 of its ids
+HEADER = 14
+BITS = {2: 14, 3: 11}         # order-0 frequencies of a byte add up to 2 to this, by the bytes of an id
 
 _U = np.uint64
 _TOP, _BOT = _U(1 << 56), _U(1 << 48)
 #: log odds (256: one nat) that a guess holds which has held so often; the first: no guess
 _ODDS = np.array([-256, 0, 300, 500, 650, 800, 950, 1100], np.int32)
 _SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 1, 4095).astype(np.int32)
-_NONE = 1 << 20               # the candidate where no order has one
+_LOG = np.rint(32 * np.log(np.maximum(np.arange((1 << 14) + 1), 1))).astype(np.int32)    # 32: one nat
+_NONE = 1 << 24               # the candidate where no order has one
 
 
 class _Model:
-    """The models of n blocks."""
+    """The models of n blocks of ids that take ``width`` bytes."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, width: int):
         self.n, lane = n, np.arange(n, dtype=np.int32)
+        self.bits, self.shifts = _U(BITS[width]), range(8 * (width - 1), -1, -8)
         self.seen = np.zeros((2, n * SLOTS), np.int32)              # id times 8, and how often it held
-        self.weight = np.full((2, n), 40000, np.int32)              # 16 bits: 1.0 is 65536
-        self.freq = np.ones((2, n * 256), np.int32)
-        self.cum = np.empty((2, n, 257), _U)
-        self.flat = self.cum.reshape(2, -1)
+        self.weight = np.repeat(np.array([[40000], [40000], [4000]], np.int32), n, 1)    # 16 bits: 1.0 is 65536
+        self.freq = np.ones((width, n * 256), np.int32)
+        self.cum = np.empty((width, n, 257), _U)
+        self.flat = self.cum.reshape(width, -1)
         self.one, self.two = np.zeros((2, n), np.int32)             # the ids before
         self.base, self.byte, self.wide = lane * SLOTS, lane * 256, lane.astype(np.int64) * 257
         self.refresh()
 
     def refresh(self) -> None:
-        freq = self.freq.reshape(2, self.n, 256).astype(np.int64)
-        share = 1 + freq * (TOTAL - 256) // freq.sum(2, keepdims=True)
+        freq, total = self.freq.reshape(-1, self.n, 256).astype(np.int64), 1 << int(self.bits)
+        share = 1 + freq * (total - 256) // freq.sum(2, keepdims=True)
         self.cum[:, :, 1:] = np.cumsum(share, axis=2)
         self.cum[:, :, 0] = 0
-        self.cum[:, :, 256] = TOTAL
+        self.cum[:, :, 256] = total
+        self.logs = (_LOG[share] - _LOG[total]).reshape(len(share), -1)
 
     def look(self) -> tuple[np.ndarray, np.ndarray]:
         """The candidate and the probability of 4096 that it's next."""
@@ -71,32 +76,34 @@ class _Model:
         other = np.where(self.held[1] > 0, one >> 3, _NONE)
         candidate = np.where((self.held[0] > 0) & (self.held[0] >= self.held[1]), two >> 3, other)
         self.inputs = [np.where((entry >> 3 == candidate) & (held > 0), _ODDS[held], -256) for entry, held in zip(self.found, self.held)]
-        dot = self.weight[0] * self.inputs[0] + self.weight[1] * self.inputs[1] >> 16
+        self.inputs.append(sum(self.logs[k][self.byte + (candidate >> s & 255)] for k, s in enumerate(self.shifts)))
+        dot = self.weight[0] * self.inputs[0] + self.weight[1] * self.inputs[1] + self.weight[2] * self.inputs[2] >> 16
         return candidate, _SQUASH[np.minimum(np.maximum(dot, -2048), 2047) + 2048]
 
     def learn(self, ids: np.ndarray, candidate: np.ndarray, hit: np.ndarray, p: np.ndarray, step: int) -> None:
         error = np.where(candidate < _NONE, hit * np.int32(4096) - p, 0)
-        for k in range(2):
+        for k in range(3):
             self.weight[k] += self.inputs[k] * error >> 6
+        for k in range(2):
             entry, held = self.found[k], self.held[k]
             same = (entry >> 3 == ids) & (held > 0)
             self.seen[k][self.at[k]] = np.where(same, entry + (held < 7), np.where(held > 1, entry - held + (held >> 1), ids << 3 | 1))
-        self.freq[0][self.byte + (ids >> 8)] += 24
-        self.freq[1][self.byte + (ids & 255)] += 24
+        for k, s in enumerate(self.shifts):
+            self.freq[k][self.byte + (ids >> s & 255)] += 24
         if step & step + 1 == 0 or step % 256 == 255:
             self.refresh()
         self.two, self.one = self.one, ids
 
 
-def _encode_group(blocks: list[np.ndarray]) -> list[bytes]:
+def _encode_group(blocks: list[np.ndarray], width: int) -> list[bytes]:
     """Blocks sorted by falling length."""
     n, lengths = len(blocks), np.array([len(b) for b in blocks])
     table = np.zeros((int(lengths[0]), n), np.int32)
     for k, b in enumerate(blocks):
         table[:len(b), k] = b
-    model = _Model(n)
+    model = _Model(n, width)
     low, rng = np.zeros(n, _U), np.full(n, ~_U(0), _U)
-    out, pos = np.zeros((n, 6 * int(lengths[0]) + 16), np.uint8), np.zeros(n, np.int64)
+    out, pos = np.zeros((n, 7 * int(lengths[0]) + 16), np.uint8), np.zeros(n, np.int64)
     for step in range(int(lengths[0])):
         ids = table[step]
         candidate, p = model.look()
@@ -106,10 +113,10 @@ def _encode_group(blocks: list[np.ndarray]) -> list[bytes]:
         rng = np.where(known, np.where(hit, part, (rng >> _U(12)) * (4096 - p).astype(_U)), rng)
         miss = np.flatnonzero(~hit)
         lo, r, x, wide = low[miss], rng[miss], ids[miss], model.wide[miss]
-        for k, s in ((0, x >> 8), (1, x & 255)):
-            s = wide + s
-            a, b = model.flat[k][s], model.flat[k][s + 1]
-            r >>= _U(14)
+        for flat, s in zip(model.flat, model.shifts):
+            at = wide + (x >> s & 255)
+            a, b = flat[at], flat[at + 1]
+            r >>= model.bits
             lo += r * a
             r *= b - a
         low[miss], rng[miss] = lo, r
@@ -144,17 +151,17 @@ def _settle(low, rng, live, shift) -> None:
         rng[at] = r << _U(8)
 
 
-def _decode_group(coded: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
+def _decode_group(coded: list[bytes], lengths: np.ndarray, width: int) -> list[np.ndarray]:
     n, steps = len(coded), int(lengths[0])
     size = max(map(len, coded)) + 16
     data = np.frombuffer(b"".join(c.ljust(size, b"\0") for c in coded), np.uint8).reshape(n, size)
     table = np.zeros((steps, n), np.int32)
-    model = _Model(n)
+    model = _Model(n, width)
     low, rng, pos = np.zeros(n, _U), np.full(n, ~_U(0), _U), np.full(n, 8)
     code = data[:, :8].astype(_U) @ (_U(1) << _U(8) * np.arange(7, -1, -1, dtype=_U))
 
     def shift(at):
-        code[at] = code[at] << _U(8) | data[at, pos[at]].astype(_U)
+        code[at] = code[at] << _U(8) | data[at, np.minimum(pos[at], size - 1)].astype(_U)      # a damaged block may run on
         pos[at] += 1
 
     for step in range(steps):
@@ -168,9 +175,8 @@ def _decode_group(coded: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
         miss = np.flatnonzero(~hit)
         lo, r, gap, wide = low[miss], rng[miss], code[miss] - low[miss], model.wide[miss]
         x = np.zeros(len(miss), np.int32)
-        for k in range(2):
-            flat = model.flat[k]
-            r >>= _U(14)
+        for flat in model.flat:
+            r >>= model.bits
             value = gap // np.maximum(r, _U(1))
             at = wide.copy()
             for bit in (128, 64, 32, 16, 8, 4, 2, 1):
@@ -188,16 +194,17 @@ def _decode_group(coded: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
 
 
 def encode(ids: np.ndarray) -> list[bytes]:
-    """A sequence of ids below 65,536 as independent blocks."""
-    if len(ids) and (int(ids.max()) > 0xFFFF or int(ids.min()) < 0):
-        raise ValueError("ids take 16 bits")
+    """A sequence of ids below 2 to the 24th as independent blocks."""
+    if len(ids) and (int(ids.max()) >= _NONE or int(ids.min()) < 0):
+        raise ValueError("ids take 24 bits")
+    width = 3 if len(ids) and int(ids.max()) > 0xFFFF else 2
     blocks = [ids[k:k + BLOCK_IDS] for k in range(0, len(ids), BLOCK_IDS)]
     out = []
     for k in range(0, len(blocks), LANES):
         group = blocks[k:k + LANES]                   # only the last may be shorter
-        for b, payload in zip(group, _encode_group(group), strict=True):
+        for b, payload in zip(group, _encode_group(group, width), strict=True):
             crc = zlib.crc32(np.ascontiguousarray(b, "<u4").tobytes())
-            out.append(MAGIC + bytes([VERSION]) + len(b).to_bytes(4, "little") + crc.to_bytes(4, "little") + payload)
+            out.append(MAGIC + bytes([VERSION, width]) + len(b).to_bytes(4, "little") + crc.to_bytes(4, "little") + payload)
     return out
 
 
@@ -205,15 +212,18 @@ def decode(blocks: list[bytes]) -> np.ndarray:
     """The ids of blocks, which may come from anywhere in a file; a damaged
     block raises ValueError."""
     for b in blocks:
-        if b[:5] != MAGIC + bytes([VERSION]):
+        if len(b) < HEADER or b[:5] != MAGIC + bytes([VERSION]) or b[5] not in BITS or not 0 < int.from_bytes(b[6:10], "little") <= BLOCK_IDS:
             raise ValueError("not a block of token ids")
-    lengths = np.array([int.from_bytes(b[5:9], "little") for b in blocks], np.int64)
+    lengths = np.array([int.from_bytes(b[6:10], "little") for b in blocks], np.int64)
+    widths = np.array([b[5] for b in blocks], np.int64)
     found: list = [None] * len(blocks)
-    order = np.argsort(-lengths, kind="stable")
-    for k in range(0, len(order), LANES):
-        at = order[k:k + LANES]
-        for i, ids in zip(at, _decode_group([blocks[i][HEADER:] for i in at], lengths[at]), strict=True):
-            if zlib.crc32(ids.astype("<u4").tobytes()) != int.from_bytes(blocks[i][9:13], "little"):
-                raise ValueError("a block's checksum differs")
-            found[i] = ids
+    for width in BITS:
+        order = np.flatnonzero(widths == width)
+        order = order[np.argsort(-lengths[order], kind="stable")]
+        for k in range(0, len(order), LANES):
+            at = order[k:k + LANES]
+            for i, ids in zip(at, _decode_group([blocks[i][HEADER:] for i in at], lengths[at], width), strict=True):
+                if zlib.crc32(ids.astype("<u4").tobytes()) != int.from_bytes(blocks[i][10:14], "little"):
+                    raise ValueError("a block's checksum differs")
+                found[i] = ids
     return np.concatenate(found) if found else np.empty(0, np.int64)

@@ -1,19 +1,25 @@
 """Token ids in files: context-mixed range-coded blocks, in ascending doc_id order.
 
-``write`` range-partitions the documents by doc_id; each partition encodes its
-texts, appends the end id to each, and codes the sequence of all its ids as
-blocks (``range_coder``).  A store is a folder of two Parquet tables that
-Spark's committer writes, so a lost task leaves no half files: ``blocks`` (part,
-block, payload) and ``docs`` (part, row, doc_id, start within the part,
-n_tokens).  Parts are numbered in doc_id order.
-
-``read`` decodes from these files alone: a part's blocks and rows meet in one
-task (a part is one range partition), and a part's first id counts the ids of
-all parts before it (one total a part, which bounds what the driver adds up).
+``write`` range-partitions the documents by doc_id into parts of about
+``part_bytes`` of text; rows of one id, or without an id, are told apart by
+their texts, and equal rows by the input partition they come from, so no id
+makes a part of its own grow.  Each part encodes its texts, appends the end id
+to each, and codes its ids in runs of whole documents (of at most ``RUN_IDS``
+ids, or one longer document) as blocks (``range_coder``).  A store is a folder
+of two Parquet tables that Spark's committer writes, so a lost task leaves no
+half files: ``blocks`` (part, run, row, payload) and ``docs`` (part, run, row,
+doc_id, start within the part, n_tokens).  Parts are numbered in doc_id order.
+
+``read`` decodes from these files alone: a run's blocks and documents meet in
+one call, whatever its part's size, and a part's first id counts the ids of all
+parts before it (one total a part, which bounds what the driver adds up).
 
 Defined results: null text is the empty text (only the end id); rows without
-doc_id come first; rows of one doc_id lie in the order of their texts; a
-damaged block raises an error; an empty table gives a store without blocks.
+doc_id come first; rows of one doc_id lie in the order of their texts' first 32
+characters, then of a hash of the text; a very long text is a run of its own,
+coded and decoded ``range_coder.LANES`` blocks at a time; a damaged block raises
+an error; an empty table gives a store without blocks; extra columns of any
+name stay behind.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from ballotlens.llm import bpe, pretokens, range_coder
 from ballotlens.llm.common import arrays_to_batch, id_and_text, small_batches
 
 END_ID = 2
+RUN_IDS = range_coder.BLOCK_IDS * range_coder.LANES      # blocks that are coded abreast
 
 
 @lru_cache(maxsize=2)
@@ -47,44 +54,63 @@ def ids_of(text: str, path: str) -> np.ndarray:
     return np.frombuffer(own.encode(text), "<u4")
 
 
-_ROWS = "kind string, part int, row long, doc_id long, start long, n_tokens long, payload binary"
+_ROWS = "kind string, part int, run long, row long, doc_id long, start long, n_tokens long, payload binary"
+
+
+def _in_parts(rows: DataFrame, part_bytes: int) -> DataFrame:
+    """Rows in range partitions of (doc_id, text): as many as the session's
+    shuffles have, more where those would hold over ``part_bytes`` of text."""
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-size // part_bytes)
+    # sampled keys stay short; an input partition's number, unlike a row's, survives a lost task
+    by = ["doc_id", "head", "hash", "source"]
+    keyed = rows.select("doc_id", "text", F.substring("text", 1, 32).alias("head"), F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("source"))
+    more = (parts,) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else ()
+    return keyed.repartitionByRange(*more, *by).sortWithinPartitions(*by).select("doc_id", "text")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
+          part_bytes: int = 128 << 20, run_ids: int = RUN_IDS) -> None:
     """Writes the store at ``path``, a folder that all executors share."""
     small_batches(docs.sparkSession)
-    rows = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = _in_parts(id_and_text(docs, id_col, text_col), part_bytes)
 
     def code(batches):
         import pyarrow as pa
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("run", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()),
+                            ("start", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
         end = np.array([end_id], "<u4")
-        group = range_coder.BLOCK_IDS * range_coder.LANES
-        waiting, n_waiting, row, block, start = [], 0, 0, 0, 0
+        waiting, n_waiting, row, run, start = [], 0, 0, 0, 0
 
-        def blocks(ids):
-            nonlocal block
-            coded = range_coder.encode(ids)
-            block += len(coded)
+        def blocks():
+            """The waiting documents are a run."""
+            nonlocal waiting, n_waiting, run
+            coded = range_coder.encode(np.concatenate(waiting))
             n, none = len(coded), [None] * len(coded)
-            return arrays_to_batch(schema, [["blocks"] * n, [part] * n, list(range(block - n, block)), none, none, none, coded])
+            out = arrays_to_batch(schema, [["blocks"] * n, [part] * n, [run] * n, list(range(n)), none, none, none, coded])
+            waiting, n_waiting, run = [], 0, run + 1
+            return out
 
         for b in batches:
-            found = [np.concatenate((ids_of(t, tokenizer), end)) for t in b.column(1).to_pylist()]
-            sizes = np.array([len(x) for x in found], np.int64)
-            n, starts = len(found), start + np.cumsum(sizes) - sizes
-            yield arrays_to_batch(schema, [["docs"] * n, [part] * n, list(range(row, row + n)), b.column(0), starts, sizes, [None] * n])
-            row, start = row + n, start + int(sizes.sum())
-            waiting += found
-            n_waiting += int(sizes.sum())
-            while n_waiting >= group:        # a full set of blocks side by side
-                ids = np.concatenate(waiting)
-                yield blocks(ids[:group])
-                waiting, n_waiting = [ids[group:]], n_waiting - group
+            runs, starts, sizes = [], [], []
+            for text in b.column(1):
+                ids = np.concatenate((ids_of(text.as_py(), tokenizer), end))
+                if n_waiting and n_waiting + len(ids) > run_ids:
+                    yield blocks()
+                waiting.append(ids)
+                n_waiting += len(ids)
+                runs.append(run)
+                starts.append(start)
+                sizes.append(len(ids))
+                start += len(ids)
+            n = len(runs)
+            yield arrays_to_batch(schema, [["docs"] * n, [part] * n, runs, list(range(row, row + n)), b.column(0), starts, sizes, [None] * n])
+            row += n
         if n_waiting:
-            yield blocks(np.concatenate(waiting))
+            yield blocks()
 
     # one table in two folders, kind=blocks and kind=docs
     rows.mapInArrow(code, _ROWS).write.partitionBy("kind").parquet(path)
@@ -94,8 +120,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): decoded from the store's files."""
     small_batches(spark)
     # two reads: cogrouped sides mustn't share columns of one plan
-    blocks = spark.read.schema(_ROWS).parquet(path).filter("kind = 'blocks'").select("part", "row", "payload")
-    rows = spark.read.schema(_ROWS).parquet(path).filter("kind = 'docs'").select("part", "row", "doc_id", "start", "n_tokens")
+    blocks = spark.read.schema(_ROWS).parquet(path).filter("kind = 'blocks'").select("part", "run", "row", "payload")
+    rows = spark.read.schema(_ROWS).parquet(path).filter("kind = 'docs'").select("part", "run", "row", "doc_id", "start", "n_tokens")
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()     # one row a part
     before, base = {}, 0
     for r in totals:
@@ -109,17 +135,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         ids = range_coder.decode(coded.column("payload").to_pylist()).astype("<u4")
         starts, sizes = np.asarray(docs.column("start")), np.asarray(docs.column("n_tokens"))
         if len(ids) != int(sizes.sum()):
-            raise ValueError("a part's blocks don't hold its documents' ids")
-        raw = ids.tobytes()
-        packed = pa.array([raw[4 * a:4 * (a + n)] for a, n in zip(starts.tolist(), sizes.tolist())], pa.large_binary()).cast(pa.binary())
+            raise ValueError("a run's blocks don't hold its documents' ids")
+        raw, ends = ids.tobytes(), np.cumsum(sizes)
+        packed = pa.array([raw[4 * (e - n):4 * e] for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary())
         first = before[key[0].as_py()]
-        return pa.Table.from_arrays([docs.column("doc_id"), pa.chunked_array([pa.array(starts + first)]), docs.column("n_tokens"), pa.chunked_array([packed])], schema=schema)
+        return pa.Table.from_arrays([docs.column("doc_id"), pa.array(starts + first), docs.column("n_tokens"), packed], schema=schema)
 
-    return blocks.groupBy("part").cogroup(rows.groupBy("part")).applyInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.groupBy("part", "run").cogroup(rows.groupBy("part", "run")).applyInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of a store's documents."""
     return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ballotlens.llm import common, queries, token_store
@@ -30,8 +31,29 @@ def test_coder_learns_and_notices_damage():
     for at in (3, 10, 40):
         with pytest.raises(ValueError):
             rc.decode([block[:at] + bytes([block[at] ^ 1]) + block[at + 1:]])
-    with pytest.raises(ValueError):
-        rc.encode(np.array([70000]))
+    for wrong in (-1, 1 << 24):
+        with pytest.raises(ValueError):
+            rc.encode(np.array([wrong]))
+
+
+@pytest.mark.parametrize("n", [1, 4097, 9000])
+def test_coder_ids_over_two_bytes(n):
+    r = np.random.default_rng(n)
+    wide = [r.integers(0, 1 << 24, n), r.zipf(1.3, n) % 200_000, np.full(n, (1 << 24) - 1), np.resize(r.integers(0, 150_000, 37), n)]
+    for ids in wide:
+        assert (rc.decode(rc.encode(ids)) == ids).all()
+    narrow = r.integers(0, 50257, n)          # blocks of both widths side by side
+    assert (rc.decode(rc.encode(wide[0]) + rc.encode(narrow)) == np.concatenate((wide[0], narrow))).all()
+
+
+def test_order_zero_is_in_the_mix(monkeypatch):
+    """A candidate that is frequent in the block is believed sooner."""
+    r = np.random.default_rng(5)
+    common, rare = r.integers(0, 4, 8000), r.integers(0, 50257, 8000)
+    ids = np.where(r.random(8000) < 0.9, common, rare)
+    with_zero = sum(map(len, rc.encode(ids)))
+    monkeypatch.setattr(rc, "_LOG", np.zeros_like(rc._LOG))
+    assert with_zero < sum(map(len, rc.encode(ids)))
 
 
 def want(rows, library):
@@ -73,3 +95,20 @@ def test_empty_store_and_query(spark):
     rows = [(r.doc_id, r.text) for r in queries.documents(spark, SF_SMALL).collect()]
     got = sorted((tuple(r) for r in queries.op7_token_store(spark, SF_SMALL).collect()), key=key)
     assert got == want(rows, Tokenizer.from_file(PATH))
+
+
+def test_hot_ids_are_split(spark):
+    """Most rows share an id, or have none, or are equal: parts and runs stay
+    small, and the order is that of the whole table."""
+    rows = [(7, f"text {i:03d} of one id") for i in range(120)] + [(None, f"text {i:03d} without one") for i in range(60)]
+    rows += [(7, "text 500 often")] * 60 + [(3, "first"), (9, "last " * 400), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = common.shared_path(spark, "store")
+    token_store.write(df, path, PATH, part_bytes=300, run_ids=40)
+    stored = spark.read.parquet(path)
+    per_part = [r.n for r in stored.filter("kind = 'docs'").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()]
+    runs = stored.filter("kind = 'docs'").groupBy("part", "run").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()
+    assert len(per_part) > 8 and sorted(per_part)[-2] < sum(per_part) / 4
+    assert all(r.n <= 40 or r.docs == 1 for r in runs) and max(r.n for r in runs) > 400
+    got = sorted((tuple(r) for r in token_store.checksums(spark, path).collect()), key=key)
+    assert got == want(rows, Tokenizer.from_file(PATH))
