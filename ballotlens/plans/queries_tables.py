@@ -1,15 +1,16 @@
 """Queries over tables that are kept up to date: share totals by load, the page
-index, and the outreach table as a stream."""
+index, the outreach table as a stream, the slim layout's swap; and a table of searches."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ballotlens.operators import incremental as inc
-from ballotlens.operators import pages
+from ballotlens.operators import pages, search
 from ballotlens.plans import fixtures as fx
 from ballotlens.plans.catalog import REGISTRY, register
 from ballotlens.plans.queries import FLAGSHIP_SQL, _scratch
+from ballotlens.sources import sinks
 from ballotlens.streaming import outreach as so
 
 _OUTREACH_IDS = ["id", "account_hash_key", "proposal_master_skey", "director_master_skey"]
@@ -70,3 +71,42 @@ def q_stream_insert_ignore(spark, sf):
             if "cut off before the commit" not in str(e):
                 raise
     return spark.read.parquet(table).select(*_OUTREACH_IDS)
+
+
+# ------------------------------------------------------------------------ F2
+#: a search for each supplier: brands, keys, wildcards, short terms, one without letters, none
+_REQUESTS = """
+SELECT s_suppkey AS request_id,
+  CASE s_suppkey % 8 WHEN 0 THEN concat('brand#', CAST(s_nationkey AS VARCHAR(5))) WHEN 1 THEN concat('FK', CAST(s_suppkey AS VARCHAR(20)))
+    WHEN 2 THEN concat('k', CAST(s_suppkey % 10 AS VARCHAR(5)), '_', CAST(s_nationkey % 10 AS VARCHAR(5))) WHEN 3 THEN 'LUE%w_d'
+    WHEN 4 THEN CAST(s_nationkey AS VARCHAR(5)) WHEN 5 THEN substr(s_name, 1, 5) WHEN 6 THEN 'r%k1' ELSE CASE WHEN s_nationkey % 2 = 0 THEN '____________' END END AS term
+FROM supplier"""
+
+
+@register("search_many", f"""
+SELECT r.request_id, p.id, p.final_key FROM ({_REQUESTS}) r JOIN proposals p
+  ON coalesce(r.term, '') = '' OR p.issuer_name ILIKE '%' || r.term || '%' OR p.proposal ILIKE '%' || r.term || '%' OR p.final_key ILIKE '%' || r.term || '%'""",
+          ["proposals"])
+def q_search_many(spark, sf):
+    requests = spark.sql(_REQUESTS.replace("FROM supplier", "FROM {supplier}"), supplier=fx.table(spark, sf, "supplier"))
+    return search.search_many(fx.proposals(spark, sf).select("id", "issuer_name", "proposal", "final_key"), requests).select("request_id", "id", "final_key")
+
+
+# ------------------------------------------------------------------------ H8
+_SLIM = "id, account_hash_key, proposal_master_skey, director_master_skey, account_type, shares_summable, rank_of_shareholding"
+
+
+@register("slim_swap", f"""
+SELECT 'table' AS folder, {_SLIM}, NULL::INTEGER AS row_index FROM outreach
+UNION ALL SELECT 'backup', {_SLIM}, 1 FROM outreach""", ["outreach"])
+def q_slim_swap(spark, sf):
+    """A table is backed up, its slim copy counted and put in its place; both folders' rows."""
+    path = _scratch(spark, "slim-swap")
+    fx.outreach(spark, sf).select(F.lit(1).alias("row_index"), F.lit("u").alias("unnamed_col"), "*").write.parquet(path)
+    done = sinks.slim_accounts(spark, path, "20240105")
+    slim, backup = spark.read.parquet(path), spark.read.parquet(done["backup"])
+    if "row_index" in slim.columns or "unnamed_col" not in backup.columns:
+        raise RuntimeError("the slim copy isn't in the table's place")
+    cols = _SLIM.split(", ")
+    return slim.select(F.lit("table").alias("folder"), *cols, F.lit(None).cast("int").alias("row_index")) \
+        .unionByName(backup.select(F.lit("backup").alias("folder"), *cols, "row_index"))
