@@ -3,6 +3,8 @@ index, the outreach table as a stream, the slim layout's swap; and a table of se
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ballotlens.operators import incremental as inc
@@ -10,7 +12,7 @@ from ballotlens.operators import pages, search
 from ballotlens.plans import fixtures as fx
 from ballotlens.plans.catalog import REGISTRY, register
 from ballotlens.plans.queries import FLAGSHIP_SQL, _scratch
-from ballotlens.sources import sinks
+from ballotlens.sources import buckets, sinks
 from ballotlens.streaming import outreach as so
 
 _OUTREACH_IDS = ["id", "account_hash_key", "proposal_master_skey", "director_master_skey"]
@@ -110,3 +112,28 @@ def q_slim_swap(spark, sf):
     cols = _SLIM.split(", ")
     return slim.select(F.lit("table").alias("folder"), *cols, F.lit(None).cast("int").alias("row_index")) \
         .unionByName(backup.select(F.lit("backup").alias("folder"), *cols, "row_index"))
+
+
+# ------------------------------------------------------------------ J3 / J6
+_KEY = "proposal_master_skey"
+
+
+def _bucketed_accounts(spark, sf) -> str:
+    name = f"accounts_{uuid.uuid4().hex[:12]}"
+    buckets.write_bucketed(fx.accounts(spark, sf).select("id", _KEY, "shares_summable"), name, _scratch(spark, "buckets"), _KEY, 8)
+    return name
+
+
+@register("bucketed_join", f"""
+SELECT p.id AS proposal_id, count(*) AS rows, CAST(sum(a.shares_summable) AS BIGINT) AS shares
+FROM accounts a JOIN proposals p ON a.{_KEY} = p.{_KEY} WHERE p.{_KEY} <> -1 GROUP BY p.id""", ["accounts", "proposals"])
+def q_bucketed_join(spark, sf):
+    p = fx.proposals(spark, sf).filter(f"{_KEY} <> -1").select(F.col("id").alias("proposal_id"), _KEY)
+    return buckets.join_bucketed(spark, _bucketed_accounts(spark, sf), p, _KEY) \
+        .groupBy("proposal_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("shares_summable").cast("bigint").alias("shares"))
+
+
+@register("bucketed_totals", f"""
+SELECT {_KEY}, count(*) AS rows, CAST(sum(shares_summable) AS BIGINT) AS total FROM accounts GROUP BY {_KEY}""", ["accounts"])
+def q_bucketed_totals(spark, sf):
+    return buckets.totals_by_key(spark, _bucketed_accounts(spark, sf), _KEY, "shares_summable").withColumn("total", F.col("total").cast("bigint"))
