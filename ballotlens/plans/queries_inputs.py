@@ -16,7 +16,7 @@ from ballotlens.operators import validate as va
 from ballotlens.plans import fixtures as fx
 from ballotlens.plans.catalog import register
 from ballotlens.session import materialize, remove_path, scratch_path
-from ballotlens.sources import dumps, readers
+from ballotlens.sources import dumps, readers, row_groups
 
 
 def _scratch(spark, name):
@@ -189,3 +189,43 @@ def q_accent_verify(spark, sf):
 def q_table_rows(spark, sf):
     """The inventory's rows by table (files and sizes depend on how tables are stored)."""
     return va.table_inventory(spark, {t: os.path.join(sf, f"{t}.parquet") for t in fx.TABLES}).select("table", "rows")
+
+
+# ------------------------------------------------------------- S4 / A25 / R1
+@register("row_group_inventory", "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, CAST(1 AS BIGINT) AS files, count(*) AS rows, count(*) AS end_row, (SELECT count(*) FROM (DESCRIBE {t})) AS columns FROM {t}"
+    for t in fx.TABLES))
+def q_row_group_inventory(spark, sf):
+    """Footers of every table: its files, rows, the row after its last group, columns."""
+    groups = None
+    for t in fx.TABLES:
+        one = row_groups.row_groups(spark, os.path.join(sf, f"{t}.parquet")).withColumn("table_name", F.lit(t))
+        groups = one if groups is None else groups.unionByName(one)
+    return groups.groupBy("table_name").agg(F.count_distinct("file_path").alias("files"), F.sum("rows").alias("rows"),
+                                            F.max(F.col("first_row") + F.col("rows")).alias("end_row"), F.max("columns").cast("bigint").alias("columns"))
+
+
+@register("row_group_load", "SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity, l_returnflag || l_linestatus AS flags FROM lineitem")
+def q_row_group_load(spark, sf):
+    """Lineitem in three files of many row groups; the second batch is cut off
+    between its write and its commit; the next run has other batches."""
+    src, table, done = (_scratch(spark, f"row-group-{n}") for n in ("src", "table", "ledger"))
+    fx.table(spark, sf, "lineitem").repartition(3, "l_orderkey", "l_linenumber").write.option("parquet.block.size", 64 * 1024).parquet(src)
+
+    def cut(batch):
+        if batch == 2:
+            raise RuntimeError("cut off before the commit")
+
+    def prepare(rows):
+        return rows.withColumn("flags", F.concat("l_returnflag", "l_linestatus")).drop("l_returnflag", "l_linestatus")
+
+    columns = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_returnflag", "l_linestatus").schema
+    total = row_groups.row_groups(spark, src).agg(F.sum("bytes")).first()[0]
+    try:
+        row_groups.load_row_groups(spark, src, table, done, columns, transform=prepare, batch_bytes=total // 4 + 1, before_commit=cut)
+    except RuntimeError as e:      # the cut that this query makes itself
+        if "cut off before the commit" not in str(e):
+            raise
+    row_groups.load_row_groups(spark, src, table, done, columns, transform=prepare, batch_bytes=total // 2 + 1, task_bytes=total // 8 + 1)
+    remove_path(spark, src)
+    return row_groups.loaded(spark, table, done).drop("load_batch")
