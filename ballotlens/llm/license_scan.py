@@ -1,11 +1,12 @@
 """Licence scan with a generalised suffix automaton of licence words.
 
-All templates (short licence statements) form one suffix automaton over words:
-a state stands for the word sequences that occur at the same template places.
+All templates (one-sentence statements, whole texts of short licences, notices
+of long ones) form one suffix automaton over words: a state stands for the word sequences that occur at the same template places.
 Each document's words stream through it and leave matching statistics: at each
 word, how many words up to it occur together in some template, and the state.
-Where a match can't go on, and it's at least ``MIN_WORDS`` words long (or a
-whole template), it is a fragment of each template place it stands for.
+Where a match can't go on in a template, and it's at least ``MIN_WORDS`` words
+long (or a whole template), it is a fragment of that template, also where the
+text goes on as another template does.
 Fragments of one template chain in order of text and template over gaps of at
 most ``MAX_GAP`` words; a chain that covers ``MIN_COVER`` of its template is a
 find: a label, a span of words and the share covered.
@@ -22,11 +23,13 @@ no further; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
 from ballotlens.llm.common import arrays_to_batch, id_and_text, small_batches
+from ballotlens.llm.license_texts import WHOLE_TEXTS
 
 # Phrases that count wherever their words stand consecutively.
 PHRASES = [
@@ -135,35 +138,37 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, phrases=PHRASES, templates=TEMPLATES, min_words=MIN_WORDS, max_gap=MAX_GAP, min_cover=MIN_COVER):
+    def __init__(self, phrases=PHRASES, templates=(*TEMPLATES, *WHOLE_TEXTS), min_words=MIN_WORDS, max_gap=MAX_GAP, min_cover=MIN_COVER):
         self.phrases = [(label, words_of(p)) for label, p in phrases]
         self.labels = [x for x, _ in phrases] + [x for x, _ in templates]
         self.words = [w for _, w in self.phrases] + [words_of(t) for _, t in templates]
         self.automaton = Automaton(self.words)
         self.min_words, self.max_gap, self.min_cover = min_words, max_gap, min_cover
+        # states that a template of under min_words words, as a whole, is or ends
+        self.whole_short = [False] * len(self.automaton.go)
+        for k in sorted(range(1, len(self.whole_short)), key=self.automaton.length.__getitem__):
+            self.whole_short[k] = self.whole_short[self.automaton.link[k]] or any(
+                end == len(self.words[t]) <= min(min_words - 1, self.automaton.length[k]) for t, end in self.automaton.places[k])
         self.last_words = {}
         for k, (_, w) in enumerate(self.phrases):
             self.last_words.setdefault(w[-1], []).append((k, w))
 
     def fragments(self, words, at):
-        """(template, text start, text end, template start) of matches that
-        can't go on."""
-        auto, before = self.automaton, None
-        for now in [*auto.statistics(words, at), (-9, 0, 0)]:
-            if before is not None and (now[0] != before[0] + 1 or now[1] <= before[1]):
-                i, n, state = before
-                # the match itself, and whole short templates that end it
-                for t, end in auto.places[state] if n else ():
-                    if n >= self.min_words or n >= len(self.words[t]):
-                        yield t, i + 1 - n, i + 1, end - n
-                up = auto.link[state]
-                while up > 0:
-                    m = auto.length[up]
-                    for t, end in auto.places[up] - auto.places[state]:
-                        if m >= self.min_words or m >= len(self.words[t]):
-                            yield t, i + 1 - m, i + 1, end - m
-                    state, up = up, auto.link[up]
-            before = now
+        """(template, text start, text end, template start) of the matches that
+        can't go on in their template, whatever goes on in others."""
+        auto, least = self.automaton, self.min_words
+        for i, n, state in auto.statistics(words, at):
+            if n < least and not self.whole_short[state]:
+                continue
+            after = words[i + 1] if i + 1 < len(words) else None
+            m, before = n, frozenset()
+            while state > 0 and (m >= least or self.whole_short[state]):
+                for t, end in auto.places[state] - before:
+                    w = self.words[t]
+                    if (m >= least or m >= len(w)) and (end == len(w) or w[end] != after):
+                        yield t, i + 1 - m, i + 1, end - m
+                before, state = auto.places[state], auto.link[state]
+                m = auto.length[state]
 
     def chains(self, words, at):
         """(template, text start, text end, words covered): the best chain that
@@ -173,12 +178,11 @@ class Scanner:
             by.setdefault(f[0], []).append(f[1:])
         for t, found in by.items():
             found.sort(key=lambda f: (f[1], f[0], f[2]))
-            best, first, used = [], 0, set()
+            best, ends, used = [], [f[1] for f in found], set()
             for k, (a, b, p) in enumerate(found):
-                while found[first][1] < a - self.max_gap:
-                    first += 1
                 top = (b - a, a, None)
-                for j in range(first, k):
+                # ends rise, starts needn't: a long match can begin before a short one that ends earlier
+                for j in range(bisect_left(ends, a - self.max_gap), k):
                     x, y, q = found[j]
                     over = max(0, y - a, q + y - x - p)        # words that both would cover
                     if x < a and q < p and b - a > over and best[j][0] + b - a - over > top[0]:
@@ -215,21 +219,23 @@ class Scanner:
 
 
 @lru_cache(maxsize=1)
-def load() -> Scanner:
-    return Scanner()
+def load(templates: tuple[tuple[str, str], ...]) -> Scanner:
+    return Scanner(templates=templates)
 
 
-def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=(*TEMPLATES, *WHOLE_TEXTS)) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
-    score, spans): word positions from 0, spans' ends exclusive."""
+    score, spans): word positions from 0, spans' ends exclusive; ``templates``
+    are (label, text)."""
     small_batches(docs.sparkSession)
+    templates = tuple(map(tuple, templates))
 
     def scan(batches):
         import pyarrow as pa
         span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())])
         schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "n_base", "first_word", "last_word")),
                             ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
-        scanner = load()
+        scanner = load(templates)
         for b in batches:
             rows = []
             for t in b.column(1).to_pylist():

@@ -35,9 +35,30 @@ def test_matching_statistics_as_definition():
             assert n == want and auto.places[state] == known[tuple(text[i + 1 - n:i + 1])]
 
 
+def test_fragments_as_definition():
+    """Every match of a template that neither end can extend, templates within templates too."""
+    r = random.Random(2)
+    for _ in range(80):
+        seqs = [" ".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 5))]
+        seqs.append(seqs[0] + " " + seqs[-1])
+        s = ls.Scanner(phrases=[], templates=[("x", t) for t in seqs], min_words=3)
+        text = [r.choice([b"a", b"b", b"c", b"c", b"x"]) for _ in range(50)]
+        want = set()
+        for t, w in enumerate(s.words):
+            for a in range(len(text)):
+                for p in range(len(w)):
+                    n = 0
+                    while a + n < len(text) and p + n < len(w) and text[a + n] == w[p + n]:
+                        n += 1
+                    starts = a == 0 or p == 0 or text[a - 1] != w[p - 1]
+                    if n and starts and (n >= 3 or n == len(w)):
+                        want.add((t, a, a + n, p))
+        assert set(s.fragments(text, [i for i, x in enumerate(text) if x in s.automaton.vocabulary])) == want
+
+
 def test_finds_templates_with_gaps_and_edits():
     s = ls.Scanner()
-    for label, t in ls.TEMPLATES:
+    for label, t in (*ls.TEMPLATES, *ls.WHOLE_TEXTS):
         n, _, _, spans, score = s.scan(f"One two. {t.upper()}; three")[0], *s.scan(f"One two. {t.upper()}; three")[1:]
         assert any(x[0] == label and x[1] == 2 for x in spans) and score == 1
     t = ls.TEMPLATES[4][1].replace("free of charge", "totally free of charge").replace("person", "human")
@@ -46,6 +67,30 @@ def test_finds_templates_with_gaps_and_edits():
     assert s.scan("the rights of any person to use this work as is")[3] == []
 
 
+def test_whole_texts():
+    """A whole licence with a name put in, reflowed and in part rewritten, is one find over its length."""
+    s = ls.Scanner()
+    for label, t in ls.WHOLE_TEXTS:
+        words = re.findall(r"\S+", t)
+        if len(words) < 60:
+            continue
+        r = random.Random(len(words))
+        edited = words[:20] + ["Example", "Holders"] + [w if r.random() > 0.03 else "other" for w in words[20:]]
+        spans = s.scan("A clean first line.\n" + "\n * ".join(edited) + "\nand code")[3]
+        n = len(ls.words_of(t))
+        whole = [x for x in spans if x[0] == label and x[2] - x[1] > 0.9 * n]
+        assert whole and 0.75 <= max(x[3] for x in whole) < 1
+    # half a text is no find of the whole; sentences of it that stand alone as templates are
+    mit = dict(ls.WHOLE_TEXTS)["mit"]
+    half = " ".join(mit.split()[:70])
+    assert {x[0] for x in s.scan(half)[3]} == {"mit"} and all(x[2] - x[1] < 40 for x in s.scan(half)[3])
+
+
+def test_templates_are_a_parameter(spark):
+    got = ls.scan_documents(docs(spark, ["use it as you like it at home", "Released under the MIT License"]), templates=[("own", "use it as you like it")]).collect()
+    assert {r.doc_id: r.labels for r in got} == {0: "own", 1: ""}
+
+
 def test_long_and_repeated_texts():
     s = ls.Scanner()
     line = "Licensed under the Apache License, Version 2.0\n"
