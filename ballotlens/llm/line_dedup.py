@@ -9,7 +9,8 @@
    than the rows of fewer than ``min_docs`` documents.  It returns the rows of
    lines found in that many documents.  The first and the last run of a
    partition may go on in its neighbours: they leave a summary (two a
-   partition, which bounds what is broadcast), and summaries add up to totals.
+   partition), and summaries add up to totals, which are broadcast if they are
+   counted to be few.
 3. Rows to drop gather by document into a zlib-compressed bitmap, one bit a
    line (1: keep).  Texts are read again only where a bitmap is applied.
 
@@ -36,6 +37,7 @@ from ballotlens.llm.common import arrays_to_batch, forget_vocabularies, small_ba
 BLANKS = " \t\n\x0b\x0c\r"
 NO_ID = -(2**63)            # stands for a null doc_id
 ROW = ["h1", "h2", "doc", "text_hash", "pos"]
+FEW_SUMMARIES = 200_000     # of some 80 bytes: totals of so many are broadcast, of more joined as Spark chooses
 STREAM_ROWS = 65_536        # rows of an Arrow batch while runs are streamed
 
 
@@ -147,8 +149,8 @@ def dropped_rows(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
                    F.min(F.struct("doc", "text_hash", "pos")).alias("first_row")))
     rows = found.filter("not summary")
     inner = rows.filter("not edge").select("doc", "text_hash", "pos", "first")
-    # at most two summaries a partition: small whatever the input
-    edge = (rows.filter("edge").join(F.broadcast(totals), ["h1", "h2"], "left")
+    few = found.filter("summary").count() <= FEW_SUMMARIES
+    edge = (rows.filter("edge").join(F.broadcast(totals) if few else totals, ["h1", "h2"], "left")
             .filter(F.col("total").isNull() | (F.col("total") >= min_docs))
             .select("doc", "text_hash", "pos",
                     F.when(F.col("total").isNull(), F.col("first")).otherwise(F.struct("doc", "text_hash", "pos") == F.col("first_row")).alias("first")))

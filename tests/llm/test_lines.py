@@ -29,8 +29,11 @@ def made(seed, n):
 
 
 @pytest.mark.parametrize("keep_first", [False, True])
-@pytest.mark.parametrize("parts", [1, 8, 40])
-def test_as_brute_force(spark, keep_first, parts):
+@pytest.mark.parametrize("parts,few", [(1, None), (8, None), (8, 0), (40, None), (40, 0)])
+def test_as_brute_force(spark, monkeypatch, keep_first, parts, few):
+    """``few`` 0: totals too many to broadcast."""
+    if few is not None:
+        monkeypatch.setattr(line_dedup, "FEW_SUMMARIES", few)
     texts = [None, "", "\n\n", "same\nsame\nsame", *made(parts, 60), "k " * 50_000 + "\nsame"]
     df = docs(spark, texts)
     old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
