@@ -1,6 +1,7 @@
 """Exact top-k inner-product search as a Voronoi kNN join.
 
-1. A bounded sample of vectors are pivots; every vector joins its nearest
+1. A bounded sample of distinct vectors are pivots (more of them the more
+   vectors there are, up to a bound); every vector joins its nearest
    pivot's group (its Voronoi cell).
 2. A summary of each group (size, radius, greatest norm, and the ``k + 1``
    least distances from the pivot, of as many ids) bounds inner products by
@@ -27,6 +28,7 @@ long are set to its limits; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ballotlens.llm.common import arrays_to_batch, batch_rows, lasting, stored, temporary
 
-PIVOTS = 64
+PIVOTS = 64, 1_024        # least and most; between them a quarter of the root of the number of vectors
 BLOCK_ROWS = 8_192        # vectors of a block of a group
 BLOCK_QUERIES = 1_024     # queries solved with a block at once
 _VECTOR = "vec_id long, dim int, v binary"
@@ -67,12 +69,22 @@ def _matrix(packed: list[bytes], dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(packed), "<i8").reshape(len(packed), dim)
 
 
-def pivot_sets(vectors: DataFrame, n_pivots: int) -> dict[int, np.ndarray]:
-    """Pivots of each length: the vectors of least id hash, alike ones once,
-    and the zero vector where a length has none."""
-    rows = vectors.select("dim", "v", F.xxhash64("vec_id").alias("h")).orderBy("h", "v").limit(n_pivots).collect()
+def pivot_sets(vectors: DataFrame, n_pivots: int | None = None) -> dict[int, np.ndarray]:
+    """Pivots of each length: the vectors of least hash, alike ones once
+    whatever their ids, and the zero vector where a length has none."""
+    n = vectors.count()
+    if n_pivots is None:
+        n_pivots = max(PIVOTS[0], min(PIVOTS[1], math.isqrt(n) // 4))
+    rows = vectors.select("dim", "v", F.xxhash64("dim", "v").alias("h"))
     out: dict[int, set] = {}
-    for r in rows:
+    # a share of the hashes that holds about eight times as many, so that few vectors are
+    # compared to be told apart; all of them if copies leave too few in that share
+    for share in sorted({min(1.0, 8 * n_pivots / max(1, n)), 1.0}):
+        some = rows if share == 1 else rows.filter(F.col("h") < int((share - 0.5) * 2**64))
+        found = some.distinct().orderBy("h", "dim", "v").limit(n_pivots).collect()
+        if len(found) == n_pivots:
+            break
+    for r in found:
         out.setdefault(r.dim, set()).add(bytes(r.v))
     return {d: _matrix(sorted(s), d).astype(np.float64) for d, s in out.items()}
 
@@ -153,7 +165,7 @@ def local_best(ids: np.ndarray, data: np.ndarray, qids: np.ndarray, queries: np.
     return out
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, n_pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, n_pivots: int | None = None, block_rows: int = BLOCK_ROWS,
           block_queries: int = BLOCK_QUERIES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score); ``is_query`` is a condition on vec_id.
     The result is a written table; the tables it was made from are removed."""
@@ -172,7 +184,7 @@ def _top_k(vectors, is_query, k, scale, n_pivots, block_rows, block_queries, id_
     by = Window.partitionBy("dim", "cell").orderBy("distance", "vec_id")
     near = data.groupBy("dim", "cell", "vec_id").agg(F.min("distance").alias("distance")).withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k + 1)
     summary = Summary(pivots, rows := groups.collect(), near.collect(), k, block_rows)
-    # block counts and bounds: at most n_pivots groups and one for each odd length
+    # block counts and bounds: a group for each pivot at most, and one for each odd length
     counts = spark.createDataFrame([(r.dim, r.cell, -(-r.n // block_rows)) for r in rows], "dim int, cell int, blocks long")
 
     def route(batches):

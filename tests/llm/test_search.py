@@ -111,6 +111,17 @@ def test_groups_are_passed_over():
     assert len(s.groups_for(p[3])) < 5
 
 
+def test_pivots_are_distinct_vectors(spark):
+    """One id and one vector hold most rows: neither leaves the table with one pivot."""
+    r = np.random.default_rng(5)
+    rows = [(7, r.normal(size=3).tolist()) for _ in range(150)] + [(i, [1.0, 2.0, 3.0]) for i in range(5000)]
+    df = knn.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 1024, "vec_id", "embedding")
+    got = knn.pivot_sets(df)
+    assert got[3].shape == (64, 3) and len({tuple(x) for x in got[3]}) == 64
+    assert knn.pivot_sets(df, 500)[3].shape == (151, 3) and knn.pivot_sets(df.limit(0)) == {}
+    assert (knn.pivot_sets(df.repartition(7))[3] == got[3]).all()
+
+
 def test_repeated_rows_of_the_query_hide_no_answer(spark):
     """Every vector is a pivot and occurs twelve times: cells of no radius."""
     r = np.random.default_rng(8)
