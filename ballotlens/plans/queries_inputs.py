@@ -205,12 +205,17 @@ def q_row_group_inventory(spark, sf):
                                             F.max(F.col("first_row") + F.col("rows")).alias("end_row"), F.max("columns").cast("bigint").alias("columns"))
 
 
+_FILE_ROWS = 2_000_000      # rows of a file of row_group_load's input, where it has more than three
+
+
 @register("row_group_load", "SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity, l_returnflag || l_linestatus AS flags FROM lineitem")
 def q_row_group_load(spark, sf):
-    """Lineitem in three files of many row groups; the second batch is cut off
-    between its write and its commit; the next run has other batches."""
+    """Lineitem in three files or more, of many row groups each; the second batch
+    is cut off between its write and its commit; the next run has other batches."""
     src, table, done = (_scratch(spark, f"row-group-{n}") for n in ("src", "table", "ledger"))
-    fx.table(spark, sf, "lineitem").repartition(3, "l_orderkey", "l_linenumber").write.option("parquet.block.size", 64 * 1024).parquet(src)
+    rows = fx.table(spark, sf, "lineitem")
+    files = max(3, -(-rows.count() // _FILE_ROWS))
+    rows.repartition(files, "l_orderkey", "l_linenumber").write.option("parquet.block.size", 64 * 1024).parquet(src)
 
     def cut(batch):
         if batch == 2:

@@ -2,7 +2,9 @@
 
 Spark lists the files; each task opens footers of its own files, or reads the
 row groups dealt to it, through Arrow: Spark's Parquet reader can neither list
-row groups nor read chosen ones.
+row groups nor read chosen ones.  Row groups are dealt by stretches of a file,
+and a task opens each of its files once: a footer names all row groups of its
+file, so opening it for every row group would cost their number squared.
 
 ``load_row_groups`` loads what a ledger doesn't name yet, in batches of about
 ``batch_bytes``.  A batch is written to a folder of its own and then committed
@@ -17,7 +19,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +30,7 @@ GROUP = "file_path string, file_bytes long, row_group int, first_row long, rows
 TASK_BYTES = 128 * 1024 * 1024     # row groups that one task reads
 BATCH_BYTES = 256 * 1024**3        # row groups between two commits
 STREAM_ROWS = 8_192                # rows of an Arrow batch
+STRETCHES = 4                      # stretches of files that a task gets on average
 
 
 def _open(path: str):
@@ -69,30 +72,50 @@ def row_groups(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(footers, GROUP)
 
 
+def deal(groups: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """(file_path, row_group) in partitions of about ``task_bytes``: stretches
+    of neighbours in a file stay together, in the file's order."""
+    size = groups.agg(F.sum("bytes")).first()[0] or 0
+    before = F.sum("bytes").over(Window.partitionBy("file_path").orderBy("row_group")) - F.col("bytes")
+    stretch = F.floor(before / max(1, task_bytes // STRETCHES)).alias("stretch")
+    return groups.select("file_path", "row_group", stretch).repartition(max(1, -(-size // task_bytes)), "file_path", "stretch") \
+        .sortWithinPartitions("file_path", "row_group").select("file_path", "row_group")
+
+
+def stream_groups(batches, target, open_file=_open):
+    """Record batches of schema ``target`` with the rows of the row groups that
+    ``batches`` name; neighbours of one file are read from one open file."""
+    import pyarrow as pa
+    path = f = None
+    try:
+        for b in batches:
+            for at, group in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if at != path:
+                    if f is not None:
+                        f.close()
+                    path, f = at, open_file(at)
+                    there = set(f.schema_arrow.names)
+                    wanted = [n for n in target.names if n in there]
+                if not wanted:      # its rows still count
+                    yield pa.RecordBatch.from_arrays([pa.nulls(f.metadata.row_group(group).num_rows, t.type) for t in target], schema=target)
+                    continue
+                for part in f.iter_batches(STREAM_ROWS, row_groups=[group], columns=wanted):
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(t.name).cast(t.type) if t.name in there else pa.nulls(part.num_rows, t.type) for t in target], schema=target)
+    finally:
+        if f is not None:
+            f.close()
+
+
 def read_groups(groups: DataFrame, schema: T.StructType, task_bytes: int = TASK_BYTES) -> DataFrame:
     """The rows of the given row groups, with ``schema``'s columns only; a
     column that a file doesn't have is NULL.  A row group is streamed by one
     task, however large it is."""
-    size = groups.agg(F.sum("bytes")).first()[0] or 0
-    dealt = groups.select("file_path", "row_group").repartition(max(1, -(-size // task_bytes)), "file_path", "row_group")
-
     def rows(batches):
-        import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
-        target = to_arrow_schema(schema)
-        for b in batches:
-            for path, group in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                with _open(path) as f:
-                    there = set(f.schema_arrow.names)
-                    wanted = [n for n in target.names if n in there]
-                    if not wanted:      # its rows still count
-                        yield pa.RecordBatch.from_arrays([pa.nulls(f.metadata.row_group(group).num_rows, t.type) for t in target], schema=target)
-                        continue
-                    for part in f.iter_batches(STREAM_ROWS, row_groups=[group], columns=wanted):
-                        yield pa.RecordBatch.from_arrays(
-                            [part.column(t.name).cast(t.type) if t.name in there else pa.nulls(part.num_rows, t.type) for t in target], schema=target)
-
-    return dealt.mapInArrow(rows, schema)
+        yield from stream_groups(batches, to_arrow_schema(schema))
+
+    return deal(groups, task_bytes).mapInArrow(rows, schema)
 
 
 def ledger(spark: SparkSession, ledger_path: str) -> DataFrame:

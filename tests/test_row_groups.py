@@ -93,3 +93,26 @@ def test_batch_without_rows_replaces_what_was_left(spark, source, scratch):
     rg.load_row_groups(spark, source, target, done, transform=lambda d: d.filter("id < 0"))
     assert spark.read.parquet(target).count() == 0
     assert rg.ledger(spark, done).agg(F.sum("rows")).first()[0] == 1000
+
+
+def test_a_task_opens_a_file_once(spark, source):
+    """Not once for each row group: its footer names them all."""
+    dealt = rg.deal(rg.row_groups(spark, source).filter("rows > 0"), 1 << 30)
+    assert dealt.rdd.getNumPartitions() == 1
+    opened = []
+
+    def opening(path):
+        opened.append(path)
+        return rg._open(path)
+
+    got = pa.Table.from_batches(rg.stream_groups(dealt.toArrow().to_batches(3), pa.schema([("id", pa.int64())]), opening))
+    assert sorted(got["id"].to_pylist()) == list(range(1000)) and len(opened) == 2
+
+
+def test_row_groups_are_dealt_by_stretches(spark):
+    """A file of many row groups is opened by few tasks, and tasks stay small."""
+    groups = spark.range(4000).selectExpr("concat('f', id % 2) AS file_path", "cast(id div 2 AS int) AS row_group", "1000L AS bytes")
+    dealt = rg.deal(groups, 100_000).withColumn("task", F.spark_partition_id()).cache()
+    assert dealt.rdd.getNumPartitions() == 40 and dealt.distinct().count() == 4000 and dealt.select("file_path", "row_group").distinct().count() == 4000
+    neighbours = dealt.alias("a").join(dealt.alias("b"), F.expr("a.file_path = b.file_path and a.row_group + 1 = b.row_group and a.task = b.task")).count()
+    assert neighbours > 0.9 * 4000 and dealt.groupBy("task").count().agg(F.max("count")).first()[0] <= 400
