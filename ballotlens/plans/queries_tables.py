@@ -15,6 +15,7 @@ from ballotlens.plans.queries import FLAGSHIP_SQL, _scratch
 from ballotlens.sources import buckets, sinks
 from ballotlens.streaming import outreach as so
 
+_ALL_FILES = 2**31 - 1      # a stream's run takes all files that are there in one batch
 _OUTREACH_IDS = ["id", "account_hash_key", "proposal_master_skey", "director_master_skey"]
 
 
@@ -50,28 +51,27 @@ def q_page_index(spark, sf):
 @register("stream_insert_ignore", "WITH new_rows AS (" + REGISTRY["insert_ignore"].sql.replace("WITH ok AS", "WITH ok AS", 1) + ")\nSELECT "
           + ", ".join(_OUTREACH_IDS) + " FROM new_rows\nUNION ALL SELECT " + ", ".join(_OUTREACH_IDS) + " FROM outreach", ["account_unvoted", "outreach"])
 def q_stream_insert_ignore(spark, sf):
-    """Unvoted rows arrive in three files by id; the second batch is cut off
-    between its write and its commit, and repeated."""
+    """Unvoted rows arrive in three loads by id, a batch each; the second batch
+    is cut off between its write and its commit, and repeated."""
     src, table, ledger, ck = (_scratch(spark, f"stream-{n}") for n in ("src", "table", "ledger", "ck"))
     u = fx.account_unvoted(spark, sf)
     so.begin_table(fx.outreach(spark, sf).select(*_OUTREACH_IDS), table)
     low, high = u.agg(F.min("id"), F.max("id")).first()
     step = (high - low) // 3 + 1
-    for k in range(3):
-        u.filter(F.col("id").between(low + k * step, low + (k + 1) * step - 1)).select(*_OUTREACH_IDS).coalesce(1).write.mode("append").parquet(src)
-    cut = []
 
-    def once(number):
-        if number == 1 and not cut:
-            cut.append(number)
+    def cut(number):
+        if number == 1:
             raise RuntimeError("cut off before the commit")
 
-    for _ in range(2):
-        try:
-            so.stream_insert_ignore(spark, src, table, ledger, ck, max_files_per_trigger=1, before_commit=once)
-        except Exception as e:  # noqa: BLE001 - the cut that this query makes itself
-            if "cut off before the commit" not in str(e):
-                raise
+    for k in range(3):
+        # a load has as many files as tasks that wrote it, and is a batch of its own whatever their number
+        u.filter(F.col("id").between(low + k * step, low + (k + 1) * step - 1)).select(*_OUTREACH_IDS).write.mode("append").parquet(src)
+        for before_commit in (cut, None) if k == 1 else (None,):
+            try:
+                so.stream_insert_ignore(spark, src, table, ledger, ck, max_files_per_trigger=_ALL_FILES, before_commit=before_commit)
+            except Exception as e:  # noqa: BLE001 - the cut that this query makes itself
+                if before_commit is None or "cut off before the commit" not in str(e):
+                    raise
     return spark.read.parquet(table).select(*_OUTREACH_IDS)
 
 

@@ -11,6 +11,7 @@ from ballotlens.operators import outreach as ot
 from ballotlens.operators import pages
 from ballotlens.plans import fixtures as fx
 from ballotlens.plans import queries as q
+from ballotlens.plans import queries_tables as qt
 from ballotlens.sources import sinks
 from ballotlens.streaming import outreach as so
 from conftest import SF_SMALL
@@ -122,3 +123,25 @@ def test_issuer_join_reads_accounts_once_and_spreads_missing_keys(spark):
     assert got == [i for i, _, pm, dm in rows if pm == 1 or dm == 7]
     kept = sorted(r.id for r in ot.issuer_semi_join(a, p, ["x"], exclude_sentinel=False).collect())
     assert kept == [i for i, _, pm, dm in rows if pm in (1, -1) or dm in (7, -1)]
+
+
+def test_stream_query_writes_its_loads_by_many_tasks(spark, scratch, monkeypatch):
+    """No task reads the whole table to write a load; a load is a batch all the same."""
+    rows = spark.range(900).selectExpr("id AS l_orderkey", "id % 40 AS l_partkey", "id % 9 AS l_suppkey", "cast(1 + id % 4 AS int) AS l_linenumber", "1D AS l_quantity",
+                                       "0.04D AS l_discount", "0.02D AS l_tax", "'A' AS l_returnflag", "if(id % 3 = 0, 'F', 'O') AS l_linestatus")
+    rows.unionAll(rows).repartition(4).write.parquet(os.path.join(scratch, "lineitem.parquet"))
+    seen, run = [], so.stream_insert_ignore
+
+    def watched(spark, src, table, ledger, *args, **kw):
+        seen.append((sum(n.endswith(".parquet") for n in os.listdir(src)), ledger))
+        return run(spark, src, table, ledger, *args, **kw)
+
+    monkeypatch.setattr(so, "stream_insert_ignore", watched)
+    got = qt.q_stream_insert_ignore(spark, scratch)
+    unvoted = [(1 + i % 4, i % 40) for i in range(900) if i % 3]       # line and part, each twice
+    missing = [p % 5 != 0 and p % 7 == 0 for _, p in unvoted]           # no director key: nothing is ignored
+    first = sum(line <= 2 for line, _ in unvoted)
+    assert got.count() == first + 2 * sum(missing) + sum(line > 2 and not m for (line, _), m in zip(unvoted, missing, strict=True))
+    assert got.select("id").distinct().count() == len(unvoted)
+    assert len(seen) == 4 and seen[-1][0] > 6
+    assert sorted(r.batch for r in spark.read.parquet(seen[-1][1]).collect()) == [0, 1, 2]
