@@ -12,14 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BUCKET_ROWS = 1_000_000     # rows of an even bucket; a task sorts one bucket
 
-def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> None:
+
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int, bucket_rows: int = BUCKET_ROWS) -> None:
     """Tables ``name`` and ``name_hot`` of the session's catalog, with files (and
-    the hot keys, fewer than half the buckets) under ``path``.  ``df`` is read
-    three times: for the keys' counts, and for either table."""
+    the hot keys, fewer than half the buckets) under ``path``.  ``buckets`` is
+    the least number of buckets: there are more where even ones would hold over
+    ``bucket_rows`` rows, so a bucket doesn't grow with the table.  ``df`` is
+    read four times: for its rows, the keys' counts, and either table."""
     spark = df.sparkSession
     counts = df.groupBy(F.col(key).alias("_hot_key")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = df.count()
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    buckets = max(buckets, min(-(-total // bucket_rows), most))
     counts.filter(F.col("n") * buckets > 2 * total).select("_hot_key").write.mode("overwrite").parquet(f"{path}/hot_keys")
     hot = spark.read.parquet(f"{path}/hot_keys")
     same = F.col(key).eqNullSafe(F.col("_hot_key"))

@@ -55,3 +55,18 @@ def test_empty_table(spark, scratch):
     n = f"t_{uuid.uuid4().hex[:8]}"
     buckets.write_bucketed(spark.createDataFrame([], "id long, k long, v long"), n, os.path.join(scratch, "t"), "k", 16)
     assert buckets.read_bucketed(spark, n).count() == 0 == buckets.totals_by_key(spark, n, "k", "v").count()
+
+
+def test_more_buckets_where_they_would_hold_many_rows(spark, scratch):
+    """A bucket, which one task sorts, doesn't grow with the table."""
+    n = f"t_{uuid.uuid4().hex[:8]}"
+    rows = spark.createDataFrame(ROWS, "id long, k long, v long")
+    buckets.write_bucketed(rows, n, os.path.join(scratch, "t"), "k", 4, bucket_rows=30)
+    try:
+        held = spark.table(n).groupBy(F.input_file_name()).count().collect()
+        assert len(held) > 8 and max(r["count"] for r in held) <= 4 * 30
+        assert spark.sql(f"DESCRIBE EXTENDED {n}").filter("col_name = 'Num Buckets'").first().data_type == "30"
+        assert sorted(map(str, buckets.read_bucketed(spark, n).collect())) == sorted(map(str, rows.collect()))
+    finally:
+        for t in (n, f"{n}_hot"):
+            spark.sql(f"DROP TABLE {t}")
