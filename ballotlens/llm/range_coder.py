@@ -1,25 +1,29 @@
-"""An adaptive context-mixing range coder for token ids, many blocks abreast.
+"""An adaptive context-mixing range coder for token ids, many lanes abreast.
 
 Each block of at most ``BLOCK_IDS`` ids is coded on its own, from a fresh
-model.  Blocks lie side by side in numpy arrays, and every step codes the next
-id of each: one array operation serves all blocks.  All arithmetic is in
-integers, so any machine decodes what another wrote.
+model.  A block is cut into lanes of some ``LANE_IDS`` ids, each with a range
+coder of its own, which lie side by side in numpy arrays: every step codes the
+next id of each lane, under one model that learns from all of them.  All
+arithmetic is in integers, so any machine decodes what another wrote.
 
 The model of a block, for each id:
 
 * the last id seen after the two ids before (order 2) and after the one before
   (order 1), each with a count of how often it held; the one that held more
   often, order 2's if equal, is the candidate;
-* the probability that the candidate is the next id mixes three inputs: both
-  orders' log odds by those counts, and order 0's log probability of the
-  candidate, by how often its bytes came up in the block.  The weights learn
-  from every outcome; whether it is the next is coded as a binary decision;
-* an id that isn't the candidate is coded byte by byte, the highest first, under
-  the same order-0 frequencies, brought up to date every few steps.
+* the probability that the candidate is the next id mixes four inputs in the
+  logistic domain: both orders' log odds by those counts, order 0's log
+  probability of the candidate, and the log odds by which candidates in that
+  situation (counts, agreement, order 0's level) were right so far.  The
+  weights, a set for each of order 2's counts, learn from every outcome, some
+  steps at once;
+* an id that isn't the candidate is coded under its order-0 frequency in the
+  block, brought up to date every few steps; ids that are new there, or too
+  rare, follow an escape as they are.
 
 Ids take two bytes, or three where one of a sequence is over 65,535.  The range
-coder is carryless with 64-bit state; a step shrinks the range by 45 bits at
-most, so one renormalisation a step is enough.
+coder is carryless with 64-bit state and moves out 32 bits at a time; a step
+shrinks the range by 28 bits at most, an escaped id by 24 more after that.
 """
 
 from __future__ import annotations
@@ -28,169 +32,212 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 4096
-LANES = 2048                  # blocks coded abreast
-SLOTS = 2048                  # contexts of an order that a block tells apart
-MAGIC, VERSION = b"IDRC", 2   # a block starts with these, its ids' bytes, its ids, and crc32 of its ids
+BLOCK_IDS = 1 << 21
+LANES = 4096                  # lanes of a block at most
+LANE_IDS = 512                # ids of a lane, where the block has enough of them
+MAGIC, VERSION = b"IDRC", 3   # a block starts with these, its ids' bytes, its ids, and crc32 of its ids
 HEADER = 14
-BITS = {2: 14, 3: 11}         # order-0 frequencies of a byte add up to 2 to this, by the bytes of an id
+BITS = {2: 16, 3: 24}         # an escaped id, by the bytes of an id
+KNOWN = {2: 16, 3: 18}        # bits of the ids that order 0 counts
+SHARES = 16                   # order-0 frequencies add up to 2 to this
+REFRESH, RECOUNT = 8, 64      # steps between updates of the mix and of order 0
 
 _U = np.uint64
-_TOP, _BOT = _U(1 << 56), _U(1 << 48)
+_WORD = _U(32)
+_FULL = _U(1 << 32)
 #: log odds (256: one nat) that a guess holds which has held so often; the first: no guess
-_ODDS = np.array([-256, 0, 300, 500, 650, 800, 950, 1100], np.int32)
+_ODDS = np.array([-256, 0, 300, 500, 650, 800, 950, 1100], np.int64)
 _SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 1, 4095).astype(np.int32)
-_LOG = np.rint(32 * np.log(np.maximum(np.arange((1 << 14) + 1), 1))).astype(np.int32)    # 32: one nat
-_NONE = 1 << 24               # the candidate where no order has one
+_LOG = np.rint(32 * np.log(np.maximum(np.arange((1 << SHARES) + 1), 1))).astype(np.int32)    # 32: one nat
+_TALLY = np.rint(256 * np.log(np.arange(1 << 14) + 0.5)).astype(np.int64)
+_NONE = 1 << 24               # ids lie below
+_SITUATIONS = np.arange(2048)                                  # order 2's count, order 1's, whether they agree, order 0's level
+_TWO, _ONE, _AGREE, _LEVEL = _SITUATIONS >> 8, _SITUATIONS >> 5 & 7, _SITUATIONS >> 4 & 1, _SITUATIONS & 15
+_FIXED = np.stack([np.where((_AGREE > 0) | (_TWO >= _ONE), _ODDS[_TWO], -256), np.where((_AGREE > 0) | (_TWO < _ONE), _ODDS[_ONE], -256), (_LEVEL - 15) * 192])
 
 
 class _Model:
-    """The models of n blocks of ids that take ``width`` bytes."""
-
-    def __init__(self, n: int, width: int):
-        self.n, lane = n, np.arange(n, dtype=np.int32)
-        self.bits, self.shifts = _U(BITS[width]), range(8 * (width - 1), -1, -8)
-        self.seen = np.zeros((2, n * SLOTS), np.int32)              # id times 8, and how often it held
-        self.weight = np.repeat(np.array([[40000], [40000], [4000]], np.int32), n, 1)    # 16 bits: 1.0 is 65536
-        self.freq = np.ones((width, n * 256), np.int32)
-        self.cum = np.empty((width, n, 257), _U)
-        self.flat = self.cum.reshape(width, -1)
-        self.one, self.two = np.zeros((2, n), np.int32)             # the ids before
-        self.base, self.byte, self.wide = lane * SLOTS, lane * 256, lane.astype(np.int64) * 257
-        self.refresh()
-
-    def refresh(self) -> None:
-        freq, total = self.freq.reshape(-1, self.n, 256).astype(np.int64), 1 << int(self.bits)
-        share = 1 + freq * (total - 256) // freq.sum(2, keepdims=True)
-        self.cum[:, :, 1:] = np.cumsum(share, axis=2)
-        self.cum[:, :, 0] = 0
-        self.cum[:, :, 256] = total
-        self.logs = (_LOG[share] - _LOG[total]).reshape(len(share), -1)
+    """The model of a block of ids that take ``width`` bytes."""
+
+    def __init__(self, lanes: int, width: int):
+        self.known, self.mask = 1 << KNOWN[width], np.uint32((1 << KNOWN[width]) - 1)
+        self.seen = np.zeros(1 << 18, np.uint32), np.zeros(self.known, np.uint32)    # id times 8, and how often it held
+        self.weight = np.repeat(np.array([[20000], [20000], [3000], [30000]], np.int64), 8, 1)    # 16 bits: 1.0 is 65536
+        self.tried, self.right = np.zeros((2, 2048), np.int64)
+        self.counts, self.n = np.zeros(self.known, np.int64), 0
+        self.one, self.two = np.zeros((2, lanes), np.uint32)        # the ids before
+        self.outcomes: list[np.ndarray] = []
+        self.mix()
+        self.recount(np.empty(0, np.uint32))
+
+    def mix(self) -> None:
+        """The outcomes since the last time teach the weights and the tallies."""
+        if self.outcomes:
+            found = np.bincount(np.concatenate(self.outcomes), minlength=4096).reshape(2048, 2)
+            self.outcomes = []
+            tried, right = found.sum(1), found[:, 1]
+            error = (right * 4096 - tried * self.p).reshape(8, 256)
+            slope = (self.inputs.reshape(4, 8, 256) * error).sum(2)
+            self.weight += slope // np.maximum(tried.reshape(8, 256).sum(1), 1) >> 9
+            self.tried += tried
+            self.right += right
+            old = self.tried > 8000
+            while old.any():
+                self.tried[old] >>= 1
+                self.right[old] >>= 1
+                old = self.tried > 8000
+        tally = _TALLY[self.right] - _TALLY[self.tried - self.right]
+        self.inputs = np.concatenate((_FIXED, tally[None]))
+        dot = (self.inputs.reshape(4, 8, 256) * self.weight[:, :, None]).sum(0).reshape(-1) >> 16
+        self.p = _SQUASH[np.minimum(np.maximum(dot, -2048), 2047) + 2048]
+
+    def recount(self, ids: np.ndarray) -> None:
+        """Order 0's frequencies with these ids, too."""
+        ids = ids[ids < self.known]
+        self.counts += np.bincount(ids, minlength=self.known)
+        self.n += len(ids)
+        total, at = 1 << SHARES, np.flatnonzero(self.counts)
+        share = np.zeros(self.known, np.int32)
+        if self.n:
+            share[at] = self.counts[at] * (total * self.n // (self.n + len(at))) // self.n
+        at = np.flatnonzero(share)
+        sizes = share[at]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        rest = int(ends[-1]) if len(at) else 0                      # where the escape begins
+        self.start, self.width = np.full(self.known + 1, rest, np.int32), np.full(self.known + 1, total - rest, np.int32)
+        self.start[at], self.width[at] = ends - sizes, sizes
+        self.new = np.ones(self.known + 1, bool)
+        self.new[at] = False
+        self.id_at = np.full(total, self.known, np.uint32)
+        self.id_at[:rest] = np.repeat(at, sizes)
+        self.level = np.minimum(np.maximum(15 + (_LOG[share] - _LOG[total]) // 24, 0), 15).astype(np.uint32)
 
     def look(self) -> tuple[np.ndarray, np.ndarray]:
         """The candidate and the probability of 4096 that it's next."""
         a, b = self.one, self.two
-        self.at = (self.base + (a * 40503 + b * 60493 >> 7 & SLOTS - 1), self.base + (a * 40503 >> 7 & SLOTS - 1))
-        two, one = (self.seen[k][self.at[k]] for k in range(2))
-        self.found, self.held = (two, one), (two & 7, one & 7)
-        other = np.where(self.held[1] > 0, one >> 3, _NONE)
-        candidate = np.where((self.held[0] > 0) & (self.held[0] >= self.held[1]), two >> 3, other)
-        self.inputs = [np.where((entry >> 3 == candidate) & (held > 0), _ODDS[held], -256) for entry, held in zip(self.found, self.held)]
-        self.inputs.append(sum(self.logs[k][self.byte + (candidate >> s & 255)] for k, s in enumerate(self.shifts)))
-        dot = self.weight[0] * self.inputs[0] + self.weight[1] * self.inputs[1] + self.weight[2] * self.inputs[2] >> 16
-        return candidate, _SQUASH[np.minimum(np.maximum(dot, -2048), 2047) + 2048]
-
-    def learn(self, ids: np.ndarray, candidate: np.ndarray, hit: np.ndarray, p: np.ndarray, step: int) -> None:
-        error = np.where(candidate < _NONE, hit * np.int32(4096) - p, 0)
-        for k in range(3):
-            self.weight[k] += self.inputs[k] * error >> 6
-        for k in range(2):
-            entry, held = self.found[k], self.held[k]
-            same = (entry >> 3 == ids) & (held > 0)
-            self.seen[k][self.at[k]] = np.where(same, entry + (held < 7), np.where(held > 1, entry - held + (held >> 1), ids << 3 | 1))
-        for k, s in enumerate(self.shifts):
-            self.freq[k][self.byte + (ids >> s & 255)] += 24
-        if step & step + 1 == 0 or step % 256 == 255:
-            self.refresh()
+        self.at = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B) >> np.uint32(14)).astype(np.intp), (a & self.mask).astype(np.intp)
+        two, one = self.found = self.seen[0].take(self.at[0]), self.seen[1].take(self.at[1])
+        n_two, n_one = self.held = two & 7, one & 7
+        candidate = np.where(n_two >= n_one, two, one) >> 3
+        level = self.level.take(candidate & self.mask)
+        self.situation = (n_two << 8 | n_one << 5 | ((two ^ one) < 8).astype(np.uint32) << 4 | level).astype(np.intp)
+        return candidate, self.p.take(self.situation)
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        self.outcomes.append(self.situation * 2 + hit)
+        fresh = ids << 3 | 1
+        for seen, at, entry, held in zip(self.seen, self.at, self.found, self.held):
+            seen[at] = np.where(entry >> 3 == ids, entry + (held < 7), np.where(held > 1, entry - held + (held >> 1), fresh))
         self.two, self.one = self.one, ids
 
+    def refresh(self, table: np.ndarray, step: int, counted: int) -> int:
+        """After a step; gives up to which step order 0 has counted."""
+        done = step + 1
+        if done < len(table) and (done % REFRESH == 0 or done & step == 0):
+            self.mix()
+            if done % RECOUNT == 0 or done & step == 0:
+                self.recount(table[counted:done].reshape(-1))
+                return done
+        return counted
+
+
+def _settle(low, rng, shift, at=None) -> None:
+    """Moves the top word out of the states whose range is below a word."""
+    at = np.flatnonzero(rng < _FULL) if at is None else at[rng[at] < _FULL]
+    if len(at):
+        lo, r = low[at], rng[at]
+        apart = (lo ^ lo + r) >= _FULL
+        r = np.where(apart, (_U(0) - lo) & (_FULL - _U(1)), r)
+        shift(at, lo)
+        low[at], rng[at] = lo << _WORD, r << _WORD
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """Steps and lanes of a block of n ids."""
+    lanes = min(LANES, -(-n // LANE_IDS))
+    return -(-n // lanes), lanes
 
-def _encode_group(blocks: list[np.ndarray], width: int) -> list[bytes]:
-    """Blocks sorted by falling length."""
-    n, lengths = len(blocks), np.array([len(b) for b in blocks])
-    table = np.zeros((int(lengths[0]), n), np.int32)
-    for k, b in enumerate(blocks):
-        table[:len(b), k] = b
-    model = _Model(n, width)
+
+def _encode_block(block: np.ndarray, width: int) -> bytes:
+    steps, n = _shape(len(block))
+    table = np.zeros(steps * n, np.uint32)
+    table[:len(block)] = block
+    table = np.ascontiguousarray(table.reshape(n, steps).T)
+    model, bits = _Model(n, width), _U(BITS[width])
     low, rng = np.zeros(n, _U), np.full(n, ~_U(0), _U)
-    out, pos = np.zeros((n, 7 * int(lengths[0]) + 16), np.uint8), np.zeros(n, np.int64)
-    for step in range(int(lengths[0])):
+    most = 2 * steps + 1
+    out, pos, first = np.zeros(n * most, "<u4"), np.zeros(n, np.int64), np.arange(n) * most
+
+    def shift(at, lo):
+        out[first[at] + pos[at]] = lo >> _WORD
+        pos[at] += 1
+
+    counted = 0
+    for step in range(steps):
         ids = table[step]
         candidate, p = model.look()
-        known, hit = candidate < _NONE, candidate == ids
-        part = (rng >> _U(12)) * p.astype(_U)
-        low += np.where(known & ~hit, part, _U(0))
-        rng = np.where(known, np.where(hit, part, (rng >> _U(12)) * (4096 - p).astype(_U)), rng)
-        miss = np.flatnonzero(~hit)
-        lo, r, x, wide = low[miss], rng[miss], ids[miss], model.wide[miss]
-        for flat, s in zip(model.flat, model.shifts):
-            at = wide + (x >> s & 255)
-            a, b = flat[at], flat[at + 1]
-            r >>= model.bits
-            lo += r * a
-            r *= b - a
-        low[miss], rng[miss] = lo, r
-        _settle(low, rng, step < lengths, lambda at: _put(out, pos, low, at))
-        model.learn(ids, candidate, hit, p, step)
-    for _ in range(8):
-        at = np.arange(n)
-        _put(out, pos, low, at)
-        low <<= _U(8)
-    return [out[k, :pos[k]].tobytes() for k in range(n)]
-
-
-def _put(out, pos, low, at) -> None:
-    out[at, pos[at]] = (low[at] >> _U(56)).astype(np.uint8)
-    pos[at] += 1
-
-
-def _settle(low, rng, live, shift) -> None:
-    """Moves out the top bytes that can't change any more; ``live`` blocks only."""
-    at = np.flatnonzero(live)
-    while len(at):
-        lo, r = low[at], rng[at]
-        same = (lo ^ (lo + r)) < _TOP
-        short = ~same & (r < _BOT)
-        r[short] = (_U(0) - lo[short]) & (_BOT - _U(1))
-        go = same | short
-        at, r = at[go], r[go]
-        if not len(at):
-            return
-        shift(at)
-        low[at] <<= _U(8)
-        rng[at] = r << _U(8)
-
-
-def _decode_group(coded: list[bytes], lengths: np.ndarray, width: int) -> list[np.ndarray]:
-    n, steps = len(coded), int(lengths[0])
-    size = max(map(len, coded)) + 16
-    data = np.frombuffer(b"".join(c.ljust(size, b"\0") for c in coded), np.uint8).reshape(n, size)
-    table = np.zeros((steps, n), np.int32)
-    model = _Model(n, width)
-    low, rng, pos = np.zeros(n, _U), np.full(n, ~_U(0), _U), np.full(n, 8)
-    code = data[:, :8].astype(_U) @ (_U(1) << _U(8) * np.arange(7, -1, -1, dtype=_U))
-
-    def shift(at):
-        code[at] = code[at] << _U(8) | data[at, np.minimum(pos[at], size - 1)].astype(_U)      # a damaged block may run on
+        hit = candidate == ids
+        symbol = np.minimum(ids, model.known)
+        edge, rest = p << SHARES, 4096 - p
+        r = rng >> _U(12 + SHARES)
+        low += r * np.where(hit, 0, edge + rest * model.start.take(symbol)).astype(_U)
+        rng = r * np.where(hit, edge, rest * model.width.take(symbol)).astype(_U)
+        _settle(low, rng, shift)
+        at = np.flatnonzero(model.new.take(symbol) & ~hit)
+        if len(at):
+            r = rng[at] >> bits
+            low[at] += r * ids[at]
+            rng[at] = r
+            _settle(low, rng, shift, at)
+        model.learn(ids, hit)
+        counted = model.refresh(table, step, counted)
+    shift(np.arange(n), low + (_FULL - _U(1)))        # a word is enough, as ranges are no less
+    kept = np.arange(most) < pos[:, None]
+    return pos.astype("<u2").tobytes() + out.reshape(n, most)[kept].tobytes()
+
+
+def _decode_block(payload: bytes, length: int, width: int) -> np.ndarray:
+    steps, n = _shape(length)
+    sizes = np.frombuffer(payload, "<u2", min(n, len(payload) // 2)).astype(np.int64)
+    if len(sizes) < n or 2 * n + 4 * int(sizes.sum()) != len(payload):
+        raise ValueError("a block's lanes don't fill it")
+    most = int(sizes.max()) + 2
+    data = np.zeros((n, most), _U)
+    data[np.arange(most) < sizes[:, None]] = np.frombuffer(payload, "<u4", offset=2 * n)
+    code, data, first = data[:, 0] << _WORD | data[:, 1], data.reshape(-1), np.arange(n) * most
+    model, bits = _Model(n, width), _U(BITS[width])
+    low, rng, pos = np.zeros(n, _U), np.full(n, ~_U(0), _U), np.full(n, 2)
+    table = np.zeros((steps, n), np.uint32)
+    last = _U((1 << 12 + SHARES) - 1)
+
+    def shift(at, lo):
+        code[at] = code[at] << _WORD | data[first[at] + np.minimum(pos[at], most - 1)]      # a damaged block may run on
         pos[at] += 1
 
+    counted = 0
     for step in range(steps):
         candidate, p = model.look()
-        known = candidate < _NONE
-        part = (rng >> _U(12)) * p.astype(_U)
-        hit = known & (code - low < part)
-        low += np.where(known & ~hit, part, _U(0))
-        rng = np.where(known, np.where(hit, part, (rng >> _U(12)) * (4096 - p).astype(_U)), rng)
-        ids = np.where(hit, candidate, np.int32(0)).astype(np.int32)
-        miss = np.flatnonzero(~hit)
-        lo, r, gap, wide = low[miss], rng[miss], code[miss] - low[miss], model.wide[miss]
-        x = np.zeros(len(miss), np.int32)
-        for flat in model.flat:
-            r >>= model.bits
-            value = gap // np.maximum(r, _U(1))
-            at = wide.copy()
-            for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-                at += (flat[at + bit] <= value) * bit
-            a, b = flat[at], flat[at + 1]
-            gap -= r * a
-            lo += r * a
-            r *= b - a
-            x = x << 8 | (at - wide).astype(np.int32)
-        low[miss], rng[miss], ids[miss] = lo, r, x
-        _settle(low, rng, step < lengths, shift)
+        edge, rest = p << SHARES, 4096 - p
+        r = rng >> _U(12 + SHARES)
+        value = np.minimum((code - low) // r, last).astype(np.int32)
+        hit = value < edge
+        symbol = model.id_at.take(np.where(hit, 0, value - edge) // rest)
+        low += r * np.where(hit, 0, edge + rest * model.start.take(symbol)).astype(_U)
+        rng = r * np.where(hit, edge, rest * model.width.take(symbol)).astype(_U)
+        _settle(low, rng, shift)
+        ids = np.where(hit, candidate, symbol)
+        at = np.flatnonzero((symbol == model.known) & ~hit)
+        if len(at):
+            r = rng[at] >> bits
+            x = np.minimum((code[at] - low[at]) // r, (_U(1) << bits) - _U(1))
+            low[at] += r * x
+            rng[at] = r
+            ids[at] = x
+            _settle(low, rng, shift, at)
         table[step] = ids
-        model.learn(ids, candidate, hit, p, step)
-    return [table[:lengths[k], k] for k in range(n)]
+        model.learn(ids, hit)
+        counted = model.refresh(table, step, counted)
+    return table.T.reshape(-1)[:length]
 
 
 def encode(ids: np.ndarray) -> list[bytes]:
@@ -198,32 +245,22 @@ def encode(ids: np.ndarray) -> list[bytes]:
     if len(ids) and (int(ids.max()) >= _NONE or int(ids.min()) < 0):
         raise ValueError("ids take 24 bits")
     width = 3 if len(ids) and int(ids.max()) > 0xFFFF else 2
-    blocks = [ids[k:k + BLOCK_IDS] for k in range(0, len(ids), BLOCK_IDS)]
     out = []
-    for k in range(0, len(blocks), LANES):
-        group = blocks[k:k + LANES]                   # only the last may be shorter
-        for b, payload in zip(group, _encode_group(group, width), strict=True):
-            crc = zlib.crc32(np.ascontiguousarray(b, "<u4").tobytes())
-            out.append(MAGIC + bytes([VERSION, width]) + len(b).to_bytes(4, "little") + crc.to_bytes(4, "little") + payload)
+    for k in range(0, len(ids), BLOCK_IDS):
+        b = np.ascontiguousarray(ids[k:k + BLOCK_IDS], "<u4")
+        out.append(MAGIC + bytes([VERSION, width]) + len(b).to_bytes(4, "little") + zlib.crc32(b.tobytes()).to_bytes(4, "little") + _encode_block(b, width))
     return out
 
 
 def decode(blocks: list[bytes]) -> np.ndarray:
     """The ids of blocks, which may come from anywhere in a file; a damaged
     block raises ValueError."""
+    found = []
     for b in blocks:
         if len(b) < HEADER or b[:5] != MAGIC + bytes([VERSION]) or b[5] not in BITS or not 0 < int.from_bytes(b[6:10], "little") <= BLOCK_IDS:
             raise ValueError("not a block of token ids")
-    lengths = np.array([int.from_bytes(b[6:10], "little") for b in blocks], np.int64)
-    widths = np.array([b[5] for b in blocks], np.int64)
-    found: list = [None] * len(blocks)
-    for width in BITS:
-        order = np.flatnonzero(widths == width)
-        order = order[np.argsort(-lengths[order], kind="stable")]
-        for k in range(0, len(order), LANES):
-            at = order[k:k + LANES]
-            for i, ids in zip(at, _decode_group([blocks[i][HEADER:] for i in at], lengths[at], width), strict=True):
-                if zlib.crc32(ids.astype("<u4").tobytes()) != int.from_bytes(blocks[i][10:14], "little"):
-                    raise ValueError("a block's checksum differs")
-                found[i] = ids
-    return np.concatenate(found) if found else np.empty(0, np.int64)
+        ids = _decode_block(b[HEADER:], int.from_bytes(b[6:10], "little"), b[5])
+        if zlib.crc32(ids.astype("<u4").tobytes()) != int.from_bytes(b[10:14], "little"):
+            raise ValueError("a block's checksum differs")
+        found.append(ids)
+    return np.concatenate(found) if found else np.empty(0, np.uint32)

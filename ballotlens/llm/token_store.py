@@ -17,9 +17,8 @@ parts before it (one total a part, which bounds what the driver adds up).
 Defined results: null text is the empty text (only the end id); rows without
 doc_id come first; rows of one doc_id lie in the order of their texts' first 32
 characters, then of a hash of the text; a very long text is a run of its own,
-coded and decoded ``range_coder.LANES`` blocks at a time; a damaged block raises
-an error; an empty table gives a store without blocks; extra columns of any
-name stay behind.
+coded and decoded block by block; a damaged block raises an error; an empty
+table gives a store without blocks; extra columns of any name stay behind.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ from ballotlens.llm import bpe, pretokens, range_coder
 from ballotlens.llm.common import arrays_to_batch, id_and_text, small_batches
 
 END_ID = 2
-RUN_IDS = range_coder.BLOCK_IDS * range_coder.LANES      # blocks that are coded abreast
+RUN_IDS = 4 * range_coder.BLOCK_IDS      # what a task holds at once, if no document is longer
 
 
 @lru_cache(maxsize=2)

@@ -56,6 +56,17 @@ def test_order_zero_is_in_the_mix(monkeypatch):
     assert with_zero < sum(map(len, rc.encode(ids)))
 
 
+def test_lanes_of_a_block_share_its_model(monkeypatch):
+    """Few steps code many ids, and a lane knows what another one has seen."""
+    r = np.random.default_rng(8)
+    ids = np.concatenate([r.permutation(np.resize(r.integers(0, 50257, 2000), 1 << 14))] * 16)
+    steps, look = [], rc._Model.look
+    monkeypatch.setattr(rc._Model, "look", lambda self: steps.append(1) or look(self))
+    blocks = rc.encode(ids)
+    assert len(steps) <= 512 and sum(map(len, blocks)) < 1.6 * len(ids)
+    assert (rc.decode(blocks) == ids).all() and len(steps) <= 1024
+
+
 def want(rows, library):
     out, start = [], 0
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
