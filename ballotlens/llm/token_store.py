@@ -29,8 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotlens.llm import bpe, pretokens, range_coder
-from ballotlens.llm.common import arrays_to_batch, id_and_text, small_batches
+from ballotlens.llm import bpe, pretokens, range_coder, word_ids
+from ballotlens.llm.common import arrays_to_batch, id_and_text, slices, small_batches
 
 END_ID = 2
 RUN_IDS = 4 * range_coder.BLOCK_IDS      # what a task holds at once, if no document is longer
@@ -45,6 +45,11 @@ def _library(path: str):
     return tiktoken.Encoding("store", pat_str=pretokens.BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def _words(path: str) -> word_ids.WordIds:
+    return word_ids.WordIds(_library(path).encode_ordinary)
+
+
 def ids_of(text: str, path: str) -> np.ndarray:
     """Ids of a text as the vocabulary file's library gives them."""
     own = bpe.load(path)
@@ -53,6 +58,17 @@ def ids_of(text: str, path: str) -> np.ndarray:
     return np.frombuffer(own.encode(text), "<u4")
 
 
+def ids_of_texts(texts: list[str], path: str, end_id: int):
+    """Ids of each text, with the end id; many short texts at once."""
+    special = bpe.load(path).special
+    for s, e in slices(texts):
+        some = texts[s:e]
+        many = [len(t) <= word_ids.LONG_TEXT and pretokens.is_latin(t) and not any(x in t for x in special) for t in some]
+        found = iter(_words(path).encode([t.encode("latin-1") for t, m in zip(some, many) if m], end_id) if any(many) else ())
+        for t, m in zip(some, many):
+            yield next(found) if m else np.append(ids_of(t, path), np.uint32(end_id))
+
+
 _ROWS = "kind string, part int, run long, row long, doc_id long, start long, n_tokens long, payload binary"
 
 
@@ -81,7 +97,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
         part = TaskContext.get().partitionId()
         schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("run", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()),
                             ("start", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
-        end = np.array([end_id], "<u4")
         waiting, n_waiting, row, run, start = [], 0, 0, 0, 0
 
         def blocks():
@@ -95,8 +110,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
 
         for b in batches:
             runs, starts, sizes = [], [], []
-            for text in b.column(1):
-                ids = np.concatenate((ids_of(text.as_py(), tokenizer), end))
+            for ids in ids_of_texts(b.column(1).to_pylist(), tokenizer, end_id):
                 if n_waiting and n_waiting + len(ids) > run_ids:
                     yield blocks()
                 waiting.append(ids)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ballotlens.llm import common, queries, token_store
+from ballotlens.llm import common, queries, token_store, word_ids
 from ballotlens.llm import range_coder as rc
 from conftest import SF_SMALL
 from helpers import empty
@@ -67,6 +68,29 @@ def test_lanes_of_a_block_share_its_model(monkeypatch):
     assert (rc.decode(blocks) == ids).all() and len(steps) <= 1024
 
 
+def test_words_as_library(monkeypatch):
+    """Texts of many kinds of neighbours; words are looked up, not encoded again."""
+    r, library = random.Random(3), Tokenizer.from_file(PATH)
+    texts = ["".join(r.choice("  \n\t'''strevdmlA9é,.\0\xa0\x85²ª") for _ in range(r.randrange(30))) for _ in range(3000)]
+    texts += ["", "\0", "a\0", "'s", "'", "x'", " 's", "'ll're", "a" * 40, "\0" * 20, "", "漢字 it's", "x<|endoftext|>y", " the word" * 300]
+    want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    asked = []
+    own = word_ids.WordIds(lambda w: asked.append(w) or token_store._library(PATH).encode_ordinary(w))
+    monkeypatch.setattr(token_store, "_words", lambda path: own)
+    assert [ids.tolist() for ids in token_store.ids_of_texts(texts, PATH, 2)] == want
+    assert asked.count(" word") == 1
+    before = len(asked)
+    assert [ids.tolist() for ids in token_store.ids_of_texts(texts, PATH, 2)] == want
+    assert sum(len(w) <= word_ids.SHORT for w in asked[before:]) < before / 100       # two may share both places
+    monkeypatch.setattr(word_ids, "PLACES", 4)        # words push each other out
+    monkeypatch.setattr(word_ids, "KEPT_IDS", 50)
+    own.forget()
+    for k in range(0, len(texts), 100):
+        assert [ids.tolist() for ids in token_store.ids_of_texts(texts[k:k + 100], PATH, 2)] == want[k:k + 100]
+    monkeypatch.setattr(word_ids, "LONG_TEXT", 5)
+    assert [ids.tolist() for ids in token_store.ids_of_texts(texts, PATH, 2)] == want
+
+
 def want(rows, library):
     out, start = [], 0
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
