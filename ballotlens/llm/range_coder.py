@@ -40,7 +40,7 @@ HEADER = 14
 BITS = {2: 16, 3: 24}         # an escaped id, by the bytes of an id
 KNOWN = {2: 16, 3: 18}        # bits of the ids that order 0 counts
 SHARES = 16                   # order-0 frequencies add up to 2 to this
-REFRESH, RECOUNT = 8, 64      # steps between updates of the mix and of order 0
+REFRESH, RECOUNT = 16, 128    # steps between updates of the mix and of order 0
 
 _U = np.uint64
 _WORD = _U(32)
