@@ -9,9 +9,11 @@
    a member x at distance d from pivot p has q.p - |q| d <= q.x <= q.p + |q| d.
    The k-th best of the lower bounds over all groups, without those of the
    query's own id, is a score that a query's k-th answer reaches.
-3. A query is replicated only to the groups whose upper bound reaches that
-   score, there to each block of the group (a group of a third of all rows is
-   as many blocks as its size asks for), and every block is solved locally.
+3. A query meets only the groups whose upper bound reaches that score, there
+   each block of the group (a group of a third of all rows is as many blocks as
+   its size asks for), and every block is solved locally.  Neighbouring blocks
+   are a bundle: queries are copied to bundles, not to blocks, so copies don't
+   grow with the number of groups; and they are shuffled, never broadcast.
 4. The blocks' best k of each query merge into its best k.
 
 Components are floor(scale * x); scores are exact integers.  Bounds carry a
@@ -34,11 +36,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballotlens.llm.common import arrays_to_batch, batch_rows, lasting, stored, temporary
+from ballotlens.llm.common import arrays_to_batch, batch_rows, discard, lasting, stored, temporary
 
 PIVOTS = 64, 1_024        # least and most; between them a quarter of the root of the number of vectors
 BLOCK_ROWS = 8_192        # vectors of a block of a group
 BLOCK_QUERIES = 1_024     # queries solved with a block at once
+BUNDLE_ROWS = 65_536      # vectors of a bundle at most (a block at least) ...
+BUNDLES = 64              # ... and so many bundles at least, if there are as many blocks
+SLICE = 64                # queries scored at once
+ROUTED = 256              # queries that one task routes
 _VECTOR = "vec_id long, dim int, v binary"
 
 
@@ -141,27 +147,61 @@ class Summary:
         return [(c[0], c[4]) for c, u in zip(cells, upper, strict=True) if u + slack >= reach - slack]
 
 
+def bundles(rows: list, block_rows: int, bundle_rows: int = BUNDLE_ROWS, least: int = BUNDLES) -> tuple[int, dict[tuple[int, int], tuple[int, int]]]:
+    """Blocks of a bundle, and (first bundle, blocks) of each (length, cell): small
+    groups of one length share a bundle, a large one has as many as its blocks ask for."""
+    most = min(bundle_rows, sum(r.n for r in rows) // least)
+    span = max(1, most // block_rows)
+    out, following, room, dim = {}, 0, 0, None
+    for r in sorted(rows, key=lambda r: (r.dim, r.cell)):
+        blocks = -(-r.n // block_rows)
+        if dim == r.dim and r.n <= room and blocks <= span:
+            out[r.dim, r.cell], room = (following - 1, blocks), room - r.n
+        else:
+            out[r.dim, r.cell] = (following, blocks)
+            following += -(-blocks // span)
+            dim, room = r.dim, most - r.n if blocks <= span else 0
+    return span, out
+
+
 def local_best(ids: np.ndarray, data: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int):
     """Best k of a block for each query: (query number, id, score)."""
     order = np.argsort(ids, kind="stable")
     ids, data = ids[order], data[order]
     dim = max(1, data.shape[1])
     most = float(np.abs(data).max(initial=0)) * float(np.abs(queries).max(initial=0)) * dim
-    if most < 2.0**53:
-        scores = queries.astype(np.float64) @ data.T.astype(np.float64)
-    elif most < 2.0**62:
-        scores = queries @ data.T
-    else:
-        scores = queries.astype(object) @ data.T.astype(object)
+    if most >= 2.0**62:
+        scores, out = queries.astype(object) @ data.T.astype(object), []
+        for i in range(len(qids)):
+            own = np.flatnonzero(ids != qids[i])
+            best = sorted(own, key=lambda j: (-scores[i, j], j))[:k]
+            out += [(i, int(ids[j]), max(-(2**63), min(2**63 - 1, int(scores[i, j])))) for j in best]
+        return out
+    kind = np.float64 if most < 2.0**53 else np.int64
+    queries, data = queries.astype(kind), np.ascontiguousarray(data.T, kind)
+    none = -np.inf if kind is np.float64 else np.iinfo(np.int64).min      # scores lie above it
+    first, end = np.searchsorted(ids, qids, "left"), np.searchsorted(ids, qids, "right")
+    parts = 4 * k if len(ids) >= 16 * k else 0
     out = []
-    for i in range(len(qids)):
-        own = np.flatnonzero(ids != qids[i])
-        s = scores[i, own]
-        if len(s) > k and s.dtype != object:
-            some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-            s, own = s[some], own[some]
-        best = np.argsort(-s, kind="stable")[:k] if s.dtype != object else np.array(sorted(range(len(s)), key=lambda j: (-s[j], j))[:k], int)
-        out += [(i, int(ids[own[j]]), max(-(2**63), min(2**63 - 1, int(s[j])))) for j in best]
+    for at in range(0, len(qids), SLICE):
+        scores = queries[at:at + SLICE] @ data
+        for i in np.flatnonzero(first[at:at + SLICE] < end[at:at + SLICE]):
+            scores[i, first[at + i]:end[at + i]] = none
+        # k parts reach the k-th best of the parts' best scores, and so do k vectors
+        if parts:
+            width = len(ids) // parts
+            tops = scores[:, :parts * width].reshape(len(scores), parts, width).max(2)
+            reach = np.partition(tops, parts - k, axis=1)[:, parts - k]
+            at_least = np.flatnonzero(scores >= reach[:, None])
+        else:
+            at_least = np.arange(scores.size)
+        at_least = at_least[scores.ravel()[at_least] > none]
+        i, j = np.divmod(at_least, max(1, len(ids)))
+        s = scores[i, j]
+        order = np.lexsort((j, -s, i))
+        i, j, s = i[order], j[order], s[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out += zip((i[best] + at).tolist(), ids[j[best]].tolist(), map(int, s[best].tolist()), strict=True)
     return out
 
 
@@ -179,43 +219,59 @@ def _top_k(vectors, is_query, k, scale, n_pivots, block_rows, block_queries, id_
         packed = stored(integer_vectors(vectors, scale, id_col, vec_col), "vectors")
     pivots = pivot_sets(packed, n_pivots)
     data = stored(grouped(packed, pivots), "cells")
+    discard(packed)
     # both bounded: a row for each group, and distances of k + 1 ids of each, as one may be the query's own
     groups = data.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius"), F.max("norm").alias("norm"))
     by = Window.partitionBy("dim", "cell").orderBy("distance", "vec_id")
     near = data.groupBy("dim", "cell", "vec_id").agg(F.min("distance").alias("distance")).withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k + 1)
     summary = Summary(pivots, rows := groups.collect(), near.collect(), k, block_rows)
-    # block counts and bounds: a group for each pivot at most, and one for each odd length
-    counts = spark.createDataFrame([(r.dim, r.cell, -(-r.n // block_rows)) for r in rows], "dim int, cell int, blocks long")
+    # block counts and bundles: a group for each pivot at most, and one for each odd length
+    span, first = bundles(rows, block_rows)
+    counts = spark.createDataFrame([(*key, n, bundle) for key, (bundle, n) in first.items()], "dim int, cell int, blocks long, first long")
 
     def route(batches):
         import pyarrow as pa
-        schema = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("block", pa.int64()), ("query_id", pa.int64()), ("q", pa.binary())])
+        schema = pa.schema([("dim", pa.int32()), ("bundle", pa.int64()), ("query_id", pa.int64()), ("q", pa.binary()), ("cells", pa.list_(pa.int32()))])
         for b in batches:
-            out = [(d, c, n, i, v) for i, d, v in zip(*(x.to_pylist() for x in b.columns), strict=True)
-                   for c, blocks in summary.groups_for(_matrix([v], d)[0].astype(np.float64), i) for n in range(blocks)]
+            out = []
+            for i, d, v in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                asks: dict[int, list[int]] = {}
+                for c, blocks in summary.groups_for(_matrix([v], d)[0].astype(np.float64), i):
+                    for n in range(-(-blocks // span)):
+                        asks.setdefault(first[d, c][0] + n, []).append(c)
+                out += [(d, bundle, i, v, cells) for bundle, cells in asks.items()]
             yield arrays_to_batch(schema, [[r[j] for r in out] for j in range(5)])
 
-    key = ["dim", "cell", "block"]
-    asked = (data.filter(is_query).select("vec_id", "dim", "v").distinct().mapInArrow(route, "dim int, cell int, block long, query_id long, q binary"))
-    # queries of a block, in packs of bounded size: enough packs for all queries at once
-    packs = max(1, -(-data.filter(is_query).count() // block_queries))
-    asked = (asked.withColumn("pack", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(packs)))
-             .groupBy(*key, "pack").agg(F.collect_list(F.struct("query_id", "q")).alias("queries")).drop("pack"))
+    key = ["dim", "bundle"]
+    n_queries = data.filter(is_query).count()
+    asked = (data.filter(is_query).select("vec_id", "dim", "v").distinct().repartition(max(1, -(-n_queries // ROUTED)))
+             .mapInArrow(route, "dim int, bundle long, query_id long, q binary, cells array<int>"))
+    # queries of a bundle, in packs of bounded size: enough packs for all queries at once; both sides are shuffled once, by what they are joined on
+    packs = max(1, -(-n_queries // block_queries))
+    asked = (asked.withColumn("pack", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(packs))).repartition(*key)
+             .groupBy(*key, "pack").agg(F.collect_list(F.struct("query_id", "q", "cells")).alias("queries")).drop("pack"))
     blocks = (data.join(F.broadcast(counts), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-              .groupBy(*key).agg(F.collect_list(F.struct("vec_id", "v")).alias("members")))
+              .withColumn("bundle", F.col("first") + F.floor(F.col("block") / span)).repartition(*key)
+              .groupBy(*key, "cell", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("members")))
 
     def solve(batches):
         import pyarrow as pa
         schema = pa.schema([("query_id", pa.int64()), ("q_hash", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         for b in batches:
-            for dim, qs, ms in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                qids = np.array([q["query_id"] for q in qs])
+            for dim, cell, qs, ms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                qids, packed, cells = (qs.values.field(i).to_pylist() for i in range(3))
+                at = [i for i, c in enumerate(cells) if cell in c]
+                if not at:
+                    continue
+                qids, packed = np.array([qids[i] for i in at]), [packed[i] for i in at]
                 # rows of one id that differ are told apart by their components
-                marks = [int.from_bytes(hashlib.blake2b(q["q"], digest_size=7).digest(), "little") for q in qs]
-                found = local_best(np.array([m["vec_id"] for m in ms]), _matrix([m["v"] for m in ms], dim), qids, _matrix([q["q"] for q in qs], dim), k)
+                marks = [int.from_bytes(hashlib.blake2b(q, digest_size=7).digest(), "little") for q in packed]
+                ids, members = (ms.values.field(i) for i in range(2))
+                found = local_best(np.asarray(ids), _matrix(members.to_pylist(), dim), qids, _matrix(packed, dim), k)
                 yield arrays_to_batch(schema, [[int(qids[f[0]]) for f in found], [marks[f[0]] for f in found], [f[1] for f in found], [f[2] for f in found]])
 
-    best = asked.join(blocks, key).select("dim", "queries", "members").mapInArrow(solve, "query_id long, q_hash long, vec_id long, score long")
+    # rows of packs are long and few: by their number Spark would take them for a small table and broadcast them
+    best = asked.hint("merge").join(blocks, key).select("dim", "cell", "queries", "members").mapInArrow(solve, "query_id long, q_hash long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "q_hash").orderBy(F.desc("score"), "vec_id"))
     with batch_rows(spark, 4):     # a row is a block of vectors and a pack of queries
         return lasting(best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top-k")

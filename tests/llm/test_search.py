@@ -131,6 +131,59 @@ def test_repeated_rows_of_the_query_hide_no_answer(spark):
     assert {tuple(x) for x in got} == brute_top(rows, 10) and len(got) == 120
 
 
+def test_queries_never_pass_the_driver(spark, monkeypatch):
+    """Packs of queries are few long rows: their number must not make them a table to broadcast."""
+    plans, lasting = [], knn.lasting
+
+    def seen(df, name):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return lasting(df, name)
+
+    monkeypatch.setattr(knn, "lasting", seen)
+    r = np.random.default_rng(9)
+    rows = [(10 * i, r.normal(size=6).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = knn.top_k(df, F.col("vec_id") % 100 == 0, k=10, block_rows=7, block_queries=4).collect()
+    assert {tuple(x) for x in got} == brute_top(rows, 10)
+    final = plans[0].split("Initial Plan")[0]
+    assert "isFinalPlan=true" in final and "SortMergeJoin" in final
+    assert final.count("BroadcastHashJoin") <= 1      # the numbers of blocks, a row for each pivot
+
+
+def test_blocks_are_bundled():
+    """Small groups share a bundle, a large one has several, and no bundle is beyond its size."""
+    class Row:  # noqa: D106
+        def __init__(self, dim, cell, n):
+            self.dim, self.cell, self.n = dim, cell, n
+    r = random.Random(6)
+    rows = [Row(d, c, r.choice([1, 5, 9, 30, 400])) for d in (2, 3) for c in range(200)]
+    span, got = knn.bundles(rows, block_rows=10, bundle_rows=40, least=4)
+    assert span == 4 and set(got) == {(x.dim, x.cell) for x in rows}
+    held, of = {}, {}
+    for x in rows:
+        first, blocks = got[x.dim, x.cell]
+        assert blocks == -(-x.n // 10)
+        for b in range(blocks):
+            held[first + b // span] = held.get(first + b // span, 0) + x.n / blocks
+            of.setdefault(first + b // span, set()).add(x.dim)
+    assert max(held.values()) <= 40 and sorted(held) == list(range(len(held))) and all(len(d) == 1 for d in of.values())
+    assert 2 * len(held) < sum(blocks for _, blocks in got.values())
+    assert knn.bundles([], 10)[1] == {}
+
+
+@pytest.mark.parametrize("top", [3, 2**20, 2**26, 2**31])       # ties; sums that a double, a long, none of them holds
+def test_local_best_as_brute_force(top):
+    r = np.random.default_rng(top)
+    data, queries = (r.integers(-top, top, size=(n, 5)) * (2**5 if top == 2**31 else 1) for n in (300, 150))
+    ids, qids = r.integers(0, 200, size=300), r.integers(0, 220, size=150)
+    want = []
+    for i, q in enumerate(queries.tolist()):
+        found = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in zip(ids.tolist(), data.tolist()) if j != qids[i])[:10]
+        want += [(i, j, max(-(2**63), min(2**63 - 1, -s))) for s, j in found]
+    assert knn.local_best(ids, data, qids, queries, 10) == want
+
+
 @pytest.mark.parametrize("sf", [SF_SMALL, SF_MID])
 def test_query_as_sql(spark, sf):
     con = duckdb.connect()
